@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import decontaminate, mixing, secrets, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_secrets": secrets.op6_secrets,
     "op7_mixing": mixing.op7_mixing,
 }
 SQL = {
