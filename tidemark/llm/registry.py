@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, mixing, secrets, sharding
+from tidemark.llm import decontaminate, licenses, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_mixing": mixing.op7_mixing,
+    "op8_licenses": licenses.op8_licenses,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op2_quality": quality.OP2_SQL,
     "op3_sharding": sharding.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
