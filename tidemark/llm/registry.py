@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, licenses, mixing, quality, secrets, sharding, toxicity
+from tidemark.llm import decontaminate, licenses, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_mixing": mixing.op7_mixing,
     "op8_licenses": licenses.op8_licenses,
+    "op9_neardup": neardup.op9_neardup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
