@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, html, licenses, mixing, neardup, quality, secrets, sharding, toxicity
+from tidemark.llm import decontaminate, html, katz, licenses, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_katz": katz.op5_katz,
     "op6_secrets": secrets.op6_secrets,
     "op7_mixing": mixing.op7_mixing,
     "op8_licenses": licenses.op8_licenses,
