@@ -82,9 +82,9 @@ def legacy_clean(df: DataFrame, columns: Sequence[str], price: str, ent: Ent, t:
 
 def proxy_columns(df: DataFrame, spread: str, vix: str, ent: Ent, t: str, clip: bool = True) -> DataFrame:
     """margin_debt and put_call_ratio where there is no better source."""
-    move = 0.5 * pct_change(vix, 1, ent, t)
-    move = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), move)) if clip else move
-    return df.withColumns({"margin_debt": F.try_divide(F.lit(100.0), F.col(spread) + 1), "put_call_ratio": F.when(move.isNotNull(), 1 + move)})
+    raw = 0.5 * pct_change(vix, 1, ent, t)
+    move = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), raw)) if clip else raw  # these skip nulls
+    return df.withColumns({"margin_debt": F.try_divide(F.lit(100.0), F.col(spread) + 1), "put_call_ratio": F.when(raw.isNotNull(), 1 + move)})
 
 
 def _long(df: DataFrame, columns: Sequence[str], ent: Ent, t: str) -> DataFrame:
