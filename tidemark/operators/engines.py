@@ -345,7 +345,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | Non
     if out is None:
         out = pool.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("_q").orderBy("distance", "_p")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(c) for c in keep], "distance", "rank")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(f"pool_{c}" if c == qid else c) for c in keep], "distance", "rank")
 
 
 def analog_reference_radii(pool: DataFrame, k: int, qid: str, t: str | None, keep: Sequence[str], longest: int = max(HORIZONS), sample_rows: int = 100_000) -> DataFrame:
@@ -364,7 +364,7 @@ def analog_knn(queries: DataFrame, pool: DataFrame, dd: str, x_pct: float, h: in
 
     When fewer than k remain outside the embargo, the share is over those that remain.
     """
-    found = nearest(queries, pool, k, math.ceil(1.6 * h) if t else None, qid, t, keep=[*([t] if t else []), dd] if qid == t else [qid, dd])  # names the pool row
+    found = nearest(queries, pool, k, math.ceil(1.6 * h) if t else None, qid, t, keep=[qid, dd])
     return _analog_summary(found, dd, x_pct, qid, radii)
 
 
@@ -373,7 +373,7 @@ def _analog_summary(found: DataFrame, dd: str, x_pct: float, qid: str, radii: Da
     if radii is None:
         return out.withColumn("confidence", F.lit(None).cast("double"))
     ranked = rank_vs_reference(out, "radius", radii, "_rank")
-    return ranked.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_rank")))).drop("_rank")
+    return ranked.withColumn("confidence", 1 - F.col("_rank")).drop("_rank")
 
 
 def analog_top_n(queries: DataFrame, pool: DataFrame, qid: str, t: str | None, h: int, keep: Sequence[str], n: int = 10) -> DataFrame:

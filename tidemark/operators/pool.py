@@ -51,8 +51,13 @@ class GateConfig:
     source: str = "default"
 
 
+def clip(x: Column, lo: float, hi: float) -> Column:
+    """x kept in [lo, hi]; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
 def clip_p(p: Column) -> Column:
-    return F.greatest(F.lit(P_MIN), F.least(F.lit(P_MAX), p))
+    return clip(p, P_MIN, P_MAX)
 
 
 def logit(p: Column) -> Column:
@@ -72,7 +77,7 @@ def join_engines(outputs: dict[str, DataFrame], features: DataFrame, keys: Seque
         if name is None:
             out = out.withColumn(f"pressure_{engine}", F.lit(None).cast("double"))
         else:
-            out = out.join(df.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(name).cast("double"))).alias(f"pressure_{engine}")), list(keys))
+            out = out.join(df.select(*keys, clip(F.col(name).cast("double"), 0.0, 1.0).alias(f"pressure_{engine}")), list(keys))
     return out
 
 
@@ -110,7 +115,7 @@ def apply_bins(p: Column, bins: Bins) -> Column:
 
 
 def log_loss(p: Column, y: Column, eps: float = P_MIN) -> Column:
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    q = clip(p, eps, 1 - eps)
     return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))
 
 
@@ -190,7 +195,7 @@ def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic") ->
     """`df` with the isotonic map of p, clipped to [0, 1]; null stays null."""
     train = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
     model = IsotonicRegression(featuresCol=p, labelCol="_y", predictionCol=out).fit(train.select(p, F.col(y).cast("double").alias("_y")))
-    done = model.transform(df.filter(F.col(p).isNotNull())).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))))
+    done = model.transform(df.filter(F.col(p).isNotNull())).withColumn(out, clip(F.col(out), 0.0, 1.0))
     return done.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 

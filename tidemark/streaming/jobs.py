@@ -64,7 +64,7 @@ def stream_upsert(stream: DataFrame, key: Sequence[str], ts: str, days: int = 7)
 
 def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str, late: str = "7 days") -> DataFrame:
     """(ent, d, value): means of tumbling days; rows later than the watermark are dropped by it."""
-    days = stream.withWatermark(ts, late).groupBy(*ent, F.window(ts, "1 day").alias("w")).agg(F.avg(value).alias("value"))
+    days = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(*ent, F.window(ts, "1 day").alias("w")).agg(F.avg(value).alias("value"))
     rows = _collected(days.select(*ent, F.to_date("w.start").alias("d"), "value"), "update", "daily")
     w = Window.partitionBy(*ent, "d").orderBy(F.desc("_batch"))
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
