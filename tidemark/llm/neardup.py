@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -21,7 +21,9 @@ PERCENT = 80
 #: Texts that are worked on at a time, and hashed elements per block of sketch rounds.
 TEXTS, BLOCK = 512, 4096
 #: Pairs for each node up to which a round may test all that is left at once.
-PAIRS_PER_NODE = 8
+PAIRS_PER_NODE = 64
+#: Nodes on a side of a block of pairs.
+SIDE = 64
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -94,21 +96,35 @@ def _describe(size: int):
 
 
 def _verify(size: int, percent: int):
-    """Rows (a, b, text_a, text_b) to the pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b) of a block and the block's texts to the pairs whose full sets are similar enough."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS // 4):
-                part = batch.slice(at, TEXTS // 4)
-                ok = []
-                for x, y in zip(shingle_sets(part.column(2), size), shingle_sets(part.column(3), size)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = dict(zip(texts.column("node").to_pylist(), shingle_sets(texts.column("text").combine_chunks(), size)))
+        ok = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = sets[a], sets[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * common >= percent * (len(x) + len(y) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def verified(pairs: DataFrame, held: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, g) that are links, from texts in `held` (node, text).
+
+    Pairs of one family g are dealt to blocks by a hash of each side, so that a text is sent
+    once to a block of about SIDE x SIDE nodes and not once for each pair; a family of any
+    size becomes many blocks.
+    """
+    sides = pairs.groupBy("g").agg(F.ceil((F.approx_count_distinct("a") + F.approx_count_distinct("b")) / (2 * SIDE)).alias("s"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
+    dealt = pairs.join(sides, "g").select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("block"))
+    sent = dealt.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = sent.join(held, "node").select("to", "node", "text")
+    return dealt.groupBy("block").cogroup(texts.groupBy("to")).applyInArrow(_verify(size, percent), "a binary, b binary")
+
+
 def bucket_members(nodes: DataFrame) -> DataFrame:
     """(key, node, n, size): the nodes in every band bucket that holds at least two."""
     rows = nodes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"))
@@ -117,44 +133,52 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b): each bucket's members against its most central node.
+    """Distinct (a, b, g): each bucket's members against its most central node g.
 
     A node's centrality is the sum of its buckets' sizes; the text that many copies come from
     has the largest, and is alike to all of them even where two copies aren't alike.
     """
     central = members.groupBy("node").agg(F.sum("size").alias("c"))
     leaders = members.select("key", "node", "n").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "n")).alias("l"))
-    return _alike_sizes(members.join(leaders, "key").select(F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
+    sides = (F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l.node").alias("g"))
+    return _ordered(members.join(leaders, "key").select(*sides).filter(F.col("a") != F.col("b")).filter(_alike_sizes()))
+
 
+def _alike_sizes():
+    """Whether two sets' sizes allow the similarity."""
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
 
-def _alike_sizes(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs whose set sizes allow the similarity, smaller node first."""
-    return pairs.filter((F.col("a") != F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) with the smaller node first, and one family g."""
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("g").alias("g"))
 
-def open_pairs(members: DataFrame, comps: DataFrame, tested: DataFrame, n_nodes: int) -> DataFrame:
-    """Untested pairs of nodes that share a bucket but not a component.
 
-    Every such pair has a side outside the bucket's largest component, so only those rows are
-    joined with the bucket. While there are more than PAIRS_PER_NODE for each node, a round
-    takes only the most central outsider of each bucket; the pairs that its links make needless
-    then drop out.
+def open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, tested: DataFrame, n_nodes: int, takes: int = 1) -> DataFrame:
+    """Untested pairs (a, b, g) of nodes that share a bucket but not a component.
+
+    Every such pair has a side outside the bucket's largest component g, so only those rows are
+    joined with the bucket, and a pair is made in the first of its common buckets only. While there may be more than PAIRS_PER_NODE for each node, a round
+    takes only `takes` outsiders of each bucket, those tested least; the pairs that their links
+    make needless then drop out.
     """
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "n", "size", "comp")
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
-    mixed = materialize(placed.join(largest.select("key", F.col("top.comp").alias("main")), "key"), "mixed")
-    outside = mixed.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    mixed = placed.join(largest.select("key", F.col("top.comp").alias("main")), "key").join(nodes.select("node", "bands"), "node")
+    mixed = materialize(mixed, "mixed")
+    outside = mixed.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("g"), F.col("bands").alias("ba"))
     most = mixed.filter("comp <> main").agg(F.sum("size")).first()[0] or 0
     if most > PAIRS_PER_NODE * n_nodes + 100_000:
         first = tested.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("_t"))
-        one = outside.join(first, "a", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("_t", F.lit(0)).alias("t"), "a", "na", "ca")).alias("o"))
-        outside = one.select("key", "o.a", "o.na", "o.ca")
-    pairs = _alike_sizes(
-        outside.join(mixed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "key").filter("ca <> cb")
-    )
+        turn = Window.partitionBy("key").orderBy(F.coalesce("_t", F.lit(0)), "a")
+        outside = outside.join(first, "a", "left").withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= takes).drop("_t", "_turn")
+    others = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("bands").alias("bb"))
+    first_common = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
+    # of two outsiders the smaller node is `a`
+    once = (F.col("cb") == F.col("g")) | (F.col("a") < F.col("b"))
+    met = (F.col("key") == F.col("kb")) & (F.col("ca") != F.col("cb")) & _alike_sizes() & first_common
+    pairs = _ordered(outside.join(others, met & once if most <= PAIRS_PER_NODE * n_nodes + 100_000 else met).select("a", "b", "g"))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -181,18 +205,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
     members = materialize(bucket_members(nodes), "members")
     pairs = materialize(leader_pairs(members), "pairs")
     n_nodes = nodes.count()
-    tested, links, held = pairs, None, None
+    tested, links, held, takes = pairs, None, None, 1
     while pairs.count():
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if held is None:  # the texts of all nodes that can come up, read once
             wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
             held = materialize(_texts_of(texts, wanted, size), "texts")
-        sided = lambda s: held.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-        joined = pairs.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", "text_a", "text_b")
-        found = materialize(joined.mapInArrow(_verify(size, PERCENT), "a binary, b binary"), "links")
+        found = materialize(verified(pairs, held, size), "links")
         links = found if links is None else links.union(found)
         comps = materialize(components(links), "comps")
-        pairs = materialize(open_pairs(members, comps, tested, n_nodes), "open")
+        pairs, takes = materialize(open_pairs(members, nodes, comps, tested.select("a", "b"), n_nodes, takes), "open"), 2 * takes
         tested = tested.union(pairs)
     if links is None:
         comps = spark.createDataFrame([], "node binary, comp binary")
