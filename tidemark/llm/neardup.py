@@ -111,15 +111,14 @@ def _verify(size: int, percent: int):
 
 
 def verified(pairs: DataFrame, held: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, g) that are links, from texts in `held` (node, text).
+    """The pairs (a, b, g, size) that are links, from texts in `held` (node, text).
 
-    Pairs of one family g are dealt to blocks by a hash of each side, so that a text is sent
-    once to a block of about SIDE x SIDE nodes and not once for each pair; a family of any
-    size becomes many blocks.
+    Pairs of one family g are dealt to blocks by a hash of each side, size / SIDE parts on each
+    (size: the largest bucket in which a pair met), so that a text is sent once to a block and
+    not once for each pair; a large family becomes many blocks.
     """
-    sides = pairs.groupBy("g").agg(F.ceil((F.approx_count_distinct("a") + F.approx_count_distinct("b")) / (2 * SIDE)).alias("s"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
-    dealt = pairs.join(sides, "g").select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("block"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("size") / SIDE))
+    dealt = pairs.select("a", "b", F.xxhash64("g", F.ceil(F.col("size") / SIDE), part("a"), part("b")).alias("block"))
     sent = dealt.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = sent.join(held, "node").select("to", "node", "text")
     return dealt.groupBy("block").cogroup(texts.groupBy("to")).applyInArrow(_verify(size, percent), "a binary, b binary")
@@ -133,14 +132,14 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b, g): each bucket's members against its most central node g.
+    """Distinct (a, b, g, size): each bucket's members against its most central node g.
 
     A node's centrality is the sum of its buckets' sizes; the text that many copies come from
     has the largest, and is alike to all of them even where two copies aren't alike.
     """
     central = members.groupBy("node").agg(F.sum("size").alias("c"))
     leaders = members.select("key", "node", "n").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "n")).alias("l"))
-    sides = (F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l.node").alias("g"))
+    sides = (F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l.node").alias("g"), "size")
     return _ordered(members.join(leaders, "key").select(*sides).filter(F.col("a") != F.col("b")).filter(_alike_sizes()))
 
 
@@ -151,25 +150,26 @@ def _alike_sizes():
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b) with the smaller node first, and one family g."""
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("g").alias("g"))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("g").alias("g"), F.max("size").alias("size"))
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, tested: DataFrame, n_nodes: int, takes: int = 1) -> DataFrame:
-    """Untested pairs (a, b, g) of nodes that share a bucket but not a component.
+def open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, tested: DataFrame, n_nodes: int, takes: int = 1) -> tuple[DataFrame, bool]:
+    """(pairs, all): untested pairs (a, b, g, size) of nodes that share a bucket but not a component.
 
     Every such pair has a side outside the bucket's largest component g, so only those rows are
     joined with the bucket, and a pair is made in the first of its common buckets only. While there may be more than PAIRS_PER_NODE for each node, a round
     takes only `takes` outsiders of each bucket, those tested least; the pairs that their links
-    make needless then drop out.
+    make needless then drop out. `all` tells that no untested pair is left out.
     """
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "n", "size", "comp")
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
     mixed = placed.join(largest.select("key", F.col("top.comp").alias("main")), "key").join(nodes.select("node", "bands"), "node")
     mixed = materialize(mixed, "mixed")
-    outside = mixed.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("g"), F.col("bands").alias("ba"))
+    outside = mixed.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("g"), F.col("bands").alias("ba"), "size")
     most = mixed.filter("comp <> main").agg(F.sum("size")).first()[0] or 0
-    if most > PAIRS_PER_NODE * n_nodes + 100_000:
+    whole = most <= PAIRS_PER_NODE * n_nodes + 100_000
+    if not whole:
         first = tested.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("_t"))
         turn = Window.partitionBy("key").orderBy(F.coalesce("_t", F.lit(0)), "a")
         outside = outside.join(first, "a", "left").withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= takes).drop("_t", "_turn")
@@ -178,8 +178,8 @@ def open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, tested: D
     # of two outsiders the smaller node is `a`
     once = (F.col("cb") == F.col("g")) | (F.col("a") < F.col("b"))
     met = (F.col("key") == F.col("kb")) & (F.col("ca") != F.col("cb")) & _alike_sizes() & first_common
-    pairs = _ordered(outside.join(others, met & once if most <= PAIRS_PER_NODE * n_nodes + 100_000 else met).select("a", "b", "g"))
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = _ordered(outside.join(others, met & once if whole else met).select("a", "b", "g", "size", "na", "nb"))
+    return pairs.join(tested, ["a", "b"], "left_anti"), whole
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,18 +205,20 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
     members = materialize(bucket_members(nodes), "members")
     pairs = materialize(leader_pairs(members), "pairs")
     n_nodes = nodes.count()
-    tested, links, held, takes = pairs, None, None, 1
-    while pairs.count():
+    comps = spark.createDataFrame([], "node binary, comp binary")
+    tested, held, takes, whole = pairs, None, 1, False
+    while not pairs.isEmpty():
         if held is None:  # the texts of all nodes that can come up, read once
             wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
             held = materialize(_texts_of(texts, wanted, size), "texts")
         found = materialize(verified(pairs, held, size), "links")
-        links = found if links is None else links.union(found)
-        comps = materialize(components(links), "comps")
-        pairs, takes = materialize(open_pairs(members, nodes, comps, tested.select("a", "b"), n_nodes, takes), "open"), 2 * takes
+        if not found.isEmpty():  # the stars so far and the new links have the same components as all links
+            comps = materialize(components(found.union(comps)), "comps")
+        if whole:  # all pairs that were left have been tested
+            break
+        left, whole = open_pairs(members, nodes, comps, tested.select("a", "b"), n_nodes, takes)
+        pairs, takes = materialize(left, "open"), 2 * takes
         tested = tested.union(pairs)
-    if links is None:
-        comps = spark.createDataFrame([], "node binary, comp binary")
     placed = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = placed.join(least, "comp").select("node", "component_id")
