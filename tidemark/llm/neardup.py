@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -20,8 +21,6 @@ COORDS, ROWS_PER_BAND = 200, 5
 PERCENT = 80
 #: Texts that are worked on at a time, and hashed elements per block of sketch rounds.
 TEXTS, BLOCK = 512, 4096
-#: Pairs for each node up to which a round may test all that is left at once.
-PAIRS_PER_NODE = 64
 #: Nodes on a side of a block of pairs.
 SIDE = 64
 PRIME = np.uint64(0x100000001B3)
@@ -153,33 +152,54 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("g").alias("g"), F.max("size").alias("size"))
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, tested: DataFrame, n_nodes: int, takes: int = 1) -> tuple[DataFrame, bool]:
-    """(pairs, all): untested pairs (a, b, g, size) of nodes that share a bucket but not a component.
+def _verify_block(size: int, percent: int):
+    """A block's outsiders (out) against its members: links among those that share a band but no component."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = rows.column("out").combine_chunks()
+        left, right = rows.filter(out), rows.filter(pc.invert(out))
+        bands = [np.array(t.column("bands").to_pylist(), np.int64).reshape(t.num_rows, -1) for t in (left, right)]
+        n = [t.column("n").to_numpy() for t in (left, right)]
+        comp = [np.array(t.column("comp").to_pylist(), object) for t in (left, right)]
+        sets = [list(shingle_sets(t.column("text").combine_chunks(), size)) if t.num_rows else [] for t in (left, right)]
+        names = [t.column("node").to_pylist() for t in (left, right)]
+        a, b = [], []
+        for i, x in enumerate(sets[0]):
+            fit = (bands[1] == bands[0][i]).any(axis=1) & (comp[1] != comp[0][i])
+            fit &= np.minimum(n[1], n[0][i]) * 100 >= np.maximum(n[1], n[0][i]) * percent
+            for j in np.flatnonzero(fit):
+                common = len(np.intersect1d(x, sets[1][j], assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(sets[1][j]) - common):
+                    a.append(names[0][i]), b.append(names[1][j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    Every such pair has a side outside the bucket's largest component g, so only those rows are
-    joined with the bucket, and a pair is made in the first of its common buckets only. While there may be more than PAIRS_PER_NODE for each node, a round
-    takes only `takes` outsiders of each bucket, those tested least; the pairs that their links
-    make needless then drop out. `all` tells that no untested pair is left out.
+    return run
+
+
+def open_links(members: DataFrame, nodes: DataFrame, comps: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) among all nodes that share a bucket but not a component.
+
+    Every such pair has a side outside the bucket's largest component g. The nodes in buckets
+    with one g are a family; its outsiders in parts of SIDE and all its nodes in parts of
+    4 SIDE meet in blocks, one task's work each, which send every text a few times and give
+    back links alone: no pair is ever a row.
     """
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "n", "size", "comp")
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "n", "comp")
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
-    mixed = placed.join(largest.select("key", F.col("top.comp").alias("main")), "key").join(nodes.select("node", "bands"), "node")
-    mixed = materialize(mixed, "mixed")
-    outside = mixed.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("g"), F.col("bands").alias("ba"), "size")
-    most = mixed.filter("comp <> main").agg(F.sum("size")).first()[0] or 0
-    whole = most <= PAIRS_PER_NODE * n_nodes + 100_000
-    if not whole:
-        first = tested.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("_t"))
-        turn = Window.partitionBy("key").orderBy(F.coalesce("_t", F.lit(0)), "a")
-        outside = outside.join(first, "a", "left").withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= takes).drop("_t", "_turn")
-    others = mixed.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("bands").alias("bb"))
-    first_common = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
-    # of two outsiders the smaller node is `a`
-    once = (F.col("cb") == F.col("g")) | (F.col("a") < F.col("b"))
-    met = (F.col("key") == F.col("kb")) & (F.col("ca") != F.col("cb")) & _alike_sizes() & first_common
-    pairs = _ordered(outside.join(others, met & once if whole else met).select("a", "b", "g", "size", "na", "nb"))
-    return pairs.join(tested, ["a", "b"], "left_anti"), whole
+    family = placed.join(largest.select("key", F.col("top.comp").alias("g")), "key").groupBy("g", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"))
+    family = materialize(family.withColumn("out", F.col("comp") != F.col("g")), "families")
+    sizes = family.groupBy("g").agg(F.ceil(F.count_if("out") / SIDE).alias("so"), F.ceil(F.count(F.lit(1)) / (4 * SIDE)).alias("sm"))
+    rows = family.join(sizes, "g")
+    mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    spread = lambda out, own, other: rows.filter(out).select(
+        "node", "n", "comp", F.lit(other == "sm").alias("out"), "g", mine(own).alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other")
+    )
+    block = lambda o, m: F.xxhash64("g", o, m).alias("block")
+    keep = ["node", "n", "comp", "out"]
+    dealt = spread(F.col("out"), "so", "sm").select(*keep, block("_own", "_other")).union(spread(F.lit(True), "sm", "so").select(*keep, block("_other", "_own")))
+    full = dealt.join(nodes.select("node", "bands"), "node").join(held, "node").select("block", *keep, "bands", "text")
+    return full.groupBy("block").applyInArrow(_verify_block(size, PERCENT), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
     Texts with one shingle set are one node, so copies are never expanded. Nodes that share a
     band bucket are candidates; pairs are confirmed on the full sets of their whole texts. The
     first round tests each bucket's members against its most central node. After it, only pairs
-    that share a bucket but no component are left, and rounds go on until none is.
+    that share a bucket but no component are left; the second round tests all of these.
 
     component_id is the smallest doc_id of all texts reachable over links; kept is doc_id =
     component_id. Null text or text without words: no shingles, its own component. Repeated
@@ -204,21 +224,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
     )
     members = materialize(bucket_members(nodes), "members")
     pairs = materialize(leader_pairs(members), "pairs")
-    n_nodes = nodes.count()
     comps = spark.createDataFrame([], "node binary, comp binary")
-    tested, held, takes, whole = pairs, None, 1, False
-    while not pairs.isEmpty():
-        if held is None:  # the texts of all nodes that can come up, read once
-            wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-            held = materialize(_texts_of(texts, wanted, size), "texts")
-        found = materialize(verified(pairs, held, size), "links")
-        if not found.isEmpty():  # the stars so far and the new links have the same components as all links
-            comps = materialize(components(found.union(comps)), "comps")
-        if whole:  # all pairs that were left have been tested
-            break
-        left, whole = open_pairs(members, nodes, comps, tested.select("a", "b"), n_nodes, takes)
-        pairs, takes = materialize(left, "open"), 2 * takes
-        tested = tested.union(pairs)
+    if not pairs.isEmpty():
+        # the texts of all nodes that can come up, read once
+        held = materialize(_texts_of(texts, members.select("node").distinct().join(nodes.select("node", "rep"), "node"), size), "texts")
+        links = materialize(verified(pairs, held, size), "links")
+        comps = materialize(components(links), "comps")
+        more = materialize(open_links(members, nodes, comps, held, size), "more-links")
+        if not more.isEmpty():  # the stars so far and the new links have the same components as all links
+            comps = materialize(components(more.union(comps)), "comps")
     placed = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = placed.join(least, "comp").select("node", "component_id")
