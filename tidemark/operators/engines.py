@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vec
 from tidemark.functions.windows import Ent, order, pct_change
 from tidemark.operators.labels import forward_maxdd
+from tidemark.sources.staging import stage
 
 # Fixed values of the engines.
 HORIZONS = (21, 63, 126, 252)
@@ -34,25 +35,28 @@ QUERY_ROWS = 20_000
 def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str = "rank") -> DataFrame:
     """Share of the reference's `score` values strictly below each row's; null stays null.
 
-    A counted reference up to REFERENCE_ROWS is a sorted array in every task. A larger one is
+    A reference up to REFERENCE_ROWS rows is a sorted array in every task. A larger one is
     joined by its distinct values' range: reference counts are summed per value, and queries
     and values are united and sorted by value in ranges, whose totals give each range its start.
     """
-    n = reference.filter(F.col(score).isNotNull()).count()
+    head = reference.select(F.col(score).cast("double")).filter(F.col(score).isNotNull()).limit(REFERENCE_ROWS + 1).toPandas().iloc[:, 0].to_numpy(float)
+    n = len(head)
     if n == 0:
         return df.withColumn(out, F.lit(None).cast("double"))
     if n <= REFERENCE_ROWS:
-        values = np.sort(np.array([r[0] for r in reference.select(score).filter(F.col(score).isNotNull()).collect()], float))
+        values = np.sort(head)
 
         @F.pandas_udf("double")
         def share(x: pd.Series) -> pd.Series:
             return pd.Series(np.where(x.isna(), np.nan, np.searchsorted(values, x.to_numpy(float), side="left") / n)).replace({np.nan: None}).astype("Float64")
 
         return df.withColumn(out, share(F.col(score).cast("double")))
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    n = reference.filter(F.col(score).isNotNull()).count()
+    keyed = stage(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
     ups = reference.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_row", F.lit(None).cast("long"))
     both = keyed.select(F.col(score).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n"), "_row").filter("_v IS NOT NULL").unionByName(ups)
-    parts = both.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = both.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
+    parts = stage(parts, "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = parts.groupBy("_part").agg(F.sum("_n").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_part").orderBy("_v").rangeBetween(Window.unboundedPreceding, -1e-300)
@@ -455,4 +459,5 @@ def causal_score(df: DataFrame, ent: Ent, t: str, train_until, window: int = 252
     train = F.col(t) <= F.lit(train_until)
     corr = connectedness(rolling_corr_matrix(changes, assets, ent, t, window), assets)
     corr = dominant_driver(structure_break(corr, assets, baseline_corr(changes.filter(train), assets)), assets, ent, t, window)
+    corr = stage(corr, "causal")  # read by both ranks and by the result
     return causal_stress(corr, corr.filter(train))
