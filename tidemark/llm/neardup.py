@@ -21,8 +21,8 @@ COORDS, ROWS_PER_BAND = 200, 5
 PERCENT = 80
 #: Texts that are worked on at a time, and hashed elements per block of sketch rounds.
 TEXTS, BLOCK = 512, 4096
-#: Nodes on a side of a block of pairs.
-SIDE = 64
+#: Nodes on a side of a block of pairs, and parts of a family where it meets its sizes.
+SIDE, SALT = 64, 32
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -190,7 +190,9 @@ def open_links(members: DataFrame, nodes: DataFrame, comps: DataFrame, held: Dat
     family = placed.join(largest.select("key", F.col("top.comp").alias("g")), "key").groupBy("g", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"))
     family = materialize(family.withColumn("out", F.col("comp") != F.col("g")), "families")
     sizes = family.groupBy("g").agg(F.ceil(F.count_if("out") / SIDE).alias("so"), F.ceil(F.count(F.lit(1)) / (4 * SIDE)).alias("sm"))
-    rows = family.join(sizes, "g")
+    # sizes has one row a family: SALT copies of it let a large family be many tasks' work
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    rows = family.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALT))).join(salted, ["g", "_salt"]).drop("_salt")
     mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
     spread = lambda out, own, other: rows.filter(out).select(
         "node", "n", "comp", F.lit(other == "sm").alias("out"), "g", mine(own).alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other")
