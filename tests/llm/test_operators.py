@@ -294,6 +294,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in sets})
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    near = text["c"] + " c60"
+    rows = [(3, text["b"]), (5, text["a"]), (5, text["b"]), (None, text["b"]), (None, text["d"]), (8, text["c"]), (8, near), (None, text["e"]), (None, text["e"] + " e60"), (8, text["a"])]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(docs(spark, rows)).collect()]
+    assert {(3, text["b"]), (5, text["a"]), (None, text["d"])} <= set(kept) and len(kept) == 5
+    assert sum(t in (text["c"], near) for _, t in kept) == 1 and sum(t.startswith("e0") for _, t in kept) == 1
+
+
 # --- 10 ---
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import BROADCAST_ROWS, materialize
+from tidemark.llm.shared import BROADCAST_ROWS, materialize, row_key
 from tidemark.llm.tokens import GOLD, coded_words, mix
 
 #: Coordinates of a sketch and of a band: 40 bands of 5. A pair at similarity 0.8 shares no band with probability 1.2e-7.
@@ -24,6 +24,7 @@ TEXTS, BLOCK = 512, 4096
 #: Nodes on a side of a block of pairs, and parts of a family where it meets its sizes.
 SIDE, SALT = 64, 32
 PRIME = np.uint64(0x100000001B3)
+DESCRIBED = "doc_id long, row_key long, n_shingles long, node binary, bands array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -86,9 +87,9 @@ def _describe(size: int):
                 part = batch.slice(at, TEXTS)
                 sets = list(shingle_sets(part.column(1), size))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                      pa.array([band_keys(sketch(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "node", "bands"],
+                    ["doc_id", "row_key", "n_shingles", "node", "bands"],
                 )
 
     return run
@@ -217,12 +218,22 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
     rows are copies of one another. A null doc_id is never the smallest unless all are null.
     Empty table: no rows.
     """
+    return _grouped(docs, size, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, row_key, n_shingles, component_id, first.
+
+    first holds for the rows of one (doc_id, node, row_key) of each component, its smallest with
+    null ids last, and for every row without words. Such rows are copies of one another.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(texts.mapInArrow(_describe(size), "doc_id long, n_shingles long, node binary, bands array<long>"), "sketches")
+    described = materialize(texts.withColumn("row_key", row_key(F.col("doc_id").cast("long"), F.col("text"))).mapInArrow(_describe(size), DESCRIBED), "sketches")
     nodes = materialize(
-        described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_shingles", "bands")).alias("x"))
-        .select("node", "rep", "x.*"), "nodes"
+        described.filter("node IS NOT NULL").groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "row_key")).alias("least"), F.min(F.struct("n_shingles", "bands")).alias("x"))
+        .select("node", "rep", "least", "x.*"), "nodes"
     )
     members = materialize(bucket_members(nodes), "members")
     pairs = materialize(leader_pairs(members), "pairs")
@@ -235,13 +246,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text
         more = materialize(open_links(members, nodes, comps, held, size), "more-links")
         if not more.isEmpty():  # the stars so far and the new links have the same components as all links
             comps = materialize(components(more.union(comps)), "comps")
-    placed = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = placed.join(least, "comp").select("node", "component_id")
-    return (
-        described.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = placed.drop("least").join(placed.groupBy("comp").agg(F.min("least").alias("top")), "comp").select("node", "top")
+    mine = (F.col("node") == F.col("top.node")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))
+    return described.select("doc_id", "row_key", "n_shingles", "node").join(ids, "node", "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("top.doc_id", "doc_id").alias("component_id"), (F.col("node").isNull() | mine).alias("first")
     )
 
 
@@ -262,16 +271,21 @@ def _texts_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, with the columns of `docs`."""
-    found = materialize(near_duplicates(docs, size, id_col, text_col), "groups")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """One document of each group of near duplicates, the one with the smallest id, with the columns of `docs`.
+
+    Rows are told apart by id and text: an id may stand in several rows with different texts,
+    or be null, and each row goes or stays with its own group.
+    """
+    found = materialize(_grouped(docs, size, id_col, text_col), "groups")
+    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rest = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    twice = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (row_key(docs[id_col].cast("long"), docs[text_col]) == F.col("_key"))
+    rest = docs.join(gone, same, "left_anti")
+    twice = found.filter("first").groupBy("doc_id", "row_key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     if not twice.count():
         return rest
-    once = rest.join(twice, rest[id_col].eqNullSafe(F.col("_twice")), "left_anti")
-    several = rest.join(twice, rest[id_col].eqNullSafe(F.col("_twice")), "left_semi")
+    once = rest.join(twice, same, "left_anti")
+    several = rest.join(twice, same, "left_semi")
     return once.union(several.dropDuplicates([id_col, text_col]))
 
 
