@@ -72,6 +72,14 @@ def test_article_without_furniture():
     assert not [t for z, t in html.blocks(page) if z == html.OPEN]
 
 
+def test_classes_of_a_page_do_not_drop_its_text():
+    zones = lambda page: dict((t, z) for z, t in html.blocks(page))
+    for around in ('<html class="no-sidebar"><body class="single-post has-sidebar"><article class="post comments-open">%s</article>', '<body id="menu"><main class="content with-sidebar">%s</main>'):
+        got = zones(around % '<p>Text</p><div class="comments-area">C</div><div class="wide share">S</div><div class="entry-share">E</div>')
+        assert got == {"Text": html.KEEP, "C": html.DROP, "S": html.DROP, "E": html.OPEN}
+    assert zones('<div class="page no-sidebar"><p>Text</p></div><div class="site-menu">M</div>') == {"Text": html.OPEN, "M": html.OPEN}
+
+
 def test_runs_shared_by_pages_of_a_host_go(spark):
     note = "please accept our cookies and terms before reading any further on this site"
     rows = [(i, f"http://a.example/{i}", f"<div>{note}</div><div>page {i} says " + " ".join(f"u{i}x{k}" for k in range(9)) + "</div>") for i in range(4)]

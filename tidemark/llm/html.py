@@ -32,10 +32,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that a new one of the same group ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|"
-    r"newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.I,
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|"
+    r"newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)",
 )
+#: First parts of a class that tell of a page's layout, not of the element; parts that tell of a state.
+LAYOUT = frozenset("has no not with without is".split())
+STATES = frozenset("open opened closed on off enabled disabled active inactive visible none left right".split())
+#: Elements around a page's text, whose classes and ids describe the page.
+AROUND = frozenset("html body article main".split())
 #: Of these, parts that an article may have of its own.
 OWN_PARTS = frozenset(("header", "masthead", "banner", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
@@ -48,16 +52,29 @@ ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 OPEN, KEEP, DROP = 0, 1, 2
 
 
-def _is_furniture(attrs: str, zone: int) -> bool:
-    for name, a, b, c in ATTR.findall(attrs):
-        value, name = (a or b or c).strip(), name.lower()
-        if name in ("class", "id") and any(zone != KEEP or m[1].lower() not in OWN_PARTS for m in FURNITURE.finditer(value)):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+def _told(name: str, attrs: str, zone: int) -> int | None:
+    """What an element's attributes tell: DROP for furniture, OPEN where that is unsure, None for nothing.
+
+    A class or id names furniture when it begins with such a word; one that has the word
+    further on (site-footer), or with a state (comments-open), is unsure.
+    """
+    told = None
+    for attr, a, b, c in ATTR.findall(attrs):
+        value, attr = (a or b or c).strip().lower(), attr.lower()
+        if attr in ("class", "id"):
+            for token in value.split() if name not in AROUND else ():
+                parts = re.split("[_-]+", token.strip("_-"))
+                named = [i for i, x in enumerate(parts) if FURNITURE.fullmatch(x) and (zone != KEEP or x not in OWN_PARTS)]
+                if not named or parts[0] in LAYOUT:
+                    continue
+                if named[0] == 0 and STATES.isdisjoint(parts):
+                    return DROP
+                told = OPEN
+        if attr == "role" and value in ROLES or attr == "hidden" or attr == "aria-hidden" and value == "true":
+            return DROP
+        if attr == "style" and re.search(r"display\s*:\s*none", value):
+            return DROP
+    return told
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
@@ -107,12 +124,14 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 zone = pop(len(stack) - 1)
             if name in VOID:
                 continue
-            inner = zone
-            if name in SKIP or name in CHROME or _is_furniture(m[4], zone):
-                # the header of an article holds its title
-                inner = DROP if not (name == "header" and zone == KEEP and not _is_furniture(m[4], zone)) else zone
+            inner, told = zone, _told(name, m[4], zone)
+            # the header of an article holds its title
+            if told == DROP or name in SKIP or name in CHROME and not (name == "header" and zone == KEEP):
+                inner = DROP
             elif name in CONTENT and zone != DROP:
                 inner = KEEP
+            elif told == OPEN and zone == KEEP:
+                inner = OPEN
             if inner != zone:
                 flush()
             stack.append((name, inner))
