@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import product
 from zlib import crc32
 
 import numpy as np
@@ -328,6 +329,16 @@ def test_toxicity_is_learned_and_folded(spark):
     assert held.filter("predicted = toxic").count() >= 0.95 * held.count()
 
 
+def test_rare_toxic_terms_are_tested_among_many_ordinary_ones(spark):
+    # in every text, more words than a list of the 5,000 most frequent holds; a text's smallest hash is its own
+    common = [w for w in map("".join, product("abcdefghjk", repeat=4)) if crc32(w.encode()) > 1 << 24][:6000]
+    own = [w for w in map("".join, product("q", *["abcdefghjk"] * 5)) if crc32(w.encode()) < 1 << 24]
+    rows = [(i, " ".join(common) + (" zorgan " if i % 8 == 0 else " ") + own[i]) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], LABELS)
+    terms = toxicity.learn(docs(spark, rows), labels).terms
+    assert [t for t, _, _ in terms if "zorgan".startswith(t)] and not {t for t, _, _ in terms} & set(common)
+
+
 def test_exception_phrases_do_not_count():
     raw = toxicity.make_raw(toxicity.Lexicon((("trash", False, 2.0),), 0.0, (1.0, 1.0)))
     assert raw("the trash can is full")[0] == 0 and raw("you are trash")[0] == 2.0

@@ -11,7 +11,7 @@ from zlib import crc32
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_rows import map_rows
@@ -39,8 +39,8 @@ SAMPLE_ROWS = 20_000
 #: and have this log-likelihood ratio (G2) against chance, which a few copies don't reach.
 MIN_SHARE, MIN_ODDS, MIN_G2 = 0.01, 30.0, 20.0
 STEMS = (4, 5, 6, 7)
-#: Most terms in a lexicon; a term stands in 1 % of toxic texts at least, so few are left behind.
-MAX_TERMS = 5_000
+#: Terms that a task counts before it passes them on.
+COUNTED = 200_000
 
 
 def fold(text: str) -> str:
@@ -100,20 +100,31 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(terms), pa.string()), pa.array([key] * len(terms), pa.int64())], ["term", "key"])
 
 
-def _count_terms(terms: list[str]):
-    known = frozenset(terms)
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (term, n): parts of the number of texts with each term."""
+    counts: dict[str, int] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = set(fold(text or "").split())
+            for term in {f"{w} " for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}:
+                counts[term] = counts.get(term, 0) + 1
+            if len(counts) >= COUNTED:
+                yield passed_on()
+    yield passed_on()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = dict.fromkeys(known, 0)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = set(fold(text or "").split())
-                for term in known.intersection({f"{w} " for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}):
-                    counts[term] += 1
-        some = [(t, n) for t, n in counts.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["term", "n"])
 
-    return run
+def _maybe_good(n_toxic: int, n_clean: int) -> Column:
+    """Whether (t, c) can pass MIN_ODDS and MIN_G2, with room for rounding: choose_terms decides."""
+    t, c = F.col("t"), F.col("c")
+    odds = ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
+    part = lambda n, of: F.when(n > 0, n * F.log(n * float(n_toxic + n_clean) / (of * (t + c)))).otherwise(0.0)
+    return (odds >= MIN_ODDS * (1 - 1e-9)) & (2 * (part(t, float(n_toxic)) + part(c, float(n_clean))) >= MIN_G2 * (1 - 1e-9))
 
 
 def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
@@ -128,12 +139,14 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
         term: (t, math.log(o)) for term, t, c in counts
         if t >= max(3, MIN_SHARE * n_toxic) and (o := odds(t, c)) >= MIN_ODDS and g2(t, c) >= MIN_G2
     }
-    stems = {}
-    for term in sorted(good, key=len, reverse=True):
-        if term[-1] != " " and not any(x.startswith(term) and x != term and n >= 0.9 * good[term][0] for x, (n, _) in good.items()):
-            stems[term] = good[term]
-    kept = {s: v for s, v in stems.items() if not any(s != o and s.startswith(o) for o in stems)}
-    whole = {t: v for t, v in good.items() if t[-1] == " " and not any(t.startswith(s) for s in kept)}
+    most: dict[str, int] = {}  # the most texts of a longer term that begins so
+    for term, (t, _) in good.items():
+        for k in range(1, len(term)):
+            most[term[:k]] = max(t, most.get(term[:k], 0))
+    begins = lambda term, among: any(term[:k] in among for k in range(1, len(term)))
+    stems = {term: v for term, v in good.items() if term[-1] != " " and most.get(term, 0) < 0.9 * v[0]}
+    kept = {s: v for s, v in stems.items() if not begins(s, stems)}
+    whole = {t: v for t, v in good.items() if t[-1] == " " and not begins(t, kept)}
     return [(t, True, round(v[1], 6)) for t, v in sorted(kept.items())] + [(t.strip(), False, round(v[1], 6)) for t, v in sorted(whole.items())]
 
 
@@ -175,9 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, id_col:
     terms: list[tuple[str, bool, float]] = []
     if n_toxic and n_clean:
         floor = max(3, math.ceil(MIN_SHARE * n_toxic))
-        frequent = dict(support.filter(F.col("n") >= floor).orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect())
-        seen = dict(clean.mapInArrow(_count_terms(list(frequent)), "term string, n long").groupBy("term").agg(F.sum("n")).collect())
-        terms = choose_terms([(t, n, seen.get(t, 0)) for t, n in frequent.items()], n_toxic, n_clean)
+        frequent = support.filter(F.col("n") >= floor).select("term", F.col("n").alias("t"))
+        seen = clean.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("c"))
+        tested = frequent.join(seen, "term", "left").select("term", "t", F.coalesce("c", F.lit(0)).alias("c"))
+        # each stands in 1 % of the toxic texts: at most 100 times the terms of an average one
+        terms = choose_terms([tuple(r) for r in tested.filter(_maybe_good(n_toxic, n_clean)).collect()], n_toxic, n_clean)
     if not terms:
         return Lexicon(tuple((fold(t), False, 1.0) for t in SEED_TERMS), -2.0, (2.0, 1.0))
     draft = Lexicon(tuple(terms), 0.0, (0.0, 0.0))
