@@ -182,6 +182,31 @@ def test_katz_equals_recursion_and_sums_to_one(spark, monkeypatch):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in uni for x in w), n)
 
 
+def test_discounts_stay_good_turing_on_bent_counts():
+    bent = {1: 1000, 2: 300, 3: 150, 4: 70, 5: 90, 6: 40}  # the plain ratio of r = 4 is over 1
+    fit = np.polyfit(np.log(list(bent)), np.log(list(bent.values())), 1)[0]
+    star = [((r + 1) / r) ** (fit + 1) for r in range(1, 6)]
+    assert katz.discounts(bent)[1:] == pytest.approx([(x - 6 ** (fit + 1)) / (1 - 6 ** (fit + 1)) for x in star])
+    assert all(0 < x < 1 for x in katz.discounts(bent)[1:])
+
+
+def test_bigrams_seen_once_count(spark):
+    ids = [i for i in range(60) if crc32(str(i).encode()) % 7 != 2]
+    asked = next(i for i in range(60) if crc32(str(i).encode()) % 7 == 2)
+    train = [f"x{k % 5} y{k % 7} z{k % 3} q{k}".split() + [0] for k in range(len(ids))]
+    pairs, uni = Counter(p for w in train for p in zip([1] + w, w)), Counter(x for w in train for x in w)
+    d = katz.discounts(Counter(pairs.values()))
+    assert pairs["z0", "q0"] == 1 and pairs["q0", 0] == 1 and uni["q0"] == 1
+    size = uni | {1: len(train)}
+    p = {(h, w): (d[c] if c <= katz.K else 1) * c / size[h] for (h, w), c in pairs.items()}
+    mass = {h: sum(x for (g, _), x in p.items() if g == h) for h in size}
+    share = {h: size[h] / (size[h] + 1) / m if 1 - m < 1 / (size[h] + 1) else 1 for h, m in mass.items()}
+    want = [p[h, w] * share[h] for h, w in ((1, "x0"), ("x0", "y0"), ("y0", "z0"), ("z0", "q0"), ("q0", 0))]
+    rows = [(i, " ".join(w[:-1])) for i, w in zip(ids, train)] + [(asked, "x0 y0 z0 q0")]
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs(spark, rows)).collect()}
+    assert got[asked] == pytest.approx(sum(map(math.log10, want)), rel=1e-5)
+
+
 # --- 6 ---
 
 

@@ -21,8 +21,8 @@ from tidemark.llm.tokens import coded_words, mix
 
 #: Bytes of text in a chunk, and about how many entries one bucket of the tables gathers.
 CHUNK_BYTES, BUCKET_ENTRIES, FILE_BYTES = 12_000_000, 1_500_000, 64_000_000
-#: Counts above K aren't discounted; bigrams seen less often than CUTOFF count as unseen (as Katz proposes).
-K, CUTOFF = 5, 2
+#: Counts above K aren't discounted; bigrams seen less often than CUTOFF would count as unseen: all are stored.
+K, CUTOFF = 5, 1
 END, BOS = np.uint64(0xE0D0E0D0E0D0E0D1), (1 << 32) - 1
 MASK = np.uint64(0xFFFFFFFF)
 PART = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
@@ -42,22 +42,41 @@ def unpack(b: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=kind) if rising else x
 
 
+def smoothed(n_r: dict[int, float], k: int = K) -> list[float]:
+    """n[r] for r in 0..k + 1 on the line log n = a + b log r, fitted as in simple Good-Turing; empty without two points."""
+    seen = [r for r in range(1, k + 2) if n_r.get(r, 0) > 0]
+    if len(seen) < 2:
+        return []
+    # where counts between two seen ones are missing, n[r] stands for all of the gap
+    wide = [(after - before) / 2 for before, after in zip([0, *seen], [*seen[1:], 2 * seen[-1] - seen[-2]])]
+    b, a = np.polyfit(np.log(seen), np.log([n_r[r] / w for r, w in zip(seen, wide)]), 1)
+    return [0.0, *(float(np.exp(a + b * np.log(r))) for r in range(1, k + 2))]
+
+
+def ratios(n: list[float], k: int = K) -> list[float]:
+    """Katz's Good-Turing ratios d[1..k] of the counts of counts n; empty if one isn't in (0, 1)."""
+    if not n or not all(n[1:]) or (tail := (k + 1) * n[k + 1] / n[1]) >= 1:
+        return []
+    d = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) for r in range(1, k + 1)]
+    return d if all(0 < x < 1 for x in d) else []
+
+
 def discounts(n_r: dict[int, float], k: int = K) -> np.ndarray:
-    """d[r] for r in 0..k: Katz's Good-Turing ratios; where the counts of counts give none in (0, 1), (r - D) / r."""
+    """d[r] for r in 0..k: Good-Turing ratios of the counts of counts, or of the smoothed ones where these give none in (0, 1).
+
+    The line gives ratios in (0, 1) whenever its slope is below -1; otherwise no Good-Turing
+    estimate exists and the discounts are absolute, (r - D) / r.
+    """
     n = [0.0, *(float(n_r.get(r, 0)) for r in range(1, k + 2))]
-    tail = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     absolute = min(0.95, max(0.05, n[1] / (n[1] + 2 * n[2]))) if n[1] and n[2] else 0.5
-    out = np.ones(k + 1)
-    good = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if n[r] and tail < 1 else -1.0 for r in range(1, k + 1)]
-    for r, d in enumerate(good, 1):
-        out[r] = d if all(0 < x < 1 for x in good) else (r - absolute) / r
-    return out
+    d = ratios(n, k) or ratios(smoothed(n_r, k), k) or [(r - absolute) / r for r in range(1, k + 1)]
+    return np.array([1.0, *d])
 
 
 @dataclass(frozen=True)
 class Unigrams:
     """The unigram level. counts: distinct training counts, descending; sizes: words with each;
-    first: first id of each count's ids (only counts from 2 on have ids)."""
+    first: first id of each count's ids."""
 
     tokens: int
     types: int
@@ -181,25 +200,24 @@ def _unigrams(words: DataFrame, docs: int, buckets: int) -> Unigrams:
     found = words.filter("kind = 0").mapInArrow(classes, "r long, n long").filter("r > 0").groupBy("r").agg(F.sum("n"), F.max("n")).collect()
     found.sort(reverse=True)
     counts, sizes, most = (np.array([x[i] for x in found], np.int64) for i in range(3))
-    room = np.where(counts >= 2, most * buckets, 0)
+    room = most * buckets
     if room.sum() >= BOS:
-        raise ValueError("more than 2^32 - 1 words seen twice or more")
-    first = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64)[counts >= 2] if len(counts) else np.zeros(0, np.int64)
+        raise ValueError("more than 2^32 - 1 words in training")
+    first = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
     return Unigrams(
         int((counts * sizes).sum()), int(sizes.sum()), docs, buckets, counts, sizes, first, discounts({int(r): int(n) for r, n in zip(counts, sizes) if r <= K + 1})
     )
 
 
 def _ids(row: dict, uni: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """Per code of the chunk: training count, and id (-1 below two)."""
+    """Per code of the chunk: training count, and id (-1 where unseen)."""
     hashes = unpack(row["hashes"])
     answers = sorted(row["words"], key=lambda x: x["bucket"])
     count = np.concatenate([unpack(x["a"]) for x in answers])
     place = np.concatenate([unpack(x["b"]) for x in answers])
     bucket = np.repeat([x["bucket"] for x in answers], [len(unpack(x["a"])) for x in answers])
     at = np.searchsorted(-uni.counts, -count)
-    first = np.append(uni.first, np.zeros(len(uni.counts) - len(uni.first) + 1, np.int64))
-    ids = np.where(count >= 2, first[np.minimum(at, len(first) - 1)] + place * uni.buckets + bucket, -1)
+    ids = np.where(count > 0, np.append(uni.first, 0)[at] + place * uni.buckets + bucket, -1)
     out_count, out_ids = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
     order = np.argsort(hashes)
     out_count[order], out_ids[order] = count, ids
@@ -237,10 +255,8 @@ def _pair_requests(uni: Unigrams, buckets: int):
             ok[ok] = seen[where[ok]] == uniq[ok]
             count = np.zeros(len(uniq), np.int64)
             count[ok] = n[where[ok]]
-            # a bigram with a word seen once is seen once: it counts in N1 and needs no lookup
-            once = pack(np.array([int((train & ~known).sum())]))
             yield _parts([
-                (1, b, row["chunk"], pack(uniq[at[b] : at[b + 1]], True), pack(count[at[b] : at[b + 1]]), pack(hist[h_at[b] : h_at[b + 1]], True), None if b else once)
+                (1, b, row["chunk"], pack(uniq[at[b] : at[b + 1]], True), pack(count[at[b] : at[b + 1]]), pack(hist[h_at[b] : h_at[b + 1]], True), None)
                 for b in range(buckets) if not b or at[b + 1] > at[b] or h_at[b + 1] > h_at[b]
             ])
 
@@ -257,7 +273,6 @@ def _pair_group(table: pa.Table) -> pa.Table:
     number = np.cumsum(stored) - 1
     hist = np.unique((uniq[stored] >> np.uint64(32)).astype(np.int64))
     n_r = np.bincount(np.minimum(total, K + 2), minlength=K + 3).astype(np.int64)
-    n_r[1] += sum(int(unpack(r["d"])[0]) for r in rows if r["d"])
     out, at = [(0, rows[0]["bucket"], -1, pack(uniq[stored], True), pack(total[stored]), pack(n_r), None)], 0
     for r, k in zip(rows, keys):
         mine = inverse[at : at + len(k)]
@@ -360,8 +375,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A document is its lower-cased words and one end token; its first word follows a start mark.
-    P(w|h) is the discounted ratio of counts for bigrams seen twice or more in training, else
-    alpha(h) P(w); P(w) is discounted in the same way, with what is left for the one unknown
+    P(w|h) is the discounted ratio of counts for bigrams seen in training, else alpha(h) P(w); P(w) is discounted in the same way, with what is left for the one unknown
     word. score = sum over tokens of log10 P(w) + log10 alpha(h) + [log10 P(w|h) - log10 alpha(h)
     - log10 P(w) if the bigram is stored]: the recursion, one lookup per level.
 
