@@ -170,3 +170,12 @@ def test_business_days(spark):
     r = day.select(*[episodes.business_shift(F.col(c), n).alias(f"{c}{n}") for c in ("fri", "sat") for n in (1, -1, 20, -20)]).first()
     bd = lambda d, n: (pd.Timestamp(d) + pd.tseries.offsets.BDay(n)).date()
     assert r["fri1"] == bd("2024-01-05", 1) and r["fri-1"] == bd("2024-01-05", -1) and r["fri20"] == bd("2024-01-05", 20) and r["fri-20"] == bd("2024-01-05", -20)
+
+
+def test_large_reference_ranks_as_a_small_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else float(i * 7 % 13) / 2) for i in range(60)], "i int, s double")
+    ref = spark.createDataFrame([(float(i % 9),) for i in range(50)] + [(None,)], "s double")
+    ranks = lambda: {r["i"]: r["rank"] for r in engines.rank_vs_reference(df, "s", ref).collect()}
+    small = ranks()
+    monkeypatch.setattr(engines, "REFERENCE_ROWS", 10)
+    assert ranks() == pytest.approx(small, nan_ok=True) and small[0] is None and len(small) == 60

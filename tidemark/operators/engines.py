@@ -36,8 +36,9 @@ def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str
     """Share of the reference's `score` values strictly below each row's; null stays null.
 
     A reference up to REFERENCE_ROWS rows is a sorted array in every task. A larger one is
-    joined by its distinct values' range: reference counts are summed per value, and queries
-    and values are united and sorted by value in ranges, whose totals give each range its start.
+    joined by its distinct values: reference counts are summed per value, the values are sorted
+    in ranges whose totals give each range its start, and each query takes the sum of the
+    values before its own.
     """
     head = reference.select(F.col(score).cast("double")).filter(F.col(score).isNotNull()).limit(REFERENCE_ROWS + 1).toPandas().iloc[:, 0].to_numpy(float)
     n = len(head)
@@ -55,13 +56,14 @@ def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str
     keyed = stage(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
     ups = reference.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_row", F.lit(None).cast("long"))
     both = keyed.select(F.col(score).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n"), "_row").filter("_v IS NOT NULL").unionByName(ups)
-    parts = both.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    parts = stage(parts, "ranges")
+    # one row for each distinct value: the rows before it hold what is strictly below
+    parts = stage(both.groupBy("_v").agg(F.sum("_n").alias("_n")).repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = parts.groupBy("_part").agg(F.sum("_n").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy("_v").rangeBetween(Window.unboundedPreceding, -1e-300)
-    ranks = parts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(start), "_part")  # one row per range
-    found = ranks.filter("_row IS NOT NULL").select("_row", ((F.col("_in") + F.col("_start")) / n).alias(out))
+    inside = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    below = parts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(start), "_part")  # one row per range
+    ranks = both.filter("_row IS NOT NULL").select("_row", "_v").join(below.select("_v", "_in", "_start"), "_v")
+    found = ranks.select("_row", ((F.col("_in") + F.col("_start")) / n).alias(out))
     return keyed.join(found, "_row", "left").drop("_row")
 
 
