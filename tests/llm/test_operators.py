@@ -81,15 +81,55 @@ def test_classes_of_a_page_do_not_drop_its_text():
     assert zones('<div class="page no-sidebar"><p>Text</p></div><div class="site-menu">M</div>') == {"Text": html.OPEN, "M": html.OPEN}
 
 
+def _page(blocks_, article=False):
+    body = "".join(f"<div>{b}</div>" for b in blocks_)
+    return f"<article>{body}</article>" if article else body
+
+
 def test_runs_shared_by_pages_of_a_host_go(spark):
     note = "please accept our cookies and terms before reading any further on this site"
-    rows = [(i, f"http://a.example/{i}", f"<div>{note}</div><div>page {i} says " + " ".join(f"u{i}x{k}" for k in range(9)) + "</div>") for i in range(4)]
-    rows += [(9, "http://b.example/9", f"<div>{note}</div><div>alone here</div>")]
+    rows = [(i, f"http://a.example/{i}", _page([note, f"page {i} says " + " ".join(f"u{i}x{k}" for k in range(9))])) for i in range(4)]
+    rows += [(9, "http://b.example/9", _page([note, "alone here"]))]
     got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(note not in got[i] and f"page {i} says" in got[i] for i in range(4))
     assert note in got[9]  # one page of another host
 
 
+def test_runs_inside_articles_go_and_copied_articles_stay(spark):
+    note = "sign up for our letter and never miss a story from this house again"
+    words = lambda i, n=60: " ".join(f"a{i}w{k}" for k in range(n))
+    rows = [(i, "http://a.example/x", _page([words(i), note, words(100 + i)], True)) for i in range(4)]
+    copied = [words(50), words(51)]
+    rows += [(10 + i, "http://a.example/y", _page([*copied, f"edition {i}"], True)) for i in range(5)]
+    rows += [(20 + i, "http://b.example/x", _page([words(i), note], True)) for i in range(2)]  # two articles aren't enough
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract_text(df).collect()}
+    for i in range(4):
+        assert got[i]["text"] == f"{words(i)}\n{words(100 + i)}" and got[i]["n_run_removed"] == 1
+    for i in range(5):
+        assert got[10 + i]["text"] == "\n".join([*copied, f"edition {i}"])
+    assert all(note in got[20 + i]["text"] for i in range(2))
+
+
+def test_repeated_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    pieces = [[f"p{k}x{i}" for i in range(int(rng.integers(3, 30)))] for k in range(12)]
+    pages = []
+    for i in range(40):
+        words = []
+        for _ in range(6):
+            words += pieces[int(rng.integers(0, 12))] if rng.random() < 0.4 else [f"v{x}" for x in rng.integers(0, 6, int(rng.integers(1, 20)))]
+        pages.append((i, f"http://h{i % 3}.example/", _page([" ".join(words)]), words))
+    df = spark.createDataFrame([p[:3] for p in pages], "row long, url string, html string")
+    seen = defaultdict(set)
+    for i, _, _, w in pages:
+        for k in range(len(w) - html.RUN + 1):
+            seen[i % 3, tuple(w[k : k + html.RUN])].add(tuple(w))
+    want = {i: {k for k in range(len(w) - html.RUN + 1) if len(seen[i % 3, tuple(w[k : k + html.RUN])]) > 1} for i, _, _, w in pages}
+    got = {r["row"]: set(r["runs"]) for r in html.repeated_runs(df).collect()}
+    assert got == {i: x for i, x in want.items() if x} and sum(map(len, got.values())) > 100
+
+
 # --- 2 ---
 
 

@@ -8,16 +8,23 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import BROADCAST_ROWS, materialize
-from tidemark.llm.tokens import coded_words, mix
+from tidemark.llm.tokens import GOLD, coded_words, mix
 
-#: Words in a run that counts as repeated, and the distinct page streams of a host that must hold it.
-RUN, PAGES = 5, 2
+#: Words in a run that counts as repeated and in its fingerprints; distinct page streams of a host
+#: that must hold a run, and distinct articles where the run stands in an article.
+RUN, FINGER, PAGES, ARTICLES = 12, 5, 2, 3
 #: An open block goes when repeated runs cover at least this share of its words.
 COVERED = 0.5
+#: An article is a copy when this share of its suffixes is repeated.
+COPIED = 0.5
+#: Pages that are worked on at a time.
+PAGE_ROWS = 128
+PRIME = np.uint64(0x100000001B3)
 
 # Fixed values of HTML: elements whose text is never shown or never part of an article, elements
 # that break lines, and words in class, id and role that name page furniture.
@@ -140,117 +147,164 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("zones", pa.list_(pa.int8())), ("texts", pa.list_(pa.string()))])
+MARKS = (
+    "row long, stream long, key long, first int, names array<long>, kept array<boolean>, n_kept int"
+)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [blocks(h or "") for h in part.column(2).to_pylist()]
-            hosts = [re.sub(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$", r"\1", u or "", flags=re.S).lower() for u in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([[z for z, _ in b] for b in found], PARSED.field(3).type),
-                 pa.array([[t for _, t in b] for b in found], PARSED.field(4).type)], schema=PARSED,
-            )
-
-
-def _suffix_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, texts of the stream's blocks) to (row, stream, pos, head): every suffix by its first RUN words."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            codes, offsets, hashes = coded_words(part.column(1))
-            words = hashes[codes]
-            heads = words.copy()
-            for k in range(1, RUN):
-                heads[: len(heads) - k] = mix(heads[: len(heads) - k] * np.uint64(0x100000001B3) + words[k:])
-            rows, streams, pos, head = [], [], [], []
-            for row, a, b in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:]):
-                if (n := b - a - RUN + 1) > 0:
-                    rows.append(np.full(n, row)), pos.append(np.arange(n)), head.append(heads[a : a + n])
-                    streams.append(np.full(n, mix(np.array([np.bitwise_xor.reduce(mix(words[a:b] + np.arange(b - a, dtype=np.uint64)))]))[0]))
-            if rows:
-                arrays = [np.concatenate(x) for x in (rows, streams, pos, head)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(arrays[0].astype(np.int64)), pa.array(arrays[1].view(np.int64)), pa.array(arrays[2].astype(np.int32)), pa.array(arrays[3].view(np.int64))],
-                    ["row", "stream", "pos", "head"],
-                )
-
-
-def repeated_runs(streams: DataFrame, pages: int = PAGES) -> DataFrame:
-    """(row, pos): where a run of RUN words begins that distinct page streams of one host share.
-
-    `streams` has (row, host, text). The suffixes of all streams of a host form its suffix
-    array; to find common prefixes of RUN words or more it is enough to order suffixes by
-    their first RUN words, so Spark's shuffle brings equal heads of a host together instead of
-    sorting the host in one task. A longer repeated substring is the union of its runs. Heads
-    are counted before the shuffle by their smallest and largest stream, so that neither a
-    large host nor a very common run gathers in one task. Pages with one stream (copies of a
-    page) count once.
+def host_of(url: str | None) -> str:
+    return re.sub(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$", r"\1", url or "", flags=re.S).lower()
+
+
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Names of the windows of `size` words: equal windows have equal names.
+
+    Names of 2k words come from two names of k words (prefix doubling); a size between powers
+    overlaps two of the largest. Empty when there are fewer words.
     """
-    heads = streams.select("row", "text").mapInArrow(_suffix_heads, "row long, stream long, pos int, head long")
-    heads = materialize(heads.join(streams.select("row", "host"), "row").withColumn("key", F.xxhash64("host", "head")).select("row", "stream", "pos", "key"), "heads")
+    names, k = words.copy(), 1
+    while 2 * k <= size:
+        names = mix(names[: len(names) - k] * PRIME + names[k:]) if len(names) > k else names[:0]
+        k *= 2
+    if k < size:
+        names = mix(names[: len(names) - size + k] * PRIME + names[size - k :]) if len(names) > size - k else names[:0]
+    return names
+
+
+def least(names: np.ndarray, every: int) -> np.ndarray:
+    """Position of the smallest name (the first on ties) among each `every` in a row."""
+    return np.arange(len(names) - every + 1) + np.lib.stride_tricks.sliding_window_view(names, every).argmin(axis=1)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, url, html) to MARKS: the suffixes of a page's stream by their first RUN words.
+
+    Suffixes are grouped under a fingerprint, the smallest of FINGER words in their first RUN
+    words: a suffix whose fingerprint stands on one page alone can't be repeated.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGE_ROWS):
+            part = batch.slice(at, PAGE_ROWS)
+            found = [[(z, t) for z, t in blocks(h or "") if z != DROP] for h in part.column(2).to_pylist()]
+            codes, ends, hashes = coded_words(pa.array([t for page in found for _, t in page], pa.string()))
+            out, block = [], 0
+            for row, url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found):
+                a, b = ends[block], ends[block + len(page)]
+                zones = np.repeat([z == KEEP for z, _ in page], np.diff(ends[block : block + len(page) + 1])) if page else np.zeros(0, bool)
+                block += len(page)
+                words = hashes[codes[a:b]]
+                names = windows(words, RUN)
+                if not len(names):
+                    continue
+                host = np.uint64(xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass")))
+                stream = mix(np.array([np.bitwise_xor.reduce(mix(words + np.arange(len(words), dtype=np.uint64) * GOLD))]))[0]
+                fingers, names, kept = windows(words, FINGER), mix(names ^ host), zones[: len(names)]
+                own = least(fingers, RUN - FINGER + 1)  # the same for every suffix with these first words
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                n_kept = int(kept.sum())
+                for x, y in zip(begin, [*begin[1:], len(own)]):
+                    key = mix((fingers[own[x] : own[x] + 1]) ^ host)[0]
+                    out.append((row, int(stream.view(np.int64)), int(key.view(np.int64)), int(x), names[x:y].view(np.int64), kept[x:y], n_kept))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "stream", "key", "first", "names", "kept", "n_kept"])
+
+
+def on_several(rows: DataFrame, key: str, pages: int = PAGES) -> DataFrame:
+    """The keys that stand in at least `pages` distinct streams; counted before the shuffle where two are enough."""
     if pages <= 2:
-        often = heads.groupBy("key").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi")).filter("lo <> hi")
-    else:
-        often = heads.groupBy("key").agg(F.count_distinct("stream").alias("n")).filter(F.col("n") >= pages)
-    return heads.join(often.select("key"), "key", "left_semi").select("row", "pos")
+        return rows.groupBy(key).agg(F.min("stream").alias("lo"), F.max("stream").alias("hi")).filter("lo <> hi").select(key)
+    return rows.select(key, "stream").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pages).select(key)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def repeated_runs(pages: DataFrame) -> DataFrame:
+    """(row, runs, common) per page row with repeats, from (row, url, html).
+
+    runs: where substrings of RUN words begin that distinct page streams of the host share;
+    a longer repeat is the union of these. common: those of them in articles that are shared by
+    ARTICLES distinct streams or more, copied articles left out.
+
+    The page streams of a host, one behind the other, have one suffix array; suffixes with a
+    common prefix of RUN words or more are neighbours in it. These neighbourhoods are formed by
+    name (prefix doubling) and Spark's shuffle, not by one sort of a host in one task: their
+    fingerprints first rule out suffixes that stand alone, then the others meet by name. Both
+    counts are pre-aggregated, so neither a large host nor a very common run gathers in a task.
+    Pages with one stream (copies of a page) count once.
+    """
+    marks = pages.mapInArrow(_marks, MARKS)
+    often = materialize(on_several(marks, "key"), "fingerprints")
+    near = marks.join(_sized(often, often.count()), "key", "left_semi")
+    cells = F.posexplode(F.arrays_zip("names", "kept")).alias("i", "x")
+    each = materialize(
+        near.select("row", "stream", "first", "n_kept", cells).select("row", "stream", "n_kept", (F.col("first") + F.col("i")).alias("pos"), F.col("x.names").alias("name"), F.col("x.kept").alias("kept")),
+        "suffixes",
+    )
+    twice = on_several(each, "name")
+    shared = materialize(each.join(twice, "name", "left_semi"), "runs")
+    # an article half of whose suffixes are repeated is a copy of another, not furniture
+    copies = shared.filter("kept").groupBy("row", "n_kept").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") >= COPIED * F.col("n_kept")).select("row")
+    copies = materialize(copies, "copies")
+    articles = shared.filter("kept").join(copies, "row", "left_anti")
+    common = articles.join(on_several(articles, "name", ARTICLES), "name", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("common"))
+    return materialize(shared.groupBy("row").agg(F.collect_set("pos").alias("runs")).join(common, "row", "left"), "covered")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, zones, texts, starts of repeated runs or null) to (page_id, url, text, n_chars, n_blocks, n_removed)."""
+    """Rows (page_id, url, html, runs, common) to (page_id, url, text, n_chars, n_blocks, n_removed, n_run_removed)."""
     for batch in batches:
-        out = []
-        for page, url, zones, texts, starts in zip(*(c.to_pylist() for c in batch.columns)):
-            covered, at, kept, gone = set(), 0, [], 0
-            for s in starts or ():
-                covered.update(range(s, s + RUN))
-            for zone, text in zip(zones, texts):
-                if zone == KEEP:
-                    kept.append(text)
-                    continue
-                n = len(text.encode("utf-8", "surrogatepass").split())
-                if zone == OPEN and len(covered.intersection(range(at, at + n))) < max(COVERED * n, 1e-9):
-                    kept.append(text)
-                else:
-                    gone += 1
-                at += n
-            text = "\n".join(kept)
-            out.append((page, url, text, len(text), len(texts), gone))
-        if out:
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "url", "text", "n_chars", "n_blocks", "n_removed"]
-            )
+        for start in range(0, batch.num_rows, PAGE_ROWS):
+            out = []
+            for page, url, html, runs, common in zip(*(c.to_pylist() for c in batch.slice(start, PAGE_ROWS).columns)):
+                found, at, kept, by_runs = blocks(html or ""), 0, [], 0
+                cover = {OPEN: _covered(runs), KEEP: _covered(common)}
+                for zone, text in found:
+                    if zone == DROP:
+                        continue
+                    if not runs:
+                        kept.append(text)
+                        continue
+                    n = len(text.encode("utf-8", "surrogatepass").split())
+                    gone = len(cover[zone].intersection(range(at, at + n)))
+                    if gone and gone >= (COVERED if zone == OPEN else 1.0) * n:
+                        by_runs += 1
+                    else:
+                        kept.append(text)
+                    at += n
+                text = "\n".join(kept)
+                out.append((page, url, text, len(text), len(found), len(found) - len(kept), by_runs))
+            if out:
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "url", "text", "n_chars", "n_blocks", "n_removed", "n_run_removed"])
+
+
+def _covered(starts: list[int] | None) -> set[int]:
+    return {w for s in starts or () for w in range(s, s + RUN)}
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """Main text per page: page_id, url, text, n_chars, n_blocks, n_removed.
+    """Main text per page: page_id, url, text, n_chars, n_blocks, n_removed, n_run_removed.
 
-    Blocks inside an article or main element are kept and blocks inside page furniture are
-    dropped by their markup. What markup leaves open is settled by the host: the stream of a
-    page is its furniture and open blocks, runs shared by distinct streams of the host are
-    found in their suffix array, and an open block goes when such runs cover half of it or more.
+    Blocks inside page furniture go by their markup. Of all others, the host's suffix array
+    decides: an open block goes when runs of RUN words or more that distinct pages of the host
+    share cover half of it, a block of an article when runs that ARTICLES distinct articles
+    share cover it whole. Articles that are copies of one another keep their text. Blocks with
+    unique runs stay whole.
 
     Null html: empty text. Null url: a host of its own. Repeated rows each get a row and count
     as one stream. Markup that is cut off or never closed ends with the page. Empty table: no
-    rows. Other columns of `pages` are ignored.
+    rows. Other columns of `pages` are ignored. A page is parsed three times and never stored.
     """
-    slim = pages.select("page_id", "url", "html")
-    parsed = materialize(
-        slim.mapInArrow(_parse, "page_id long, url string, host string, zones array<tinyint>, texts array<string>")
-        .withColumn("row", F.monotonically_increasing_id()), "parsed"
-    )
-    loose = F.filter(F.arrays_zip("zones", "texts"), lambda x: x["zones"] != KEEP)
-    streams = parsed.select("row", "host", F.array_join(F.transform(loose, lambda x: x["texts"]), "\n").alias("text")).filter("text <> ''")
-    unsure = parsed.filter(F.array_contains("zones", OPEN)).select("row")  # only open blocks depend on the runs
-    starts = materialize(
-        repeated_runs(streams).join(unsure, "row", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("starts")), "runs"
-    )
-    cut = "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long"
-    small = starts.count() <= BROADCAST_ROWS // 100
-    return parsed.join(F.broadcast(starts) if small else starts, "row", "left").select("page_id", "url", "zones", "texts", "starts").mapInArrow(_cut, cut)
+    slim = pages.select("page_id", "url", "html").withColumn("row", F.xxhash64("page_id", "url", "html"))
+    covered = repeated_runs(slim.select("row", "url", "html"))
+    size = covered.agg(F.sum(F.size("runs") + F.greatest(F.size("common"), F.lit(0)))).first()[0] or 0
+    # a few bytes a position: the side's size grows with them, not with its rows
+    runs = F.broadcast(covered) if size <= 4 * BROADCAST_ROWS else covered
+    cut = "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long, n_run_removed long"
+    return slim.join(runs, "row", "left").select("page_id", "url", "html", "runs", "common").mapInArrow(_cut, cut)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
