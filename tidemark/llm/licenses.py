@@ -1,4 +1,4 @@
-"""Licence scan: notice phrases by Aho-Corasick, licence expressions by a shunting-yard parser."""
+"""Licence scan: identifier tags and notice phrases by Aho-Corasick, licence expressions by a shunting-yard parser."""
 
 from __future__ import annotations
 
@@ -32,8 +32,9 @@ NOTICES = (
     ("this is free and unencumbered software", "unlicense", 0.8),
     ("all rights reserved", "proprietary", 0.5),
 )
-#: Where an expression may stand: the identifier tag, then one line's worth of names, brackets and operators.
-TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\-: \t]+)", re.ASCII)
+#: The identifier tag as words, and what may follow it: one line's worth of names, brackets and operators.
+TAG_WORDS = "spdx license identifier"
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\-: \t]+)", re.ASCII | re.I)
 #: Families of identifiers by their start, the most special first.
 FAMILIES = (
     ("AGPL", "agpl"), ("LGPL", "lgpl"), ("GPL", "gpl"), ("Apache", "apache"), ("MIT", "mit"), ("BSD", "bsd"), ("ISC", "isc"), ("MPL", "mpl"),
@@ -46,7 +47,9 @@ WORD_BYTES = bytes(
 
 
 def family(identifier: str) -> str:
-    return next((label for start, label in FAMILIES if identifier.upper().startswith(start.upper())), identifier.lower())
+    """Label of an identifier: its family's where no letter follows the family's name (but a version's v), else itself."""
+    name = identifier.lower()
+    return next((label for start, label in FAMILIES if re.match(re.escape(start.lower()) + r"(?:v?\d|[^a-z]|$)", name)), name)
 
 
 def to_postfix(expression: str) -> list[str] | None:
@@ -96,44 +99,60 @@ def evaluate(postfix: list[str]) -> tuple[int, frozenset[str]]:
 
 
 def make_scan(phrases=BASE_PHRASES + NOTICES, n_base: int = len(BASE_PHRASES)):
-    """The scan of one text, with its automaton built once per task."""
+    """The scan of one text, with its automaton of notices and the identifier tag built once per task."""
     tree = ahocorasick.Automaton()
-    for i, (phrase, label, weight) in enumerate(phrases):
-        tree.add_word(f" {phrase} ", (i, len(phrase) + 2, label, weight))
+    for i, (phrase, label, weight) in enumerate((*phrases, (TAG_WORDS, "", 0.0))):
+        tree.add_word(f" {phrase} ", (i, len(phrase) + 1, phrase.count(" ") + 1, label, weight))
     tree.make_automaton()
 
     def scan(doc_id, text):
         text = text or ""
         words = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
         flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-        places, base, labels = [], set(), {}
-        for end, (i, size, label, weight) in tree.iter(flat):
-            labels[label] = max(weight, labels.get(label, 0))
-            if i < n_base:
-                places.append(flat.count(" ", 0, end - size + 2) - 1)
-                base.add(label)
+        hits, tagged, word, at = [], False, 0, 0
+        for end, (i, size, n, label, weight) in tree.iter(flat):
+            word, at = word + flat.count(" ", at, end), end  # blanks ahead of the one that ends the match
+            if i == len(phrases):
+                tagged = True
+            else:
+                hits.append((word - n, word, i, label, weight))
+        base = [h for h in hits if h[2] < n_base]
+        labels: dict[str, float] = {}
+        for hit in longest(hits):
+            labels[hit[3]] = max(hit[4], labels.get(hit[3], 0))
+        labels |= {h[3]: max(h[4], labels.get(h[3], 0)) for h in base}
         choices = 0
-        if "SPDX-License-Identifier" in text:
-            for m in TAG.finditer(text):
-                if postfix := to_postfix(m[1]):
-                    n, found = evaluate(postfix)
-                    choices = max(choices, n)
-                    labels |= dict.fromkeys(found, 1.0)
+        for m in TAG.finditer(text) if tagged else ():
+            if postfix := to_postfix(m[1]):
+                n, found = evaluate(postfix)
+                choices = max(choices, n)
+                labels |= dict.fromkeys(found, 1.0)
         miss = 1.0
         for weight in labels.values():
             miss *= 1 - weight
         return (
-            doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
-            1 - miss if labels else 0.0, float(choices),
+            doc_id, len(words), len(base), min((h[0] for h in base), default=None), max((h[0] for h in base), default=None),
+            ",".join(sorted({h[3] for h in base})), ",".join(sorted(labels)), 1 - miss if labels else 0.0, float(choices),
         )
 
     return scan
 
 
+def longest(hits: list[tuple]) -> list[tuple]:
+    """The hits (first word, last word + 1, ...) that don't lie inside a longer one; a notice in a longer one is that one."""
+    out, upto = [], 0
+    for hit in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if hit[1] > upto:
+            out.append(hit)
+            upto = hit[1]
+    return out
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, base places, labels, a score in [0, 1] and the number of choices of its widest expression.
 
-    score = 1 - product of (1 - weight) over the labels. Null or empty text: no words, no
+    Labels come from notices that aren't part of a longer one, from all base places and from
+    expressions behind an identifier tag in any case. score = 1 - product of (1 - weight) over the labels. Null or empty text: no words, no
     labels, score 0, places null. Repeated rows each get a row; texts are read whole. Labels
     are distinct and sorted by code point. Empty table: no rows.
     """
