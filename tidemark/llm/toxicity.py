@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_rows import map_rows
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import materialize, spread
 
 # Letters of other alphabets that look like Latin ones.
 HOMOGLYPHS = str.maketrans({
@@ -77,7 +77,7 @@ def make_raw(lexicon: Lexicon):
         for end, (kind, size, weight) in tree.iter(f" {' '.join(words)} "):
             (found if kind else spared).append((end - size + 1, end, weight))
         if spared:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in spared)]
+            found = outside(found, spared)
         best: dict[int, float] = {}
         for start, _, weight in found:  # a word counts once, with its heaviest term
             best[start] = max(weight, best.get(start, 0.0))
@@ -86,6 +86,19 @@ def make_raw(lexicon: Lexicon):
     return raw
 
 
+def outside(found: list[tuple], spared: list[tuple]) -> list[tuple]:
+    """The spans of `found` that no span of `spared` holds, by one walk over both in order of start."""
+    out, at, reach = [], 0, -1
+    spared = sorted(spared)
+    for x in sorted(found):
+        while at < len(spared) and spared[at][0] <= x[0]:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if x[1] > reach:
+            out.append(x)
+    return out
+
+
 def features(weight: float, words: int) -> tuple[float, float]:
     """Weight found, and weight for 100 words, both on a log scale."""
     return math.log1p(weight), math.log1p(100 * weight / max(words, 1))
@@ -150,14 +163,14 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
     return [(t, True, round(v[1], 6)) for t, v in sorted(kept.items())] + [(t.strip(), False, round(v[1], 6)) for t, v in sorted(whole.items())]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Bias and slopes by damped Newton steps on the mean log loss with a small ridge."""
-    a = np.column_stack([np.ones(len(x)), x])
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Bias and slopes by damped Newton steps on the mean log loss of rows that count n times, with a small ridge."""
+    a, n = np.column_stack([np.ones(len(x)), x]), n / n.sum()
     beta = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        hess = (a * (p * (1 - p))[:, None]).T @ a / len(a) + ridge / 10 * np.eye(a.shape[1])
-        step = np.linalg.solve(hess, a.T @ (p - y) / len(a) + ridge / 10 * beta)
+        hess = (a * (n * p * (1 - p))[:, None]).T @ a + ridge / 10 * np.eye(a.shape[1])
+        step = np.linalg.solve(hess, a.T @ (n * (p - y)) + ridge / 10 * beta)
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -180,7 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, id_col:
     share = min(1.0, bound / max(usable.count(), 1))
     chosen = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < int(share * 1_000_003))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "_id").select("text", "toxic"), "toxic-sample")  # at most about `bound` ids
+    # at most about `bound` ids; equal rows of an id count once, and an id's different texts each
+    sample = materialize(texts.join(F.broadcast(chosen), "_id").distinct().select("text", "toxic"), "toxic-sample")
     toxic, clean = (sample.filter(F.col("toxic") == y).select("text") for y in (1, 0))
     n_clean = clean.count()
     support = materialize(toxic.mapInArrow(_candidates, "term string, key long").groupBy("term").agg(F.countDistinct("key").alias("n")), "terms")
@@ -201,8 +215,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, id_col:
         raw = make_raw(draft)
         return lambda text, y: (*features(*raw(text)), float(y))
 
-    rows = np.array(map_rows(sample, make, "a double, b double, y double").collect())
-    beta = fit_logistic(rows[:, :2], rows[:, 2])
+    # equal measures are one row with a weight: the fit sees counts, not documents
+    measured = map_rows(sample, make, "a double, b double, y double").groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = np.array([tuple(r) for r in measured.collect()], float)
+    beta = fit_logistic(rows[:, :2], rows[:, 2], rows[:, 3])
     return Lexicon(tuple(terms), float(beta[0]), (float(beta[1]), float(beta[2])))
 
 
@@ -213,7 +229,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     once, with its heaviest term. Repeated rows each get a row. A null id is not held out.
     Empty table: no rows.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
 
     def make():
         raw = make_raw(lexicon)
