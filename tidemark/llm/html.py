@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BROADCAST_ROWS, materialize
+from tidemark.llm.shared import broadcast_if_small, materialize, spread
 from tidemark.llm.tokens import GOLD, coded_words, mix
 
 #: Words in a run that counts as repeated and in its fingerprints; distinct page streams of a host
@@ -217,10 +217,6 @@ def on_several(rows: DataFrame, key: str, pages: int = PAGES) -> DataFrame:
     return rows.select(key, "stream").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pages).select(key)
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def repeated_runs(pages: DataFrame) -> DataFrame:
     """(row, runs, common) per page row with repeats, from (row, url, html).
 
@@ -237,7 +233,7 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
     """
     marks = pages.mapInArrow(_marks, MARKS)
     often = materialize(on_several(marks, "key"), "fingerprints")
-    near = marks.join(_sized(often, often.count()), "key", "left_semi")
+    near = marks.join(broadcast_if_small(often), "key", "left_semi")
     cells = F.posexplode(F.arrays_zip("names", "kept")).alias("i", "x")
     each = materialize(
         near.select("row", "stream", "first", "n_kept", cells).select("row", "stream", "n_kept", (F.col("first") + F.col("i")).alias("pos"), F.col("x.names").alias("name"), F.col("x.kept").alias("kept")),
@@ -298,13 +294,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     as one stream. Markup that is cut off or never closed ends with the page. Empty table: no
     rows. Other columns of `pages` are ignored. A page is parsed three times and never stored.
     """
-    slim = pages.select("page_id", "url", "html").withColumn("row", F.xxhash64("page_id", "url", "html"))
+    slim = spread(pages.select("page_id", "url", "html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
     covered = repeated_runs(slim.select("row", "url", "html"))
-    size = covered.agg(F.sum(F.size("runs") + F.greatest(F.size("common"), F.lit(0)))).first()[0] or 0
-    # a few bytes a position: the side's size grows with them, not with its rows
-    runs = F.broadcast(covered) if size <= 4 * BROADCAST_ROWS else covered
     cut = "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long, n_run_removed long"
-    return slim.join(runs, "row", "left").select("page_id", "url", "html", "runs", "common").mapInArrow(_cut, cut)
+    return slim.join(broadcast_if_small(covered), "row", "left").select("page_id", "url", "html", "runs", "common").mapInArrow(_cut, cut)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BROADCAST_ROWS, global_prefix, materialize, n_words
+from tidemark.llm.shared import broadcast_if_small, global_prefix, materialize, n_words
 
 #: Weights of the sources in code point order, repeating; no document is taken more often than CAP.
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
@@ -15,29 +15,29 @@ def source_rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     """Per source: source_size, target, rate = target / size, from rows (source, size).
 
     Targets share the sum of all sizes by weight; a target stops at `cap` times its source's
-    size and the excess is shared again among the others by weight until none is above. Each
-    round is one aggregate over the small table of sources that returns two numbers; a source
-    that has stopped stays so, hence the rounds end. A source without words has target and rate 0.
+    size and the excess is shared again among the others by weight until none is above. In the
+    order of size / weight, sources stop one after the other: with all sources ahead of one
+    stopped, the level (words for a unit of weight) is what they leave over the weights from it
+    on, and the first source that this level doesn't stop sets it. One pass of prefix sums over
+    the small table of sources. A source without words has target and rate 0.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     ranked = global_prefix(
         sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "source_size", "sources"
     )
-    table = materialize(
-        ranked.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("row_index") % len(weights) + 1).cast("int"))),
-        "weights",
-    )
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    limit, level = F.col("source_size") * cap, 0.0
-    while total:
-        stopped = F.col("w") * F.lit(level) > limit
-        full, rest = table.agg(
-            F.coalesce(F.sum(F.when(stopped, limit)), F.lit(0)), F.coalesce(F.sum(F.when(~stopped, F.col("w"))), F.lit(0))
-        ).first()
-        new = (total - full) / rest if rest else level
-        if new <= level:
-            break
-        level = new
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("row_index") % len(weights) + 1).cast("int"))
+    weighed = ranked.select("source", "source_size", weight.cast("long").alias("w"))
+    full = lambda c: F.col("source_size") * cap / F.col(c)
+    by_size = global_prefix(weighed.withColumn("_at", full("w")), ["_at", "source"], "source_size", "weights").drop("row_index").withColumnRenamed("before", "_size_before")
+    table = materialize(global_prefix(by_size, ["_at", "source"], "w", "levels").withColumnRenamed("before", "_w_before"), "levels")
+    total, all_w = table.agg(F.sum("source_size"), F.sum("w")).first()
+    level = 0.0
+    if total:
+        at = (F.lit(float(total)) - F.col("_size_before") * cap) / (F.lit(all_w) - F.col("_w_before"))
+        # without a source that isn't stopped, all stop: the sum of the caps is below the total
+        level = table.filter(at <= F.col("_at")).agg(F.max(at)).first()[0]
+        level = float("inf") if level is None else level
+    limit = F.col("source_size") * cap
     target = F.when(F.col("w") * F.lit(level) > limit, limit.cast("double")).otherwise(F.col("w") * F.lit(level))
     return table.select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
@@ -64,9 +64,7 @@ def take_plan(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id
     )
     if not keep:  # without the texts the rows are small: read the texts once
         sized = materialize(sized, "sized")
-    rates = source_rates(sized.select("source", "size"))
-    if rates.count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
+    rates = broadcast_if_small(source_rates(sized.select("source", "size")))
     out = sized.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
     copies = F.floor("rate") + (F.col("_coin") < F.col("rate") - F.floor("rate")).cast("long")
     return out.select("d.doc_id", "d.source", "size", "source_size", "target", copies.cast("long").alias("copies"), *[f"_keep_{c}" for c in keep])

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
-from tidemark.llm.shared import BROADCAST_ROWS, materialize, row_key
+from tidemark.llm.components import components, join_salted
+from tidemark.llm.shared import broadcast_if_small, materialize, row_key, spread
 from tidemark.llm.tokens import GOLD, coded_words, mix
 
 #: Coordinates of a sketch and of a band: 40 bands of 5. A pair at similarity 0.8 shares no band with probability 1.2e-7.
@@ -191,9 +191,7 @@ def open_links(members: DataFrame, nodes: DataFrame, comps: DataFrame, held: Dat
     family = placed.join(largest.select("key", F.col("top.comp").alias("g")), "key").groupBy("g", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"))
     family = materialize(family.withColumn("out", F.col("comp") != F.col("g")), "families")
     sizes = family.groupBy("g").agg(F.ceil(F.count_if("out") / SIDE).alias("so"), F.ceil(F.count(F.lit(1)) / (4 * SIDE)).alias("sm"))
-    # sizes has one row a family: SALT copies of it let a large family be many tasks' work
-    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
-    rows = family.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALT))).join(salted, ["g", "_salt"]).drop("_salt")
+    rows = join_salted(family, sizes, "g", "node", SALT)
     mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
     spread = lambda out, own, other: rows.filter(out).select(
         "node", "n", "comp", F.lit(other == "sm").alias("out"), "g", mine(own).alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other")
@@ -228,7 +226,7 @@ def _grouped(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     null ids last, and for every row without words. Such rows are copies of one another.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     described = materialize(texts.withColumn("row_key", row_key(F.col("doc_id").cast("long"), F.col("text"))).mapInArrow(_describe(size), DESCRIBED), "sketches")
     nodes = materialize(
         described.filter("node IS NOT NULL").groupBy("node")
@@ -246,8 +244,9 @@ def _grouped(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
         more = materialize(open_links(members, nodes, comps, held, size), "more-links")
         if not more.isEmpty():  # the stars so far and the new links have the same components as all links
             comps = materialize(components(more.union(comps)), "comps")
-    placed = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = placed.drop("least").join(placed.groupBy("comp").agg(F.min("least").alias("top")), "comp").select("node", "top")
+    linked = nodes.select("node", "least").join(comps, "node")
+    ids = join_salted(linked.select("node", "comp"), linked.groupBy("comp").agg(F.min("least").alias("top")), "comp", "node", SALT).select("node", "top")
+    ids = ids.union(nodes.select("node", "least").join(comps, "node", "left_anti"))
     mine = (F.col("node") == F.col("top.node")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))
     return described.select("doc_id", "row_key", "n_shingles", "node").join(ids, "node", "left").select(
         "doc_id", "row_key", "n_shingles", F.coalesce("top.doc_id", "doc_id").alias("component_id"), (F.col("node").isNull() | mine).alias("first")
@@ -256,8 +255,6 @@ def _grouped(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
 def _texts_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, text) for the wanted (node, rep): one text whose set is the node's."""
-    small = wanted.count() <= BROADCAST_ROWS
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -266,7 +263,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield part.filter(pa.array(same, pa.bool_()))
 
     # an id may stand in several rows with different texts: keep the row that has the node's set
-    rows = texts.join(F.broadcast(wanted) if small else wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
+    rows = texts.join(broadcast_if_small(wanted), texts["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
     return rows.mapInArrow(check, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -278,7 +275,7 @@ def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
     """
     found = materialize(_grouped(docs, size, id_col, text_col), "groups")
     gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = broadcast_if_small(gone)
     same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (row_key(docs[id_col].cast("long"), docs[text_col]) == F.col("_key"))
     rest = docs.join(gone, same, "left_anti")
     twice = found.filter("first").groupBy("doc_id", "row_key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))

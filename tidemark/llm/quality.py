@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_rows import map_rows
-from tidemark.llm.shared import BROADCAST_ROWS, materialize
+from tidemark.llm.shared import broadcast_if_small, materialize
 
 # Fixed values of the rules.
 BLANKS, SYMBOLS = " \t\n\v\f\r", b"#*$%&|<>"
@@ -90,9 +90,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     failed = failures(materialize(map_rows(slim, lambda: measure, MEASURES), "measures"))
-    hosts = host_verdicts(failed).withColumnRenamed("source", "_source").drop("n")
-    if hosts.count() <= BROADCAST_ROWS:
-        hosts = F.broadcast(hosts)
+    hosts = broadcast_if_small(host_verdicts(failed).select(F.col("source").alias("_source"), *[f"rate_{r}" for r in RULES], "host_failed"))
     return failed.join(hosts, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 

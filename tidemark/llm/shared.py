@@ -13,16 +13,20 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII upper case to lower case; other letters stay.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only when its counted rows stay below this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when its counted bytes stay below this.
+BROADCAST_BYTES = 48_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a new one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors see.
+
+    A new one is made only where none is set and all of Spark runs on this machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -38,6 +42,20 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as there are cores, where its files give fewer (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if its counted bytes (16 a value, and what strings and arrays hold) stay below the limit."""
+    held = [F.octet_length(c) if k in ("string", "binary") else F.size(c) * 64 for c, k in df.dtypes if k in ("string", "binary") or k.startswith("array")]
+    more = sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(0))
+    total = df.agg(F.sum(more + 16 * (len(df.columns) + 1)).alias("bytes")).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
