@@ -7,21 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import materialize, spread
 
-# Kind, pattern, the group whose length counts, the least such length.
+# Kind, pattern, the group whose length counts (0: the whole match), the least such length.
 BASE = (
     ("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
-    ("hex", r"([0-9a-f]{24,})", 1, 24),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 # Weak candidates: reported only beside the parts that they need.
 WEAK = (
     ("ident", r"(?i)\b(?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", 1, 3),
-    ("secret", r"(?<![A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])", 1, 40),
-    ("endpoint", r"\b((?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]+)", 1, 8),
+    ("secret", r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", 0, 40),
+    ("endpoint", r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]+", 0, 8),
 )
 KINDS = BASE + WEAK
+#: What a text must hold for a kind's pattern to match; saves its passes over most texts.
+HINTS = {"access": "AKIA", "endpoint": "://"}
 #: Code points between the starts of two parts of one credential.
 SCOPE = 400
 
@@ -30,14 +32,17 @@ def _hits(text, kind: str, rank: int, pattern: str, group: int):
     """Array of (kind, rank, index, length ahead, length, length that counts) of all matches; no matched text is kept."""
     gaps = F.split(text, pattern, -1)
     n = F.size(gaps) - 1
-    whole, part = (F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.char_length) for g in (0, group))
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+    part = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length) if group else whole
     rows = F.transform(
         F.arrays_zip(F.slice(F.transform(gaps, F.char_length), F.lit(1), n).alias("gap"), whole.alias("hit"), part.alias("ok")),
         lambda x, i: F.struct(
             F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["hit"].alias("hit"), x["ok"].alias("ok")
         ),
     )
-    return F.when(n > 0, rows)
+    # most texts have no match: they cost one search, not a split and the extractions
+    there = F.contains(text, F.lit(HINTS[kind])) & text.rlike(pattern) if kind in HINTS else text.rlike(pattern)
+    return F.when(there, rows)
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -46,9 +51,9 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A match's start is the sum of the gaps and matches ahead of it, taken by a window over the
     document's own matches. Matches whose counted length is too short only take up their room.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce("_text", F.lit(""))
     lists = [_hits(text, kind, i, pattern, group) for i, (kind, pattern, group, _) in enumerate(KINDS)]
-    slim = docs.select(F.col(id_col).alias("doc_id"), *[x.alias(f"m{i}") for i, x in enumerate(lists)])
+    slim = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select("doc_id", *[x.alias(f"m{i}") for i, x in enumerate(lists)])
     found = F.filter(F.array(*[f"m{i}" for i in range(len(KINDS))]), lambda x: x.isNotNull())
     rows = materialize(
         slim.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.flatten(found).alias("parts")), "parts"
@@ -75,6 +80,7 @@ def link_credentials(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     near = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
     order = Window.partitionBy("rid").orderBy("start", "rank", "end")
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("rank"), F.desc("end"))
     base = F.col("rank") < len(BASE)
     met = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
     need = (
@@ -84,7 +90,7 @@ def link_credentials(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return (
         parts.withColumn("_id", met("access", "ident")).withColumn("_secret", met("assign", "hex", "secret"))
         .withColumn("_ends", F.coalesce(F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
-        .withColumn("_next", F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+        .withColumn("_next", F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)))
         .filter(base | (need & (F.col("_ends") <= F.col("start")) & (F.coalesce(F.col("_next"), F.col("end")) >= F.col("end"))))
         .select("rid", "kind", "rank", "start", "end")
     )
