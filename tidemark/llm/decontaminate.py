@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BROADCAST_ROWS, row_key
+from tidemark.llm.shared import broadcast_if_small, materialize, row_key, spread
 
 #: Words in a window, and the share of an item's windows that a document must hold.
 WINDOW, COVER = 5, 0.8
-#: A window of an item counts only with this many words that aren't placeholders.
+#: A window with fewer words than this that aren't placeholders is compared with its values.
 LITERALS = 3
+#: Parts of a window's documents where the items are too many for a broadcast.
+SALT = 16
+# Words that begin a sentence with a capital and are no names.
+OPENERS = (
+    "A|An|The|This|That|These|Those|There|Here|It|He|She|They|We|You|If|When|While|After|Before|Then|In|On|At|By|For|From|To|Of|With|As|And|But|Or|So|"
+    "How|What|Which|Who|Why|Where|Each|Every|All|Some|One|Two|Find|Let|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|His|Her|Their|Its|Our|Your|My|Not|No"
+)
 # Units of measure that may follow a number.
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|oz|ms|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|"
@@ -21,33 +30,69 @@ UNITS = (
 def marked(text: Column) -> Column:
     """Text in lower case, words apart by one space; slots are words that begin with U+0001 and n, u or p.
 
-    Numbers (with their separators), units behind numbers, and names (capitalised words inside
-    a sentence) are slots and keep their value.
+    Numbers (with their separators), units behind numbers, and names (capitalised words that
+    aren't usual openers of a sentence) are slots and keep their value.
     """
     numbers = F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "\u0002")
     numbers = F.regexp_replace(numbers, rf"(?<![\p{{L}}\p{{N}}])(\d[\d\u0002]*)\x20?({UNITS})(?![\p{{L}}\p{{N}}])", " \u0001n$1 \u0001u$2 ")
     numbers = F.regexp_replace(numbers, r"(?<![\p{L}\p{N}\u0002])(\d[\d\u0002]*)(?![\p{L}\p{N}\u0002])", " \u0001n$1 ")
     t = F.when(text.rlike(r"\d"), numbers).otherwise(text)
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:]\x20)(\p{Lu}\p{L}+)", "\u0001p$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}\u0001])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{L}}+)", "\u0001p$1")
     return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\u0001\u0002]+", " "))
 
 
-def template_windows(df: DataFrame, text_col: str, keep: list[Column], pos: str, size: int = WINDOW) -> DataFrame:
-    """Rows (keep..., pos, window hash h, slots): every window of `size` template words.
+def template_windows(df: DataFrame, text_col: str, keep: list[Column], pos: str, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """Rows (keep..., pos, n, h): the hash of every window of n template words, for each n of `sizes`.
 
-    slots: the windows' slot values in order, empty in most windows.
+    A window with fewer than LITERALS words that aren't slots is hashed with its values, so that it meets its like alone.
     """
     text = df.select(*keep, marked(F.coalesce(F.col(text_col), F.lit(""))).alias("_m")).withColumn("_slotted", F.contains("_m", F.lit("\u0001")))
     names = [c for c in text.columns if c[0] != "_"]
     plain = F.when(F.col("_slotted"), F.regexp_replace("_m", "\u0001([nup])[^ ]*", "\u0001$1")).otherwise(F.col("_m"))
     arrays = text.select(*names, F.split(plain, " ").alias("_t"), F.when(F.col("_slotted"), F.split("_m", " ")).alias("_v"))
-    none = F.array().cast("array<string>")
-    held = lambda i: F.when(F.col("_v").isNull(), none).otherwise(F.filter(F.slice("_v", i + 1, size), lambda v: v.startswith("\u0001")))
-    wins = F.transform(
-        F.sequence(F.lit(0), F.size("_t") - size),
-        lambda i: F.struct(F.xxhash64(*[F.get("_t", i + k) for k in range(size)]).alias("h"), held(i).alias("slots")),
+    arrays = arrays.withColumn("_s", F.transform("_v", lambda v: v.startswith("\u0001").cast("int"))).filter(F.size("_t") >= min(sizes))
+
+    def windows(size: int) -> Column:
+        name = lambda c, i: F.xxhash64(*[F.get(c, i + k) for k in range(size)])
+        slots = lambda i: sum((F.get("_s", i + k) for k in range(1, size)), F.get("_s", i))
+        h = lambda i: F.when(slots(i) > size - LITERALS, name("_v", i)).otherwise(name("_t", i))
+        each = F.transform(F.sequence(F.lit(0), F.size("_t") - size), lambda i: F.struct(i.alias("p"), F.lit(size).alias("n"), h(i).alias("h")))
+        return F.when(F.size("_t") >= size, each)
+
+    each = windows(sizes[0]) if len(sizes) == 1 else F.flatten(F.filter(F.array(*[windows(n) for n in sizes]), lambda x: x.isNotNull()))
+    return arrays.select(*names, F.explode(each).alias("_w")).select(*names, F.col("_w.p").alias(pos), "_w.n", "_w.h")
+
+
+def slot_values(df: DataFrame, key: str, text_col: str, places: DataFrame) -> DataFrame:
+    """(key, pos, n, slots): the values of the slots in the windows at `places` (key, pos, n), in order.
+
+    Rows with one key have one text. A text is taken once with all its places, so it isn't copied for each.
+    """
+    wanted = places.distinct().groupBy(key).agg(F.collect_list(F.struct("pos", "n")).alias("_at"))
+    rows = df.join(broadcast_if_small(places.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.first(text_col).alias("_text"))
+    each = rows.join(wanted, key).withColumn("_v", F.split(marked(F.coalesce("_text", F.lit(""))), " ")).select(
+        key, F.explode(F.transform("_at", lambda a: F.struct(a["pos"].alias("pos"), a["n"].alias("n"), F.slice("_v", a["pos"] + 1, a["n"]).alias("w")))).alias("_x")
     )
-    return arrays.filter(F.size("_t") >= size).select(*names, F.posexplode(wins).alias(pos, "_w")).select(*names, pos, "_w.h", "_w.slots")
+    return each.select(key, "_x.pos", "_x.n", F.filter("_x.w", lambda v: v.startswith("\u0001")).alias("slots"))
+
+
+def item_windows(benchmark: DataFrame, item_col: str, item_text: str, size: int) -> DataFrame:
+    """(item_id, variant, item_pos, n, h, item_slots, n_windows): an item as it stands and, where that differs, in lower case.
+
+    A text in lower case has no names; the second variant finds it. Items under `size` words
+    are one window of all their words.
+    """
+    rows = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("_text")).distinct()
+    lower = rows.filter(F.lower("_text") != F.col("_text")).select("item_id", F.lit(1), F.lower("_text"))
+    texts = rows.select("item_id", F.lit(0).alias("variant"), "_text").union(lower).withColumn("_key", F.xxhash64("item_id", "variant", "_text"))
+    texts = materialize(texts.withColumn("_n", F.size(F.split(marked(F.col("_text")), " "))), "item-texts")
+    keep = [F.col("item_id"), F.col("variant"), F.col("_key").alias("key")]
+    parts = [template_windows(texts.filter(F.col("_n") >= size), "_text", keep, "pos", (size,))]
+    parts += [template_windows(texts.filter(F.col("_n") == n), "_text", keep, "pos", (n,)) for n in range(LITERALS, size)]
+    found = reduce(DataFrame.union, parts)
+    slots = slot_values(texts.withColumnRenamed("_key", "key"), "key", "_text", found.select("key", "pos", "n"))
+    whole = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_windows"))
+    return found.join(slots, ["key", "pos", "n"]).join(whole, "key").select("item_id", "variant", F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "n_windows")
 
 
 def contaminated(
@@ -62,36 +107,45 @@ def contaminated(
     least `cover` of the item's windows. kind: `verbatim` if all slot values are equal, else
     `re-parameterised`.
 
-    Null texts hold nothing; items under `size` words (or without a window of LITERALS plain
-    words) are never found. Repeated rows (equal id and text) share doc_key and give one pair.
-    Items with equal text are each reported. Empty tables: no rows. Clashing column names in
-    the inputs are not read.
+    Null texts hold nothing. Items of LITERALS to `size` - 1 words are found whole; items of
+    fewer words name nothing and are never found. Repeated rows (equal id and text) share
+    doc_key and give one pair. Items with equal text are each reported; an item with two texts
+    is found by either. Empty tables: no rows. Clashing column names in the inputs are not read.
     """
-    items = template_windows(benchmark, item_text, [F.col(item_col).alias("item_id")], "item_pos", size).dropDuplicates(["item_id", "item_pos"])
-    items = items.filter(F.size("slots") <= size - LITERALS).withColumnRenamed("slots", "item_slots")
-    totals = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    wins = template_windows(docs, text_col, [F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("doc_key")], "doc_pos", size)
-    small = items.count() <= BROADCAST_ROWS
-    hits = wins.join(F.broadcast(items) if small else items, "h").select(
-        "doc_key", "doc_id", "item_id", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diag"),
-        F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
-    ).distinct()
+    items = materialize(item_windows(benchmark, item_col, item_text, size), "item-windows")
+    short = tuple(sorted(r["n"] for r in items.filter(F.col("n") < size).select("n").distinct().collect()))  # at most two sizes
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).withColumn("doc_key", row_key(F.col("doc_id"), F.col("_text")))
+    wins = template_windows(texts, "_text", [F.col("doc_key"), F.col("doc_id")], "doc_pos", (size, *short))
+    side = broadcast_if_small(items)
+    if side is items:  # a window that very many documents or items share is several tasks' work
+        wins = wins.withColumn("_salt", F.pmod("doc_key", F.lit(SALT)))
+        side = items.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    met = materialize(wins.join(side, [c for c in ("h", "n", "_salt") if c in wins.columns]).drop("_salt", "h").distinct(), "met-windows")
+    # only windows that met an item with slots need the values of the document
+    places = met.filter(F.size("item_slots") > 0).select("doc_key", F.col("doc_pos").alias("pos"), "n")
+    values = slot_values(texts.select("doc_key", "_text"), "doc_key", "_text", places).withColumnRenamed("pos", "doc_pos")
+    none = F.array().cast("array<string>")
+    hits = met.join(values, ["doc_key", "doc_pos", "n"], "left").select(
+        "doc_key", "doc_id", "item_id", "variant", "n_windows", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diag"),
+        F.arrays_zip(F.col("item_slots").alias("i"), F.coalesce("slots", none).alias("d")).alias("pairs"),
+    )
+    pair = ["doc_key", "doc_id", "item_id", "variant", "n_windows"]
     per_diag = (
-        hits.groupBy("doc_key", "doc_id", "item_id", "diag")
+        hits.groupBy(*pair, "diag")
         .agg(F.collect_list("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
         .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
     )
     same = F.forall("pairs", lambda p: p["i"].eqNullSafe(p["d"]))
-    return (
-        per_diag.groupBy("doc_key", "doc_id", "item_id")
+    found = (
+        per_diag.groupBy(*pair)
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_found"),
              F.max(F.size("pairs")).cast("long").alias("n_slots"), F.min(same).alias("_same"))
-        .join(F.broadcast(totals) if small else totals, "item_id")
         .withColumn("coverage", F.col("n_found") / F.col("n_windows"))
         .filter(F.col("coverage") >= cover)
-        .select("doc_key", "doc_id", "item_id", "n_windows", "n_found", "coverage", "n_slots",
-                F.when(F.col("_same"), F.lit("verbatim")).otherwise(F.lit("re-parameterised")).alias("kind"))
     )
+    kind = F.when(F.col("_same"), F.lit("verbatim")).otherwise(F.lit("re-parameterised")).alias("kind")
+    best = F.max_by(F.struct("n_windows", "n_found", "coverage", "n_slots", kind), F.struct("coverage", -F.col("variant"))).alias("_b")
+    return found.groupBy("doc_key", "doc_id", "item_id").agg(best).select("doc_key", "doc_id", "item_id", "_b.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
