@@ -126,7 +126,7 @@ def test_repeated_runs_equal_brute_force(spark):
         for k in range(len(w) - html.RUN + 1):
             seen[i % 3, tuple(w[k : k + html.RUN])].add(tuple(w))
     want = {i: {k for k in range(len(w) - html.RUN + 1) if len(seen[i % 3, tuple(w[k : k + html.RUN])]) > 1} for i, _, _, w in pages}
-    got = {r["row"]: set(r["runs"]) for r in html.repeated_runs(df).collect()}
+    got = {r["row"]: set(r["runs"]) for r in html.repeated_runs(df).collect() if r["runs"]}
     assert got == {i: x for i, x in want.items() if x} and sum(map(len, got.values())) > 100
 
 
@@ -183,8 +183,8 @@ def test_names_at_the_start_of_a_sentence_short_items_and_lower_case(spark):
     item = "Tom bought 12 apples at 3 dollars each. Tom then sold 5 apples to Mary. How much money does Tom have left?"
     other = "Sam bought 14 apples at 6 dollars each. Sam then sold 2 apples to Anna. How much money does Sam have left?"
     wrong = "Sam bought 14 apples at 6 dollars each. Kim then sold 2 apples to Anna. How much money does Lea have left?"
-    bench = spark.createDataFrame([(1, item), (2, "blue whales sing"), (3, "too short"), (4, "12 and 13 and 14 and 15")], "item_id long, text string")
-    rows = [(1, other), (2, wrong), (3, item.lower()), (4, "we know blue whales sing"), (5, "blue whales often sing"), (6, "see 12 and 13 and 14 and 15 here"), (7, "see 12 and 19 and 14 and 15 here")]
+    bench = spark.createDataFrame([(1, item), (2, "blue whales sing"), (3, "too short"), (4, "12 13 and 14 15 and 16")], "item_id long, text string")
+    rows = [(1, other), (2, wrong), (3, item.lower()), (4, "we know blue whales sing"), (5, "blue whales often sing"), (6, "see 12 13 and 14 15 and 16 here"), (7, "see 12 13 and 14 15 and 17 here")]
     for limit in (48_000_000, 0):  # both joins
         with pytest.MonkeyPatch.context() as m:
             m.setattr("tidemark.llm.shared.BROADCAST_BYTES", limit)
@@ -203,13 +203,9 @@ def _marked(text):
 
 
 def _wins(words, n):
-    out = []
-    for i in range(len(words) - n + 1):
-        w = words[i : i + n]
-        slots = [x for x in w if x[0:1] == "\u0001"]
-        plain = tuple(w) if len(slots) > n - decontaminate.LITERALS else tuple(x[:2] if x[0:1] == "\u0001" else x for x in w)
-        out.append((i, plain, slots))
-    return out
+    slots = lambda w: [x for x in w if x[0:1] == "\u0001"]
+    each = [(i, words[i : i + n]) for i in range(len(words) - n + 1)]
+    return [(i, tuple(x[:2] if x[0:1] == "\u0001" else x for x in w), slots(w)) for i, w in each]
 
 
 def _found(text, item):
@@ -220,8 +216,10 @@ def _found(text, item):
         if n < decontaminate.LITERALS:
             continue
         mine, theirs, good = _wins(words, n), _wins(_marked(text), n), set()
+        told = [x for x in mine if len(x[2]) <= n - decontaminate.LITERALS]
+        mine, strict = told or mine, not told
         for diag in {p - q for p, a, _ in theirs for q, b, _ in mine if a == b}:
-            met = [(q, s, r) for p, a, r in theirs for q, b, s in mine if a == b and p - q == diag]
+            met = [(q, s, r) for p, a, r in theirs for q, b, s in mine if a == b and p - q == diag and (s == r or not strict)]
             pairs = {(i, d) for _, s, r in met for i, d in zip(s, r)}
             if len(pairs) == len({i for i, _ in pairs}):
                 good |= {q for q, _, _ in met}

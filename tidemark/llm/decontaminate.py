@@ -11,7 +11,7 @@ from tidemark.llm.shared import broadcast_if_small, materialize, row_key, spread
 
 #: Words in a window, and the share of an item's windows that a document must hold.
 WINDOW, COVER = 5, 0.8
-#: A window with fewer words than this that aren't placeholders is compared with its values.
+#: A window of an item counts only with this many words that aren't placeholders, if the item has such a window.
 LITERALS = 3
 #: Parts of a window's documents where the items are too many for a broadcast.
 SALT = 16
@@ -37,25 +37,18 @@ def marked(text: Column) -> Column:
     numbers = F.regexp_replace(numbers, rf"(?<![\p{{L}}\p{{N}}])(\d[\d\u0002]*)\x20?({UNITS})(?![\p{{L}}\p{{N}}])", " \u0001n$1 \u0001u$2 ")
     numbers = F.regexp_replace(numbers, r"(?<![\p{L}\p{N}\u0002])(\d[\d\u0002]*)(?![\p{L}\p{N}\u0002])", " \u0001n$1 ")
     t = F.when(text.rlike(r"\d"), numbers).otherwise(text)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}\u0001])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{L}}+)", "\u0001p$1")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\u0001])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{L}}+)", "\u0001p$1")
     return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\u0001\u0002]+", " "))
 
 
 def template_windows(df: DataFrame, text_col: str, keep: list[Column], pos: str, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """Rows (keep..., pos, n, h): the hash of every window of n template words, for each n of `sizes`.
-
-    A window with fewer than LITERALS words that aren't slots is hashed with its values, so that it meets its like alone.
-    """
-    text = df.select(*keep, marked(F.coalesce(F.col(text_col), F.lit(""))).alias("_m")).withColumn("_slotted", F.contains("_m", F.lit("\u0001")))
-    names = [c for c in text.columns if c[0] != "_"]
-    plain = F.when(F.col("_slotted"), F.regexp_replace("_m", "\u0001([nup])[^ ]*", "\u0001$1")).otherwise(F.col("_m"))
-    arrays = text.select(*names, F.split(plain, " ").alias("_t"), F.when(F.col("_slotted"), F.split("_m", " ")).alias("_v"))
-    arrays = arrays.withColumn("_s", F.transform("_v", lambda v: v.startswith("\u0001").cast("int"))).filter(F.size("_t") >= min(sizes))
+    """Rows (keep..., pos, n, h): the hash of every window of n template words, for each n of `sizes`."""
+    marks = df.select(*keep, marked(F.coalesce(F.col(text_col), F.lit(""))).alias("_m"))
+    names = [c for c in marks.columns if c[0] != "_"]
+    arrays = marks.select(*names, F.split(F.regexp_replace("_m", "\u0001([nup])[^ ]*", "\u0001$1"), " ").alias("_t")).filter(F.size("_t") >= min(sizes))
 
     def windows(size: int) -> Column:
-        name = lambda c, i: F.xxhash64(*[F.get(c, i + k) for k in range(size)])
-        slots = lambda i: sum((F.get("_s", i + k) for k in range(1, size)), F.get("_s", i))
-        h = lambda i: F.when(slots(i) > size - LITERALS, name("_v", i)).otherwise(name("_t", i))
+        h = lambda i: F.xxhash64(*[F.get("_t", i + k) for k in range(size)])
         each = F.transform(F.sequence(F.lit(0), F.size("_t") - size), lambda i: F.struct(i.alias("p"), F.lit(size).alias("n"), h(i).alias("h")))
         return F.when(F.size("_t") >= size, each)
 
@@ -77,10 +70,11 @@ def slot_values(df: DataFrame, key: str, text_col: str, places: DataFrame) -> Da
 
 
 def item_windows(benchmark: DataFrame, item_col: str, item_text: str, size: int) -> DataFrame:
-    """(item_id, variant, item_pos, n, h, item_slots, n_windows): an item as it stands and, where that differs, in lower case.
+    """(item_id, variant, item_pos, n, h, item_slots, strict, n_windows): an item as it stands and, where that differs, in lower case.
 
     A text in lower case has no names; the second variant finds it. Items under `size` words
-    are one window of all their words.
+    are one window of all their words. Windows with under LITERALS plain words say little and
+    are left out; an item that has no others keeps them all, but strict: with equal values.
     """
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("_text")).distinct()
     lower = rows.filter(F.lower("_text") != F.col("_text")).select("item_id", F.lit(1), F.lower("_text"))
@@ -91,8 +85,10 @@ def item_windows(benchmark: DataFrame, item_col: str, item_text: str, size: int)
     parts += [template_windows(texts.filter(F.col("_n") == n), "_text", keep, "pos", (n,)) for n in range(LITERALS, size)]
     found = reduce(DataFrame.union, parts)
     slots = slot_values(texts.withColumnRenamed("_key", "key"), "key", "_text", found.select("key", "pos", "n"))
-    whole = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_windows"))
-    return found.join(slots, ["key", "pos", "n"]).join(whole, "key").select("item_id", "variant", F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "n_windows")
+    valued = found.join(slots, ["key", "pos", "n"]).withColumn("_few", F.size("slots") > F.col("n") - LITERALS)
+    whole = valued.groupBy("key").agg(F.every("_few").alias("strict"), F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("_few")).alias("_told"))
+    kept = valued.join(whole, "key").filter("strict OR NOT _few").withColumn("n_windows", F.when(F.col("strict"), F.col("_all")).otherwise(F.col("_told")))
+    return kept.select("item_id", "variant", F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "strict", "n_windows")
 
 
 def contaminated(
@@ -127,8 +123,9 @@ def contaminated(
     none = F.array().cast("array<string>")
     hits = met.join(values, ["doc_key", "doc_pos", "n"], "left").select(
         "doc_key", "doc_id", "item_id", "variant", "n_windows", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diag"),
-        F.arrays_zip(F.col("item_slots").alias("i"), F.coalesce("slots", none).alias("d")).alias("pairs"),
+        F.arrays_zip(F.col("item_slots").alias("i"), F.coalesce("slots", none).alias("d")).alias("pairs"), "strict",
     )
+    hits = hits.filter(~F.col("strict") | F.forall("pairs", lambda p: p["i"].eqNullSafe(p["d"])))
     pair = ["doc_key", "doc_id", "item_id", "variant", "n_windows"]
     per_diag = (
         hits.groupBy(*pair, "diag")

@@ -147,11 +147,6 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-MARKS = (
-    "row long, stream long, key long, first int, names array<long>, kept array<boolean>, n_kept int"
-)
-
-
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$", r"\1", url or "", flags=re.S).lower()
 
@@ -171,43 +166,59 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return names
 
 
-def least(names: np.ndarray, every: int) -> np.ndarray:
-    """Position of the smallest name (the first on ties) among each `every` in a row."""
-    return np.arange(len(names) - every + 1) + np.lib.stride_tricks.sliding_window_view(names, every).argmin(axis=1)
-
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows (row, url, html) to the suffixes of their streams that have RUN words or more.
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, url, html) to MARKS: the suffixes of a page's stream by their first RUN words.
-
-    Suffixes are grouped under a fingerprint, the smallest of FINGER words in their first RUN
-    words: a suffix whose fingerprint stands on one page alone can't be repeated.
+    name: the first RUN words; mark: the place of the smallest name of FINGER words in them, the
+    same for all suffixes with these words; finger: that name. Names hold the host.
     """
+    every = RUN - FINGER + 1
     for batch in batches:
         for at in range(0, batch.num_rows, PAGE_ROWS):
             part = batch.slice(at, PAGE_ROWS)
             found = [[(z, t) for z, t in blocks(h or "") if z != DROP] for h in part.column(2).to_pylist()]
             codes, ends, hashes = coded_words(pa.array([t for page in found for _, t in page], pa.string()))
-            out, block = [], 0
-            for row, url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found):
-                a, b = ends[block], ends[block + len(page)]
-                zones = np.repeat([z == KEEP for z, _ in page], np.diff(ends[block : block + len(page) + 1])) if page else np.zeros(0, bool)
-                block += len(page)
-                words = hashes[codes[a:b]]
-                names = windows(words, RUN)
-                if not len(names):
-                    continue
-                host = np.uint64(xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass")))
-                stream = mix(np.array([np.bitwise_xor.reduce(mix(words + np.arange(len(words), dtype=np.uint64) * GOLD))]))[0]
-                fingers, names, kept = windows(words, FINGER), mix(names ^ host), zones[: len(names)]
-                own = least(fingers, RUN - FINGER + 1)  # the same for every suffix with these first words
-                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                n_kept = int(kept.sum())
-                for x, y in zip(begin, [*begin[1:], len(own)]):
-                    key = mix((fingers[own[x] : own[x] + 1]) ^ host)[0]
-                    out.append((row, int(stream.view(np.int64)), int(key.view(np.int64)), int(x), names[x:y].view(np.int64), kept[x:y], n_kept))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "stream", "key", "first", "names", "kept", "n_kept"])
+            words = hashes[codes]
+            if len(words) < RUN:
+                continue
+            zones = np.repeat(np.array([z == KEEP for page in found for z, _ in page], np.int64), np.diff(ends))
+            bounds = ends[np.concatenate([[0], np.cumsum([len(page) for page in found])])]
+            page = np.repeat(np.arange(len(found)), np.diff(bounds))
+            place = np.arange(len(words)) - bounds[page]
+            hosts = np.array([xxhash.xxh3_64_intdigest(host_of(u).encode("utf-8", "surrogatepass")) for u in part.column(1).to_pylist()], np.uint64)
+            full = np.flatnonzero(np.diff(bounds))
+            streams = np.zeros(len(found), np.uint64)
+            streams[full] = mix(np.bitwise_xor.reduceat(mix(words + place.astype(np.uint64) * GOLD), bounds[full]))
+            i = np.flatnonzero(place[: len(words) - RUN + 1] + RUN <= np.diff(bounds)[page[: len(words) - RUN + 1]])
+            if not len(i):
+                continue
+            fingers, kept = windows(words, FINGER), np.concatenate([[0], np.cumsum(zones)])
+            mark = i + np.lib.stride_tricks.sliding_window_view(fingers, every)[i].argmin(axis=1)
+            yield {
+                "row": np.asarray(part.column(0))[page[i]], "stream": (streams[page[i]] >> np.uint64(33)).astype(np.int32), "place": place[i].astype(np.int32),
+                "name": mix(windows(words, RUN)[i] ^ hosts[page[i]]).view(np.int64), "finger": mix(fingers[mark] ^ hosts[page[i]]).view(np.int64), "mark": mark,
+                "kept": kept[i + RUN] > kept[i], "open": kept[i + RUN] - kept[i] < RUN, "whole": (kept[bounds[1:]] - kept[bounds[:-1]])[page[i]].astype(np.int32),
+            }
+
+
+def _fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(finger, stream): each fingerprint of a page, at each place once."""
+    for x in _suffixes(batches):
+        new = np.append(True, x["mark"][1:] != x["mark"][:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x["finger"][new]), pa.array(x["stream"][new])], ["finger", "stream"])
+
+
+GROUPS = "row long, stream int, whole int, finger long, place array<int>, name array<long>, kept array<boolean>, open array<boolean>"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """GROUPS: the suffixes of a page, those under one fingerprint together."""
+    for x in _suffixes(batches):
+        begin = np.flatnonzero(np.append(True, x["mark"][1:] != x["mark"][:-1]))
+        offsets = pa.array(np.append(begin, len(x["mark"])), pa.int32())
+        flat = [pa.array(x[c][begin]) for c in ("row", "stream", "whole", "finger")]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[c])) for c in ("place", "name", "kept", "open")]
+        yield pa.RecordBatch.from_arrays(flat + lists, ["row", "stream", "whole", "finger", "place", "name", "kept", "open"])
 
 
 def on_several(rows: DataFrame, key: str, pages: int = PAGES) -> DataFrame:
@@ -220,9 +231,9 @@ def on_several(rows: DataFrame, key: str, pages: int = PAGES) -> DataFrame:
 def repeated_runs(pages: DataFrame) -> DataFrame:
     """(row, runs, common) per page row with repeats, from (row, url, html).
 
-    runs: where substrings of RUN words begin that distinct page streams of the host share;
-    a longer repeat is the union of these. common: those of them in articles that are shared by
-    ARTICLES distinct streams or more, copied articles left out.
+    runs: where substrings of RUN words begin that distinct page streams of the host share and
+    that reach into open blocks; a longer repeat is the union of these. common: those that reach
+    into articles and are shared by ARTICLES distinct streams or more, copied articles left out.
 
     The page streams of a host, one behind the other, have one suffix array; suffixes with a
     common prefix of RUN words or more are neighbours in it. These neighbourhoods are formed by
@@ -231,22 +242,19 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
     counts are pre-aggregated, so neither a large host nor a very common run gathers in a task.
     Pages with one stream (copies of a page) count once.
     """
-    marks = pages.mapInArrow(_marks, MARKS)
-    often = materialize(on_several(marks, "key"), "fingerprints")
-    near = marks.join(broadcast_if_small(often), "key", "left_semi")
-    cells = F.posexplode(F.arrays_zip("names", "kept")).alias("i", "x")
-    each = materialize(
-        near.select("row", "stream", "first", "n_kept", cells).select("row", "stream", "n_kept", (F.col("first") + F.col("i")).alias("pos"), F.col("x.names").alias("name"), F.col("x.kept").alias("kept")),
-        "suffixes",
-    )
-    twice = on_several(each, "name")
-    shared = materialize(each.join(twice, "name", "left_semi"), "runs")
+    often = materialize(on_several(pages.mapInArrow(_fingers, "finger long, stream int"), "finger"), "fingerprints")
+    near = pages.mapInArrow(_groups, GROUPS).join(broadcast_if_small(often), "finger", "left_semi")
+    cells = F.explode(F.arrays_zip("place", "name", "kept", "open")).alias("x")
+    each = materialize(near.select("row", "stream", "whole", cells).select("row", "stream", "whole", "x.*"), "suffixes")
+    twice = materialize(on_several(each, "name"), "repeats")
+    shared = each.join(broadcast_if_small(twice), "name", "left_semi")
     # an article half of whose suffixes are repeated is a copy of another, not furniture
-    copies = shared.filter("kept").groupBy("row", "n_kept").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") >= COPIED * F.col("n_kept")).select("row")
-    copies = materialize(copies, "copies")
-    articles = shared.filter("kept").join(copies, "row", "left_anti")
-    common = articles.join(on_several(articles, "name", ARTICLES), "name", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("common"))
-    return materialize(shared.groupBy("row").agg(F.collect_set("pos").alias("runs")).join(common, "row", "left"), "covered")
+    copies = shared.filter("kept").groupBy("row", "place", "whole").agg(F.lit(1)).groupBy("row", "whole").agg(F.count(F.lit(1)).alias("n"))
+    copies = materialize(copies.filter(F.col("n") >= COPIED * (F.col("whole") - RUN + 1)).select("row"), "copies")
+    articles = materialize(shared.filter("kept").join(broadcast_if_small(copies), "row", "left_anti"), "articles")
+    common = articles.join(on_several(articles, "name", ARTICLES), "name", "left_semi").select("row", F.lit(None).cast("int").alias("run"), F.col("place").alias("common"))
+    runs = shared.filter("open").select("row", F.col("place").alias("run"), F.lit(None).cast("int").alias("common"))
+    return materialize(runs.union(common).groupBy("row").agg(F.collect_set("run").alias("runs"), F.collect_set("common").alias("common")), "covered")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +268,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for zone, text in found:
                     if zone == DROP:
                         continue
-                    if not runs:
+                    if not (runs or common):
                         kept.append(text)
                         continue
                     n = len(text.encode("utf-8", "surrogatepass").split())
