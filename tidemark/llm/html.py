@@ -23,7 +23,7 @@ COVERED = 0.5
 #: An article is a copy when this share of its suffixes is repeated.
 COPIED = 0.5
 #: Pages that are worked on at a time.
-PAGE_ROWS = 128
+PAGE_ROWS = 512
 PRIME = np.uint64(0x100000001B3)
 
 # Fixed values of HTML: elements whose text is never shown or never part of an article, elements

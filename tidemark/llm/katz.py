@@ -16,14 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import materialize, spread
 from tidemark.llm.tokens import coded_words, mix
 
 #: Bytes of text in a chunk, and about how many entries one bucket of the tables gathers.
 CHUNK_BYTES, BUCKET_ENTRIES, FILE_BYTES = 12_000_000, 1_500_000, 64_000_000
-#: Counts above K aren't discounted; bigrams seen less often than CUTOFF would count as unseen: all are stored.
-K, CUTOFF = 5, 1
-END, BOS = np.uint64(0xE0D0E0D0E0D0E0D1), (1 << 32) - 1
+#: Counts above K aren't discounted.
+K = 5
+#: Hash of the end token, and id of the start mark, above all others.
+END, BOS = np.uint64(0xE0D0E0D0E0D0E0D1), np.iinfo(np.int64).max
 MASK = np.uint64(0xFFFFFFFF)
 PART = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
 PART_NAMES = ["kind", "bucket", "chunk", "a", "b", "c", "d"]
@@ -136,9 +137,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, offsets binary, codes binary, hashes binary, n_dict long"
 
 
+PARTS = pa.schema([(n, k) for n, k in zip(PART_NAMES, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4))])
+
+
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], PART_NAMES)
+    columns = list(zip(*rows)) or [()] * len(PARTS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARTS)], schema=PARTS)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -153,9 +157,11 @@ def _train(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, offsets, np.repeat(~np.array(row["held"], bool), np.diff(offsets))
 
 
-def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """The order by bucket, and from where to where each bucket that occurs stands in it."""
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    found, begin = np.unique(bucket[order], return_index=True)
+    return order, {int(k): (int(x), int(y)) for k, x, y in zip(found, begin, [*begin[1:], len(bucket)])}
 
 
 def _word_requests(buckets: int):
@@ -166,8 +172,9 @@ def _word_requests(buckets: int):
             count = np.bincount(codes[train], minlength=len(hashes)).astype(np.int64)
             order = np.argsort(hashes)
             hashes, count = hashes[order], count[order]
-            at = np.searchsorted(hashes >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-            yield _parts([(1, b, row["chunk"], pack(hashes[x:y], True), pack(count[x:y]), None, None) for b, (x, y) in enumerate(zip(at, at[1:])) if y > x])
+            # ranges of hashes, a power of two: the order by hash is the order by bucket
+            _, at = _by_bucket((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32))
+            yield _parts([(1, b, row["chunk"], pack(hashes[x:y], True), pack(count[x:y]), None, None) for b, (x, y) in at.items()])
 
     return run
 
@@ -200,9 +207,7 @@ def _unigrams(words: DataFrame, docs: int, buckets: int) -> Unigrams:
     found = words.filter("kind = 0").mapInArrow(classes, "r long, n long").filter("r > 0").groupBy("r").agg(F.sum("n"), F.max("n")).collect()
     found.sort(reverse=True)
     counts, sizes, most = (np.array([x[i] for x in found], np.int64) for i in range(3))
-    room = most * buckets
-    if room.sum() >= BOS:
-        raise ValueError("more than 2^32 - 1 words in training")
+    room = most * buckets  # ids leave gaps: 64 bits hold them for any corpus
     first = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
     return Unigrams(
         int((counts * sizes).sum()), int(sizes.sum()), docs, buckets, counts, sizes, first, discounts({int(r): int(n) for r, n in zip(counts, sizes) if r <= K + 1})
@@ -224,41 +229,56 @@ def _ids(row: dict, uni: Unigrams) -> tuple[np.ndarray, np.ndarray]:
     return out_count, out_ids
 
 
-def _pairs(codes: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(histories, keys, known): per token the history's id, history << 32 | word, and whether both have ids."""
-    w = ids[codes]
-    h = np.concatenate([[BOS], w[:-1]])
-    h[offsets[:-1]] = BOS
-    return h, (h.astype(np.uint64) << np.uint64(32)) | (w.astype(np.uint64) & MASK), (h >= 0) & (w >= 0)
+@dataclass(frozen=True)
+class Asked:
+    """What a chunk asks of the bigram tables.
 
+    ids: its distinct ids, rising, the start mark last; h, w: per token the ranks of history and
+    word in them (-1: unseen); both: tokens with neither unseen; pair: their place among the
+    distinct bigrams (ph, pw, by rank); order, at: the bigrams by bucket; hist, hist_at: its
+    histories' ranks by bucket, without those that are dealt to several.
+    """
 
-def _asked(keys: np.ndarray, h: np.ndarray, known: np.ndarray, uni: Unigrams, buckets: int):
-    """The distinct keys and histories of a chunk in the order of its requests, and where each bucket begins."""
-    uniq = np.unique(keys[known])
-    order, at = _by_bucket(uni.bucket((uniq >> np.uint64(32)).astype(np.int64), uniq & MASK, buckets), buckets)
-    hist = np.unique(h[h >= 0])
-    hist = hist[uni.salts(hist, buckets) <= 1]
-    h_order, h_at = _by_bucket(uni.bucket(hist, None, buckets), buckets)
-    return uniq[order], at, hist[h_order], h_at
+    ids: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+    both: np.ndarray
+    pair: np.ndarray
+    ph: np.ndarray
+    pw: np.ndarray
+    order: np.ndarray
+    at: dict[int, tuple[int, int]]
+    hist: np.ndarray
+    hist_at: dict[int, tuple[int, int]]
+
+
+def _ask(codes: np.ndarray, offsets: np.ndarray, of_code: np.ndarray, uni: Unigrams, buckets: int) -> Asked:
+    ids = np.append(np.unique(of_code[of_code >= 0]), BOS)
+    w = np.where(of_code >= 0, np.searchsorted(ids, of_code), -1)[codes]
+    h = np.concatenate([[0], w[:-1]])
+    h[offsets[:-1]] = len(ids) - 1
+    both = (h >= 0) & (w >= 0)
+    distinct, pair = np.unique((h[both].astype(np.uint64) << np.uint64(32)) | w[both].astype(np.uint64), return_inverse=True)
+    ph, pw = (distinct >> np.uint64(32)).astype(np.int64), (distinct & MASK).astype(np.int64)
+    order, at = _by_bucket(uni.bucket(ids[ph], ids[pw], buckets))
+    hist = np.flatnonzero(np.bincount(h[h >= 0], minlength=len(ids)))
+    hist = hist[uni.salts(ids[hist], buckets) <= 1]
+    h_order, hist_at = _by_bucket(uni.bucket(ids[hist], None, buckets))
+    return Asked(ids, h, w, both, pair, ph, pw, order, at, hist[h_order], hist_at)
 
 
 def _pair_requests(uni: Unigrams, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             codes, offsets, train = _train(row)
-            _, ids = _ids(row, uni)
-            h, keys, known = _pairs(codes, offsets, ids)
-            uniq, at, hist, h_at = _asked(keys, h, known, uni, buckets)
-            seen, n = np.unique(keys[known & train], return_counts=True)
-            where = np.searchsorted(seen, uniq)
-            ok = where < len(seen)
-            ok[ok] = seen[where[ok]] == uniq[ok]
-            count = np.zeros(len(uniq), np.int64)
-            count[ok] = n[where[ok]]
-            yield _parts([
-                (1, b, row["chunk"], pack(uniq[at[b] : at[b + 1]], True), pack(count[at[b] : at[b + 1]]), pack(hist[h_at[b] : h_at[b + 1]], True), None)
-                for b in range(buckets) if not b or at[b + 1] > at[b] or h_at[b + 1] > h_at[b]
-            ])
+            q = _ask(codes, offsets, _ids(row, uni)[1], uni, buckets)
+            count = np.bincount(q.pair, weights=train[q.both], minlength=len(q.ph)).astype(np.int64)[q.order]
+            h, w, hist = q.ids[q.ph[q.order]], q.ids[q.pw[q.order]], q.ids[q.hist]
+            rows = []
+            for b in q.at.keys() | q.hist_at.keys():
+                (x, y), (i, j) = q.at.get(b, (0, 0)), q.hist_at.get(b, (0, 0))
+                rows.append((1, b, row["chunk"], pack(h[x:y], True), pack(w[x:y]), pack(count[x:y]), pack(hist[i:j], True)))
+            yield _parts(rows)
 
     return run
 
@@ -266,31 +286,31 @@ def _pair_requests(uni: Unigrams, buckets: int):
 def _pair_group(table: pa.Table) -> pa.Table:
     """A bucket's requests to the stored bigrams (kind 0, with counts of counts) and where each chunk's entries stand (kind 1)."""
     rows = table.to_pylist()
-    keys, counts = [unpack(r["a"], True) for r in rows], [unpack(r["b"]) for r in rows]
-    uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
-    stored = total >= CUTOFF
+    asked = [(unpack(r["a"], True), unpack(r["b"]), unpack(r["c"]), unpack(r["d"], True)) for r in rows]
+    (hs, h), (ws, w) = (np.unique(np.concatenate([x[i] for x in asked]), return_inverse=True) for i in (0, 1))
+    distinct, inverse = np.unique((h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([x[2] for x in asked]), minlength=len(distinct)).astype(np.int64)
+    stored = total > 0
     number = np.cumsum(stored) - 1
-    hist = np.unique((uniq[stored] >> np.uint64(32)).astype(np.int64))
+    h, w, total = hs[(distinct[stored] >> np.uint64(32)).astype(np.int64)], ws[(distinct[stored] & MASK).astype(np.int64)], total[stored]
+    hist = np.unique(h)
     n_r = np.bincount(np.minimum(total, K + 2), minlength=K + 3).astype(np.int64)
-    out, at = [(0, rows[0]["bucket"], -1, pack(uniq[stored], True), pack(total[stored]), pack(n_r), None)], 0
-    for r, k in zip(rows, keys):
-        mine = inverse[at : at + len(k)]
-        at += len(k)
-        here = np.flatnonzero(stored[mine])
-        asked = unpack(r["c"], True)
-        has = np.flatnonzero(np.isin(asked, hist))
+    out, at = [(0, rows[0]["bucket"], -1, pack(h, True), pack(w), pack(total), pack(n_r))], 0
+    for r, (mine_h, _, _, histories) in zip(rows, asked):
+        mine = inverse[at : at + len(mine_h)]
+        at += len(mine_h)
+        here, has = np.flatnonzero(stored[mine]), np.flatnonzero(np.isin(histories, hist))
         if len(here) or len(has):
-            out.append((1, r["bucket"], r["chunk"], pack(here, True), pack(number[mine[here]], True), pack(has, True), pack(np.searchsorted(hist, asked[has]), True)))
+            out.append((1, r["bucket"], r["chunk"], pack(here, True), pack(number[mine[here]], True), pack(has, True), pack(np.searchsorted(hist, histories[has]), True)))
     return pa.Table.from_batches([_parts(out)])
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray, uni: Unigrams, d: np.ndarray):
-    """Per history: (histories, begin, p of each bigram, sum of p, sum of the words' unigram p)."""
-    h = (keys >> np.uint64(32)).astype(np.int64)
+def _sums(row: dict, uni: Unigrams, d: np.ndarray):
+    """Of a bucket's stored bigrams: (histories, begin, p of each bigram, its word's unigram p, sums of both per history)."""
+    h, w, counts = unpack(row["a"], True), unpack(row["b"]), unpack(row["c"])
     hist, begin = np.unique(h, return_index=True)
     p = d[np.where(counts <= K, counts, 0)] * counts / uni.count_of(h)
-    p1 = uni.p(uni.count_of((keys & MASK).astype(np.int64)))
+    p1 = uni.p(uni.count_of(w))
     return hist, begin, p, p1, np.add.reduceat(p, begin), np.add.reduceat(p1, begin)
 
 
@@ -310,20 +330,20 @@ def _score_group(uni: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         own = next(r for r in rows if r["kind"] == 0)
-        keys, counts, out = unpack(own["a"], True), unpack(own["b"]), []
-        if len(keys):
-            hist, begin, p, p1, s2, s1 = _sums(keys, counts, uni, d)
+        out = []
+        if len(unpack(own["c"])):
+            hist, begin, p, p1, s2, s1 = _sums(own, uni, d)
             for i in np.flatnonzero(np.isin(hist, list(hot))):
                 s2[i], s1[i] = hot[int(hist[i])]
             scale, alpha = backoff(s2, s1, uni.count_of(hist))
-            each = np.repeat(np.arange(len(hist)), np.diff(np.append(begin, len(keys))))
+            each = np.repeat(np.arange(len(hist)), np.diff(np.append(begin, len(p))))
             gain = (np.log10(p * scale[each]) - np.log10(alpha[each]) - np.log10(p1)).astype(np.float32)
             weight = np.log10(alpha).astype(np.float32)
             out = [
                 (1, r["bucket"], r["chunk"], r["a"], pack(gain[unpack(r["b"], True)]), r["c"], pack(weight[unpack(r["d"], True)]))
                 for r in rows if r["kind"] == 1
             ]
-        return pa.Table.from_batches([_parts(out)] if out else [], schema=_parts([(0, 0, 0, b"", b"", b"", b"")]).schema)
+        return pa.Table.from_batches([_parts(out)])
 
     return run
 
@@ -332,22 +352,19 @@ def _score(uni: Unigrams, buckets: int, hot_alpha: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             codes, offsets, _ = _train(row)
-            count, ids = _ids(row, uni)
-            h, keys, known = _pairs(codes, offsets, ids)
-            uniq, at, hist, h_at = _asked(keys, h, known, uni, buckets)
-            gain, weight = np.zeros(len(uniq)), np.zeros(len(hist))
+            count, of_code = _ids(row, uni)
+            q = _ask(codes, offsets, of_code, uni, buckets)
+            gain, weight = np.zeros(len(q.ph)), np.zeros(len(q.ids))
             for x in row["pairs"] or ():
-                gain[at[x["bucket"]] + unpack(x["a"], True)] = unpack(x["b"])
-                weight[h_at[x["bucket"]] + unpack(x["c"], True)] = unpack(x["d"])
-            by_key, by_hist = np.argsort(uniq), np.argsort(hist)
-            total = np.log10(uni.p(count))[codes]
-            if len(uniq):
-                total[known] += gain[by_key[np.searchsorted(uniq, keys[known], sorter=by_key)]]
-            if len(hist):
-                pos = np.minimum(np.searchsorted(hist, h, sorter=by_hist), len(hist) - 1)
-                total += np.where(hist[by_hist[pos]] == h, weight[by_hist[pos]], 0.0)
+                gain[q.order[q.at.get(x["bucket"], (0, 0))[0] + unpack(x["a"], True)]] = unpack(x["b"])
+                weight[q.hist[q.hist_at.get(x["bucket"], (0, 0))[0] + unpack(x["c"], True)]] = unpack(x["d"])
             for k, a in hot_alpha.items():
-                total[h == k] += math.log10(a)
+                at = np.searchsorted(q.ids, k)
+                if at < len(q.ids) and q.ids[at] == k:
+                    weight[at] = math.log10(a)
+            total = np.log10(uni.p(count))[codes]
+            total[q.both] += gain[q.pair]
+            total += np.where(q.h >= 0, weight[q.h], 0.0)
             base = np.log10((count + 1) / (uni.tokens + uni.types + 1))[codes]
             begin = offsets[:-1]
             yield pa.RecordBatch.from_arrays(
@@ -388,17 +405,23 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each get a row. Empty table: no rows. Without training documents every word is unknown.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     weight = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), weight // FILE_BYTES)
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
-    slim.mapInArrow(_chunks, CHUNKS).write.option("compression", "zstd").bucketBy(files, "chunk").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        slim.mapInArrow(_chunks, CHUNKS).write.option("compression", "zstd").bucketBy(files, "chunk").format("parquet").saveAsTable(name)
+        return _scores(spark.table(name), weight)
+    finally:  # the scores are written by then
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _scores(chunks: DataFrame, weight: int) -> DataFrame:
+    spark = chunks.sparkSession
     n_docs, n_words, n_tokens = chunks.agg(
         F.sum(F.size(F.filter("held", lambda x: ~x))), F.sum("n_dict"), F.sum(F.octet_length("codes"))
     ).first()
     if n_words is None:
-        spark.sql(f"DROP TABLE {name}")
         return spark.createDataFrame([], SCORES)
     word_buckets = _power(n_words)
     grouped: Callable[[DataFrame, Callable], DataFrame] = lambda df, f: df.groupBy("bucket").applyInArrow(f, PART)
@@ -410,16 +433,15 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(K + 3)), pa.array(unpack(row["c"]))], ["r", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(K + 3)), pa.array(unpack(row["d"]))], ["r", "n"])
 
     n_r = dict(pairs.filter("kind = 0").mapInArrow(totals, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
     d = discounts({r: n for r, n in n_r.items() if 1 <= r <= K + 1})
 
     def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            keys, counts = unpack(row["a"], True), unpack(row["b"])
-            if len(keys):
-                hist, _, _, _, s2, s1 = _sums(keys, counts, uni, d)
+            if len(unpack(row["c"])):
+                hist, _, _, _, s2, s1 = _sums(row, uni, d)
                 split = uni.salts(hist, buckets) > 1
                 yield pa.RecordBatch.from_arrays([pa.array(hist[split]), pa.array(s2[split]), pa.array(s1[split])], ["h", "s2", "s1"])
 
@@ -427,9 +449,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hot = {h: (s2, s1) for h, s2, s1 in pairs.filter("kind = 0").mapInArrow(hot_sums, "h long, s2 double, s1 double").groupBy("h").agg(F.sum("s2"), F.sum("s1")).collect()}
     alpha = {h: float(backoff(np.array([s2]), np.array([s1]), uni.count_of(np.array([h])))[1][0]) for h, (s2, s1) in hot.items()}
     gains = materialize(grouped(pairs, _score_group(uni, d, hot)), "gains")
-    out = materialize(known.join(_answers(gains, "pairs"), "chunk", "left").mapInArrow(_score(uni, buckets, alpha), SCORES), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return materialize(known.join(_answers(gains, "pairs"), "chunk", "left").mapInArrow(_score(uni, buckets, alpha), SCORES), "scores")
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
