@@ -20,7 +20,7 @@ from tidemark.llm.shared import materialize, spread
 from tidemark.llm.tokens import coded_words, mix
 
 #: Bytes of text in a chunk, and about how many entries one bucket of the tables gathers.
-CHUNK_BYTES, BUCKET_ENTRIES, FILE_BYTES = 12_000_000, 1_500_000, 64_000_000
+CHUNK_BYTES, BUCKET_ENTRIES, FILE_BYTES = 8_000_000, 1_500_000, 64_000_000
 #: Counts above K aren't discounted.
 K = 5
 #: Hash of the end token, and id of the start mark, above all others.
@@ -254,12 +254,12 @@ class Asked:
 
 def _ask(codes: np.ndarray, offsets: np.ndarray, of_code: np.ndarray, uni: Unigrams, buckets: int) -> Asked:
     ids = np.append(np.unique(of_code[of_code >= 0]), BOS)
-    w = np.where(of_code >= 0, np.searchsorted(ids, of_code), -1)[codes]
-    h = np.concatenate([[0], w[:-1]])
+    w = np.where(of_code >= 0, np.searchsorted(ids, of_code), -1).astype(np.int32)[codes]
+    h = np.append(w[:1], w[:-1])
     h[offsets[:-1]] = len(ids) - 1
     both = (h >= 0) & (w >= 0)
     distinct, pair = np.unique((h[both].astype(np.uint64) << np.uint64(32)) | w[both].astype(np.uint64), return_inverse=True)
-    ph, pw = (distinct >> np.uint64(32)).astype(np.int64), (distinct & MASK).astype(np.int64)
+    pair, ph, pw = pair.astype(np.int32), (distinct >> np.uint64(32)).astype(np.int32), (distinct & MASK).astype(np.int32)
     order, at = _by_bucket(uni.bucket(ids[ph], ids[pw], buckets))
     hist = np.flatnonzero(np.bincount(h[h >= 0], minlength=len(ids)))
     hist = hist[uni.salts(ids[hist], buckets) <= 1]
@@ -448,7 +448,7 @@ def _scores(chunks: DataFrame, weight: int) -> DataFrame:
     # histories over one bucket's share of the tokens: fewer than there are buckets
     hot = {h: (s2, s1) for h, s2, s1 in pairs.filter("kind = 0").mapInArrow(hot_sums, "h long, s2 double, s1 double").groupBy("h").agg(F.sum("s2"), F.sum("s1")).collect()}
     alpha = {h: float(backoff(np.array([s2]), np.array([s1]), uni.count_of(np.array([h])))[1][0]) for h, (s2, s1) in hot.items()}
-    gains = materialize(grouped(pairs, _score_group(uni, d, hot)), "gains")
+    gains = grouped(pairs, _score_group(uni, d, hot))
     return materialize(known.join(_answers(gains, "pairs"), "chunk", "left").mapInArrow(_score(uni, buckets, alpha), SCORES), "scores")
 
 
