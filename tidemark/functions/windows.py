@@ -26,7 +26,15 @@ def so_far(ent: Ent, t: str) -> WindowSpec:
 
 
 def from_here(ent: Ent, t: str) -> WindowSpec:
-    return order(ent, t).rowsBetween(0, Window.unboundedFollowing)
+    """This row and all later ones, the last first: a frame that grows row by row and is never summed anew.
+
+    The nearest row is the frame's last.
+    """
+    return Window.partitionBy(*ent).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole(ent: Ent) -> WindowSpec:
+    return Window.partitionBy(*ent)
 
 
 def next_rows(h: int, ent: Ent, t: str) -> WindowSpec:

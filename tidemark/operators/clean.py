@@ -41,11 +41,11 @@ def fill_missing(df: DataFrame, ffill: Sequence[str], interpolate: Sequence[str]
         cur = cur.withColumn(c, F.last(c, True).over(so_far(ent, t)))
     for c in interpolate:
         point = F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).cast("double").alias("v")))
-        cur = cur.withColumns({"_a": F.last(point, True).over(so_far(ent, t)), "_b": F.first(point, True).over(from_here(ent, t))})
+        cur = cur.withColumns({"_a": F.last(point, True).over(so_far(ent, t)), "_b": F.last(point, True).over(from_here(ent, t))})
         line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_pos") - F.col("_a.p")) / (F.col("_b.p") - F.col("_a.p"))
         cur = cur.withColumn(c, F.coalesce(F.col(c).cast("double"), F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNotNull(), line))).drop("_a", "_b")
     for c in [*ffill, *interpolate]:
-        cur = cur.withColumn(c, F.first(c, True).over(from_here(ent, t)))
+        cur = cur.withColumn(c, F.last(c, True).over(from_here(ent, t)))
     return cur.drop("_pos")
 
 
@@ -74,7 +74,7 @@ def legacy_clean(df: DataFrame, columns: Sequence[str], price: str, ent: Ent, t:
         ahead = F.last(c, True).over(so_far(ent, t))
         cur = cur.withColumn(f"_f_{c}", ahead)
     for c in columns:
-        back = F.first(f"_f_{c}", True).over(from_here(ent, t))
+        back = F.last(f"_f_{c}", True).over(from_here(ent, t))
         cur = cur.withColumn(c, F.col(f"_f_{c}") if c == price else F.coalesce(F.col(f"_f_{c}"), back))
     means = {c: F.coalesce(F.col(c), F.avg(c).over(Window.partitionBy(*ent))) for c in columns}
     return cur.withColumns(means).drop(*[f"_f_{c}" for c in columns])
@@ -92,14 +92,17 @@ def _long(df: DataFrame, columns: Sequence[str], ent: Ent, t: str) -> DataFrame:
     return df.select(*ent, F.col(t).alias("_t"), F.explode(cells).alias("x")).select(*ent, "_t", "x.*").filter("value IS NOT NULL")
 
 
+def _runs(df: DataFrame, columns: Sequence[str], ent: Ent, t: str) -> DataFrame:
+    """The long table with `_prev`, the value before, and `_run`, the length of the run of one value up to the row."""
+    w = Window.partitionBy(*ent, "column").orderBy("_t")
+    long = _long(df, columns, ent, t).withColumns({"_prev": F.lag("value").over(w), "_pos": F.row_number().over(w)})
+    start = F.when(F.col("_prev").isNull() | (F.col("value") != F.col("_prev")), F.col("_pos"))
+    return long.withColumn("_run", F.col("_pos") - F.last(start, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+
+
 def longest_constant_run(df: DataFrame, columns: Sequence[str], ent: Ent, t: str) -> DataFrame:
     """Per (entity, column): the longest run of one value among those that aren't null."""
-    by = [*ent, "column"]
-    long = _long(df, columns, ent, t)
-    w = Window.partitionBy(*by).orderBy("_t")
-    new = F.when(F.col("value") == F.lag("value").over(w), 0).otherwise(1)
-    runs = long.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*by).agg(F.max("n").alias("longest_run"))
+    return _runs(df, columns, ent, t).groupBy(*ent, "column").agg(F.max("_run").cast("long").alias("longest_run"))
 
 
 @dataclass(frozen=True)
@@ -117,11 +120,10 @@ class Thresholds:
 def screen_columns(df: DataFrame, columns: Sequence[str], ent: Ent, t: str, limits: Thresholds = Thresholds()) -> DataFrame:
     """Per (entity, column): statistics, verdict (`ok` or the first failed check) and reason, failed columns first."""
     by = [*ent, "column"]
-    long = _long(df, columns, ent, t).withColumn("_prev", F.lag("value").over(Window.partitionBy(*by).orderBy("_t")))
-    stats = long.groupBy(*by).agg(
+    stats = _runs(df, columns, ent, t).groupBy(*by).agg(
         F.count("value").alias("n_obs"), F.min("_t").alias("first_valid"), F.max("_t").alias("last_valid"), F.corr("value", "_prev").alias("autocorr"),
-        F.try_divide(F.stddev_samp("value"), F.avg(F.abs("value"))).alias("rel_std"),
-    ).join(longest_constant_run(df, columns, ent, t), by)
+        F.try_divide(F.stddev_samp("value"), F.avg(F.abs("value"))).alias("rel_std"), F.max("_run").cast("long").alias("longest_run"),
+    )
     noise = (F.col("autocorr") < limits.min_autocorr) & (F.col("rel_std") > 0) & (F.col("rel_std") < limits.noise_rel_std)
     checks = [
         ("quarantined", F.col("column").isin(*limits.quarantine) if limits.quarantine else F.lit(False)), ("too_short", F.col("n_obs") < limits.min_obs),

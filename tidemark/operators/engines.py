@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
-from tidemark.functions.windows import Ent, order, pct_change
+from tidemark.functions.windows import Ent, order, pct_change, so_far, whole
 from tidemark.operators.labels import forward_maxdd
 from tidemark.sources.staging import stage
 
@@ -28,8 +28,8 @@ ASSETS = {
 MIN_NORMAL, MIN_FEATURES, TREES, TREE_ROWS, ALERT = 500, 5, 200, 256, 0.99
 #: Rows of a reference that are sent to every task at most; a larger one is ranked by a sort.
 REFERENCE_ROWS = 1_000_000
-#: Queries that meet the pool in one pass.
-QUERY_ROWS = 20_000
+#: Queries and pool rows of a cell.
+QUERY_ROWS, POOL_ROWS = 5_000, 20_000
 
 
 def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str = "rank") -> DataFrame:
@@ -174,10 +174,10 @@ class Anomaly:
     reference: DataFrame = field(repr=False)
 
 
-def anomaly_fit(normal: DataFrame, columns: Sequence[str]) -> Anomaly:
-    """Model of normal rows; needs 500 of them and 5 usable columns."""
+def anomaly_fit(normal: DataFrame, columns: Sequence[str], min_normal: int = MIN_NORMAL) -> Anomaly:
+    """Model of normal rows; needs `min_normal` of them and 5 usable columns."""
     scaler = fit_imputer_scaler(normal, columns)
-    if normal.count() < MIN_NORMAL or len(scaler.columns) < MIN_FEATURES:
+    if normal.count() < min_normal or len(scaler.columns) < MIN_FEATURES:
         raise ValueError("too few normal rows or features")
     z = apply_imputer_scaler(normal, scaler)
     names = [f"z_{c}" for c in scaler.columns]
@@ -213,7 +213,8 @@ def hmm_fit(df: DataFrame, columns: Sequence[str], ent: Ent, t: str, n_states: i
     if len(scaler.columns) < min(3, len(columns)):
         raise ValueError("too few usable columns")
     names, d, k = [f"z_{c}" for c in scaler.columns], len(scaler.columns), n_states
-    z = apply_imputer_scaler(df, scaler).select(*ent, t, *names).persist()
+    z = apply_imputer_scaler(df, scaler).select(*ent, t, *names)
+    z = z.repartition(*[F.col(c) for c in ent]).persist() if ent else z.persist()  # one shuffle for all rounds
     cuts = z.agg(F.percentile(names[0], F.array(*[F.lit(i / k) for i in range(1, k)])).alias("q")).first()["q"]
     state = reduce(lambda c, x: c + (F.col(names[0]) > x).cast("int"), cuts, F.lit(0))
     groups = {r["_k"]: r for r in z.withColumn("_k", state).groupBy("_k").agg(*[F.avg(c).alias(c) for c in names]).collect()}
@@ -300,68 +301,59 @@ def analog_whiten(df: DataFrame, columns: Sequence[str], mean: np.ndarray, cov:
     return df.withColumn(out, white(*[F.col(c).cast("double") for c in columns]))
 
 
+def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
+    """The k best rows of a part of the pool (_p, _d, _w, kept) for each query of a block (_q, _d, _w)."""
+
+    def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
+        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1)
+        q, x = vectors(queries), vectors(pool)
+        qd, pd_ = (np.asarray(t.column("_d").to_numpy()) for t in (queries, pool))
+        rows, at, far = [], [], []
+        for start in range(0, len(q) if len(x) else 0, 512):
+            a = q[start : start + 512]
+            dist = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * a @ x.T, 0))
+            # the product form loses digits near zero: settle small ones exactly
+            for i, j in np.argwhere(dist < 1e-3):
+                dist[i, j] = np.sqrt(((a[i] - x[j]) ** 2).sum())
+            dist[dist <= 1e-8] = np.inf
+            if embargo_days is not None:
+                dist[np.abs(qd[start : start + 512][:, None] - pd_[None]) <= embargo_days] = np.inf
+            top = np.argpartition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, :k]
+            i, j = np.repeat(np.arange(len(a)), top.shape[1]), top.ravel()
+            good = np.isfinite(dist[i, j])
+            rows.append(start + i[good]), at.append(j[good]), far.append(dist[i, j][good])
+        i, j, d = (np.concatenate(c) if c else np.array([], t) for c, t in ((rows, np.int64), (at, np.int64), (far, float)))
+        return pa.table([queries.column("_q").take(pa.array(i)), pa.array(d), *[pool.column(c).take(pa.array(j)) for c in ("_p", *kept)]], names=["_q", "distance", "_p", *kept])
+
+    return run
+
+
 def nearest(queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = ()) -> DataFrame:
     """(qid, pool columns, distance, rank): the k nearest pool rows of every query, none dropped for speed.
 
-    Queries go to the tasks in blocks of QUERY_ROWS; each task keeps its pool part's k best per
-    query, and these (k per query and task) meet by query. A pool row within `embargo_days`
-    calendar days (inclusive) of the query, or at distance 0 (itself), is no neighbour.
+    Queries in blocks of about QUERY_ROWS and the pool in parts of about POOL_ROWS meet in
+    cells, each one task's work; a cell keeps k rows per query, and these meet by query. A pool
+    row within `embargo_days` calendar days (inclusive) of the query, or at distance 0 (the
+    query itself, and copies of it), is no neighbour.
     """
-    n = max(queries.count(), 1)
-    blocks = math.ceil(n / QUERY_ROWS)
-    days = lambda d: F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
-    qs = queries.select(F.col(qid).alias("_q"), days(queries).alias("_d"), F.col(vector).alias("_w"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_b"))
-    ps = pool.select(F.xxhash64(*keep).alias("_p"), days(pool).alias("_d"), F.col(vector).alias("_w"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    blocks, parts = (max(1, math.ceil(df.count() / n)) for df, n in ((queries, QUERY_ROWS), (pool, POOL_ROWS)))
+    days = F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
     kept = [f"k_{c}" for c in keep]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    qs = queries.select(F.col(qid).alias("_q"), days.alias("_d"), F.col(vector).alias("_w")).withColumn("_b", own("_q", blocks)).withColumn("_c", every(parts))
+    ps = pool.select(F.xxhash64(*keep).alias("_p"), days.alias("_d"), F.col(vector).alias("_w"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    ps = ps.withColumn("_c", own("_p", parts)).withColumn("_b", every(blocks))
     kinds = dict(ps.dtypes)
-    kind = dict(qs.dtypes)["_q"]
-    schema = ", ".join([f"_q {kind}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
-    out = None
-    for b in range(blocks):
-        rows = qs.filter(F.col("_b") == b).collect()  # at most about QUERY_ROWS vectors
-        if not rows:
-            continue
-        ids, q, qd = [r["_q"] for r in rows], np.array([r["_w"] for r in rows], float), np.array([r["_d"] for r in rows])
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                x, pd_ = np.array(pdf["_w"].tolist(), float), pdf["_d"].to_numpy()
-                for at in range(0, len(ids), 512):
-                    a = q[at : at + 512]
-                    dist = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * a @ x.T, 0))
-                    # the product form loses digits near zero: settle small ones exactly
-                    close = np.argwhere(dist < 1e-3)
-                    for i, j in close:
-                        dist[i, j] = np.sqrt(((a[i] - x[j]) ** 2).sum())
-                    dist[dist <= 1e-8] = np.inf
-                    if embargo_days is not None:
-                        dist[np.abs(qd[at : at + 512][:, None] - pd_[None]) <= embargo_days] = np.inf
-                    top = np.argpartition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, :k]
-                    i = np.repeat(np.arange(len(a)), top.shape[1])
-                    j = top.ravel()
-                    good = np.isfinite(dist[i, j])
-                    i, j = i[good], j[good]
-                    found = pdf.iloc[j][["_p", *kept]].reset_index(drop=True)
-                    found.insert(0, "distance", dist[i, j])
-                    found.insert(0, "_q", [ids[at + n] for n in i])
-                    yield found
-
-        part = ps.mapInPandas(best, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = pool.sparkSession.createDataFrame([], schema)
+    schema = ", ".join([f"_q {dict(qs.dtypes)['_q']}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
+    best = qs.groupBy("_b", "_c").cogroup(ps.groupBy("_b", "_c")).applyInArrow(_cell(k, embargo_days, kept), schema)
     w = Window.partitionBy("_q").orderBy("distance", "_p")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(f"pool_{c}" if c == qid else c) for c in keep], "distance", "rank")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(f"pool_{c}" if c == qid else c) for c in keep], "distance", "rank")
 
 
-def analog_reference_radii(pool: DataFrame, k: int, qid: str, t: str | None, keep: Sequence[str], longest: int = max(HORIZONS), sample_rows: int = 100_000) -> DataFrame:
-    """(radius): distance to the k-th neighbour of pool rows, with the longest horizon's embargo.
-
-    Up to about `sample_rows` pool rows, drawn by hash, stand for the distribution of radii.
-    """
-    share = min(1.0, sample_rows / max(pool.count(), 1))
-    drawn = pool if share == 1.0 else pool.filter(F.pmod(F.xxhash64(qid), F.lit(1_000_003)) < int(share * 1_000_003))
-    found = nearest(drawn, pool, k, math.ceil(1.6 * longest) if t else None, qid, t, keep=keep)
+def analog_reference_radii(pool: DataFrame, k: int, qid: str, t: str | None, keep: Sequence[str], longest: int = max(HORIZONS)) -> DataFrame:
+    """(radius): distance to the k-th neighbour of every pool row, with the longest horizon's embargo."""
+    found = nearest(pool, pool, k, math.ceil(1.6 * longest) if t else None, qid, t, keep=keep)
     return found.groupBy(qid).agg(F.max("distance").alias("radius"), F.max("rank").alias("_n")).filter(F.col("_n") == k).select("radius")
 
 
@@ -403,10 +395,21 @@ def pairs_of(assets: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def rolling_corr_matrix(df: DataFrame, assets: Sequence[str], ent: Ent, t: str, n: int = 252) -> DataFrame:
-    """c_<a>_<b> over the n rows before each; this row isn't in it. Null until n rows precede."""
-    w = order(ent, t).rowsBetween(-n, -1)
-    full = F.count(F.lit(1)).over(w) == n
-    return df.withColumns({f"c_{a}_{b}": F.when(full, F.corr(a, b).over(w)) for a, b in pairs_of(assets)})
+    """c_<a>_<b> over the n rows before each; this row isn't in it. Null until n rows precede, or without variation.
+
+    Sums over a window are differences of running sums of the entity's centred values, so a
+    row costs the same for any n. Rows with a null in any asset are left out of the sums.
+    """
+    w, past = order(ent, t), so_far(ent, t)
+    there = reduce(lambda c, a: c & F.col(a).isNotNull(), assets, F.lit(True))
+    cur = df.withColumns({f"_x_{a}": F.when(there, F.col(a) - F.avg(a).over(whole(ent))).otherwise(0.0) for a in assets} | {"_one": there.cast("int")})
+    sums = {"_one": F.col("_one")} | {f"_x_{a}": F.col(f"_x_{a}") for a in assets}
+    sums |= {f"_p_{a}_{b}": F.col(f"_x_{a}") * F.col(f"_x_{b}") for i, a in enumerate(assets) for b in assets[i:]}
+    run = cur.withColumns({f"_s{c}": F.sum(e).over(past) for c, e in sums.items()} | {"_row": F.row_number().over(w)})
+    held = run.withColumns({f"_w{c}": F.lag(f"_s{c}", 1).over(w) - F.coalesce(F.lag(f"_s{c}", n + 1).over(w), F.lit(0)) for c in sums})
+    part = lambda a, b: F.col(f"_w_p_{a}_{b}") - F.try_divide(F.col(f"_w_x_{a}") * F.col(f"_w_x_{b}"), F.col("_w_one"))
+    corr = {f"c_{a}_{b}": F.when(F.col("_row") > n, F.try_divide(part(a, b), F.sqrt(part(a, a) * part(b, b)))) for a, b in pairs_of(assets)}
+    return held.select(*df.columns, *[e.alias(c) for c, e in corr.items()])
 
 
 def connectedness(df: DataFrame, assets: Sequence[str], out: str = "connectedness") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import (
     Ent, col, days_since_max, diff, expanding_z, pct_change, rolling, rolling_acf, rolling_corr, rolling_kurt, rolling_skew,
+    whole,
 )
 
 YEAR, ROOT = 252, 252**0.5
@@ -19,10 +20,8 @@ def prefer_column(df: DataFrame, candidates: list[str], ent: Ent, out: str) -> D
     there = [c for c in candidates if c in df.columns]
     if not there:
         return df.withColumn(out, F.lit(None).cast("double"))
-    counts = df.groupBy(*ent).agg(*[F.count(c).alias(f"_n_{c}") for c in there])
-    pick = reduce(lambda w, c: w.when(F.col(f"_n_{c}") > 0, F.col(c)), there, F)
-    joined = df.join(counts, list(ent)) if ent else df.crossJoin(F.broadcast(counts))  # one row
-    return joined.withColumn(out, pick).drop(*[f"_n_{c}" for c in there])
+    pick = reduce(lambda w, c: w.when(F.count(c).over(whole(ent)) > 0, F.col(c)), there, F)
+    return df.withColumn(out, pick)
 
 
 def _or_null(df: DataFrame, name: str) -> Column:
@@ -105,8 +104,7 @@ def features_breadth(df: DataFrame, px: str, ent: Ent, t: str) -> DataFrame:
     bond = F.col("v6_tlt").cast("double") if "v6_tlt" in df.columns else -_or_null(df, "yield_10y")
     out = df.withColumns({"_ma50": rolling(F.avg, px, 50, ent, t), "_ma200": rolling(F.avg, px, 200, ent, t), "_r": pct_change(px, 1, ent, t), "_bond": bond,
                           "_dxy": _or_null(df, "dollar_twi")})
-    signs = df.select(*ent, bond.alias("_b")).groupBy(*ent).agg(F.every(F.coalesce(F.col("_b") > 0, F.lit(False))).alias("_positive"))
-    out = out.join(signs, list(ent)) if ent else out.crossJoin(F.broadcast(signs))  # one row
+    out = out.withColumn("_positive", F.every(F.coalesce(F.col("_bond") > 0, F.lit(False))).over(whole(ent)))
     out = out.withColumn("_br", F.when(F.col("_positive"), pct_change("_bond", 1, ent, t)).otherwise(diff("_bond", 1, ent, t)))
     out = out.withColumn("_corr", rolling_corr("_r", "_br", 63, ent, t))
     return out.withColumns({

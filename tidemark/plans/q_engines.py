@@ -14,7 +14,7 @@ from tidemark.sources.staging import stage
 
 QUERIES, SQL = {}, {}
 W = "(PARTITION BY ent ORDER BY t)"
-DIM = [f"e{i}" for i in range(8)]
+DIM = [f"e{i}" for i in range(64)]
 
 
 def query(name, sql=None):
@@ -28,7 +28,7 @@ def query(name, sql=None):
 
 
 def vectors(spark, d):
-    """(vec_id, label, e0..e7) from the embeddings; label is the outcome."""
+    """(vec_id, label, e0..e63) from the embeddings; label is the outcome."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIM)])
 
@@ -69,20 +69,21 @@ def _(spark, d):
 @query("isolation_forest_score")
 def _(spark, d):
     v = vectors(spark, d)
-    forest, rows = en.isolation_forest(v, DIM, trees=50)
+    forest, rows = en.isolation_forest(v, DIM)
     return rounded(en.isolation_forest_score(v, DIM, forest, rows).select("vec_id", "isolation"))
 
 
-@query("rank_vs_reference", f"WITH {VEC}, r AS (SELECT e0 AS x FROM vec WHERE vec_id % 2 = 0) SELECT vec_id, round((SELECT count(*) FROM r WHERE r.x < vec.e0)::DOUBLE / (SELECT count(*) FROM r), 6) AS rank FROM vec")
+@query("rank_vs_reference", f"WITH {VEC}, r AS (SELECT label AS x FROM vec) SELECT vec_id, round((SELECT count(*) FROM r WHERE r.x < vec.e0)::DOUBLE / (SELECT count(*) FROM r), 6) AS rank FROM vec")
 def _(spark, d):
     v = vectors(spark, d)
-    return rounded(en.rank_vs_reference(v, "e0", v.filter("vec_id % 2 = 0").select("e0")).select("vec_id", "rank"))
+    reference = v.select(F.col("label").alias("e0"))
+    return rounded(en.rank_vs_reference(v, "e0", reference).select("vec_id", "rank"))
 
 
 @query("anomaly_ensemble")
 def _(spark, d):
     v = vectors(spark, d)
-    model = en.anomaly_fit(v, DIM) if v.count() >= en.MIN_NORMAL else en.anomaly_fit(v.union(v).union(v).union(v).union(v).union(v).union(v).union(v).union(v).union(v), DIM)
+    model = en.anomaly_fit(v, DIM, min_normal=100)  # the smallest table has fewer rows than the default asks for
     return rounded(en.anomaly_score(v, model).select("vec_id", "mahalanobis_rank", "isolation_rank", "ensemble_rank", "ensemble_confidence", "anomaly_alert"))
 
 
@@ -90,12 +91,12 @@ def _features(spark, d):
     return stage(build_features(raw_panel(spark, d), ENT, T), "features")
 
 
-HMM_COLUMNS = ["rv_21_z", "dd_from_252h", "ma200_dist"]
+HMM_COLUMNS = list(en.HMM_FEATURES)
 
 
 def _hmm(spark, d):
     f = _features(spark, d).dropna(subset=HMM_COLUMNS)
-    return f, en.hmm_fit(f, HMM_COLUMNS, ENT, T, n_states=3, rounds=5)
+    return f, en.hmm_fit(f, HMM_COLUMNS, ENT, T)
 
 
 @query("hmm_fit")
@@ -145,8 +146,9 @@ def _plain(spark, d):
     return vectors(spark, d).withColumn("w", F.array(*DIM))
 
 
-DIST = "sqrt(" + " + ".join(f"power(a.{c} - b.{c}, 2)" for c in DIM) + ")"
-NEAR = VEC + f", nb AS (SELECT a.vec_id, b.vec_id AS other, b.label, {DIST} AS dist FROM vec a JOIN vec b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), nk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS r FROM nb QUALIFY r <= 10)"
+DIST = "list_distance(a.w, b.w)"
+VECW = "vec AS (SELECT vec_id, label::DOUBLE AS label, embedding::DOUBLE[] AS w FROM embeddings)"
+NEAR = VECW + f", nb AS (SELECT a.vec_id, b.vec_id AS other, b.label, {DIST} AS dist FROM vec a JOIN vec b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), nk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS r FROM nb QUALIFY r <= 10)"
 
 
 @query("analog_knn", f"WITH {NEAR} SELECT vec_id, round(avg((label >= 5)::INT), 6) AS prob, count(*) AS n_neighbours, round(max(dist), 6) AS radius FROM nk GROUP BY vec_id")
@@ -155,7 +157,7 @@ def _(spark, d):
     return rounded(en.analog_knn(v.filter("vec_id % 50 = 0"), v, "label", 5.0, 21, 10, "vec_id", None).drop("confidence"))
 
 
-@query("analog_reference_radii", f"WITH {VEC}, nb AS (SELECT a.vec_id, {DIST} AS dist FROM vec a JOIN vec b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dist) = 10) SELECT round(dist, 6) AS radius FROM nb")
+@query("analog_reference_radii", f"WITH {VECW}, nb AS (SELECT a.vec_id, {DIST} AS dist FROM vec a JOIN vec b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dist) = 10) SELECT round(dist, 6) AS radius FROM nb")
 def _(spark, d):
     return rounded(en.analog_reference_radii(_plain(spark, d), 10, "vec_id", None, ["vec_id"]))
 
@@ -184,9 +186,9 @@ BEFORE = "(PARTITION BY ent ORDER BY t ROWS BETWEEN 252 PRECEDING AND 1 PRECEDIN
 PAIRS = en.pairs_of(ASSETS)
 
 
-@query("rolling_corr_matrix", f"WITH {CHANGES} SELECT ent, t, " + ", ".join(f"round(CASE WHEN count(*) OVER {BEFORE} = 252 THEN corr({a}, {b}) OVER {BEFORE} END, 5) AS c_{a}_{b}" for a, b in PAIRS[:6]) + " FROM ch")
+@query("rolling_corr_matrix", f"WITH {CHANGES} SELECT ent, t, " + ", ".join(f"round(CASE WHEN count(*) OVER {BEFORE} = 252 THEN corr({a}, {b}) OVER {BEFORE} END, 5) AS c_{a}_{b}" for a, b in PAIRS) + " FROM ch")
 def _(spark, d):
-    return rounded(en.rolling_corr_matrix(_changes(spark, d), ASSETS, ENT, T).select("ent", "t", *[f"c_{a}_{b}" for a, b in PAIRS[:6]]), 5)
+    return rounded(en.rolling_corr_matrix(_changes(spark, d), ASSETS, ENT, T).select("ent", "t", *[f"c_{a}_{b}" for a, b in PAIRS]), 5)
 
 
 @query("connectedness")
@@ -194,12 +196,12 @@ def _(spark, d):
     return rounded(en.connectedness(en.rolling_corr_matrix(_changes(spark, d), ASSETS, ENT, T), ASSETS).select("ent", "t", "connectedness"))
 
 
-BREAK = "sqrt(2 * (" + " + ".join(f"power(corr({a}, {b}) OVER {BEFORE} - (SELECT corr({a}, {b}) FROM ch), 2)" for a, b in en.pairs_of(ASSETS[:3])) + "))"
+BREAK = "sqrt(2 * (" + " + ".join(f"power(corr({a}, {b}) OVER {BEFORE} - (SELECT corr({a}, {b}) FROM ch), 2)" for a, b in PAIRS) + "))"
 
 
 @query("structure_break", f"WITH {CHANGES} SELECT ent, t, round(CASE WHEN count(*) OVER {BEFORE} = 252 THEN {BREAK} END, 5) AS structure_break FROM ch")
 def _(spark, d):
-    c, some = _changes(spark, d), ASSETS[:3]
+    c, some = _changes(spark, d), ASSETS
     return rounded(en.structure_break(en.rolling_corr_matrix(c, some, ENT, T), some, en.baseline_corr(c, some)).select("ent", "t", "structure_break"), 5)
 
 

@@ -169,7 +169,7 @@ def _(spark, d):
     return out.select("ent", "t", *[F.round(c, DIGITS.get(c, 6)).alias(c) for c in ["_price", *features.FEATURES]])
 
 
-COVERED = ["rv_252_z", "ma200_dist", "epu_z", "cape_proxy_z"]
+COVERED = list(ALL_OUT)
 
 
 @query("feature_coverage", "WITH f AS (" + staged(ALL_LEVELS, {c: ALL_OUT[c] for c in COVERED}, {}) + ") " + " UNION ALL ".join(
