@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import engines as en, pool as po
 from tidemark.operators.features import build_features
-from tidemark.plans.panels import ENT, RAW, SCORED, T, raw_panel, rounded, scored_panel
-from tidemark.plans.q_features import pct
+from tidemark.plans.panels import ENT, POS, RAW, SCORED, T, forward_sql, raw_panel, rounded, scored_panel
+from tidemark.plans.q_features import ALL_LEVELS, ALL_OUT, chained, last, pct, z
 from tidemark.sources.staging import stage
 
 QUERIES, SQL = {}, {}
@@ -51,12 +51,18 @@ def _(spark, d):
     return rounded(en.apply_imputer_scaler(v, en.fit_imputer_scaler(v, DIM)).select("vec_id", *[f"z_{c}" for c in DIM]))
 
 
-@query("ledoit_wolf_cov")
+LW = """x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM x),
+  n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), s AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n.n) AS s FROM c a JOIN c b USING (vec_id), n GROUP BY ALL),
+  m AS (SELECT sum(s) FILTER (i = j) / 64 AS mu, sum(s * s) AS ss FROM s), f AS (SELECT sum(q * q) AS f FROM (SELECT sum(v * v) AS q FROM c GROUP BY vec_id)),
+  k AS (SELECT n, mu, (ss - 64 * mu * mu) / 64 AS delta, (f / n - ss) / (n * 64) AS beta FROM m, f, n), sh AS (SELECT n, mu, CASE WHEN delta <= 0 THEN 0 ELSE greatest(0, least(beta, delta) / delta) END AS shrinkage FROM k)"""
+
+
+@query("ledoit_wolf_cov", f"WITH {LW} SELECT n::BIGINT AS n, round(shrinkage, 6) AS shrinkage, i::INT AS i, j::INT AS j, round((1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END, 6) AS cov FROM s, sh")
 def _(spark, d):
     mean, cov, shrink = en.ledoit_wolf_cov(vectors(spark, d), DIM)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(cov[i, j])).alias("cov")) for i in range(len(DIM)) for j in range(len(DIM))])
+    cells = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(len(DIM)) for j in range(len(DIM))], "i int, j int, cov double")
     one = vectors(spark, d).groupBy().agg(F.count(F.lit(1)).alias("n"))
-    return rounded(one.select("n", F.lit(float(shrink)).alias("shrinkage"), F.explode(cells).alias("x")).select("n", "shrinkage", "x.*"))
+    return rounded(one.crossJoin(cells).select("n", F.lit(float(shrink)).alias("shrinkage"), "i", "j", "cov"))  # one row x d^2
 
 
 @query("mahalanobis_score")
@@ -126,7 +132,8 @@ def _(spark, d):
     return rounded(en.hmm_horizon(en.hmm_filter(f, m, ENT, T), m).select("ent", "t", "state", "stress_score", "h_step_crisis_prob", "h_step_stress_prob"))
 
 
-@query("analog_pool")
+@query("analog_pool", f"WITH {RAW}, pos AS (SELECT ent, t, sp500_close AS px, row_number() OVER {W} AS pos FROM raw), " + ", ".join(forward_sql(h, f"f{h}") for h in en.HORIZONS)
+       + " SELECT ent, t, " + ", ".join(f"round(f{h}.dd, 6) AS dd_{h}" for h in en.HORIZONS) + " FROM f21 JOIN f63 USING (ent, t) JOIN f126 USING (ent, t) JOIN f252 USING (ent, t) WHERE f252.dd IS NOT NULL")
 def _(spark, d):
     return rounded(en.analog_pool(raw_panel(spark, d).select("ent", "t", "sp500_close"), "sp500_close", ENT, T).select("ent", "t", *[f"dd_{h}" for h in en.HORIZONS]))
 
@@ -263,14 +270,31 @@ def _(spark, d):
     return rounded(k.select("ent", "t", po.apply_bins(F.col("tax"), po.fit_bins(k, "tax", "y")).alias("calibrated")))
 
 
-@query("engine_skill")
+def skill_sql(e: str) -> str:
+    """CTEs up to sk_<e>(skill): bins of the first half in time, log loss of the second against its base rate."""
+    p = f"pressure_{e}"
+    loss = lambda q: f"-(y * ln({q}) + (1 - y) * ln(1 - ({q})))"
+    clipped = lambda q: f"greatest(1e-4::DOUBLE, least(1 - 1e-4::DOUBLE, {q}))"
+    return f""", h_{e} AS (SELECT *, (t - DATE '1970-01-01') <= (SELECT quantile_cont(t - DATE '1970-01-01', 0.5) FROM kn WHERE {p} IS NOT NULL) AS early FROM kn WHERE {p} IS NOT NULL),
+  e_{e} AS (SELECT list_sort(list_distinct(quantile_cont({p}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))[2:-2] AS e, avg(y) AS base FROM h_{e} WHERE early),
+  b_{e} AS (SELECT h.*, len(list_filter(q.e, lambda x: x <= {p})) AS bin, base FROM h_{e} h, e_{e} q), r_{e} AS (SELECT bin, (1 + sum(y)) / (2 + count(*)) AS rate FROM b_{e} WHERE early GROUP BY bin),
+  sk_{e} AS (SELECT greatest(0, 1 - avg({loss(clipped('coalesce(rate, 0.5)'))}) / avg({loss(clipped('base'))})) AS skill FROM b_{e} LEFT JOIN r_{e} USING (bin) WHERE NOT early)"""
+
+
+@query("engine_skill", f"WITH {KNOWN}{skill_sql('regime')} SELECT ent, count(*) AS n, round(any_value(skill), 6) AS skill FROM kn, sk_regime GROUP BY ent")
 def _(spark, d):
     k = _known(spark, d)
     skill = F.lit(po.engine_skill(k, "pressure_regime", "y", ENT, T))
     return rounded(k.groupBy("ent").agg(F.count(F.lit(1)).alias("n")).withColumn("skill", skill))
 
 
-@query("bounded_weights")
+WEIGHED = KNOWN + "".join(skill_sql(e) for e in NAMES[:3]) + """, w0 AS (SELECT [sqrt(a.skill), sqrt(b.skill), sqrt(c.skill), 0.0::DOUBLE] AS w FROM sk_anomaly a, sk_regime b, sk_analog c),
+  w1 AS (SELECT 0 AS i, CASE WHEN list_sum(w) = 0 THEN [0.25, 0.25, 0.25, 0.25]::DOUBLE[] ELSE list_transform(w, lambda x: x / list_sum(w)) END AS w FROM w0
+    UNION ALL SELECT i + 1, list_transform(k, lambda x: x / list_sum(k)) FROM (SELECT i, list_transform(w, lambda x: greatest(0.1, least(0.45, x))) AS k FROM w1) WHERE i < 50),
+  wt AS (SELECT w FROM w1 WHERE i = CASE WHEN (SELECT list_sum(w) FROM w0) = 0 THEN 0 ELSE 50 END)"""
+
+
+@query("bounded_weights", f"WITH RECURSIVE {WEIGHED} SELECT ent, count(*) AS n, " + ", ".join(f"round(any_value(w[{i + 1}]), 6) AS {e}" for i, e in enumerate(NAMES)) + " FROM kn, wt GROUP BY ent")
 def _(spark, d):
     k = _known(spark, d)
     w = po.bounded_weights({e: po.engine_skill(k, f"pressure_{e}", "y", ENT, T) for e in NAMES[:3]} | {"causal": 0.0})
@@ -329,17 +353,41 @@ def _(spark, d):
     return rounded(po.confidence(_pooled(spark, d), NAMES, PRIOR, "pressure_analog").select("ent", "t", "agreement", "coverage", "support", "confidence"))
 
 
-@query("composite_z")
+LEVELS, AT = chained(ALL_LEVELS, "raw")
+FEATURES_SQL = RAW + LEVELS + ", ft AS (SELECT ent, t, " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in ALL_OUT.items()) + f" FROM {AT})"
+#: Features that the panel's columns give at all.
+GIVEN = {c for c, e in ALL_OUT.items() if e != "NULL"}
+
+
+def composite_levels(groups: dict[str, list[str]]) -> list[dict[str, str]]:
+    """Levels of helper columns that end in one composite per group."""
+    used = {g: [c for c in names if c in GIVEN] for g, names in groups.items()}
+    first = {f"z_{c}": z(f"-{c}" if c in po.INVERTED else c) for c in sorted({c for cs in used.values() for c in cs})}
+    mean = lambda cs: f"({' + '.join(f'coalesce(z_{c}, 0)' for c in cs)}) / nullif({' + '.join(f'(z_{c} IS NOT NULL)::INT' for c in cs)}, 0)"
+    return [first, {f"m_{g}": mean(cs) for g, cs in used.items()}, {g: z(f"m_{g}") for g in used}]
+
+
+def composite_query(groups: dict[str, list[str]]) -> str:
+    ctes, at = chained(composite_levels(groups), "ft")
+    return f"WITH {FEATURES_SQL}{ctes} SELECT ent, t, " + ", ".join(f"round({g}, 6) AS {g}" for g in groups) + f" FROM {at}"
+
+
+@query("composite_z", composite_query({"rate_led": po.ARCHETYPES["rate_led"]}))
 def _(spark, d):
     return rounded(po.composite_z(_features(spark, d), po.ARCHETYPES["rate_led"], "rate_led", ENT, T).select("ent", "t", "rate_led"))
 
 
-@query("archetype_scores")
+@query("archetype_scores", composite_query(po.ARCHETYPES))
 def _(spark, d):
     return rounded(po.archetype_scores(_features(spark, d), ENT, T).select("ent", "t", *po.ARCHETYPES))
 
 
-@query("layers")
+TOPS = [{f"x_{a}": f"max({a}) OVER {last(63)}" for a in po.ARCHETYPES}, {"layer1": "greatest(" + ", ".join(f"x_{a}" for a in po.ARCHETYPES) + ")"}]
+LAYERED = chained(composite_levels(po.ARCHETYPES | {"tactical": po.TACTICAL}) + TOPS, "ft")
+
+
+@query("layers", f"WITH {FEATURES_SQL}{LAYERED[0]} SELECT ent, t, round(layer1, 6) AS layer1, CASE layer1 " + " ".join(f"WHEN x_{a} THEN '{a}'" for a in po.ARCHETYPES)
+       + f" END AS archetype, round(max(tactical) OVER {last(10)}, 6) AS layer2, round(-dd_from_252h, 6) AS layer3 FROM {LAYERED[1]}")
 def _(spark, d):
     return rounded(po.layers(_features(spark, d), ENT, T).select("ent", "t", "layer1", "archetype", "layer2", "layer3"))
 
@@ -378,6 +426,8 @@ def _(spark, d):
     return rounded(po.gate(df, best).groupBy("ent").agg(F.count_if("fires").alias("n_fires")).withColumns({"layer1": F.lit(float(best.layer1)), "layer2": F.lit(float(best.layer2)), "source": F.lit(best.source)}))
 
 
-@query("audit_table")
+@query("audit_table", f"WITH {POOLED} " + " UNION ALL ".join(
+    f"SELECT '{e}' AS engine, 0.1::DOUBLE AS skill, {WEIGHTS[e]}::DOUBLE AS weight, round(avg(pressure_{e} * 0.8 + 0.1), 6) AS mean_calibrated, {GATE.layer1}::DOUBLE AS layer1, {GATE.layer2}::DOUBLE AS layer2, {GATE.layer3}::DOUBLE AS layer3, '{GATE.source}' AS threshold_source FROM po"
+    for e in NAMES))
 def _(spark, d):
     return rounded(po.audit_table(_pooled(spark, d), {e: 0.1 for e in NAMES}, WEIGHTS, GATE))

@@ -77,6 +77,15 @@ def _(spark, d):
     return rounded(wf.roc_columns(price_panel(spark, d), "px", ENT, T).select("ent", "t", "px_roc_1", "px_roc_5", "px_roc_20"))
 
 
+def chained(levels: list[dict[str, str]], source: str) -> tuple[str, str]:
+    """One CTE per level of helper columns over `source`, and the name of the last."""
+    ctes, at = "", source
+    for i, level in enumerate(levels):
+        ctes += f", {source}_{i} AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in level.items()) + f" FROM {at})"
+        at = f"{source}_{i}"
+    return ctes, at
+
+
 def staged(levels: list[dict[str, str]], out: dict[str, str], digits: dict[str, int], source: str = "raw") -> str:
     """SQL with one CTE per level of helper columns, then the rounded output."""
     ctes, at = RAW, source
@@ -198,9 +207,21 @@ def _(spark, d):
     return rounded(labels.label_coverage(price_panel(spark, d), "px", [60, 75, 85], [21, 63], ENT, T))
 
 
-@query("drawdown_episodes")
+TIER = "CASE WHEN {0} < 5 THEN 'micro' WHEN {0} < 10 THEN 'minor' WHEN {0} < 15 THEN 'moderate' WHEN {0} < 20 THEN 'major' WHEN {0} < 30 THEN 'severe' ELSE 'extreme' END"
+EPISODES = PX + f""", b AS (SELECT ent, t, px AS p, row_number() OVER {W} AS pos, max(px) OVER {last(252)} AS hi, count(*) OVER (PARTITION BY ent) AS n FROM px),
+  op AS (SELECT ent, pos AS i, hi FROM b WHERE n >= 252 AND p / hi - 1 <= -0.6::DOUBLE),
+  pk AS (SELECT op.ent, i, max(b.pos) AS peak FROM op JOIN b ON b.ent = op.ent AND b.pos <= i AND b.p >= op.hi GROUP BY ALL),
+  en AS (SELECT pk.ent, i, peak, x.p AS pp, min(y.pos) AS fin FROM pk JOIN b x ON x.ent = pk.ent AND x.pos = peak LEFT JOIN b y ON y.ent = pk.ent AND y.pos > i AND y.p >= x.p GROUP BY ALL),
+  nx AS (SELECT en.ent, en.i, peak, pp, fin, min(op.i) AS nxt FROM en LEFT JOIN op ON op.ent = en.ent AND op.i > fin GROUP BY ALL),
+  ep AS (SELECT nx.* FROM nx JOIN (SELECT ent, min(i) AS i FROM op GROUP BY ent) f ON f.ent = nx.ent AND f.i = nx.i UNION ALL SELECT nx.* FROM ep JOIN nx ON nx.ent = ep.ent AND nx.i = ep.nxt),
+  tr AS (SELECT ep.ent, ep.i, peak, pp, fin, min(b.p) AS tp, arg_min(b.pos, (b.p, b.pos)) AS trough FROM ep JOIN b ON b.ent = ep.ent AND b.pos BETWEEN ep.i AND coalesce(fin, b.n) GROUP BY ALL)"""
+
+
+@query("drawdown_episodes", f"""WITH RECURSIVE {EPISODES} SELECT tr.ent, a.t AS peak_date, round(pp, 6) AS peak_price, c.t AS trough_date, round(tp, 6) AS trough_price, r.t AS recovery_date, round((1 - tp / pp) * 100, 6) AS drawdown_pct,
+  trough - peak AS duration_to_trough_td, fin - trough AS duration_to_recovery_td, {TIER.format('((1 - tp / pp) * 100)')} AS severity_tier
+  FROM tr JOIN b a ON a.ent = tr.ent AND a.pos = peak JOIN b c ON c.ent = tr.ent AND c.pos = trough LEFT JOIN b r ON r.ent = tr.ent AND r.pos = fin WHERE trough - peak >= 5""")
 def _(spark, d):
-    return episodes.drawdown_episodes(price_panel(spark, d), "px", 60.0, ENT, T)
+    return rounded(episodes.drawdown_episodes(price_panel(spark, d), "px", 60.0, ENT, T))
 
 
 TIERS = "CASE WHEN dd < 5 THEN 'micro' WHEN dd < 10 THEN 'minor' WHEN dd < 15 THEN 'moderate' WHEN dd < 20 THEN 'major' WHEN dd < 30 THEN 'severe' ELSE 'extreme' END"

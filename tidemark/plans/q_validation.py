@@ -135,11 +135,12 @@ def _mean_model(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ent": test["ent"], "fold": test["fold"], "t": test["t"], "forecast": train["px"].mean()})
 
 
-@query("walk_forward_run", f"""WITH {PX}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM px), s AS (SELECT unnest(range(3)) * 210 + 1260 AS e), m AS (SELECT ent, e, avg(px) AS forecast FROM q JOIN s ON pos < e GROUP BY ALL)
-  SELECT q.ent, (e - 1260) // 210 AS fold, t, round(forecast, 6) AS forecast FROM q JOIN m ON q.ent = m.ent AND pos BETWEEN e + 21 AND e + 272""")
+@query("walk_forward_run", f"""WITH {PX}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM px), n AS (SELECT max(pos) + 1 AS n FROM q), s AS (SELECT unnest(range(greatest(0, (n - 1533) // 21 + 1))) * 21 + 1260 AS e FROM n), m AS (SELECT ent, e, avg(px) AS forecast FROM q JOIN s ON pos < e GROUP BY ALL)
+  SELECT q.ent, (e - 1260) // 21 AS fold, t, round(forecast, 6) AS forecast FROM q JOIN m ON q.ent = m.ent AND pos BETWEEN e + 21 AND e + 272""")
 def _(spark, d):
-    splits = va.purged_splits(spark, 1260 + 21 + 252 + 2 * 210, step=210)
-    return rounded(va.walk_forward_run(price_panel(spark, d).select("ent", "t", "px"), splits, _mean_model, "ent string, fold long, t date, forecast double", ENT, T))
+    df = price_panel(spark, d)
+    splits = va.purged_splits(spark, df.groupBy("ent").count().agg(F.max("count")).first()[0])
+    return rounded(va.walk_forward_run(df.select("ent", "t", "px"), splits, _mean_model, "ent string, fold long, t date, forecast double", ENT, T))
 
 
 @query("smote_oversample")
