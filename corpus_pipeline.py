@@ -45,7 +45,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The learned lexicon and the sketches have no SQL form; tests hold the stages against brute force.
+#: The learned lexicon and the sketches have no SQL form; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -146,7 +146,11 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item is found, with the columns of `docs`."""
+    """The documents in which no benchmark item is found, with the columns of `docs`.
+
+    Null and empty texts hold no item and stay; repeated rows go or stay together; null ids are
+    ids like others. Empty documents: no rows. Empty benchmark: all rows.
+    """
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_key").alias("_bad")).distinct()
     return docs.join(bad, row_key(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")
 

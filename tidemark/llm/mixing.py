@@ -71,7 +71,12 @@ def take_plan(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: every document as often as its copies say, with the columns of `docs`."""
+    """The mixed corpus: every document as often as its copies say, with the columns of `docs`.
+
+    Null sources are one source, the last. Null and empty texts have size 0 and are repeated
+    like others of their source; a source without words is left out (rate 0). Repeated rows are
+    copied alike. Empty table: no rows.
+    """
     plan = take_plan(docs, keep=tuple(docs.columns))
     many = plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return many.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])

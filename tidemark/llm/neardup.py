@@ -35,7 +35,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     codes, offsets, hashes = coded_words(texts)
     words = hashes[codes]
     rolled = words.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(words))):  # all texts of a batch may have fewer words
         rolled[: len(rolled) - k] = mix(rolled[: len(rolled) - k] * PRIME + words[k:])
     for a, b in zip(offsets[:-1], offsets[1:]):
         if b - a >= size:
@@ -271,7 +271,9 @@ def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
     """One document of each group of near duplicates, the one with the smallest id, with the columns of `docs`.
 
     Rows are told apart by id and text: an id may stand in several rows with different texts,
-    or be null, and each row goes or stays with its own group.
+    or be null, and each row goes or stays with its own group. A null id is kept only where its
+    group has no other. Of equal rows one stays. Null texts and texts without words are nobody's
+    copies and stay, one of each id. Empty table: no rows.
     """
     found = materialize(_grouped(docs, size, id_col, text_col), "groups")
     gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()

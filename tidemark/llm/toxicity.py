@@ -245,7 +245,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, with the columns of `docs`."""
+    """The documents that aren't predicted toxic, with the columns of `docs`.
+
+    Each row is judged by its text alone: null ids and repeated rows make no difference. Null
+    and empty texts find nothing and stay, unless the lexicon's map calls such texts toxic.
+    Empty table: no rows.
+    """
 
     def make():
         raw = make_raw(lexicon)
