@@ -102,13 +102,14 @@ def test_runs_inside_articles_go_and_copied_articles_stay(spark):
     copied = [words(50), words(51)]
     rows += [(10 + i, "http://a.example/y", _page([*copied, f"edition {i}"], True)) for i in range(5)]
     rows += [(20 + i, "http://b.example/x", _page([words(i), note], True)) for i in range(2)]  # two articles aren't enough
+    rows += [(30 + i, "http://c.example/x", _page([words(30 + i), note] if i < 3 else [words(30 + i)], True)) for i in range(9)]  # nor is a third of the pages
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html.extract_text(df).collect()}
     for i in range(4):
         assert got[i]["text"] == f"{words(i)}\n{words(100 + i)}" and got[i]["n_run_removed"] == 1
     for i in range(5):
         assert got[10 + i]["text"] == "\n".join([*copied, f"edition {i}"])
-    assert all(note in got[20 + i]["text"] for i in range(2))
+    assert all(note in got[20 + i]["text"] for i in range(2)) and all(note in got[30 + i]["text"] for i in range(3))
 
 
 def test_repeated_runs_equal_brute_force(spark):

@@ -20,6 +20,8 @@ from tidemark.llm.tokens import GOLD, coded_words, mix
 RUN, FINGER, PAGES, ARTICLES = 12, 5, 2, 3
 #: An open block goes when repeated runs cover at least this share of its words.
 COVERED = 0.5
+#: Share of a host's pages that must hold a run of an article: furniture stands on most pages, a quoted passage on few.
+SHARE = 0.4
 #: An article is a copy when this share of its suffixes is repeated.
 COPIED = 0.5
 #: Pages that are worked on at a time.
@@ -147,8 +149,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
+HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$"
+
+
 def host_of(url: str | None) -> str:
-    return re.sub(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$", r"\1", url or "", flags=re.S).lower()
+    return re.sub(HOST, r"\1", url or "", flags=re.S).lower()
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -233,7 +238,8 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
 
     runs: where substrings of RUN words begin that distinct page streams of the host share and
     that reach into open blocks; a longer repeat is the union of these. common: those that reach
-    into articles and are shared by ARTICLES distinct streams or more, copied articles left out.
+    into articles and are shared by ARTICLES distinct streams or more, and by a SHARE of the
+    host's pages, copied articles left out.
 
     The page streams of a host, one behind the other, have one suffix array; suffixes with a
     common prefix of RUN words or more are neighbours in it. These neighbourhoods are formed by
@@ -252,7 +258,13 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
     copies = shared.filter("kept").groupBy("row", "place", "whole").agg(F.lit(1)).groupBy("row", "whole").agg(F.count(F.lit(1)).alias("n"))
     copies = materialize(copies.filter(F.col("n") >= COPIED * (F.col("whole") - RUN + 1)).select("row"), "copies")
     articles = materialize(shared.filter("kept").join(broadcast_if_small(copies), "row", "left_anti"), "articles")
-    common = articles.join(on_several(articles, "name", ARTICLES), "name", "left_semi").select("row", F.lit(None).cast("int").alias("run"), F.col("place").alias("common"))
+    host = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), "(?s)" + HOST, "$1"))
+    hosts = pages.select("row", host.alias("host")).distinct()
+    found = articles.groupBy("name", "stream").agg(F.min("row").alias("row")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    often = broadcast_if_small(materialize(found.filter(F.col("n") >= ARTICLES), "shared-names"))
+    sizes = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    wide = hosts.join(often, "row").join(sizes, "host").filter(F.col("n") >= SHARE * F.col("n_pages")).select("name")
+    common = articles.join(wide, "name", "left_semi").select("row", F.lit(None).cast("int").alias("run"), F.col("place").alias("common"))
     runs = shared.filter("open").select("row", F.col("place").alias("run"), F.lit(None).cast("int").alias("common"))
     return materialize(runs.union(common).groupBy("row").agg(F.collect_set("run").alias("runs"), F.collect_set("common").alias("common")), "covered")
 
@@ -295,7 +307,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Blocks inside page furniture go by their markup. Of all others, the host's suffix array
     decides: an open block goes when runs of RUN words or more that distinct pages of the host
     share cover half of it, a block of an article when runs that ARTICLES distinct articles
-    share cover it whole. Articles that are copies of one another keep their text. Blocks with
+    share, and a SHARE of the host's pages, cover it whole. Articles that are copies of one another keep their text. Blocks with
     unique runs stay whole.
 
     Null html: empty text. Null url: a host of its own. Repeated rows each get a row and count
