@@ -379,14 +379,20 @@ def analog_top_n(queries: DataFrame, pool: DataFrame, qid: str, t: str | None, h
     return nearest(queries, pool, n, math.ceil(1.6 * h) if t else None, qid, t, keep=keep)
 
 
-def asset_changes(df: DataFrame, ent: Ent, t: str, assets: dict = ASSETS, min_obs: int = 252) -> DataFrame:
-    """(ent, t, one change per asset): of each asset the first column with enough values; rows with a null go."""
+def chosen_assets(df: DataFrame, assets: dict = ASSETS, min_obs: int = 252) -> dict:
+    """Of each asset the first column with enough values in `df`; ValueError for under three assets."""
     there = sorted({c for _, cols in assets.values() for c in cols if c in df.columns})
     counts = df.agg(*[F.count(c).alias(c) for c in there]).first() if there else {}
     chosen = {a: (how, next((c for c in cols if c in there and counts[c] >= min_obs), None)) for a, (how, cols) in assets.items()}
-    chosen = {a: x for a, x in chosen.items() if x[1]}
+    chosen = {a: (how, [c]) for a, (how, c) in chosen.items() if c}
     if len(chosen) < 3:
         raise ValueError("fewer than three assets")
+    return chosen
+
+
+def asset_changes(df: DataFrame, ent: Ent, t: str, assets: dict = ASSETS, min_obs: int = 252) -> DataFrame:
+    """(ent, t, one change per asset): of each asset the first column with enough values; rows with a null go."""
+    chosen = {a: (how, cols[0]) for a, (how, cols) in chosen_assets(df, assets, min_obs).items()}
     return df.select(*ent, t, *[(pct_change(c, 1, ent, t) if how == "pct" else F.col(c) - F.lag(c).over(order(ent, t))).alias(a) for a, (how, c) in chosen.items()]).dropna(subset=list(chosen))
 
 
@@ -457,9 +463,9 @@ def causal_stress(df: DataFrame, train: DataFrame) -> DataFrame:
     return df.withColumn("stress_composite", 0.5 * F.col("connectedness_rank") + 0.5 * F.col("structure_break_rank"))
 
 
-def causal_score(df: DataFrame, ent: Ent, t: str, train_until, window: int = 252) -> DataFrame:
+def causal_score(df: DataFrame, ent: Ent, t: str, train_until, window: int = 252, assets: dict = ASSETS) -> DataFrame:
     """Changes, rolling correlations and stress of every row, measured against rows up to `train_until`."""
-    changes = asset_changes(df, ent, t)
+    changes = asset_changes(df, ent, t, assets)
     assets = [c for c in changes.columns if c not in (*ent, t)]
     train = F.col(t) <= F.lit(train_until)
     corr = connectedness(rolling_corr_matrix(changes, assets, ent, t, window), assets)
