@@ -9,14 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
 from tidemark.functions.windows import Ent, expanding_z, last_rows, order, so_far
+from tidemark.sources.staging import stage
 
 # Engines with their pressure columns (and fallback), archetypes, inverted features, limits.
 ENGINES = {"anomaly": ("ensemble_rank",), "regime": ("h_step_stress_prob", "stress_score"), "analog": ("prob",), "causal": ("stress_composite",)}
@@ -165,30 +164,52 @@ class Platt:
         return sigmoid(at + self.temper * (self.slope * logit(p) + self.intercept - at))
 
 
-def _logistic(df: DataFrame, p: str, y: str) -> tuple[float, float]:
-    """Slope and intercept of y on logit(p) with penalty w^2 / 2 on the summed loss."""
-    x = VectorAssembler(inputCols=["_l"], outputCol="_x").transform(df.select(logit(F.col(p)).alias("_l"), F.col(y).cast("double").alias("_y")))
-    m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / x.count(), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-10).fit(x)
-    return float(m.coefficients[0]), float(m.intercept)
+def _logistic(rows: DataFrame, x: Column, y: Column, parts: Sequence[Column], rounds: int = 50) -> list[tuple[float, float]]:
+    """(slope, intercept) of y on x over the rows of each part, with penalty slope^2 / 2 on the summed loss.
+
+    Newton steps: a round is one aggregate of five sums per part, for all parts together.
+    """
+    fits = np.zeros((len(parts), 2))
+    for _ in range(rounds):
+        sums = []
+        for i, (part, (a, b)) in enumerate(zip(parts, fits.tolist())):
+            q = 1 / (1 + F.exp(-(a * x + b)))
+            for name, term in (("gx", (q - y) * x), ("g", q - y), ("hxx", q * (1 - q) * x * x), ("hx", q * (1 - q) * x), ("h", q * (1 - q))):
+                sums.append(F.sum(F.when(part, term)).alias(f"{name}{i}"))
+        row = rows.agg(*sums).first()
+        steps = np.zeros_like(fits)
+        for i, (a, _b) in enumerate(fits):
+            at = {n: row[f"{n}{i}"] or 0.0 for n in ("gx", "g", "hxx", "hx", "h")}
+            steps[i] = np.linalg.solve([[at["hxx"] + 1, at["hx"]], [at["hx"], at["h"] + 1e-9]], [at["gx"] + a, at["g"]])
+        far = np.abs(steps).max(axis=1, keepdims=True)
+        fits -= steps * np.minimum(1.0, 4.0 / np.maximum(far, 1e-300))
+        if far.max() < 1e-9:
+            break
+    return [(float(a), float(b)) for a, b in fits]
 
 
 def platt_calibrate(df: DataFrame, p: str, y: str, ent: Ent, t: str, blocks: int = 4, min_rows: int = 200) -> Platt:
-    """Platt map, tempered by the out-of-block slope of contiguous time blocks, clipped to [0.15, 1]."""
-    rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*ent, t, p, y)
-    head = rows.agg(F.count(F.lit(1)), F.avg(y)).first()
+    """Platt map, tempered by how outcomes move with out-of-block probabilities (least squares), in [0.15, 1].
+
+    Blocks are contiguous in time; a block is predicted by the fit of the others when these
+    have `min_rows` rows and both outcomes. All fits share their passes over the rows.
+    """
+    day = F.unix_date(F.col(t).cast("date"))
+    rows = stage(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(day.alias("_day"), logit(F.col(p)).alias("_l"), F.col(y).cast("double").alias("_y")), "platt")
+    head = rows.agg(F.count(F.lit(1)), F.avg("_y"), F.percentile("_day", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]))).first()
     if head[0] < min_rows or head[1] in (0.0, 1.0):
         return Platt(None)
-    day = F.unix_date(F.col(t).cast("date"))
-    cuts = rows.agg(F.percentile(day, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]))).first()[0]
-    placed = rows.withColumn("_block", sum(((day > c).cast("int") for c in cuts), F.lit(0)))
-    fits = []
-    for b in range(blocks):
-        rest = placed.filter(F.col("_block") != b)
-        if rest.agg(F.count_distinct(y)).first()[0] == 2:
-            fits.append((b, *_logistic(rest, p, y)))
-    outside = reduce(lambda c, x: c.when(F.col("_block") == x[0], x[1] * logit(F.col(p)) + x[2]), fits, F)
-    slope = _logistic(placed.withColumn("_q", sigmoid(outside)).filter("_q IS NOT NULL"), "_q", y)[0] if fits else 1.0
-    return Platt(*_logistic(rows, p, y), temper=min(1.0, max(0.15, slope)), prior=float(head[1]))
+    block = sum(((F.col("_day") > c).cast("int") for c in head[2]), F.lit(0))
+    sizes = {r["b"]: (r["n"], r["hits"]) for r in rows.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("hits")).collect()}
+    total = (head[0], sum(h for _, h in sizes.values()))
+    rest = {b: (total[0] - n, total[1] - h) for b, (n, h) in sizes.items()}
+    used = [b for b, (n, h) in sorted(rest.items()) if n >= min_rows and 0 < h < n]
+    whole, *fits = _logistic(rows, F.col("_l"), F.col("_y"), [F.lit(True), *[block != b for b in used]])
+    slope = None
+    if used:
+        outside = reduce(lambda c, x: c.when(block == x[0], sigmoid(x[1][0] * F.col("_l") + x[1][1])), zip(used, fits), F)
+        slope = rows.select(outside.alias("_q"), "_y").agg(F.regr_slope("_y", "_q")).first()[0]
+    return Platt(*whole, temper=1.0 if slope is None else min(1.0, max(0.15, slope)), prior=float(head[1]))
 
 
 def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic") -> DataFrame:

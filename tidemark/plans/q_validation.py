@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, validation as va
+from tidemark.operators import alerts, chain, validation as va
 from tidemark.operators.engines import Hmm, Scaler
+from tidemark.operators.features import build_features
 from tidemark.plans import q_features
-from tidemark.plans.panels import ENT, FIRE, H, PX, SCORED, T, price_panel, rounded, scored_panel
+from tidemark.plans.panels import ENT, FIRE, H, PX, SCORED, T, price_panel, raw_panel, rounded, scored_panel
+from tidemark.sources.staging import stage
 from tidemark.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -143,6 +145,34 @@ def _(spark, d):
     return rounded(va.walk_forward_run(df.select("ent", "t", "px"), splits, _mean_model, "ent string, fold long, t date, forecast double", ENT, T))
 
 
+# --- the whole chain: features, four engines, pooling, gate, verdict ---
+
+#: The panel's prices fall by 10 % nearly every day, so its label and normal days take larger falls.
+CHAIN = chain.Setup(x_pct=70.0, h=63, normal_x=80.0)
+CHAIN_CUTOFFS = ["1998-01-01", "1999-07-01", "2000-10-01"]
+
+
+def _indicators(spark, d):
+    raw = stage(raw_panel(spark, d), "raw")
+    return stage(build_features(raw, ENT, T), "features"), raw
+
+
+@query("fit_and_score")
+def _(spark, d):
+    out = chain.fit_and_score(*_indicators(spark, d), "1999-12-31", CHAIN, ENT, T, "2000-01-01")
+    return rounded(out.rows.select("ent", "t", "posterior", "base_rate_live", "confidence", *chain.LAYERS, "fires", "reason", *[f"contribution_{e}" for e in chain.ENGINES]), 4)
+
+
+@query("walk_forward_validation")
+def _(spark, d):
+    return rounded(chain.validate(*_indicators(spark, d), CHAIN_CUTOFFS, CHAIN, ENT, T), 4)
+
+
+@query("blind_validation")
+def _(spark, d):
+    return rounded(chain.blind(*_indicators(spark, d), "2000-01-01", CHAIN, ENT, T)[0], 4)
+
+
 @query("smote_oversample")
 def _(spark, d):
     return rounded(va.smote_oversample(scored_panel(spark, d).filter("y IS NOT NULL"), ["disc", "tax"], "y", ENT))
