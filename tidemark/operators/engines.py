@@ -305,7 +305,7 @@ def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
     """The k best rows of a part of the pool (_p, _d, _w, kept) for each query of a block (_q, _d, _w)."""
 
     def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1)
+        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
         q, x = vectors(queries), vectors(pool)
         qd, pd_ = (np.asarray(t.column("_d").to_numpy()) for t in (queries, pool))
         rows, at, far = [], [], []
@@ -328,25 +328,35 @@ def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
     return run
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = ()) -> DataFrame:
+def nearest(
+    queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = (), within: Sequence[str] = (),
+) -> DataFrame:
     """(qid, pool columns, distance, rank): the k nearest pool rows of every query, none dropped for speed.
 
     Queries in blocks of about QUERY_ROWS and the pool in parts of about POOL_ROWS meet in
     cells, each one task's work; a cell keeps k rows per query, and these meet by query. A pool
     row within `embargo_days` calendar days (inclusive) of the query, or at distance 0 (the
-    query itself, and copies of it), is no neighbour.
+    query itself, and copies of it), is no neighbour. With `within` (columns without nulls),
+    only rows equal in them meet, and each such group has as many cells as its own size asks for.
     """
-    blocks, parts = (max(1, math.ceil(df.count() / n)) for df, n in ((queries, QUERY_ROWS), (pool, POOL_ROWS)))
+    cells = lambda df, n, name: df.groupBy(*within).agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    if within:
+        both = cells(queries, QUERY_ROWS, "_blocks").join(cells(pool, POOL_ROWS, "_parts"), list(within))
+        queries, pool = queries.join(both, list(within)), pool.join(both, list(within))
+        blocks, parts = F.col("_blocks"), F.col("_parts")
+    else:
+        blocks, parts = (F.lit(max(1, cells(df, n, "n").first()[0])) for df, n in ((queries, QUERY_ROWS), (pool, POOL_ROWS)))
     days = F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
-    kept = [f"k_{c}" for c in keep]
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-    qs = queries.select(F.col(qid).alias("_q"), days.alias("_d"), F.col(vector).alias("_w")).withColumn("_b", own("_q", blocks)).withColumn("_c", every(parts))
-    ps = pool.select(F.xxhash64(*keep).alias("_p"), days.alias("_d"), F.col(vector).alias("_w"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    ps = ps.withColumn("_c", own("_p", parts)).withColumn("_b", every(blocks))
+    kept, same = [f"k_{c}" for c in keep], [f"g_{c}" for c in within]
+    own = lambda c, n: F.pmod(F.xxhash64(c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<bigint>"))
+    shared = [days.alias("_d"), F.col(vector).alias("_w"), *[F.col(c).alias(g) for c, g in zip(within, same)]]
+    qs = queries.select(F.col(qid).alias("_q"), own(qid, blocks).alias("_b"), every(parts).alias("_c"), *shared)
+    ps = pool.select(F.xxhash64(*keep).alias("_p"), blocks.alias("_blocks"), parts.alias("_parts"), *shared, *[F.col(c).alias(f"k_{c}") for c in keep])
+    ps = ps.withColumn("_c", own("_p", F.col("_parts"))).withColumn("_b", every(F.col("_blocks"))).drop("_blocks", "_parts")
     kinds = dict(ps.dtypes)
     schema = ", ".join([f"_q {dict(qs.dtypes)['_q']}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
-    best = qs.groupBy("_b", "_c").cogroup(ps.groupBy("_b", "_c")).applyInArrow(_cell(k, embargo_days, kept), schema)
+    best = qs.groupBy(*same, "_b", "_c").cogroup(ps.groupBy(*same, "_b", "_c")).applyInArrow(_cell(k, embargo_days, kept), schema)
     w = Window.partitionBy("_q").orderBy("distance", "_p")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(f"pool_{c}" if c == qid else c) for c in keep], "distance", "rank")
 

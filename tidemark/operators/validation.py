@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import Ent, last_rows, order, so_far
+from tidemark.operators.engines import nearest
+from tidemark.sources.staging import stage
 
 # Fixed values of the kill criteria.
 SLOPE, MIN_CAGR_DELTA, MAX_DD_RATIO, MAX_WEIGHT, FIRE_PCT = (0.5, 1.5), -2.0, 1.10, 0.90, (0.1, 10.0)
+#: Parts of a group whose rows are ranked on their own.
+SALTS = 256
 
 
 def walk_forward_folds(df: DataFrame, cutoffs: Sequence[str], t: str) -> DataFrame:
@@ -159,26 +162,39 @@ def walk_forward_run(df: DataFrame, splits: DataFrame, run: Callable[[pd.DataFra
 
 
 def smote_oversample(df: DataFrame, columns: Sequence[str], y: str, by: Sequence[str], k: int = 5, seed: int = 42, min_minority: int = 6) -> DataFrame:
-    """Rows (by, columns, y, synthetic): minority rows of each group brought up to the majority by seeded interpolation."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"`{c}` double" for c in columns), f"`{y}` int, synthetic boolean"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[[*by, *columns, y]].assign(synthetic=False)
-        counts = pdf[y].value_counts()
-        if len(counts) < 2 or counts.min() < min_minority:
-            return base
-        small = pdf[pdf[y] == counts.idxmin()].sort_values(list(columns))
-        x = small[list(columns)].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        new = []
-        for i in rng.integers(0, len(x), counts.max() - counts.min()):
-            near = np.argsort(((x - x[i]) ** 2).sum(axis=1))[1 : k + 1]
-            new.append(x[i] + rng.random() * (x[rng.choice(near)] - x[i]))
-        made = pd.DataFrame(new, columns=list(columns)).assign(**{c: pdf[c].iloc[0] for c in by}, **{y: counts.idxmin()}, synthetic=True)
-        return pd.concat([base, made], ignore_index=True)[[*by, *columns, y, "synthetic"]]
-
-    return df.select(*by, *columns, F.col(y).cast("int").alias(y)).groupBy(*by).applyInPandas(run, schema)
+    """Rows (by, columns, y, synthetic): minority rows of each group brought up to the majority by seeded interpolation.
+
+    New rows are dealt evenly: each minority row starts need // n of them, and those first in hash
+    order one more. A new row lies between its start and one of the start's k nearest minority rows
+    of the group, drawn by hash; a start with nothing but copies of itself is repeated. The smallest
+    class is the minority, the lower label on ties. Rows without a label and groups of one class or
+    under `min_minority` minority rows pass as they are; rows with a null in `columns` start nothing.
+    Ranks come from salted counts and neighbours from cells, so no group is one task's work.
+    """
+    base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("int").alias(y))
+    keyed = base.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_"), *by)))  # never null
+    sizes = keyed.filter(F.col(y).isNotNull()).groupBy("_g", y).agg(F.count(F.lit(1)).alias("_n"))
+    low, high = F.min(F.struct("_n", y)).alias("_low"), F.max("_n").alias("_high")
+    needs = sizes.groupBy("_g").agg(low, high).filter((F.col("_high") > F.col("_low._n")) & (F.col("_low._n") >= min_minority))
+    needs = needs.select("_g", F.col(f"_low.{y}").alias(y), (F.col("_high") - F.col("_low._n")).alias("_need"))
+    small = keyed.join(needs, ["_g", y]).dropna(subset=list(columns)).withColumn("_h", F.xxhash64(F.lit(seed), *columns)).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
+    salts = small.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_m"))
+    group = Window.partitionBy("_g")  # SALTS rows at most
+    before = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    salts = salts.select("_g", "_s", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"), F.sum("_m").over(group).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("_g", "_s").orderBy("_h", *columns)) - 1 + F.col("_start")
+    starts = small.join(salts, ["_g", "_s"]).withColumn("_r", rank).withColumn("_id", F.concat_ws("#", F.col("_r").cast("string"), "_g")).withColumn("w", F.array(*columns))
+    copies = F.floor(F.col("_need") / F.col("_all")) + (F.col("_r") < F.col("_need") % F.col("_all")).cast("long")
+    starts = stage(starts.select(*by, y, "_g", "_id", "_h", "_r", "w", copies.alias("_copies")), "smote")
+    found = nearest(starts, starts, k, None, "_id", None, keep=["_id", "w"], within=["_g"])
+    near = found.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("_near"))  # k at most
+    drawn = starts.filter("_copies > 0").join(near, "_id", "left").withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    draw = lambda name, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "_h", "_r", "_j"), n)
+    drawn = drawn.withColumn("_to", F.when(F.col("_near").isNotNull(), F.element_at("_near", (draw("to", F.size("_near")) + 1).cast("int"))["w"]).otherwise(F.col("w")))
+    drawn = drawn.withColumn("_u", draw("step", F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    cells = [(F.col("w")[i] + F.col("_u") * (F.col("_to")[i] - F.col("w")[i])).alias(c) for i, c in enumerate(columns)]
+    made = drawn.select(*by, *cells, y, F.lit(True).alias("synthetic"))
+    return base.withColumn("synthetic", F.lit(False)).unionByName(made)
 
 
 def _curve(df: DataFrame, p: str, y: str, by: Sequence[str]) -> DataFrame:

@@ -24,19 +24,22 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> None:
-    """Process all that is there with `sink(batch, id)`, with a checkpoint of its own."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).foreachBatch(sink).start()
+def run_to_end(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], folder: str) -> None:
+    """Process all that is there with `sink(batch, id)`; the checkpoint in `folder` lets a later run go on from there."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
 
 
-def _collected(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """All batches' rows with their `_batch`; a batch that is run again replaces its own folder."""
-    out = new_path(stream.sparkSession, name)
-    run_to_end(stream, mode, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/_batch={i}"))
+def _collected(stream: DataFrame, mode: str, name: str, folder: str | None) -> DataFrame:
+    """All batches' rows with their `_batch`; a batch that is run again replaces its own folder.
+
+    A shared `folder` that is given again holds the batches of earlier runs too; without one
+    the run has a new folder and starts from the beginning.
+    """
+    folder = folder or new_path(stream.sparkSession, name)
+    run_to_end(stream, mode, lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/rows/_batch={i}"), folder)
     schema = StructType(stream.schema.fields).add("_batch", "long")
-    return stream.sparkSession.read.schema(schema).option("basePath", out).parquet(out)
+    return stream.sparkSession.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
 
 
 def newest_rows(batch: DataFrame, key: Sequence[str], ts: str, days: int = 7) -> DataFrame:
@@ -47,25 +50,30 @@ def newest_rows(batch: DataFrame, key: Sequence[str], ts: str, days: int = 7) ->
     return fresh.groupBy(*key).agg(F.max_by(F.struct(*rest), ts).alias("x")).select(*key, "x.*")
 
 
-def stream_upsert(stream: DataFrame, key: Sequence[str], ts: str, days: int = 7) -> DataFrame:
-    """The table after every batch's newest rows were put in by key; each batch writes a new version of it."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, "upsert")
-    version: list[str] = []
+def stream_upsert(stream: DataFrame, key: Sequence[str], ts: str, days: int = 7, folder: str | None = None) -> DataFrame:
+    """The table after every batch's newest rows were put in by key.
+
+    Batch i writes version i from version i - 1, so a batch that is run again, or a later run
+    with the same `folder`, finds its state in the folder alone.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_path(spark, "upsert")
+    version = lambda i: f"{folder}/table/_version={i}"
 
     def sink(batch: DataFrame, i: int) -> None:
         new = newest_rows(batch, key, ts, days)
-        merged = upsert_rows(spark.read.parquet(version[-1]), new, key) if version else new
-        merged.write.mode("overwrite").parquet(f"{out}/{i}")
-        version.append(f"{out}/{i}")
+        merged = upsert_rows(spark.read.parquet(version(i - 1)), new, key) if i else new
+        merged.write.mode("overwrite").parquet(version(i))
 
-    run_to_end(stream, "append", sink)
-    return spark.read.parquet(version[-1])
+    run_to_end(stream, "append", sink, folder)
+    last = spark.read.parquet(f"{folder}/table").agg(F.max("_version")).first()[0]
+    return spark.read.parquet(version(last))
 
 
-def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str, late: str = "7 days") -> DataFrame:
+def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str, late: str = "7 days", folder: str | None = None) -> DataFrame:
     """(ent, d, value): means of tumbling days; rows later than the watermark are dropped by it."""
     days = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(*ent, F.window(ts, "1 day").alias("w")).agg(F.avg(value).alias("value"))
-    rows = _collected(days.select(*ent, F.to_date("w.start").alias("d"), "value"), "update", "daily")
+    rows = _collected(days.select(*ent, F.to_date("w.start").alias("d"), "value"), "update", "daily", folder)
     w = Window.partitionBy(*ent, "d").orderBy(F.desc("_batch"))
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
 
@@ -84,7 +92,7 @@ def _stateful(stream: DataFrame, ent: Sequence[str], t: str, out: str, state: st
     return stream.groupBy(*ent).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thresholds=ML_ALARM) -> DataFrame:
+def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thresholds=ML_ALARM, folder: str | None = None) -> DataFrame:
     """(ent, t, value, alarm) with the last 20 values of each entity as state."""
     deepest = max(k for k, _, _ in thresholds)
 
@@ -102,10 +110,10 @@ def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thre
             past, n = [*past, x][-deepest:], n + 1
         return pdf[[*ent, t, p]].rename(columns={p: "value"}).assign(alarm=alarms), (past, n)
 
-    return _collected(_stateful(stream, ent, t, "value double, alarm string", "past array<double>, n long", step), "append", "alarm").drop("_batch")
+    return _collected(_stateful(stream, ent, t, "value double, alarm string", "past array<double>, n long", step), "append", "alarm", folder).drop("_batch")
 
 
-def stream_base_rate(stream: DataFrame, y: str, h: int, fallback: float, ent: Sequence[str], t: str, window: int = 1260, every: int = 21, min_rows: int = 250) -> DataFrame:
+def stream_base_rate(stream: DataFrame, y: str, h: int, fallback: float, ent: Sequence[str], t: str, window: int = 1260, every: int = 21, min_rows: int = 250, folder: str | None = None) -> DataFrame:
     """(ent, t, base_rate_live) with a ring of the last h + window outcomes as state (NaN: unknown)."""
 
     def step(pdf: pd.DataFrame, old):
@@ -120,10 +128,10 @@ def stream_base_rate(stream: DataFrame, y: str, h: int, fallback: float, ent: Se
             ring, n = [*ring, v][-(h + window):], n + 1
         return pdf[[*ent, t]].assign(base_rate_live=rates), (ring, n, rate)
 
-    return _collected(_stateful(stream, ent, t, "base_rate_live double", "ring array<double>, n long, rate double", step), "append", "rate").drop("_batch")
+    return _collected(_stateful(stream, ent, t, "base_rate_live double", "ring array<double>, n long, rate double", step), "append", "rate", folder).drop("_batch")
 
 
-def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent: Sequence[str], t: str) -> DataFrame:
+def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent: Sequence[str], t: str, folder: str | None = None) -> DataFrame:
     """(ent, t, p_0..) with the last posterior of each entity as state. `columns` are scaled already."""
     k = len(model.start)
 
@@ -133,4 +141,4 @@ def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent
         made = pd.concat([pdf[[*ent, t]].reset_index(drop=True), pd.DataFrame(post, columns=[f"p_{i}" for i in range(k)])], axis=1)
         return made, (post[-1].tolist(),)
 
-    return _collected(_stateful(stream, ent, t, ", ".join(f"p_{i} double" for i in range(k)), "alpha array<double>", step), "append", "hmm").drop("_batch")
+    return _collected(_stateful(stream, ent, t, ", ".join(f"p_{i} double" for i in range(k)), "alpha array<double>", step), "append", "hmm", folder).drop("_batch")
