@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import panel, values
-from tidemark.functions import vec
+from tidemark.functions import quantiles, vec
 from tidemark.operators import engines, pool, validation
 from tidemark.streaming import jobs
 
@@ -328,3 +328,16 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
         for _ in range(2):  # a third run finds nothing new
             got = run(jobs.read_stream(spark, str(source)), str(tmp_path / name)).select(*want[name].columns).orderBy("ent", "t").toPandas()
             pd.testing.assert_frame_equal(got, want[name].orderBy("ent", "t").toPandas(), check_exact=False, rtol=1e-9)
+
+
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_quantiles_equal_numpy_both_ways(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "VALUES_IN_TASK", most)
+    g = np.random.default_rng(13)
+    x = pd.DataFrame({"a": g.normal(size=301), "few": g.integers(0, 4, 301).astype(float), "none": np.nan})
+    df = spark.createDataFrame([tuple(None if math.isnan(v) else v for v in r) for r in x.to_numpy().tolist()] + [(None, 7.0, None)], "a double, few double, none double").repartition(6)
+    shares = [0.0, 0.1, 0.25, 0.5, 2 / 3, 1.0]
+    got = quantiles.exact_quantiles(df, ["a", "few", "none"], shares)
+    assert got["none"] is None
+    np.testing.assert_allclose(got["a"], np.quantile(x["a"], shares), rtol=1e-12)
+    np.testing.assert_allclose(got["few"], np.quantile([*x["few"], 7.0], shares), rtol=1e-12)

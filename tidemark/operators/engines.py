@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.windows import Ent, order, pct_change, so_far, whole
 from tidemark.operators.labels import forward_maxdd
 from tidemark.sources.staging import stage
@@ -79,11 +80,12 @@ class Scaler:
 
 def fit_imputer_scaler(df: DataFrame, columns: Sequence[str], min_share: float = 0.5) -> Scaler:
     """Columns with at least `min_share` values; medians; mean and deviation after imputing (0 becomes 1)."""
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in columns], *[F.median(c).alias(f"m_{c}") for c in columns]).first()
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in columns]).first()
     kept = [c for c in columns if row["_n"] and row[f"n_{c}"] >= min_share * row["_n"] and row[f"n_{c}"]]
-    full = [F.coalesce(F.col(c).cast("double"), F.lit(float(row[f"m_{c}"]))) for c in kept]
+    median = {c: q[0] for c, q in exact_quantiles(df, kept, [0.5]).items()}
+    full = [F.coalesce(F.col(c).cast("double"), F.lit(median[c])) for c in kept]
     stats = df.agg(*[e.alias(f"{k}_{c}") for c, x in zip(kept, full) for k, e in (("a", F.avg(x)), ("s", F.stddev_pop(x)))]).first() if kept else {}
-    return Scaler(tuple(kept), tuple(float(row[f"m_{c}"]) for c in kept), tuple(stats[f"a_{c}"] for c in kept), tuple(stats[f"s_{c}"] or 1.0 for c in kept))
+    return Scaler(tuple(kept), tuple(median[c] for c in kept), tuple(stats[f"a_{c}"] for c in kept), tuple(stats[f"s_{c}"] or 1.0 for c in kept))
 
 
 def apply_imputer_scaler(df: DataFrame, scaler: Scaler, prefix: str = "z_") -> DataFrame:
@@ -215,7 +217,7 @@ def hmm_fit(df: DataFrame, columns: Sequence[str], ent: Ent, t: str, n_states: i
     names, d, k = [f"z_{c}" for c in scaler.columns], len(scaler.columns), n_states
     z = apply_imputer_scaler(df, scaler).select(*ent, t, *names)
     z = z.repartition(*[F.col(c) for c in ent]).persist() if ent else z.persist()  # one shuffle for all rounds
-    cuts = z.agg(F.percentile(names[0], F.array(*[F.lit(i / k) for i in range(1, k)])).alias("q")).first()["q"]
+    cuts = exact_quantiles(z, names[:1], [i / k for i in range(1, k)])[names[0]]
     state = reduce(lambda c, x: c + (F.col(names[0]) > x).cast("int"), cuts, F.lit(0))
     groups = {r["_k"]: r for r in z.withColumn("_k", state).groupBy("_k").agg(*[F.avg(c).alias(c) for c in names]).collect()}
     means = np.array([[groups[i][c] if i in groups else 0.0 for c in names] for i in range(k)])

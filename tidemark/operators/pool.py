@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.windows import Ent, expanding_z, last_rows, order, so_far
 from tidemark.sources.staging import stage
 
@@ -97,9 +98,9 @@ def bin_of(p: Column, edges: Sequence[float]) -> Column:
 def fit_bins(df: DataFrame, p: str, y: str, n_bins: int = 10, min_rows: int = 50) -> Bins:
     """Quantile bins of p with rate (1 + hits) / (2 + n). Under 50 rows, one class or under 3 edges: base rate."""
     rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-    head = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("base"), F.percentile(p, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])).alias("q")).first()
+    head = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("base")).first()
     base = float(head["base"]) if head["base"] is not None else 0.0
-    edges = sorted(set(head["q"] or []))
+    edges = sorted(set(exact_quantiles(rows, [p], [i / n_bins for i in range(n_bins + 1)])[p] or []))
     if head["n"] < min_rows or base in (0.0, 1.0) or len(edges) < 3:
         return Bins((), (), base)
     inner = tuple(edges[1:-1])
@@ -120,7 +121,7 @@ def log_loss(p: Column, y: Column, eps: float = P_MIN) -> Column:
 
 def engine_skill(df: DataFrame, p: str, y: str, ent: Ent, t: str, min_rows: int = 50) -> float:
     """Calibrate on the first half in time, skill = max(0, 1 - log loss / log loss of the base rate) on the second."""
-    rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*ent, t, p, y)
+    rows = stage(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(t, p, y), "skill")  # read by all steps
     n = rows.count()
     if n // 2 < min_rows:
         return 0.0
@@ -339,14 +340,13 @@ def tune_gate(df: DataFrame, cfg: GateConfig, base_rate: float) -> GateConfig:
     rate, or an absolute quantile when that rate is constant. Every row meets the whole grid
     once, in one aggregate; the first cell in grid order wins ties, no admissible cell leaves `cfg`.
     """
-    q = F.array(*[F.lit(x) for x in cfg.quantiles])
-    head = df.agg(F.percentile("layer1", q).alias("l1"), F.percentile("layer2", q).alias("l2"), F.percentile("posterior", q).alias("p"), F.stddev_samp("base_rate_live").alias("s")).first()
-    if head["l1"] is None or head["l2"] is None:
+    at = exact_quantiles(df, ["layer1", "layer2", "posterior"], cfg.quantiles)
+    if any(q is None for q in at.values()):
         return cfg
-    moving = (head["s"] or 0.0) > 1e-9
+    moving = (df.agg(F.stddev_samp("base_rate_live")).first()[0] or 0.0) > 1e-9
     cells = [
         GateConfig(**{**cfg.__dict__, "layer1": a, "layer2": b, "lift": lift, "posterior": cfg.posterior if lift else max(p, cfg.min_posterior, base_rate), "source": "tuned"})
-        for a, b, p in zip(head["l1"], head["l2"], head["p"]) for lift in (cfg.lifts if moving else (None,))
+        for a, b, p in zip(*at.values()) for lift in (cfg.lifts if moving else (None,))
     ]
     fires = lambda c: reduce(lambda a, x: a & x[1], _checks(c), F.lit(True))
     rates = df.agg(*[F.avg(fires(c).cast("double")).alias(f"r{i}") for i, c in enumerate(cells)]).first()
