@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, html, katz, licenses, mixing, neardup, quality, secrets, sharding, toxicity
+from tidemark.llm import decontaminate, exact, html, katz, licenses, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_neardup": neardup.op9_neardup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_exact": exact.op11_exact,
 }
 SQL = {
     "op2_quality": quality.OP2_SQL,
     "op3_sharding": sharding.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_exact": exact.OP11_SQL,
 }
