@@ -36,7 +36,7 @@ def test_missing_price_makes_the_label_unknown(spark):
 
 
 @pytest.mark.parametrize("make", [
-    lambda df: wf.expanding_z("px", ENT, T, 30), lambda df: wf.rolling(F.stddev_samp, "px", 21, ENT, T), lambda df: wf.rolling_skew("px", 21, ENT, T), lambda df: wf.drawdown_from_ath("px", ENT, T),
+    lambda df: wf.expanding_z("px", ENT, T, 30), lambda df: wf.rolling(F.stddev_samp, "px", 21, ENT, T), lambda df: wf.drawdown_from_ath("px", ENT, T),
 ])
 def test_windows_are_stable_on_prefixes(spark, make):
     long, short = panel(spark, WALK[:150]), panel(spark, WALK[:100])
@@ -46,10 +46,10 @@ def test_windows_are_stable_on_prefixes(spark, make):
 
 def test_windows_equal_pandas(spark):
     s, df = pd.Series(WALK[:150]), panel(spark, WALK[:150])
-    got = df.select("t", wf.rolling_skew("px", 21, ENT, T).alias("s"), wf.rolling_kurt("px", 21, ENT, T).alias("k")).orderBy("t").toPandas()
+    got = rolled(df, {"s": Rolled("skew", "px", 21), "k": Rolled("kurt", "px", 21)}, ENT, T).orderBy("t").toPandas()
     np.testing.assert_allclose(got["s"].astype(float), s.rolling(21).skew(), atol=1e-6)
     np.testing.assert_allclose(got["k"].astype(float), s.rolling(21).kurt(), atol=1e-5)
-    acf = values(wf.rolling_acf(df, "px", 63, 10, "a", ENT, T), "a")
+    acf = values(rolled(df, {"a": Rolled("acf", "px", 63, lag=10)}, ENT, T), "a")
     assert acf[80] == pytest.approx(pd.Series(WALK[18:81]).autocorr(10))
 
 

@@ -96,22 +96,49 @@ def hmm_forward(dens: np.ndarray, start: np.ndarray, trans: np.ndarray, state: n
     return out
 
 
-def hmm_expect(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posteriors, expected moves, log likelihood) of one sequence by scaled forward and backward passes."""
+def hmm_expect(
+    dens: np.ndarray, start: np.ndarray, trans: np.ndarray, entry: np.ndarray | None = None, exit_: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posteriors, expected moves, log likelihood given the past) of a stretch by scaled forward and backward passes.
+
+    `entry` is the filtered posterior of the row before it (None: the sequence starts here; else
+    the move into the stretch counts), `exit_` the likelihood of what follows by last state, up to a factor.
+    """
     n, k = dens.shape
     top = dens.max(axis=1)
     b = np.exp(dens - top[:, None])
     alpha, scale, beta = np.empty((n, k)), np.empty(n), np.ones((n, k))
     for i in range(n):
-        a = b[i] * (start if i == 0 else alpha[i - 1] @ trans)
+        before = entry if i == 0 else alpha[i - 1]
+        a = b[i] * (start if before is None else before @ trans)
         scale[i] = a.sum()
         alpha[i] = a / scale[i]
+    if exit_ is not None:
+        beta[-1] = exit_ / (alpha[-1] @ exit_)
     for i in range(n - 2, -1, -1):
         beta[i] = trans @ (b[i + 1] * beta[i + 1]) / scale[i + 1]
     moves = np.einsum("ti,ij,tj->ij", alpha[:-1], trans, b[1:] * beta[1:] / scale[1:, None])
+    if entry is not None:
+        moves += np.outer(entry, b[0] * beta[0] / scale[0]) * trans
     return alpha * beta, moves, float(np.log(scale).sum() + top.sum())
 
 
+def hmm_transfer(dens: np.ndarray, trans: np.ndarray, first: bool) -> np.ndarray:
+    """Product of the steps (move, then emit) over a stretch, up to a factor; its first row has no move where the sequence starts.
+
+    Neighbours are multiplied in pairs, so n rows are about log2 n products of stacks of matrices.
+    """
+    steps = trans[None] * np.exp(dens - dens.max(axis=1, keepdims=True))[:, None, :]
+    if first:
+        steps[0] = np.diag(np.exp(dens[0] - dens[0].max()))
+    while len(steps) > 1:
+        if len(steps) % 2:
+            steps = np.concatenate([steps, np.eye(len(trans))[None]])
+        steps = steps[0::2] @ steps[1::2]
+        steps /= steps.max(axis=(1, 2), keepdims=True)
+    return steps[0]
+
+
 def bounded(weights: np.ndarray, floor: float, cap: float, rounds: int = 50) -> np.ndarray:
     """Clip to [floor, cap] and renormalise until both hold."""
     for _ in range(rounds):

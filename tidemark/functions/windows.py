@@ -54,7 +54,10 @@ def diff(c: str | Column, k: int, ent: Ent, t: str) -> Column:
 
 
 def rolling(agg: Callable[[Column], Column], c: str | Column, n: int, ent: Ent, t: str, min_periods: int | None = None) -> Column:
-    """`agg` over the last n rows, null below `min_periods` (default n) values."""
+    """`agg` over the last n rows, null below `min_periods` (default n) values.
+
+    Spark sums each row's frame anew: for short windows. functions/rolling.py has those of any length.
+    """
     w = last_rows(n, ent, t)
     return F.when(F.count(col(c)).over(w) >= (n if min_periods is None else min_periods), agg(col(c)).over(w))
 
@@ -66,42 +69,10 @@ def expanding_z(c: str | Column, ent: Ent, t: str, min_periods: int = 252) -> Co
     return F.when(F.count(col(c)).over(w) >= min_periods, z)
 
 
-def rolling_skew(c: str | Column, n: int, ent: Ent, t: str) -> Column:
-    """Bias-corrected skewness of a full window."""
-    return rolling(lambda x: F.skewness(x), c, n, ent, t) * ((n * (n - 1)) ** 0.5 / (n - 2))
-
-
-def rolling_kurt(c: str | Column, n: int, ent: Ent, t: str) -> Column:
-    """Bias-corrected excess kurtosis of a full window."""
-    return ((n + 1) * rolling(lambda x: F.kurtosis(x), c, n, ent, t) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
-
-
-def rolling_acf(df: DataFrame, c: str, n: int, lag: int, out: str, ent: Ent, t: str) -> DataFrame:
-    """Autocorrelation at `lag` inside a full window of n values."""
-    full = F.count(c).over(last_rows(n, ent, t)) == n
-    lagged = df.withColumn("_lag", F.lag(c, lag).over(order(ent, t)))
-    return lagged.withColumn(out, F.when(full, F.corr(c, "_lag").over(last_rows(n - lag, ent, t)))).drop("_lag")
-
-
-def rolling_corr(x: str, y: str, n: int, ent: Ent, t: str) -> Column:
-    """Correlation over the pairs of a window that holds n whole pairs."""
-    w = last_rows(n, ent, t)
-    both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
-    return F.when(F.count(both).over(w) >= n, F.corr(x, y).over(w))
-
-
 def row_position(ent: Ent, t: str) -> Column:
     return F.row_number().over(order(ent, t)) - 1
 
 
-def days_since_max(df: DataFrame, c: str, n: int, out: str, ent: Ent, t: str) -> DataFrame:
-    """Rows since the first maximum of a full window of n values."""
-    w = last_rows(n, ent, t)
-    placed = df.withColumn("_pos", row_position(ent, t))
-    best = F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), (-F.col("_pos")).alias("p")))).over(w)
-    return placed.withColumn(out, F.when(F.count(c).over(w) == n, F.col("_pos") + best["p"]).cast("double")).drop("_pos")
-
-
 def log_returns(df: DataFrame, px: str, ent: Ent, t: str, out: str = "log_return") -> DataFrame:
     """ln(p / previous p); an entity's first row is dropped."""
     ratio = F.try_divide(F.col(px), F.lag(px).over(order(ent, t)))

@@ -74,15 +74,15 @@ class Scored:
 
 
 def _attempt(calls: dict[str, Callable], errors: dict[str, str]) -> dict:
-    """Results of the calls; one that has too little data (ValueError, a singular matrix) is recorded and left out."""
+    """Results of the calls; one that has too little data (TooLittleData, a singular matrix) is recorded and left out."""
     done = {}
     for name, call in calls.items():
         try:
             done[name] = call()
-        except (ValueError, np.linalg.LinAlgError) as e:
+        except (en.TooLittleData, np.linalg.LinAlgError) as e:
             errors[name] = f"{type(e).__name__}: {e}"
     if not done:
-        raise ValueError(f"no engine has enough data: {errors}")
+        raise en.TooLittleData(f"no engine has enough data: {errors}")
     return done
 
 
@@ -95,14 +95,14 @@ def _fit_anomaly(train: DataFrame, setup: Setup, ent: Ent, t: str) -> en.Anomaly
 def _fit_analog(train: DataFrame, setup: Setup, ent: Ent, t: str) -> Analog:
     scaler = en.fit_imputer_scaler(train, FEATURES)
     if len(scaler.columns) < en.MIN_FEATURES:
-        raise ValueError("too few usable columns")
+        raise en.TooLittleData("too few usable columns")
     mean, cov, _ = en.ledoit_wolf_cov(en.apply_imputer_scaler(train, scaler), [f"z_{c}" for c in scaler.columns])
     horizons = sorted({*en.HORIZONS, setup.h})
     known = en.analog_pool(train, "_price", ent, t, horizons)
     bare = Analog(scaler, mean, cov, train, train)
     pool = stage(bare.whiten(known, ent, t).select("_id", t, "w", *[f"dd_{h}" for h in horizons]), "pool")
     if pool.isEmpty():
-        raise ValueError("no row's outcome is known at the longest horizon")
+        raise en.TooLittleData("no row's outcome is known at the longest horizon")
     radii = stage(en.analog_reference_radii(pool, setup.neighbours, "_id", t, ["_id"], max(horizons)), "radii")
     return Analog(scaler, mean, cov, pool, radii)
 

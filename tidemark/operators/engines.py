@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
+from tidemark.functions.blocks import BLOCK_ROWS, halo, map_blocks, positions, several
 from tidemark.functions.quantiles import exact_quantiles
+from tidemark.functions.rolling import rolling, shift
 from tidemark.functions.windows import Ent, order, pct_change, so_far, whole
 from tidemark.operators.labels import forward_maxdd
 from tidemark.sources.staging import stage
@@ -33,6 +35,10 @@ REFERENCE_ROWS = 1_000_000
 QUERY_ROWS, POOL_ROWS = 5_000, 20_000
 
 
+class TooLittleData(ValueError):
+    """An engine has too few rows, columns or assets to be fitted."""
+
+
 def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str = "rank") -> DataFrame:
     """Share of the reference's `score` values strictly below each row's; null stays null.
 
@@ -180,7 +186,7 @@ def anomaly_fit(normal: DataFrame, columns: Sequence[str], min_normal: int = MIN
     """Model of normal rows; needs `min_normal` of them and 5 usable columns."""
     scaler = fit_imputer_scaler(normal, columns)
     if normal.count() < min_normal or len(scaler.columns) < MIN_FEATURES:
-        raise ValueError("too few normal rows or features")
+        raise TooLittleData("too few normal rows or features")
     z = apply_imputer_scaler(normal, scaler)
     names = [f"z_{c}" for c in scaler.columns]
     mean, cov, _ = ledoit_wolf_cov(z, names)
@@ -208,15 +214,63 @@ class Hmm:
     loglik: float = float("nan")
 
 
-def hmm_fit(df: DataFrame, columns: Sequence[str], ent: Ent, t: str, n_states: int = 4, rounds: int = 100, tol: float = 1e-2, ridge: float = 1e-3) -> Hmm:
-    """Gaussian HMM by EM. Entities are sequences of their own: each is one task's E-step, and only
-    sums of K x d x d numbers are added up. Starts from quantiles of the first column."""
+def _messages(cur: DataFrame, names: Sequence[str], ent: Ent, model: tuple) -> DataFrame:
+    """(ent, _block, entry, exit): what each block of a long entity meets at its ends.
+
+    A block is one K x K matrix, the product of its rows' steps. An entity's matrices are
+    multiplied up in block order: from the left to the filtered posterior before a block (null
+    for the first), from the right to the likelihood of all that follows it.
+    """
+    start, trans, means, covs = model
+    kinds = dict(cur.dtypes)
+    keys = "".join(f"`{c}` {kinds[c]}, " for c in ent)
+
+    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        m = vec.hmm_transfer(vec.log_gauss(pdf[names].to_numpy(float), means, covs), trans, pdf["_pos"].iloc[0] == 0)
+        return pdf[[*ent, "_block"]].iloc[:1].assign(m=[m.ravel()])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        mats = np.stack(pdf["m"].to_list()).reshape(len(pdf), len(start), len(start))
+        left, right = [], [np.ones(len(start))]
+        state = start
+        for m in mats:
+            left.append(state)
+            state = state @ m / (state @ m).sum()
+        for m in mats[:0:-1]:
+            right.append(m @ right[-1] / (m @ right[-1]).max())
+        return pdf[[*ent, "_block"]].assign(entry=[None, *left[1:]], exit=right[::-1])
+
+    blocks_ = cur.groupBy(*ent, "_block").applyInPandas(transfer, f"{keys}_block long, m array<double>")
+    return blocks_.groupBy(*ent).applyInPandas(compose, f"{keys}_block long, entry array<double>, exit array<double>")
+
+
+def _with_messages(cur: DataFrame, messages: DataFrame | None, ent: Ent, run, schema: str) -> DataFrame:
+    """`run(rows in order, entry or None, exit or None)` per block."""
+    if messages is None:
+        return cur.groupBy(*ent, "_block").applyInPandas(lambda pdf: run(pdf.sort_values("_pos"), None, None), schema)
+
+    def both(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        entry, exit_ = (None if v is None else np.asarray(v, float) for v in ends[["entry", "exit"]].iloc[0])
+        return run(pdf.sort_values("_pos"), entry, exit_)
+
+    return cur.groupBy(*ent, "_block").cogroup(messages.groupBy(*ent, "_block")).applyInPandas(both, schema)
+
+
+def hmm_fit(
+    df: DataFrame, columns: Sequence[str], ent: Ent, t: str, n_states: int = 4, rounds: int = 100, tol: float = 1e-2, ridge: float = 1e-3, rows: int = BLOCK_ROWS,
+) -> Hmm:
+    """Gaussian HMM by EM. Entities are sequences of their own, in blocks of `rows` rows that are tasks
+    of their own; what a block needs of the others are two vectors, and only sums of K x d x d
+    numbers are added up. Starts from quantiles of the first column."""
     scaler = fit_imputer_scaler(df, columns)
     if len(scaler.columns) < min(3, len(columns)):
-        raise ValueError("too few usable columns")
+        raise TooLittleData("too few usable columns")
     names, d, k = [f"z_{c}" for c in scaler.columns], len(scaler.columns), n_states
-    z = apply_imputer_scaler(df, scaler).select(*ent, t, *names)
-    z = z.repartition(*[F.col(c) for c in ent]).persist() if ent else z.persist()  # one shuffle for all rounds
+    placed = positions(apply_imputer_scaler(df, scaler).select(*ent, t, *names), ent, t)
+    z = halo(placed, rows, 0).repartition(*[F.col(c) for c in (*ent, "_block")]).persist()  # one shuffle for all rounds
+    long = several(z, rows)
     cuts = exact_quantiles(z, names[:1], [i / k for i in range(1, k)])[names[0]]
     state = reduce(lambda c, x: c + (F.col(names[0]) > x).cast("int"), cuts, F.lit(0))
     groups = {r["_k"]: r for r in z.withColumn("_k", state).groupBy("_k").agg(*[F.avg(c).alias(c) for c in names]).collect()}
@@ -227,13 +281,15 @@ def hmm_fit(df: DataFrame, columns: Sequence[str], ent: Ent, t: str, n_states: i
     for _ in range(rounds):
         s0, a0, m0, c0 = start, trans, means, covs
 
-        def expect(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.sort_values(t)[names].to_numpy(float)
-            post, moves, ll = vec.hmm_expect(vec.log_gauss(x, m0, c0), s0, a0)
-            flat = np.concatenate([post[0], moves.ravel(), post.sum(axis=0), (post.T @ x).ravel(), np.einsum("tk,ti,tj->kij", post, x, x).ravel(), [ll]])
+        def expect(pdf: pd.DataFrame, entry: np.ndarray | None, exit_: np.ndarray | None) -> pd.DataFrame:
+            x = pdf[names].to_numpy(float)
+            post, moves, ll = vec.hmm_expect(vec.log_gauss(x, m0, c0), s0, a0, entry, exit_)
+            head = post[0] if pdf["_pos"].iloc[0] == 0 else np.zeros(k)
+            flat = np.concatenate([head, moves.ravel(), post.sum(axis=0), (post.T @ x).ravel(), np.einsum("tk,ti,tj->kij", post, x, x).ravel(), [ll]])
             return pd.DataFrame({"i": np.arange(size), "v": flat})
 
-        sums = z.groupBy(*ent).applyInPandas(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        messages = _messages(z, names, ent, (s0, a0, m0, c0)) if long else None
+        sums = _with_messages(z, messages, ent, expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
         v = np.array([r["v"] for r in sums])
         p0, moves, n, sx, sxx, ll = np.split(v, np.cumsum([k, k * k, k, k * d, k * d * d]))
         n, moves = np.maximum(n, 1e-9), moves.reshape(k, k) + 1e-9
@@ -253,19 +309,20 @@ def hmm_states(model: Hmm, by: str = "rv_21_z") -> dict[str, list[int]]:
     return {"calm": ranked[:1], "crisis": ranked[-1:], "stress": ranked[len(ranked) // 2 :]}
 
 
-def hmm_filter(df: DataFrame, model: Hmm, ent: Ent, t: str) -> DataFrame:
-    """Filtered posteriors p_0..p_{K-1} per row; a row's posterior uses no later row."""
+def hmm_filter(df: DataFrame, model: Hmm, ent: Ent, t: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Filtered posteriors p_0..p_{K-1} per row; a row's posterior uses no later row. Blocks of `rows` rows are tasks of their own."""
     names, k = [f"z_{c}" for c in model.scaler.columns], len(model.start)
-    z = apply_imputer_scaler(df, model.scaler).select(*ent, t, *names)
+    placed = positions(apply_imputer_scaler(df, model.scaler).select(*ent, t, *names), ent, t)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*ent, t)), *(f"p_{i} double" for i in range(k))])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        post = vec.hmm_forward(vec.log_gauss(pdf[names].to_numpy(float), model.means, model.covs), model.start, model.trans)
+    def run(pdf: pd.DataFrame, entry: np.ndarray | None, exit_: np.ndarray | None) -> pd.DataFrame:
+        post = vec.hmm_forward(vec.log_gauss(pdf[names].to_numpy(float), model.means, model.covs), model.start, model.trans, entry)
         return pd.concat([pdf[[*ent, t]].reset_index(drop=True), pd.DataFrame(post, columns=[f"p_{i}" for i in range(k)])], axis=1)
 
-    return z.groupBy(*ent).applyInPandas(run, schema)
+    z = halo(placed, rows, 0)
+    messages = _messages(z, names, ent, (model.start, model.trans, model.means, model.covs)) if several(placed, rows) else None
+    return _with_messages(z, messages, ent, run, schema)
 
 
 def hmm_horizon(post: DataFrame, model: Hmm, h: int = 21) -> DataFrame:
@@ -392,13 +449,13 @@ def analog_top_n(queries: DataFrame, pool: DataFrame, qid: str, t: str | None, h
 
 
 def chosen_assets(df: DataFrame, assets: dict = ASSETS, min_obs: int = 252) -> dict:
-    """Of each asset the first column with enough values in `df`; ValueError for under three assets."""
+    """Of each asset the first column with enough values in `df`; TooLittleData for under three assets."""
     there = sorted({c for _, cols in assets.values() for c in cols if c in df.columns})
     counts = df.agg(*[F.count(c).alias(c) for c in there]).first() if there else {}
     chosen = {a: (how, next((c for c in cols if c in there and counts[c] >= min_obs), None)) for a, (how, cols) in assets.items()}
     chosen = {a: (how, [c]) for a, (how, c) in chosen.items() if c}
     if len(chosen) < 3:
-        raise ValueError("fewer than three assets")
+        raise TooLittleData("fewer than three assets")
     return chosen
 
 
@@ -459,13 +516,19 @@ def baseline_corr(train: DataFrame, assets: Sequence[str]) -> dict[tuple[str, st
     return {(a, b): row[f"c_{a}_{b}"] for a, b in pairs_of(assets)}
 
 
-def dominant_driver(df: DataFrame, assets: Sequence[str], ent: Ent, t: str, n: int = 252, out: str = "dominant") -> DataFrame:
-    """Asset with the largest variance in the n rows before; the first on ties."""
-    w = order(ent, t).rowsBetween(-n, -1)
-    cur = df.withColumns({f"_v_{a}": F.var_samp(a).over(w) for a in assets})
-    top = F.greatest(*[F.col(f"_v_{a}") for a in assets])
-    pick: Column = reduce(lambda c, a: c.when(F.col(f"_v_{a}") == top, a), assets, F)
-    return cur.withColumn(out, F.when(F.count(F.lit(1)).over(w) == n, pick)).drop(*[f"_v_{a}" for a in assets])
+def dominant_driver(df: DataFrame, assets: Sequence[str], ent: Ent, t: str, n: int = 252, out: str = "dominant", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Asset with the largest variance in the n rows before; the first on ties. Sliding sums over blocks with halo rows."""
+    cur = halo(positions(df.withColumn("_there", F.lit(1.0)), ent, t), rows, n)
+
+    def best(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        var = np.column_stack([shift(rolling(x[a], "var", n, 2), 1) for a in assets])
+        full = shift(rolling(x["_there"], "mean", n), 1) == 1
+        known = ~np.isnan(var).all(axis=1) & full
+        return {"_best": np.where(known, np.where(np.isnan(var), -np.inf, var).argmax(axis=1), np.nan)}
+
+    pick: Column = reduce(lambda c, x: c.when(F.col("_best") == x[0], x[1]), enumerate(assets), F)
+    found = map_blocks(cur, ent, [*assets, "_there"], best, ["_best"]).withColumn(out, pick)
+    return found.drop("_best", "_there")
 
 
 def causal_stress(df: DataFrame, train: DataFrame) -> DataFrame:

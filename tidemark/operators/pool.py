@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
+from tidemark.functions.blocks import BLOCK_ROWS, halo, map_blocks, positions, several
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.windows import Ent, expanding_z, last_rows, order, so_far
 from tidemark.sources.staging import stage
@@ -221,45 +222,99 @@ def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic") ->
     return done.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
-def live_base_rate(df: DataFrame, posterior: str, y: str, h: int, fallback: float, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250) -> DataFrame:
+def live_base_rate(
+    df: DataFrame, posterior: str, y: str, h: int, fallback: float, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250, rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """base_rate_live: at every 21st row the mean outcome of rows [i-h-window, i-h), held until the next.
 
     Only rows with posterior and outcome count, at least 250 of them; else the value before,
     else `fallback`. Outcomes of the last h rows aren't known at row i and are never read.
+    Windows are differences of running counts in blocks with halo rows; a block takes over the
+    last value of those before it.
     """
-    usable = F.when(F.col(posterior).isNotNull() & F.col(y).isNotNull(), F.col(y))
-    cur = df.withColumn("_pos", F.row_number().over(order(ent, t)) - 1).withColumn("_u", usable)
-    w = order(ent, t).rowsBetween(-(h + window), -(h + 1))
-    at_start = F.when((F.col("_pos") % every == 0) & (F.count("_u").over(w) >= min_rows), F.avg("_u").over(w))
-    cur = cur.withColumn("_rate", at_start)
-    return cur.withColumn("base_rate_live", F.coalesce(F.last("_rate", True).over(so_far(ent, t)), F.lit(fallback))).drop("_pos", "_u", "_rate")
-
-
-def adaptive_remap(df: DataFrame, posterior: str, y: str, h: int, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250) -> DataFrame:
-    """Platt map refitted per block of 21 rows on the same lagged window; the posterior itself where it can't be fitted."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*ent, t)), "remapped double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t).reset_index(drop=True)
-        p, target = pdf[posterior].to_numpy(float), pdf[y].to_numpy(float)
-        out = p.copy()
+    usable = F.when(F.col(posterior).isNotNull() & F.col(y).isNotNull(), F.col(y)).cast("double")
+    placed = positions(df.withColumn("_u", usable), ent, t)
+
+    def rate(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        known = ~np.isnan(x["_u"])
+        running = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        n, total = running(known), running(np.where(known, x["_u"], 0.0))
+        i = np.arange(len(known))
+        hi, lo = np.maximum(i - h, 0), np.maximum(i - h - window, 0)
+        count = n[hi] - n[lo]
+        here = (x["_pos"] % every == 0) & (count >= max(min_rows, 1))
+        return {"_rate": np.where(here, (total[hi] - total[lo]) / np.maximum(count, 1), np.nan)}
+
+    cur = map_blocks(halo(placed, rows, h + window), ent, ["_u", "_pos"], rate, ["_rate"], keep=["_pos", "_block"])
+    w = Window.partitionBy(*ent, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last("_rate", True).over(w)
+    if several(placed, rows):
+        cur = stage(cur, "rates")
+        last = cur.groupBy(*ent, "_block").agg(F.max_by("_rate", F.when(F.col("_rate").isNotNull(), F.col("_pos"))).alias("_last"))
+        ahead = Window.partitionBy(*ent).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        before = last.select(F.col("_block").alias("_b"), F.last("_last", True).over(ahead).alias("_entry"), *[F.col(c).alias(f"_e{i}") for i, c in enumerate(ent)])
+        cur = cur.join(before, _same(ent, F.col("_block") == F.col("_b")), "left")
+        held = F.coalesce(held, F.col("_entry"))
+    return cur.withColumn("base_rate_live", F.coalesce(held, F.lit(fallback))).select(*df.columns, "base_rate_live")
+
+
+def _same(ent: Ent, on: Column) -> Column:
+    for i, c in enumerate(ent):
+        on &= F.col(c).eqNullSafe(F.col(f"_e{i}"))
+    return on
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(slope, intercept) of least log loss plus slope^2 / 2.
+
+    Newton steps on a convex loss, each halved until the loss falls enough; without that they
+    run away where x says little about y or where outcomes are rare.
+    """
+    loss = lambda a, b: np.logaddexp(0.0, a * x + b).sum() - (y * (a * x + b)).sum() + a * a / 2
+    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    a, b = 0.0, float(np.log(share / (1 - share)))
+    now = loss(a, b)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
+        v = q * (1 - q)
+        g = np.array([((q - y) * x).sum() + a, (q - y).sum()])
+        step = np.linalg.solve([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]], g)
+        size, fall = 1.0, float(g @ step)
+        while (new := loss(a - size * step[0], b - size * step[1])) > now - 1e-4 * size * fall and size > 1e-10:
+            size /= 2
+        if new >= now:
+            break
+        a, b, now = a - size * step[0], b - size * step[1], new
+        if np.abs(size * step).max() < 1e-10:
+            break
+    return float(a), float(b)
+
+
+def adaptive_remap(
+    df: DataFrame, posterior: str, y: str, h: int, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250, rows: int = 2_100,
+) -> DataFrame:
+    """Platt map refitted per block of 21 rows on the same lagged window; the posterior itself where it can't be fitted.
+
+    A task refits for `rows` rows (a multiple of `every`), with the h + window rows ahead of
+    them, so an entity's refits are spread over many tasks.
+    """
+    rows = max(every, rows - rows % every)
+    both = lambda c: F.col(c).cast("double")
+    cur = halo(positions(df.withColumns({"_p": both(posterior), "_y": both(y)}), ent, t), rows, h + window)
+
+    def remap(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        p, target, pos = v["_p"], v["_y"], v["_pos"]
         x = np.log(np.clip(p, P_MIN, P_MAX) / (1 - np.clip(p, P_MIN, P_MAX)))
-        for i in range(0, len(p), every):
+        known, out = ~np.isnan(p) & ~np.isnan(target), p.copy()
+        for i in np.flatnonzero((pos % every == 0) & (pos >= pos[-1] // rows * rows)):
             past = slice(max(0, i - h - window), max(0, i - h))
-            ok = ~np.isnan(p[past]) & ~np.isnan(target[past])
-            if ok.sum() >= min_rows and 0 < target[past][ok].mean() < 1:
-                a, b = np.array([1.0, 0.0])
-                for _ in range(25):
-                    q = 1 / (1 + np.exp(-(a * x[past][ok] + b)))
-                    g = np.array([((q - target[past][ok]) * x[past][ok]).sum() + a, (q - target[past][ok]).sum()])
-                    v = q * (1 - q)
-                    m = np.array([[(v * x[past][ok] ** 2).sum() + 1, (v * x[past][ok]).sum()], [(v * x[past][ok]).sum(), v.sum() + 1e-9]])
-                    a, b = np.array([a, b]) - np.linalg.solve(m, g)
+            ok = known[past]
+            if ok.sum() >= max(min_rows, 1) and 0 < target[past][ok].mean() < 1:
+                a, b = logistic_fit(x[past][ok], target[past][ok])
                 out[i : i + every] = 1 / (1 + np.exp(-(a * x[i : i + every] + b)))
-        return pd.concat([pdf[[*ent, t]], pd.Series(out, name="remapped")], axis=1)
+        return {"remapped": out}
 
-    return df.join(df.select(*ent, t, posterior, y).groupBy(*ent).applyInPandas(run, schema), [*ent, t])
+    return map_blocks(cur, ent, ["_p", "_y", "_pos"], remap, ["remapped"]).select(*df.columns, "remapped")
 
 
 def reanchor_prior(p: Column, live: Column, train: float) -> Column:

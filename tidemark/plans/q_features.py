@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as wf
+from tidemark.functions.rolling import Rolled, rolled
 from tidemark.operators import episodes, features, labels
 from tidemark.plans.panels import ENT, POS, PX, RAW, T, forward_sql, price_panel, raw_panel, rounded
 
@@ -54,15 +55,15 @@ def _ret(df):
 
 simple("pct_change", pct("px", 5), lambda df: df.withColumn("v", wf.pct_change("px", 5, ENT, T)))
 simple("diff", f"px - lag(px, 20) OVER {W}", lambda df: df.withColumn("v", wf.diff("px", 20, ENT, T)))
-simple("rolling", roll("stddev_samp", "px", 63, 40), lambda df: df.withColumn("v", wf.rolling(F.stddev_samp, "px", 63, ENT, T, 40)))
+simple("rolling", roll("stddev_samp", "px", 63, 40), lambda df: rolled(df, {"v": Rolled("std", "px", 63, 40)}, ENT, T))
 simple("expanding_z", z("px"), lambda df: df.withColumn("v", wf.expanding_z("px", ENT, T)))
-simple("rolling_skew", roll("skewness", "r", 63), lambda df: _ret(df).withColumn("v", wf.rolling_skew("r", 63, ENT, T)), 3, RET, "rt")
-simple("rolling_kurt", roll("kurtosis", "r", 63), lambda df: _ret(df).withColumn("v", wf.rolling_kurt("r", 63, ENT, T)), 3, RET, "rt")
-simple("rolling_acf", f"CASE WHEN count(r) OVER {last(63)} = 63 THEN corr(r, rl) OVER {last(53)} END", lambda df: wf.rolling_acf(_ret(df), "r", 63, 10, "v", ENT, T), 6,
+simple("rolling_skew", roll("skewness", "r", 63), lambda df: rolled(_ret(df), {"v": Rolled("skew", "r", 63)}, ENT, T), 3, RET, "rt")
+simple("rolling_kurt", roll("kurtosis", "r", 63), lambda df: rolled(_ret(df), {"v": Rolled("kurt", "r", 63)}, ENT, T), 3, RET, "rt")
+simple("rolling_acf", f"CASE WHEN count(r) OVER {last(63)} = 63 THEN corr(r, rl) OVER {last(53)} END", lambda df: rolled(_ret(df), {"v": Rolled("acf", "r", 63, lag=10)}, ENT, T), 6,
        RET + f", ra AS (SELECT *, lag(r, 10) OVER {W} AS rl FROM rt)", "ra")
 simple("rolling_corr", f"CASE WHEN count(CASE WHEN r IS NOT NULL AND rq IS NOT NULL THEN 1 END) OVER {last(63)} >= 63 THEN corr(r, rq) OVER {last(63)} END",
-       lambda df: _ret(df).withColumn("v", wf.rolling_corr("r", "rq", 63, ENT, T)), 6, RET, "rt")
-simple("days_since_max", f"CASE WHEN count(px) OVER {last(252)} = 252 THEN pos - arg_max(pos, px) OVER {last(252)} END::DOUBLE", lambda df: wf.days_since_max(df, "px", 252, "v", ENT, T), 6, RET, "rt")
+       lambda df: rolled(_ret(df), {"v": Rolled("corr", "r", 63, other="rq")}, ENT, T), 6, RET, "rt")
+simple("days_since_max", f"CASE WHEN count(px) OVER {last(252)} = 252 THEN pos - arg_max(pos, px) OVER {last(252)} END::DOUBLE", lambda df: rolled(df, {"v": Rolled("since_max", "px", 252)}, ENT, T), 6, RET, "rt")
 simple("annualised_vol_pct", roll("stddev_samp", "r", 20) + " * sqrt(252) * 100", lambda df: _ret(df).withColumn("v", wf.annualised_vol_pct("r", ENT, T)), 6, RET, "rt")
 simple("drawdown_from_ath", f"(px / max(px) OVER (PARTITION BY ent ORDER BY t ROWS UNBOUNDED PRECEDING) - 1) * 100", lambda df: df.withColumn("v", wf.drawdown_from_ath("px", ENT, T)))
 
