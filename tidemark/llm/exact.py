@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import broadcast_if_small, lower_ascii, shared_dir
+from tidemark.llm.shared import broadcast_if_small, lower_ascii, materialize, shared_dir
 
 #: Files of a micro-batch at most.
 FILES = 256
@@ -88,6 +88,7 @@ def _differ(spark: SparkSession, path: str, text_col: str, folder: str, digits:
     """
     notes = spark.read.schema(SEEN).parquet(f"{folder}/seen").filter(F.col("level") == level)
     keys = notes.groupBy("sha").agg(F.max_by(F.struct("rep_file", "rep_row"), "seen").alias("rep"), F.max("seen").alias("seen")).filter("seen > 1").select("sha", "rep.*")
+    keys = materialize(keys, "exact-keys")  # as a table, so that Spark can split the other side's hot keys
     keyed = new.withColumnRenamed("sha", "_sha").withColumn("sha", F.substring("_sha", 1, digits))
     hits = keyed.join(keys, "sha").filter("file <> rep_file OR row <> rep_row").select("id", F.col("_sha").alias("sha"), "file", "row", "rep_file", "rep_row")
     text = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -135,6 +136,7 @@ def dedupe_stream(
     if level:  # a row counts at its last level
         rows = rows.groupBy("file", "row").agg(F.max(F.struct("level", "sha", "id")).alias("x")).select("file", "row", "x.*")
     groups = rows.groupBy("sha", "level").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "file", "row")).alias("top"))
+    groups = materialize(groups, "exact-groups")
     kept = (F.col("file") == F.col("top.file")) & (F.col("row") == F.col("top.row"))
     return rows.join(groups, ["sha", "level"]).select(F.col("id").alias("doc_id"), F.col("top.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
