@@ -395,6 +395,19 @@ def test_expressions():
     assert licenses.evaluate(licenses.to_postfix("(MIT OR GPL-2.0) AND (ISC OR MPL-2.0)")) == (4, frozenset({"mit", "gpl", "isc", "mpl"}))
 
 
+def test_long_cut_off_and_slashed_expressions(spark):
+    tag = "SPDX-License-Identifier: "
+    wide = tag + " AND ".join(["(MIT OR ISC)"] * 1_100)
+    names = tag + " OR ".join(f"x{i}" for i in range(40_000))
+    deep = tag + "(" * 50_000 + "MIT" + ")" * 50_000
+    texts = [wide, names, deep, tag + "MIT/Apache-2.0", tag + "mit or (apache-2.0", tag + "MIT // see LICENSE", tag + "(MIT OR", tag * 20_000, tag + "AND (", tag + "GPL-2.0 WITH"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    assert got[0]["n_choices"] == licenses.MOST_CHOICES and got[0]["labels"] == "isc,mit"
+    assert got[1]["n_choices"] == 40_000 and got[2]["labels"] == "mit"
+    assert [got[i]["labels"] for i in range(3, 7)] == ["apache,mit", "apache,mit", "mit", "mit"]
+    assert got[8]["labels"] == "" and got[9]["labels"] == "gpl"
+
+
 def test_places_and_labels(spark):
     texts = ["MIT License, mit-license", "under the GNU General Public License.", "SPDX-License-Identifier: Apache-2.0 OR MIT", "mitlicense admit license"]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect()}

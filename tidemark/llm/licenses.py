@@ -34,7 +34,11 @@ NOTICES = (
 )
 #: The identifier tag as words, and what may follow it: one line's worth of names, brackets and operators.
 TAG_WORDS = "spdx license identifier"
-TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\-: \t]+)", re.ASCII | re.I)
+#: A slash between two names is an older way to write `or`.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*((?:[A-Za-z0-9.+()\-: \t]|(?<=[A-Za-z0-9.+)])/(?=[A-Za-z0-9(]))+)", re.ASCII | re.I)
+TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+:\-]+")
+#: An expression with more choices counts as this many.
+MOST_CHOICES = 10**15
 #: Families of identifiers by their start, the most special first.
 FAMILIES = (
     ("AGPL", "agpl"), ("LGPL", "lgpl"), ("GPL", "gpl"), ("Apache", "apache"), ("MIT", "mit"), ("BSD", "bsd"), ("ISC", "isc"), ("MPL", "mpl"),
@@ -58,7 +62,8 @@ def to_postfix(expression: str) -> list[str] | None:
     Trailing text behind a complete expression is prose and ends it.
     """
     out, stack, wants_name = [], [], True
-    for token in re.findall(r"[()]|[A-Za-z0-9.+:\-]+", expression):
+    for token in TOKEN.findall(expression):
+        token = "OR" if token == "/" else token
         op = token.upper()
         if wants_name:
             if token == "(":
@@ -83,19 +88,31 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def completed(expression: str) -> str:
+    """An expression that a line's end cut off: operators without a right side go, open brackets are closed."""
+    tokens = TOKEN.findall(expression)
+    while tokens and (tokens[-1] in ("(", "/") or tokens[-1].upper() in PRECEDENCE):
+        tokens.pop()
+    return " ".join(tokens) + " )" * max(0, tokens.count("(") - tokens.count(")"))
+
+
 def evaluate(postfix: list[str]) -> tuple[int, frozenset[str]]:
-    """How many choices an expression leaves (`or` adds, `and` multiplies), and all labels in it.
+    """How many choices an expression leaves (`or` adds, `and` multiplies; MOST_CHOICES at most), and all labels in it.
 
     `with` keeps the licence's label and drops the exception's name.
     """
-    stack: list[tuple[int, frozenset[str]]] = []
+    stack: list[tuple[int, set[str]]] = []
     for token in postfix:
         if token in PRECEDENCE:
             (n, right), (m, left) = stack.pop(), stack.pop()
-            stack.append((m, left) if token == "WITH" else (m + n if token == "OR" else m * n, left | right))
+            if token != "WITH":
+                small, left = sorted((left, right), key=len)
+                left |= small  # the larger set grows, so long expressions stay cheap
+                m = min(m + n if token == "OR" else m * n, MOST_CHOICES)
+            stack.append((m, left))
         else:
-            stack.append((1, frozenset([family(token)])))
-    return stack[0]
+            stack.append((1, {family(token)}))
+    return stack[0][0], frozenset(stack[0][1])
 
 
 def make_scan(phrases=BASE_PHRASES + NOTICES, n_base: int = len(BASE_PHRASES)):
@@ -123,7 +140,7 @@ def make_scan(phrases=BASE_PHRASES + NOTICES, n_base: int = len(BASE_PHRASES)):
         labels |= {h[3]: max(h[4], labels.get(h[3], 0)) for h in base}
         choices = 0
         for m in TAG.finditer(text) if tagged else ():
-            if postfix := to_postfix(m[1]):
+            if postfix := to_postfix(m[1]) or to_postfix(completed(m[1])):
                 n, found = evaluate(postfix)
                 choices = max(choices, n)
                 labels |= dict.fromkeys(found, 1.0)
