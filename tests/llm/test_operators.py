@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import product
 from zlib import crc32
@@ -81,6 +82,40 @@ def test_classes_of_a_page_do_not_drop_its_text():
     assert zones('<div class="page no-sidebar"><p>Text</p></div><div class="site-menu">M</div>') == {"Text": html.OPEN, "M": html.OPEN}
 
 
+def test_markup_that_used_to_lose_text():
+    kept = lambda page: [t for z, t in html.blocks(page) if z == html.KEEP]
+    assert kept('<article><p>first</p><svg class="icon"/><p>the rest</p><math/><p>end</p></article>') == ["first", "the rest", "end"]
+    assert kept('<article><svg viewBox="0 0 1 1"><title>x</title></svg><p>a</p></article>') == ["a"]
+    assert kept('<form id="aspnetForm"><nav>N</nav><article><p>Art.</p><input></article><p>F</p></form>') == ["Art."]
+    assert kept("<form><main><p>M</p><form><p>inner</p></form></main></form>") == ["M"]
+    assert kept("<nav><ul><li>N</ul><article><p>behind an open nav</p></article>") == ["behind an open nav"]
+    assert kept('<div class="menu wrapper"><article><p>A</p></article></div>') == ["A"]
+    assert kept('<div class="related"><article>teaser</article></div><aside><article>t</article></aside><article>own</article>') == ["own"]
+    assert kept('<article class="post"><p>main</p></article><article class="comment"><p>reader</p></article>') == ["main"]
+    assert kept('<article class="comment opinion"><p>the only one</p></article>') == ["the only one"]
+    inside = "".join(f'<div class="{c}">{c}</div>' for c in ("share-price", "related-work", "notice-of-death", "menu-planning", "comments-area", "share", "related-links"))
+    zones = {t: z for z, t in html.blocks(f"<article>{inside}</article>")}
+    assert {t for t, z in zones.items() if z == html.OPEN} == {"share-price", "related-work", "notice-of-death", "menu-planning"}
+    assert {t for t, z in zones.items() if z == html.DROP} == {"comments-area", "share", "related-links"}
+
+
+def test_very_long_pages_take_linear_time(spark):
+    page = "<b>x " * 60_000 + "</i>" * 60_000 + "<article>" + "<p>word " * 20_000 + "</article>" + "<div>" * 30_000
+    began = time.time()
+    got = html.extract_text(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).first()
+    assert got["text"].endswith("\n".join(["word"] * 20_000)) and time.time() - began < 60
+
+
+def test_runs_are_cut_and_own_words_stay(spark):
+    """Pages whose furniture has no telling class or element: runs alone decide."""
+    menu = "home news sports weather travel food health science books music film games and more"
+    own = lambda i: " ".join(f"o{i}w{k}" for k in range(30))
+    rows = [(i, f"http://a.example/{i}", f"<div>{menu}</div><div>{own(i)}</div><div>posted on day {i} {menu} by{i} author {i}</div>") for i in range(6)]
+    got = {r["page_id"]: r for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i]["text"] == f"{own(i)}\nposted on day {i} by{i} author {i}" and got[i]["n_run_removed"] == 2
+
+
 def _page(blocks_, article=False):
     body = "".join(f"<div>{b}</div>" for b in blocks_)
     return f"<article>{body}</article>" if article else body

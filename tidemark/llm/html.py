@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,8 +19,6 @@ from tidemark.llm.tokens import GOLD, coded_words, mix
 #: Words in a run that counts as repeated and in its fingerprints; distinct page streams of a host
 #: that must hold a run, and distinct articles where the run stands in an article.
 RUN, FINGER, PAGES, ARTICLES = 12, 5, 2, 3
-#: An open block goes when repeated runs cover at least this share of its words.
-COVERED = 0.5
 #: Share of a host's pages that must hold a run of an article: furniture stands on most pages, a quoted passage on few.
 SHARE = 0.4
 #: An article is a copy when this share of its suffixes is repeated.
@@ -44,6 +43,14 @@ FURNITURE = re.compile(
     r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|"
     r"newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)",
 )
+#: Parts that may stand beside such a word in a class that still names furniture (comments-area); share-price has another.
+BESIDE = re.compile(
+    r"\d*|area|bars?|block|body|bottom|box|boxes|buttons?|col|column|container|content|desktop|fixed|form|global|group|icons?|inner|items?|left|links?|list|main|media|mobile|outer|overlay|page|panel|"
+    r"primary|right|row|secondary|section|site|sticky|text|thread|title|toggle|top|unit|wrap|wrapper",
+)
+#: Furniture that may hold articles of its own, and classes that make an article one of these.
+HOLDS_ARTICLES = re.compile(r"comments?|commentlist|disqus|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|promo\w*|widget")
+NO_ARTICLE = re.compile(r"comments?|reply|replies|related|promo|sponsored|advert|ad|widget")
 #: First parts of a class that tell of a page's layout, not of the element; parts that tell of a state.
 LAYOUT = frozenset("has no not with without is".split())
 STATES = frozenset("open opened closed on off enabled disabled active inactive visible none left right".split())
@@ -53,31 +60,35 @@ AROUND = frozenset("html body article main".split())
 OWN_PARTS = frozenset(("header", "masthead", "banner", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>|<(script|style|noscript|template|textarea|title|svg|math|iframe|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|[^<]+|<",
     re.S | re.I,
 )
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-OPEN, KEEP, DROP = 0, 1, 2
+#: LOOSE is dropped unless an article or main element stands in it; ASIDE is an article that goes where the page has another.
+OPEN, KEEP, DROP, LOOSE, ASIDE = 0, 1, 2, 3, 4
 
 
 def _told(name: str, attrs: str, zone: int) -> int | None:
-    """What an element's attributes tell: DROP for furniture, OPEN where that is unsure, None for nothing.
+    """What an element's attributes tell: DROP or LOOSE for furniture, OPEN where that is unsure, ASIDE for a comment in an article element.
 
-    A class or id names furniture when it begins with such a word; one that has the word
-    further on (site-footer), or with a state (comments-open), is unsure.
+    A class or id names furniture when it begins with such a word and its other parts are
+    neutral (comments-area). One that has the word further on (site-footer), with a state
+    (comments-open) or with a word of its own (share-price) is unsure.
     """
     told = None
     for attr, a, b, c in ATTR.findall(attrs):
         value, attr = (a or b or c).strip().lower(), attr.lower()
+        if attr == "class" and name == "article" and any(NO_ARTICLE.fullmatch(x) for x in value.split()):
+            told = ASIDE
         if attr in ("class", "id"):
             for token in value.split() if name not in AROUND else ():
                 parts = re.split("[_-]+", token.strip("_-"))
                 named = [i for i, x in enumerate(parts) if FURNITURE.fullmatch(x) and (zone != KEEP or x not in OWN_PARTS)]
                 if not named or parts[0] in LAYOUT:
                     continue
-                if named[0] == 0 and STATES.isdisjoint(parts):
-                    return DROP
+                if named[0] == 0 and STATES.isdisjoint(parts) and all(i in named or BESIDE.fullmatch(x) for i, x in enumerate(parts)):
+                    return DROP if HOLDS_ARTICLES.fullmatch(parts[0]) else LOOSE
                 told = OPEN
         if attr == "role" and value in ROLES or attr == "hidden" or attr == "aria-hidden" and value == "true":
             return DROP
@@ -90,11 +101,14 @@ def blocks(html: str) -> list[tuple[int, str]]:
     """(zone, text) of the visible blocks in page order.
 
     A zone is DROP inside furniture, KEEP inside an article or main element, else OPEN. The
-    innermost of these elements decides, except that nothing inside furniture is kept. White
-    space inside a block is one space; a line break element is white space.
+    innermost of these elements decides, except that inside furniture only a main element is
+    kept, and an article where the furniture is a form, a navigation (one that was never closed)
+    or a class that holds no articles of its own. Articles with a class of comments go where the
+    page has another. White space inside a block is one space; a line break element is white space.
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     zone, parts = OPEN, []
 
     def flush():
@@ -105,6 +119,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
 
     def pop(depth: int) -> int:
+        opened.subtract(n for n, _ in stack[depth:])
         del stack[depth:]
         return stack[-1][1] if stack else OPEN
 
@@ -119,7 +134,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name == "br":
             parts.append(" ")
         elif m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened[name] else None
             if name in BLOCK:
                 flush()
             if depth is not None:
@@ -135,18 +150,24 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 continue
             inner, told = zone, _told(name, m[4], zone)
             # the header of an article holds its title
-            if told == DROP or name in SKIP or name in CHROME and not (name == "header" and zone == KEEP):
+            if told == DROP or name in SKIP:
                 inner = DROP
-            elif name in CONTENT and zone != DROP:
-                inner = KEEP
+            elif name in CHROME and not (name == "header" and zone in (KEEP, ASIDE)):
+                inner = LOOSE if name in ("form", "nav", "menu") and zone != DROP else DROP
+            elif told == LOOSE:
+                inner = DROP if zone == DROP else LOOSE
+            elif name == "main" or name == "article" and zone != DROP:
+                inner = ASIDE if told == ASIDE or zone == ASIDE else KEEP
             elif told == OPEN and zone == KEEP:
                 inner = OPEN
             if inner != zone:
                 flush()
             stack.append((name, inner))
+            opened[name] += 1
             zone = inner
     flush()
-    return out
+    final = {LOOSE: DROP, ASIDE: DROP if any(z == KEEP for z, _ in out) else KEEP}
+    return [(final.get(z, z), t) for z, t in out]
 
 
 HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*$"
@@ -283,13 +304,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if not (runs or common):
                         kept.append(text)
                         continue
-                    n = len(text.encode("utf-8", "surrogatepass").split())
-                    gone = len(cover[zone].intersection(range(at, at + n)))
-                    if gone and gone >= (COVERED if zone == OPEN else 1.0) * n:
-                        by_runs += 1
-                    else:
+                    words = text.encode("utf-8", "surrogatepass").split()
+                    covered = np.fromiter((i in cover[zone] for i in range(at, at + len(words))), bool, len(words))
+                    left = [w for w, gone in zip(words, covered if covered.all() else _long_runs(covered)) if not gone]
+                    at += len(words)
+                    if len(left) == len(words) or zone == KEEP and left:
                         kept.append(text)
-                    at += n
+                        continue
+                    by_runs += 1
+                    if left:  # the runs go, what only this page has stays
+                        kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
                 text = "\n".join(kept)
                 out.append((page, url, text, len(text), len(found), len(found) - len(kept), by_runs))
             if out:
@@ -297,6 +321,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "url", "text", "n_chars", "n_blocks", "n_removed", "n_run_removed"])
 
 
+def _long_runs(covered: np.ndarray) -> np.ndarray:
+    """The covered stretches of RUN words or more; a shorter one reaches in from the next block and may be chance."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    out = np.zeros(len(covered), bool)
+    for start, end in zip(edges[::2], edges[1::2]):
+        out[start:end] = end - start >= RUN
+    return out
+
+
 def _covered(starts: list[int] | None) -> set[int]:
     return {w for s in starts or () for w in range(s, s + RUN)}
 
@@ -305,10 +338,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Main text per page: page_id, url, text, n_chars, n_blocks, n_removed, n_run_removed.
 
     Blocks inside page furniture go by their markup. Of all others, the host's suffix array
-    decides: an open block goes when runs of RUN words or more that distinct pages of the host
-    share cover half of it, a block of an article when runs that ARTICLES distinct articles
-    share, and a SHARE of the host's pages, cover it whole. Articles that are copies of one another keep their text. Blocks with
-    unique runs stay whole.
+    decides: from an open block the runs of RUN words or more that distinct pages of the host
+    share are cut and its own runs stay, and it goes when runs cover it whole; a block of an article goes when runs that ARTICLES
+    distinct articles share, and a SHARE of the host's pages, cover it whole. Articles that are
+    copies of one another keep their text. n_run_removed counts the blocks that lost runs.
 
     Null html: empty text. Null url: a host of its own. Repeated rows each get a row and count
     as one stream. Markup that is cut off or never closed ends with the page. Empty table: no
