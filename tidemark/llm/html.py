@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -108,7 +107,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = {}  # so that an end tag without its element costs no search
     zone, parts = OPEN, []
 
     def flush():
@@ -119,7 +118,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
 
     def pop(depth: int) -> int:
-        opened.subtract(n for n, _ in stack[depth:])
+        for n, _ in stack[depth:]:
+            opened[n] -= 1
         del stack[depth:]
         return stack[-1][1] if stack else OPEN
 
@@ -134,7 +134,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name == "br":
             parts.append(" ")
         elif m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened[name] else None
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened.get(name) else None
             if name in BLOCK:
                 flush()
             if depth is not None:
@@ -163,7 +163,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
             if inner != zone:
                 flush()
             stack.append((name, inner))
-            opened[name] += 1
+            opened[name] = opened.get(name, 0) + 1
             zone = inner
     flush()
     final = {LOOSE: DROP, ASIDE: DROP if any(z == KEEP for z, _ in out) else KEEP}
@@ -305,8 +305,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         kept.append(text)
                         continue
                     words = text.encode("utf-8", "surrogatepass").split()
-                    covered = np.fromiter((i in cover[zone] for i in range(at, at + len(words))), bool, len(words))
-                    left = [w for w, gone in zip(words, covered if covered.all() else _long_runs(covered)) if not gone]
+                    gone = cover[zone].intersection(range(at, at + len(words)))
+                    if not gone:
+                        kept.append(text)
+                        at += len(words)
+                        continue
+                    covered = np.zeros(len(words), bool)
+                    covered[np.fromiter(gone, int, len(gone)) - at] = True
+                    left = [w for w, cut in zip(words, covered if covered.all() else _long_runs(covered)) if not cut]
                     at += len(words)
                     if len(left) == len(words) or zone == KEEP and left:
                         kept.append(text)
