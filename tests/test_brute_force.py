@@ -299,6 +299,34 @@ def test_neighbours_within_groups_and_cells(spark, monkeypatch):
         assert [r["pool_id"] for r in got] == np.argsort(far, axis=1)[:, :4].ravel().tolist()
 
 
+def test_neighbours_by_cells_equal_brute_force_and_skip_distances(spark, monkeypatch):
+    monkeypatch.setattr(engines, "QUERY_ROWS", 60)
+    monkeypatch.setattr(engines, "POOL_ROWS", 40)
+    g = np.random.default_rng(13)
+    x = (g.normal(size=(600, 3)) + 12 * g.integers(0, 4, size=(600, 1))).round(3)
+    x[100:220] = x[100]  # copies: at distance 0, so no neighbours of one another
+    x[300] = x[301] + 1e-5  # nearer than the product form can tell
+    days = pd.date_range("2001-01-01", periods=600).date
+    df = spark.createDataFrame([(i, d, r.tolist()) for i, (d, r) in enumerate(zip(days, x))], "id int, t date, w array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[(d <= 1e-8) | (np.abs(np.arange(600)[:, None] - np.arange(600)[None]) <= 9)] = np.inf
+    got = engines.nearest(df, df, 5, 9, "id", "t", keep=["id"]).toPandas().sort_values(["id", "rank"])
+    np.testing.assert_allclose(got["distance"].to_numpy().reshape(600, 5), np.sort(d, axis=1)[:, :5], rtol=1e-9, atol=1e-12)
+    assert np.isclose(d[got["id"], got["pool_id"]], got["distance"]).all() and got.groupby("id")["pool_id"].nunique().eq(5).all()
+    assert engines.skipped_share(df, df, 5, 9, "id", "t", keep=["id"]) > 0.5
+
+
+def test_a_cell_full_of_copies_takes_no_step_per_pair():
+    import time
+    import pyarrow as pa
+
+    w = [[1.0, 2.0, 3.0]]
+    table = lambda n, key: pa.table({key: pa.array(range(n), pa.int64()), "_d": pa.array([0] * n), "_w": w * (n - 2) + [[1.0, 2.0, 3.0005], [5.0, 5.0, 5.0]]})
+    began = time.time()
+    got = engines._cell(2, None, [])(table(2_000, "_q"), table(8_000, "_p"))
+    assert time.time() - began < 30 and got.num_rows == 4_000 and min(got.column("distance").to_pylist()) == pytest.approx(5e-4)
+
+
 def written(df, folder, name):
     """One file `name` in `folder`, from one partition."""
     df.coalesce(1).write.parquet(f"{folder}-{name}")

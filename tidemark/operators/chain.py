@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,6 +20,8 @@ from tidemark.operators.labels import crash_label, forward_maxdd
 from tidemark.sources.staging import stage
 
 ENGINES = tuple(po.ENGINES)
+#: Folds whose jobs run side by side.
+FOLDS_AT_ONCE = 4
 LAYERS = ["layer1", "archetype", "layer2", "layer3"]
 
 
@@ -201,18 +204,23 @@ def walk_forward(features: DataFrame, raw: DataFrame, cutoffs: Sequence[str], se
     """(rows with `fold`, models by fold, reasons of skipped folds).
 
     Per cutoff everything is fitted anew on the days before it, and the window up to the next
-    cutoff (both days in) is scored. Folds are few, so they run one after another; each is
-    Spark jobs over all rows. `validation.pool_folds` makes the windows disjoint.
+    cutoff (both days in) is scored. Folds don't need one another, so FOLDS_AT_ONCE of them send
+    their jobs to the cluster at a time. `validation.pool_folds` makes the windows disjoint.
     """
-    done, skipped = {}, {}
-    for i, a in enumerate(cutoffs):
-        eve = (dt.date.fromisoformat(a) - dt.timedelta(days=1)).isoformat()
+
+    def fold(i: int) -> Scored | en.TooLittleData:
+        eve = (dt.date.fromisoformat(cutoffs[i]) - dt.timedelta(days=1)).isoformat()
         try:
-            done[i + 1] = fit_and_score(features, raw, eve, setup, ent, t, a, cutoffs[i + 1] if i + 1 < len(cutoffs) else None)
-        except ValueError as e:
-            skipped[i + 1] = str(e)
+            return fit_and_score(features, raw, eve, setup, ent, t, cutoffs[i], cutoffs[i + 1] if i + 1 < len(cutoffs) else None)
+        except en.TooLittleData as e:
+            return e
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        results = dict(enumerate(pool.map(fold, range(len(cutoffs))), 1))
+    done = {f: r for f, r in results.items() if isinstance(r, Scored)}
+    skipped = {f: str(r) for f, r in results.items() if f not in done}
     if not done:
-        raise ValueError(f"no fold could be scored: {skipped}")
+        raise en.TooLittleData(f"no fold could be scored: {skipped}")
     rows = reduce(DataFrame.unionByName, [m.rows.withColumn("fold", F.lit(f)) for f, m in done.items()])
     return rows, done, skipped
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,12 +34,21 @@ MIN_NORMAL, MIN_FEATURES, TREES, TREE_ROWS, ALERT = 500, 5, 200, 256, 0.99
 REFERENCE_ROWS = 1_000_000
 #: Queries and pool rows of a cell.
 QUERY_ROWS, POOL_ROWS = 5_000, 20_000
+#: Pivots at most; these and a radius and size each are what tasks know of the whole pool.
+PIVOTS = 256
 
 
 class TooLittleData(ValueError):
     """An engine has too few rows, columns or assets to be fitted."""
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64-bit values that spreads them (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def rank_vs_reference(df: DataFrame, score: str, reference: DataFrame, out: str = "rank") -> DataFrame:
     """Share of the reference's `score` values strictly below each row's; null stays null.
 
@@ -134,17 +144,44 @@ def mahalanobis_score(df: DataFrame, columns: Sequence[str], mean: np.ndarray, c
 
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42) -> tuple[list, int]:
-    """(trees, rows of a tree's sample). Each tree takes a hash-drawn sample of at most `rows` rows and grows in a task."""
+    """(trees, rows of a tree's sample). Each tree takes the `rows` rows with its smallest hashes and grows in a task.
+
+    A task keeps `rows` rows per tree while its rows pass by, so what it sends doesn't grow with
+    its input; the samples of tasks merge by hash. Equal rows are told apart by their number in
+    a batch; the draw of distinct rows depends on the rows alone.
+    """
     n = df.count()
-    share = min(1.0, 2.0 * rows / max(n, 1))
     cells = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    drawn = cells.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "_t", *columns))
-    drawn = drawn.filter(F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    salt = mix64(np.arange(trees, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros((0, len(columns))))] * trees
+        for batch in batches:
+            x = vec.matrix(batch, columns)
+            names = np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=8).digest() for r in x), np.uint64)
+            by_row = mix64(names + pd.Series(names).groupby(names).cumcount().to_numpy().astype(np.uint64))
+            for i in range(trees):
+                h = mix64(by_row ^ salt[i])
+                if len(held[i][0]) == rows:
+                    low = h < held[i][0].max()
+                    h, part = h[low], x[low]
+                else:
+                    part = x
+                both = np.concatenate([held[i][0], h]), np.concatenate([held[i][1], part])
+                take = np.argpartition(both[0], rows - 1)[:rows] if len(both[0]) > rows else np.arange(len(both[0]))
+                held[i] = both[0][take], both[1][take]
+        for i, (h, x) in enumerate(held):
+            if len(h):
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int32()), pa.array(h.view(np.int64)), flat], names=["_t", "_h", "_x"])
+
+    drawn = cells.mapInArrow(smallest, "_t int, _h bigint, _x array<double>")
     depth = math.ceil(math.log2(max(2, min(rows, n))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_t"].iloc[0])
-        x = pdf.sort_values("_h")[list(columns)].to_numpy(float)[:rows]
+        order_ = np.argsort(pdf["_h"].to_numpy().view(np.uint64), kind="stable")[:rows]
+        x = np.array(pdf["_x"].iloc[order_].to_list(), float)
         nodes = vec.grow_tree(x, np.random.default_rng([seed, t]), depth)
         return pd.DataFrame({"_t": t, "node": range(len(nodes)), "f": [k[0] for k in nodes], "cut": [k[1] for k in nodes], "l": [k[2] for k in nodes], "r": [k[3] for k in nodes]})
 
@@ -364,16 +401,22 @@ def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
     """The k best rows of a part of the pool (_p, _d, _w, kept) for each query of a block (_q, _d, _w)."""
 
     def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
+        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1) + 0.0 if t.num_rows else np.zeros((0, 1))
         q, x = vectors(queries), vectors(pool)
         qd, pd_ = (np.asarray(t.column("_d").to_numpy()) for t in (queries, pool))
         rows, at, far = [], [], []
+        if len(q) and len(x):
+            both = np.ascontiguousarray(np.concatenate([q, x]))
+            same = np.unique(both.view([("", f"V{both.itemsize * both.shape[1]}")]).ravel(), return_inverse=True)[1]
         for start in range(0, len(q) if len(x) else 0, 512):
             a = q[start : start + 512]
             dist = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * a @ x.T, 0))
-            # the product form loses digits near zero: settle small ones exactly
-            for i, j in np.argwhere(dist < 1e-3):
-                dist[i, j] = np.sqrt(((a[i] - x[j]) ** 2).sum())
+            dist[same[start : start + len(a)][:, None] == same[len(q) :][None]] = np.inf  # equal rows are no neighbours
+            # the product form loses digits near zero: settle small ones exactly, a bounded slice of pairs at a time
+            i, j = np.nonzero(dist < 1e-3)
+            for cut in range(0, len(i), step := max(1, 4_000_000 // x.shape[1])):
+                i_, j_ = i[cut : cut + step], j[cut : cut + step]
+                dist[i_, j_] = np.sqrt(((a[i_] - x[j_]) ** 2).sum(axis=1))
             dist[dist <= 1e-8] = np.inf
             if embargo_days is not None:
                 dist[np.abs(qd[start : start + 512][:, None] - pd_[None]) <= embargo_days] = np.inf
@@ -387,39 +430,145 @@ def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
     return run
 
 
+def _best(qs: DataFrame, ps: DataFrame, by: Sequence[str], k: int, embargo_days: int | None, kept: Sequence[str]) -> DataFrame:
+    """(_q, distance, _p, kept): queries and pool rows that share `by` meet in a task, which keeps k per query."""
+    kinds = dict(ps.dtypes)
+    schema = ", ".join([f"_q {dict(qs.dtypes)['_q']}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
+    return qs.groupBy(*by).cogroup(ps.groupBy(*by)).applyInArrow(_cell(k, embargo_days, kept), schema)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """The pool in cells around pivots: each row lies with its nearest pivot. `radius` and `size` are per cell."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance to each pivot, least possible distance to a row of its cell) of each query."""
+        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None] - 2 * q @ self.pivots.T, 0))
+        return d, np.maximum(d - self.radius[None] - 1e-6 * (1 + d), 0)  # the product form's rounding stays below this
+
+
+def pivot_cells(ps: DataFrame) -> tuple[Cells, DataFrame]:
+    """Cells of pool rows (_p, _w), and the rows with their `_cell`. At most PIVOTS pivots, the rows with the smallest hashes of about the pool's square root."""
+    n = ps.count()
+    drawn = ps.select(F.xxhash64("_p").alias("h"), "_p", "_w").orderBy("h", "_p").limit(max(1, min(PIVOTS, math.isqrt(n)))).toPandas()["_w"]
+    pivots = np.unique(np.array(drawn.to_list(), float), axis=0) if len(drawn) else np.zeros((1, 1))
+
+    @F.pandas_udf("struct<cell: int, far: double>")
+    def nearest_pivot(w: pd.Series) -> pd.DataFrame:
+        x = np.array(w.to_list(), float).reshape(len(w), -1)
+        d = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"cell": at.astype(np.int32), "far": np.sqrt(((x - pivots[at]) ** 2).sum(axis=1))})
+
+    rows = stage(ps.withColumn("_at", nearest_pivot("_w")).withColumns({"_cell": F.col("_at.cell"), "_far": F.col("_at.far")}).drop("_at"), "cells")
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in rows.groupBy("_cell").agg(F.max("_far").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
+        radius[r["_cell"]], size[r["_cell"]] = r["r"], r["n"]
+    return Cells(pivots, radius, size), rows.drop("_far")
+
+
+def _visits(qs: DataFrame, cells: Cells, k: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(queries with the cells they visit first, function from (query, distance of its k-th best) to the cells that are left).
+
+    First come the nearest pivots' cells until these hold four times k rows. Afterwards a cell is
+    left only if a row of it can be nearer than the k-th best so far.
+    """
+
+    def near(q: np.ndarray) -> list[np.ndarray]:
+        order_ = cells.bounds(q)[0].argsort(axis=1, kind="stable")
+        upto = (np.cumsum(cells.size[order_], axis=1) < 4 * k).sum(axis=1) + 1
+        return [o[:u] for o, u in zip(order_, upto)]
+
+    matrix = lambda w: np.array(w.to_list(), float).reshape(len(w), -1)
+
+    @F.pandas_udf("array<int>")
+    def first(w: pd.Series) -> pd.Series:
+        return pd.Series([c.astype(np.int32) for c in near(matrix(w))])
+
+    @F.pandas_udf("array<int>")
+    def rest(w: pd.Series, tau: pd.Series) -> pd.Series:
+        q, limit = matrix(w), tau.fillna(np.inf).to_numpy(float)
+        low = cells.bounds(q)[1]
+        return pd.Series([np.setdiff1d(np.flatnonzero((b <= t_) & (cells.size > 0)), seen).astype(np.int32) for b, t_, seen in zip(low, limit, near(q))])
+
+    def left(tau: DataFrame) -> DataFrame:
+        return qs.join(tau, "_q", "left").withColumn("_cell", F.explode(rest("_w", "_tau"))).drop("_tau")
+
+    return qs.withColumn("_cell", F.explode(first("_w"))), left
+
+
 def nearest(
     queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = (), within: Sequence[str] = (),
 ) -> DataFrame:
-    """(qid, pool columns, distance, rank): the k nearest pool rows of every query, none dropped for speed.
-
-    Queries in blocks of about QUERY_ROWS and the pool in parts of about POOL_ROWS meet in
-    cells, each one task's work; a cell keeps k rows per query, and these meet by query. A pool
-    row within `embargo_days` calendar days (inclusive) of the query, or at distance 0 (the
-    query itself, and copies of it), is no neighbour. With `within` (columns without nulls),
-    only rows equal in them meet, and each such group has as many cells as its own size asks for.
+    """(qid, pool columns, distance, rank): the k nearest pool rows of every query, exactly.
+
+    The pool lies in cells around pivots; by the triangle inequality a cell whose rows can't be
+    nearer than a query's k-th best from its first cells is not visited. Queries in blocks of
+    about QUERY_ROWS and cells in parts of about POOL_ROWS meet in tasks; each keeps k rows per
+    query, and these meet by query. A pool row within `embargo_days` calendar days (inclusive)
+    of the query, or at distance 0 (the query itself, and copies of it), is no neighbour. With
+    `within` (columns without nulls), only rows equal in them meet, and each such group has as
+    many cells as its own size asks for.
     """
-    cells = lambda df, n, name: df.groupBy(*within).agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
-    if within:
-        both = cells(queries, QUERY_ROWS, "_blocks").join(cells(pool, POOL_ROWS, "_parts"), list(within))
-        queries, pool = queries.join(both, list(within)), pool.join(both, list(within))
-        blocks, parts = F.col("_blocks"), F.col("_parts")
-    else:
-        blocks, parts = (F.lit(max(1, cells(df, n, "n").first()[0])) for df, n in ((queries, QUERY_ROWS), (pool, POOL_ROWS)))
     days = F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
     kept, same = [f"k_{c}" for c in keep], [f"g_{c}" for c in within]
     own = lambda c, n: F.pmod(F.xxhash64(c), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<bigint>"))
     shared = [days.alias("_d"), F.col(vector).alias("_w"), *[F.col(c).alias(g) for c, g in zip(within, same)]]
-    qs = queries.select(F.col(qid).alias("_q"), own(qid, blocks).alias("_b"), every(parts).alias("_c"), *shared)
-    ps = pool.select(F.xxhash64(*keep).alias("_p"), blocks.alias("_blocks"), parts.alias("_parts"), *shared, *[F.col(c).alias(f"k_{c}") for c in keep])
-    ps = ps.withColumn("_c", own("_p", F.col("_parts"))).withColumn("_b", every(F.col("_blocks"))).drop("_blocks", "_parts")
-    kinds = dict(ps.dtypes)
-    schema = ", ".join([f"_q {dict(qs.dtypes)['_q']}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
-    best = qs.groupBy(*same, "_b", "_c").cogroup(ps.groupBy(*same, "_b", "_c")).applyInArrow(_cell(k, embargo_days, kept), schema)
+    named = [F.col(c).alias(f"k_{c}") for c in keep]
+    if within:
+        cells = lambda df, n, name: df.groupBy(*within).agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+        both = cells(queries, QUERY_ROWS, "_blocks").join(cells(pool, POOL_ROWS, "_parts"), list(within))
+        queries, pool = queries.join(both, list(within)), pool.join(both, list(within))
+        qs = queries.select(F.col(qid).alias("_q"), own(qid, F.col("_blocks")).alias("_b"), every(F.col("_parts")).alias("_c"), *shared)
+        ps = pool.select(F.xxhash64(*keep).alias("_p"), F.col("_blocks"), F.col("_parts"), *shared, *named)
+        ps = ps.withColumn("_c", own("_p", F.col("_parts"))).withColumn("_b", every(F.col("_blocks"))).drop("_blocks", "_parts")
+        best = _best(qs, ps, [*same, "_b", "_c"], k, embargo_days, kept)
+    else:
+        best = _indexed(queries.select(F.col(qid).alias("_q"), *shared), pool.select(F.xxhash64(*keep).alias("_p"), *shared, *named), k, embargo_days, kept)[0]
     w = Window.partitionBy("_q").orderBy("distance", "_p")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), *[F.col(f"k_{c}").alias(f"pool_{c}" if c == qid else c) for c in keep], "distance", "rank")
 
 
+def _indexed(qs: DataFrame, ps: DataFrame, k: int, embargo_days: int | None, kept: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(k best rows per query and visited cell, all (query, cell) visits)."""
+    qs = stage(qs, "queries")
+    cells, rows = pivot_cells(ps)
+    blocks_ = max(1, -(-qs.count() // QUERY_ROWS))
+    parts = np.maximum(-(-cells.size // POOL_ROWS), 1).tolist()
+    own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("_cell") + 1)
+    rows = rows.withColumn("_c", own("_p", n_parts))
+    first, left = _visits(qs, cells, k)
+
+    def meet(visits: DataFrame) -> DataFrame:
+        at = visits.withColumn("_b", own("_q", F.lit(blocks_))).withColumn("_c", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+        asked = at.select(*[F.col(c).alias(f"_a{c}") for c in ("_cell", "_c", "_b")]).distinct()  # a block of queries gets a part of the pool once
+        there = rows.join(asked, (F.col("_cell") == F.col("_a_cell")) & (F.col("_c") == F.col("_a_c"))).drop("_a_cell", "_a_c").withColumnRenamed("_a_b", "_b")
+        return _best(at, there, ["_cell", "_c", "_b"], k, embargo_days, kept)
+
+    found = stage(meet(first), "first-cells")
+    w = Window.partitionBy("_q").orderBy("distance")
+    tau = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select("_q", F.col("distance").alias("_tau"))
+    rest = stage(left(tau), "other-cells")
+    return found.unionByName(meet(rest)), first.select("_q", "_cell").unionByName(rest.select("_q", "_cell"))
+
+
+def skipped_share(queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = ()) -> float:
+    """Share of all query-pool distances that `nearest` doesn't compute."""
+    days = F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
+    shared = [days.alias("_d"), F.col(vector).alias("_w")]
+    ps = pool.select(F.xxhash64(*keep).alias("_p"), *shared)
+    visits = _indexed(queries.select(F.col(qid).alias("_q"), *shared), ps, k, embargo_days, [])[1]
+    sizes = pivot_cells(ps)[0].size
+    seen = sum(int(sizes[r["_cell"]]) * r["count"] for r in visits.groupBy("_cell").count().collect())
+    return 1 - seen / max(1, queries.count() * int(sizes.sum()))
+
+
 def analog_reference_radii(pool: DataFrame, k: int, qid: str, t: str | None, keep: Sequence[str], longest: int = max(HORIZONS)) -> DataFrame:
     """(radius): distance to the k-th neighbour of every pool row, with the longest horizon's embargo."""
     found = nearest(pool, pool, k, math.ceil(1.6 * longest) if t else None, qid, t, keep=keep)
