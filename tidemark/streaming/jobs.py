@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tidemark.functions import vec
 from tidemark.operators.alerts import ML_ALARM
 from tidemark.operators.engines import Hmm
-from tidemark.sources.staging import new_path
-from tidemark.sources.tables import upsert_rows
+from tidemark.sources.staging import new_path, stage
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that a query started inside takes over; the session's own come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -50,24 +63,63 @@ def newest_rows(batch: DataFrame, key: Sequence[str], ts: str, days: int = 7) ->
     return fresh.groupBy(*key).agg(F.max_by(F.struct(*rest), ts).alias("x")).select(*key, "x.*")
 
 
-def stream_upsert(stream: DataFrame, key: Sequence[str], ts: str, days: int = 7, folder: str | None = None) -> DataFrame:
+def stream_upsert(stream: DataFrame, key: Sequence[str], ts: str, days: int = 7, folder: str | None = None, buckets: int = 64, compact: int = 8) -> DataFrame:
     """The table after every batch's newest rows were put in by key.
 
-    Batch i writes version i from version i - 1, so a batch that is run again, or a later run
-    with the same `folder`, finds its state in the folder alone.
+    A batch writes its rows alone, dealt to `buckets` by key; reading merges them, the last
+    batch of a key wins. A bucket that more than `compact` batches have touched since its last
+    base is merged into a new base, and no other is written anew. A batch that is run again
+    replaces its own rows, and a base names the batch up to which it holds, so a later run with
+    the same `folder` finds its state there alone.
     """
     spark = stream.sparkSession
     folder = folder or new_path(spark, "upsert")
-    version = lambda i: f"{folder}/table/_version={i}"
 
     def sink(batch: DataFrame, i: int) -> None:
-        new = newest_rows(batch, key, ts, days)
-        merged = upsert_rows(spark.read.parquet(version(i - 1)), new, key) if i else new
-        merged.write.mode("overwrite").parquet(version(i))
+        new = newest_rows(batch, key, ts, days).select(*batch.columns).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        new.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/log/_batch={i}")
+        touched = _changes(spark, folder, stream.schema).groupBy("_bucket").agg(F.countDistinct("_batch").alias("n")).filter(F.col("n") > compact)
+        full = [r["_bucket"] for r in touched.collect()]  # buckets at most
+        if full:
+            merged = _merged(spark, folder, stream.schema, key, full)
+            merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/base/_upto={i}")
 
     run_to_end(stream, "append", sink, folder)
-    last = spark.read.parquet(f"{folder}/table").agg(F.max("_version")).first()[0]
-    return spark.read.parquet(version(last))
+    return _merged(spark, folder, stream.schema, key).drop("_bucket")
+
+
+def _layers(spark: SparkSession, folder: str, schema: StructType, what: str, at: str) -> DataFrame:
+    """The rows of all log batches or bases, each with its number `at` and `_bucket`."""
+    full = StructType([*schema.fields]).add(at, "long").add("_bucket", "long")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{what}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", f"{folder}/{what}").parquet(f"{folder}/{what}")
+
+
+def _bases(spark: SparkSession, folder: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows of every bucket's newest base, (_bucket, _upto) of these)."""
+    base = _layers(spark, folder, schema, "base", "_upto")
+    newest = base.groupBy("_bucket").agg(F.max("_upto").alias("_upto"))  # a row per bucket
+    return base.join(F.broadcast(newest), ["_bucket", "_upto"], "left_semi"), newest
+
+
+def _changes(spark: SparkSession, folder: str, schema: StructType, held: DataFrame | None = None) -> DataFrame:
+    """Log rows that their bucket's newest base doesn't hold."""
+    newest = _bases(spark, folder, schema)[1] if held is None else held
+    log = _layers(spark, folder, schema, "log", "_batch").join(F.broadcast(newest), "_bucket", "left")
+    return log.filter(F.col("_upto").isNull() | (F.col("_batch") > F.col("_upto"))).drop("_upto")
+
+
+def _merged(spark: SparkSession, folder: str, schema: StructType, key: Sequence[str], only: list[int] | None = None) -> DataFrame:
+    """Newest base and later changes, one row per key: that of the last batch."""
+    base, newest = _bases(spark, folder, schema)
+    both = base.withColumnRenamed("_upto", "_batch").select(*schema.fieldNames(), "_bucket", "_batch").unionByName(_changes(spark, folder, schema, newest).select(*schema.fieldNames(), "_bucket", "_batch"))
+    if only is not None:
+        both = both.filter(F.col("_bucket").isin(only))
+    rest = [c for c in schema.fieldNames() if c not in key]
+    last = both.groupBy("_bucket", *key).agg(F.max_by(F.struct(*rest), "_batch").alias("x"))
+    return last.select("_bucket", *key, "x.*").select(*schema.fieldNames(), "_bucket")
 
 
 def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str, late: str = "7 days", folder: str | None = None) -> DataFrame:
@@ -78,67 +130,145 @@ def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
 
 
-def _stateful(stream: DataFrame, ent: Sequence[str], t: str, out: str, state: str, step: Callable) -> DataFrame:
-    """`step(sorted rows, old state or None) -> (output frame, new state)` per entity."""
-    kinds = dict(stream.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*ent, t)), out])
+class _InOrder(StatefulProcessor):
+    """`step(rows in time order, old state or None) -> (output frame, new state)` per entity, whatever order rows come in.
+
+    Rows wait in list state until the watermark has passed them; an event-time timer at the
+    earliest one waiting then hands on all that are due, in order.
+    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(t)
-        made, new = step(pdf, held.get if held.exists else None)
-        held.update(new)
+    def __init__(self, row: str, state: str, names: list[str], step: Callable) -> None:
+        self.row, self.state, self.names, self.step = row, state, names, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.row)
+        self.held = handle.getValueState("held", self.state)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))[["us", *self.names]]
+        waiting = min(self.handle.listTimers(), default=None)
+        first = -(-int(new["us"].min()) // 1000)
+        self.rows.appendList([tuple(r) for r in new.astype(object).where(new.notna(), None).to_numpy().tolist()])
+        if waiting is None or first < waiting:
+            if waiting is not None:
+                self.handle.deleteTimer(waiting)
+            self.handle.registerTimer(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.rows.get(), key=lambda r: r[0])
+        due, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
+        made, new = self.step(key, pd.DataFrame(due, columns=["us", *self.names]), self.held.get() if self.held.exists() else None)
+        self.held.update(new)
+        if rest:
+            self.rows.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.rows.clear()
         yield made
 
-    return stream.groupBy(*ent).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thresholds=ML_ALARM, folder: str | None = None) -> DataFrame:
+#: The state that timers and lists need: on local disk, its log in the checkpoint folder.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def _in_order(stream: DataFrame, ent: Sequence[str], t: str, out: str, state: str, columns: Sequence[str], step: Callable, name: str, folder: str | None, late: str) -> DataFrame:
+    """Rows (ent, t, out) of `step(rows, old state)` in time order per entity, for rows up to `late` behind the newest.
+
+    What the watermark hasn't passed is waiting in the state; it is read there and worked off
+    once more each time, so the result is whole, and a later run with the same `folder` still
+    puts rows in between. Rows later than the watermark are dropped by it.
+    """
+    spark, kinds = stream.sparkSession, dict(stream.dtypes)
+    folder = folder or new_path(spark, name)
+    keys = [f"k{i}" for i in range(len(ent))]
+    us = F.unix_micros(F.col(t).cast("timestamp"))
+    cur = stream.select(*[F.col(c).alias(k) for c, k in zip(ent, keys)], F.col(t).cast("timestamp").alias("seen_at"), us.alias("us"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    names = [f"v{i}" for i in range(len(columns))]
+    row = "us long, " + ", ".join(f"{n} double" for n in names)
+    key_kinds = ", ".join(f"{k} {kinds[c]}" for c, k in zip(ent, keys))
+    schema = f"{key_kinds}, us long, {out}"
+
+    def run(key, pdf: pd.DataFrame, old):
+        made, new = step(pdf.rename(columns=dict(zip(names, columns))).astype({c: float for c in columns}), old)
+        return pd.concat([pd.DataFrame({k: [v] * len(pdf) for k, v in zip(keys, key)}), pdf[["us"]].reset_index(drop=True), made.reset_index(drop=True)], axis=1), new
+
+    done = cur.withWatermark("seen_at", late).groupBy(*keys).transformWithStateInPandas(_InOrder(row, state, names, run), schema, "append", "EventTime")
+    with _settings(spark, ROCKSDB):
+        ready = _collected(done, "append", name, folder).drop("_batch")
+        held = spark.read.format("statestore").option("path", f"{folder}/checkpoint")
+        waiting = stage(held.option("stateVarName", "rows").load().select(*[F.col(f"key.{k}").alias(k) for k in keys], "list_element.*"), "waiting")
+        kept = stage(held.option("stateVarName", "held").load().select(*[F.col(f"key.{k}").alias(k) for k in keys], F.col("value").alias("held")), "held")
+
+    def finish(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=made)
+        old = states["held"].iloc[0] if len(states) else None
+        return run(key, rows.sort_values("us")[["us", *names]].reset_index(drop=True), None if old is None else tuple(old[f] for f in fields))[0]
+
+    fields, made = StructType.fromDDL(state).fieldNames(), list(ready.columns)
+    tail = waiting.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInPandas(finish, schema)
+    back = F.timestamp_micros("us").cast(kinds[t])
+    rest = [c for c in ready.columns if c not in (*keys, "us")]
+    return ready.unionByName(tail).select(*[F.col(k).alias(c) for k, c in zip(keys, ent)], back.alias(t), *rest)
+
+
+def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thresholds=ML_ALARM, folder: str | None = None, late: str = "1 day") -> DataFrame:
     """(ent, t, value, alarm) with the last 20 values of each entity as state."""
     deepest = max(k for k, _, _ in thresholds)
 
     def step(pdf: pd.DataFrame, old):
-        past = list(old[0]) if old else []
-        n = old[1] if old else 0
+        past, n = (list(old[0]), old[1]) if old else ([], 0)
         alarms = []
-        for x in pdf[p].astype(float):
+        for x in pdf[p]:
             alarm = "none"
             for k, limit, name in thresholds if n >= 2 else ():
                 if len(past) >= k and (0.0 if past[-k] == 0 else (x - past[-k]) / past[-k] / k) > limit:
                     alarm = name
                     break
             alarms.append(alarm)
-            past, n = [*past, x][-deepest:], n + 1
-        return pdf[[*ent, t, p]].rename(columns={p: "value"}).assign(alarm=alarms), (past, n)
+            past, n = [*past, float(x)][-deepest:], n + 1
+        return pd.DataFrame({"value": pdf[p].to_numpy(), "alarm": alarms}), (past, n)
 
-    return _collected(_stateful(stream, ent, t, "value double, alarm string", "past array<double>, n long", step), "append", "alarm", folder).drop("_batch")
+    return _in_order(stream, ent, t, "value double, alarm string", "past array<double>, n long", [p], step, "alarm", folder, late)
 
 
-def stream_base_rate(stream: DataFrame, y: str, h: int, fallback: float, ent: Sequence[str], t: str, window: int = 1260, every: int = 21, min_rows: int = 250, folder: str | None = None) -> DataFrame:
+def stream_base_rate(
+    stream: DataFrame, y: str, h: int, fallback: float, ent: Sequence[str], t: str, window: int = 1260, every: int = 21, min_rows: int = 250, folder: str | None = None, late: str = "1 day",
+) -> DataFrame:
     """(ent, t, base_rate_live) with a ring of the last h + window outcomes as state (NaN: unknown)."""
 
     def step(pdf: pd.DataFrame, old):
         ring, n, rate = (list(old[0]), old[1], old[2]) if old else ([], 0, fallback)
         rates = []
-        for v in pdf[y].astype(float):
+        for v in pdf[y]:
             if n % every == 0:
                 past = np.array(ring[max(0, len(ring) - h - window) : max(0, len(ring) - h)], float)
                 known = past[~np.isnan(past)]
                 rate = float(known.mean()) if len(known) >= min_rows else rate
             rates.append(rate)
-            ring, n = [*ring, v][-(h + window):], n + 1
-        return pdf[[*ent, t]].assign(base_rate_live=rates), (ring, n, rate)
+            ring, n = [*ring, float(v)][-(h + window):], n + 1
+        return pd.DataFrame({"base_rate_live": rates}), (ring, n, rate)
 
-    return _collected(_stateful(stream, ent, t, "base_rate_live double", "ring array<double>, n long, rate double", step), "append", "rate", folder).drop("_batch")
+    return _in_order(stream, ent, t, "base_rate_live double", "ring array<double>, n long, rate double", [y], step, "rate", folder, late)
 
 
-def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent: Sequence[str], t: str, folder: str | None = None) -> DataFrame:
+def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent: Sequence[str], t: str, folder: str | None = None, late: str = "1 day") -> DataFrame:
     """(ent, t, p_0..) with the last posterior of each entity as state. `columns` are scaled already."""
     k = len(model.start)
 
     def step(pdf: pd.DataFrame, old):
         dens = vec.log_gauss(pdf[list(columns)].to_numpy(float), model.means, model.covs)
-        post = vec.hmm_forward(dens, model.start, model.trans, np.array(old[0]) if old else None)
-        made = pd.concat([pdf[[*ent, t]].reset_index(drop=True), pd.DataFrame(post, columns=[f"p_{i}" for i in range(k)])], axis=1)
-        return made, (post[-1].tolist(),)
+        post = vec.hmm_forward(dens, model.start, model.trans, np.array(old[0], float) if old else None)
+        return pd.DataFrame(post, columns=[f"p_{i}" for i in range(k)]), (post[-1].tolist(),)
 
-    return _collected(_stateful(stream, ent, t, ", ".join(f"p_{i} double" for i in range(k)), "alpha array<double>", step), "append", "hmm", folder).drop("_batch")
+    return _in_order(stream, ent, t, ", ".join(f"p_{i} double" for i in range(k)), "alpha array<double>", list(columns), step, "hmm", folder, late)
