@@ -369,3 +369,18 @@ def test_quantiles_equal_numpy_both_ways(spark, monkeypatch, most):
     assert got["none"] is None
     np.testing.assert_allclose(got["a"], np.quantile(x["a"], shares), rtol=1e-12)
     np.testing.assert_allclose(got["few"], np.quantile([*x["few"], 7.0], shares), rtol=1e-12)
+
+
+def test_grouped_medians_equal_pandas(spark):
+    g = np.random.default_rng(14)
+    x = pd.DataFrame({"k": g.choice(["a", "b", "c"], 400, p=[0.8, 0.19, 0.01]), "v": g.integers(0, 40, 400) / 4.0})
+    x.loc[::37, "v"] = np.nan
+    rows = [(None if i % 50 == 3 else r.k, None if math.isnan(r.v) else r.v) for i, r in enumerate(x.itertuples())]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: (r["m"], r["n"]) for r in quantiles.grouped_medians(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], F.col("v"), "m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in {r[0] for r in rows}:
+        v = [b for a, b in rows if a == k and b is not None]
+        assert got.get(k) == ((np.median(v), len(v)) if v else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.staging import stage
@@ -40,3 +40,27 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     value = {(r["c"], r["k"]): r["v"] for r in ranked.join(ranks, "c").filter(here).select("c", "k", "v").collect()}
     between = lambda n, p: value[n, math.floor(p)] * (math.ceil(p) - p) + value[n, math.ceil(p)] * (p - math.floor(p)) if p % 1 else value[n, int(p)]
     return {c: [between(n, p) for p in at[n]] if n in at else None for n, c in names.items()}
+
+
+def grouped_medians(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
+    """(by, out, n): each group's exact median and number of values; a group with any number of values is many tasks.
+
+    Counts of distinct (group, value) are sorted in ranges, the ranges' totals give a group's
+    first rank in each range, and the one or two values at the middle rank are taken.
+    """
+    cells = df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
+    parts = stage(cells.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "grouped")
+    sums = parts.groupBy("_part", *by).agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*by)  # a row per range in which the group has values
+    start = sums.select(
+        F.col("_part").alias("_in_part"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.sum("_s").over(group).alias("_total"),
+        F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    )
+    same = F.col("_part") == F.col("_in_part")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy("_part", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumn("_upto", F.sum("_n").over(inside)).join(start, same).withColumn("_upto", F.col("_upto") + F.col("_start"))
+    at = lambda rank: F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v")))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
+    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(out), F.max("_total").alias("n"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import grouped_medians
 from tidemark.functions.windows import so_far
 
 #: First date from which vintages were archived as they came; earlier release dates are back-filled.
@@ -53,7 +54,7 @@ def extend_pre_vintage(known: DataFrame, plain: DataFrame, lags: DataFrame, fall
 def splice_series(primary: DataFrame, historical: DataFrame, min_overlap: int = 20) -> DataFrame:
     """Primary (series, t, value), extended backwards by historical times the median ratio of common days."""
     both = primary.join(historical.select("series", "t", F.col("value").alias("_h")), ["series", "t"])
-    ratio = both.groupBy("series").agg(F.when(F.count(F.try_divide("value", "_h")) >= min_overlap, F.median(F.try_divide(F.col("value"), F.col("_h")))).alias("_ratio"))
+    ratio = grouped_medians(both, ["series"], F.try_divide(F.col("value"), F.col("_h")), "_ratio").filter(F.col("n") >= min_overlap).drop("n")
     start = primary.groupBy("series").agg(F.min("t").alias("_start"))
     older = historical.join(start, "series").filter("t < _start").join(ratio, "series", "left")
     return primary.select("series", "t", "value").unionByName(older.select("series", "t", (F.col("value") * F.coalesce("_ratio", F.lit(1.0))).alias("value")))

@@ -126,8 +126,8 @@ def engine_skill(df: DataFrame, p: str, y: str, ent: Ent, t: str, min_rows: int
     n = rows.count()
     if n // 2 < min_rows:
         return 0.0
-    cut = rows.select(F.percentile(F.unix_date(F.col(t).cast("date")), 0.5).alias("m")).first()["m"]
-    early = F.unix_date(F.col(t).cast("date")) <= cut
+    day = F.unix_date(F.col(t).cast("date"))
+    early = day <= exact_quantiles(rows.select(day.alias("_day")), ["_day"], [0.5])["_day"][0]
     bins = fit_bins(rows.filter(early), p, y)
     base = rows.filter(early).agg(F.avg(y)).first()[0]
     late = rows.filter(~early).agg(F.avg(log_loss(apply_bins(F.col(p), bins), F.col(y))), F.avg(log_loss(F.lit(float(base or 0.0)), F.col(y)))).first()
@@ -198,10 +198,11 @@ def platt_calibrate(df: DataFrame, p: str, y: str, ent: Ent, t: str, blocks: int
     """
     day = F.unix_date(F.col(t).cast("date"))
     rows = stage(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(day.alias("_day"), logit(F.col(p)).alias("_l"), F.col(y).cast("double").alias("_y")), "platt")
-    head = rows.agg(F.count(F.lit(1)), F.avg("_y"), F.percentile("_day", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]))).first()
+    head = rows.agg(F.count(F.lit(1)), F.avg("_y")).first()
     if head[0] < min_rows or head[1] in (0.0, 1.0):
         return Platt(None)
-    block = sum(((F.col("_day") > c).cast("int") for c in head[2]), F.lit(0))
+    cuts = exact_quantiles(rows, ["_day"], [i / blocks for i in range(1, blocks)])["_day"]
+    block = sum(((F.col("_day") > c).cast("int") for c in cuts), F.lit(0))
     sizes = {r["b"]: (r["n"], r["hits"]) for r in rows.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("hits")).collect()}
     total = (head[0], sum(h for _, h in sizes.values()))
     rest = {b: (total[0] - n, total[1] - h) for b, (n, h) in sizes.items()}
