@@ -20,8 +20,8 @@ from tidemark.operators.labels import crash_label, forward_maxdd
 from tidemark.sources.staging import stage
 
 ENGINES = tuple(po.ENGINES)
-#: Folds whose jobs run side by side.
-FOLDS_AT_ONCE = 4
+#: Folds, or engines of a fold, whose jobs run side by side.
+AT_ONCE = 4
 LAYERS = ["layer1", "archetype", "layer2", "layer3"]
 
 
@@ -76,14 +76,24 @@ class Scored:
     errors: dict[str, str]
 
 
+def side_by_side(f: Callable, items: Sequence) -> list:
+    """`f` of every item, in threads that each send their own Spark jobs: small jobs then share the cluster instead of queueing."""
+    with ThreadPoolExecutor(max(1, min(AT_ONCE, len(items)))) as pool:
+        return list(pool.map(f, items))
+
+
 def _attempt(calls: dict[str, Callable], errors: dict[str, str]) -> dict:
-    """Results of the calls; one that has too little data (TooLittleData, a singular matrix) is recorded and left out."""
-    done = {}
-    for name, call in calls.items():
+    """Results of the calls, whose jobs run side by side; one that has too little data (TooLittleData, a singular matrix) is recorded and left out."""
+
+    def attempt(call: Callable):
         try:
-            done[name] = call()
+            return call(), None
         except (en.TooLittleData, np.linalg.LinAlgError) as e:
-            errors[name] = f"{type(e).__name__}: {e}"
+            return None, f"{type(e).__name__}: {e}"
+
+    results = dict(zip(calls, side_by_side(attempt, list(calls.values()))))
+    errors |= {name: why for name, (_, why) in results.items() if why}
+    done = {name: found for name, (found, why) in results.items() if not why}
     if not done:
         raise en.TooLittleData(f"no engine has enough data: {errors}")
     return done
@@ -191,8 +201,8 @@ def _calibrate(joined: DataFrame, ent: Ent, t: str) -> tuple[float, dict[str, fl
     if rate is None:
         return 0.5, {e: 0.0 for e in ENGINES}, {e: 1 / len(ENGINES) for e in ENGINES}, {f"calibrated_{e}": F.col(f"pressure_{e}") for e in ENGINES}
     prior = min(max(float(rate), po.P_MIN), po.P_MAX)
-    skill = {e: po.engine_skill(known, f"pressure_{e}", "y_fit", ent, t) for e in ENGINES}
-    bins = {e: po.fit_bins(known, f"pressure_{e}", "y_fit") for e in ENGINES}
+    skill = dict(zip(ENGINES, side_by_side(lambda e: po.engine_skill(known, f"pressure_{e}", "y_fit", ent, t), ENGINES)))
+    bins = dict(zip(ENGINES, side_by_side(lambda e: po.fit_bins(known, f"pressure_{e}", "y_fit"), ENGINES)))
     return prior, skill, po.bounded_weights(skill), {f"calibrated_{e}": po.apply_bins(F.col(f"pressure_{e}"), b) for e, b in bins.items()}
 
 
@@ -204,7 +214,7 @@ def walk_forward(features: DataFrame, raw: DataFrame, cutoffs: Sequence[str], se
     """(rows with `fold`, models by fold, reasons of skipped folds).
 
     Per cutoff everything is fitted anew on the days before it, and the window up to the next
-    cutoff (both days in) is scored. Folds don't need one another, so FOLDS_AT_ONCE of them send
+    cutoff (both days in) is scored. Folds don't need one another, so AT_ONCE of them send
     their jobs to the cluster at a time. `validation.pool_folds` makes the windows disjoint.
     """
 
@@ -215,8 +225,7 @@ def walk_forward(features: DataFrame, raw: DataFrame, cutoffs: Sequence[str], se
         except en.TooLittleData as e:
             return e
 
-    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
-        results = dict(enumerate(pool.map(fold, range(len(cutoffs))), 1))
+    results = dict(enumerate(side_by_side(fold, range(len(cutoffs))), 1))
     done = {f: r for f, r in results.items() if isinstance(r, Scored)}
     skipped = {f: str(r) for f, r in results.items() if f not in done}
     if not done:
