@@ -217,6 +217,29 @@ def test_isotonic_equals_the_min_max_form(spark):
     assert got[81] is None and 0 <= got[80] <= 1
 
 
+def test_isotonic_merges_ranges_and_pieces(spark):
+    g = np.random.default_rng(16)
+    p = np.round(g.random(3_000), 3)
+    y = (g.random(3_000) < p**2).astype(float)
+    df = spark.createDataFrame([*zip(range(3_000), p.tolist(), y.tolist()), (3_000, -1.0, None), (3_001, 2.0, None)], "id int, p double, y double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = pool.isotonic_blocks(df, "p", "y", fan_in=2).orderBy("lo").collect()
+        got = {r["id"]: r["isotonic"] for r in pool.isotonic_calibrate(df, "p", "y", rows=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(blocks) > 10 and sum(r["w"] for r in blocks) == 3_000
+    mean = {v: y[(p >= r["lo"]) & (p <= r["hi"])].mean() for r in blocks for v in np.unique(p[(p >= r["lo"]) & (p <= r["hi"])])}
+    rates = [mean[r["lo"]] for r in blocks]
+    assert all(a < b for a, b in zip(rates, rates[1:]))
+    for r in blocks:  # no block could be cut into two with rising means
+        inside = (p >= r["lo"]) & (p <= r["hi"])
+        for v in np.unique(p[inside])[:-1]:
+            assert y[inside & (p <= v)].mean() >= y[inside & (p > v)].mean() - 1e-12
+    np.testing.assert_allclose([got[i] for i in range(3_000)], [mean[v] for v in p], atol=1e-12)
+    assert got[3_000] == rates[0] and got[3_001] == rates[-1]
+
+
 def test_remap_is_the_optimum_on_the_lagged_window(spark):
     g = np.random.default_rng(8)
     n, h, window, every, least = 260, 10, 120, 21, 50

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import vec
-from tidemark.functions.blocks import BLOCK_ROWS, halo, map_blocks, positions, several
+from tidemark.functions.blocks import BLOCK_ROWS, halo, map_blocks, positions, several, with_columns
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.windows import Ent, expanding_z, last_rows, order, so_far
 from tidemark.sources.staging import stage
@@ -31,6 +32,8 @@ TACTICAL = ["rv_21_z", "rv_63_z", "vix_z", "vix_term_structure", "vix_shock_5d",
             "hy_spread_chg", "iv_rv_gap", "oil_shock_z"]
 INVERTED = frozenset(("yc_10y_3m", "yc_10y_2y", "iv_rv_gap", "m2_yoy_z", "ma200_dist", "acf_20"))
 P_MIN, P_MAX = 1e-4, 1 - 1e-4
+#: Tasks over which the rows of one piece of a map are dealt.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -215,12 +218,80 @@ def platt_calibrate(df: DataFrame, p: str, y: str, ent: Ent, t: str, blocks: int
     return Platt(*whole, temper=1.0 if slope is None else min(1.0, max(0.15, slope)), prior=float(head[1]))
 
 
-def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic") -> DataFrame:
-    """`df` with the isotonic map of p, clipped to [0, 1]; null stays null."""
-    train = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-    model = IsotonicRegression(featuresCol=p, labelCol="_y", predictionCol=out).fit(train.select(p, F.col(y).cast("double").alias("_y")))
-    done = model.transform(df.filter(F.col(p).isNotNull())).withColumn(out, clip(F.col(out), 0.0, 1.0))
-    return done.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+def pool_adjacent(rows: np.ndarray) -> np.ndarray:
+    """Pool-adjacent-violators over rows (lowest p, highest p, sum of y, weight) in order of p: blocks with rising means.
+
+    Blocks of pieces can be pooled again, so pieces may be worked on apart and merged.
+    """
+    stack: list[list[float]] = []
+    for lo, hi, s, w in rows.tolist():
+        while stack and stack[-1][2] * w >= s * stack[-1][3]:
+            before = stack.pop()
+            lo, s, w = before[0], s + before[2], w + before[3]
+        stack.append([lo, hi, s, w])
+    return np.array(stack, float).reshape(-1, 4)
+
+
+def isotonic_blocks(df: DataFrame, p: str, y: str, fan_in: int = 16) -> DataFrame:
+    """(lo, hi, s, w) per block of the isotonic fit. Ranges of p pool their own rows; neighbouring ranges merge, `fan_in` at a time."""
+    names = ["lo", "hi", "s", "w"]
+    schema = "part bigint, lo double, hi double, s double, w double"
+    known = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+    values = known.groupBy(F.col(p).cast("double").alias("lo")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+    ranged = values.repartitionByRange("lo").sortWithinPartitions("lo").select(F.spark_partition_id().cast("long").alias("part"), "lo", F.col("lo").alias("hi"), "s", "w")
+
+    def table(part: int, blocks_: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks_), part), pa.int64()), *(pa.array(c, pa.float64()) for c in blocks_.T)], names=["part", *names])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = np.zeros((0, 4)), 0
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+                held = pool_adjacent(np.concatenate([held, vec.matrix(batch, names)]))
+        if len(held):
+            yield table(part, held)
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.column_stack([rows.column(c).to_numpy() for c in names])
+        return pa.Table.from_batches([table(key[0].as_py(), pool_adjacent(x[np.argsort(x[:, 0])]))])
+
+    cur = stage(ranged.mapInArrow(local, schema), "isotonic")
+    while (cur.agg(F.max("part")).first()[0] or 0) > 0:
+        cur = stage(cur.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part").applyInArrow(merge, schema), "isotonic")
+    return cur.drop("part")
+
+
+def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic", rows: int = BLOCK_ROWS) -> DataFrame:
+    """`df` with the isotonic map of p, linear between blocks, clipped to [0, 1]; null stays null, and all is null without a row to fit.
+
+    Rows meet the map in pieces of `rows` knots, each piece with the knot behind its last.
+    """
+    blocks_ = isotonic_blocks(df, p, y)
+    ends = blocks_.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") / F.col("w"))).alias("v"))
+    knots = stage(positions(ends, [], "x"), "knots")
+    cuts = [r["x"] for r in knots.filter((F.col("_pos") > 0) & (F.col("_pos") % rows == 0)).orderBy("x").select("x").collect()]
+    own = F.floor(F.col("_pos") / rows).cast("int")
+    pieces = knots.select("x", "v", F.explode(F.array_distinct(F.array(own, F.when((F.col("_pos") % rows == 0) & (own > 0), own - 1).otherwise(own)))).alias("_piece"))
+
+    @F.pandas_udf("int")
+    def piece(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(float), side="right").astype(np.int32))
+
+    schema = StructType([f for f in df.schema.fields if f.name != out]).add(out, "double")
+
+    def apply(table: pa.Table, knots_: pa.Table) -> pa.Table:
+        x = table.column("_x").to_numpy()
+        k = knots_.sort_by("x")
+        made = np.interp(x, k.column("x").to_numpy(), k.column("v").to_numpy()) if k.num_rows else np.full(len(x), np.nan)
+        return with_columns(table.drop_columns(["_x", "_piece"]), {out: made})
+
+    cur = df.drop(out).withColumn("_x", F.col(p).cast("double"))
+    there = cur.filter("_x IS NOT NULL").withColumn("_piece", piece("_x"))
+    spread = there.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))  # rows of a piece in several tasks
+    copies = pieces.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    done = spread.groupBy("_piece", "_salt").cogroup(copies.groupBy("_piece", "_salt")).applyInArrow(lambda a, b: apply(a.drop_columns(["_salt"]), b), schema)
+    return done.unionByName(cur.filter("_x IS NULL").drop("_x").withColumn(out, F.lit(None).cast("double")))
 
 
 def live_base_rate(
