@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "forward_maxdd", "label_coverage", "expanding_z", "rolling_acf", "days_since_max", "first_release", "known_on", "asof_align", "splice_series", "fill_missing", "screen_columns",
     "threshold_crashes", "normal_days", "confusion", "calibration_summary", "backtest", "fold_metrics", "gate_reason", "log_odds_pool", "fit_bins", "roc_alarm", "upsert_rows", "stream_roc_alarm",
+    "rolling", "rolling_skew", "rolling_corr", "build_features", "drawdown_episodes", "live_base_rate", "dominant_driver", "isotonic_calibrate", "tune_gate", "mahalanobis_score", "analog_top_n", "stream_base_rate", "stream_upsert",
 ]
 
 

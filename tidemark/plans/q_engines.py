@@ -65,7 +65,15 @@ def _(spark, d):
     return rounded(one.crossJoin(cells).select("n", F.lit(float(shrink)).alias("shrinkage"), "i", "j", "cov"))  # one row x d^2
 
 
-@query("mahalanobis_score")
+#: The shrunk covariance as a list of rows, and its inverse by elimination on [C | I], one column a step (it is positive definite).
+INVERSE = LW + """, co AS (SELECT i, list((1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END ORDER BY j) AS r FROM s, sh GROUP BY i),
+  gj AS (SELECT 1 AS k, list(list_concat(r, list_transform(range(64), lambda j: (i = j)::INT::DOUBLE)) ORDER BY i) AS m FROM co UNION ALL
+    SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(list_zip(r, m[k]), lambda z: z[1] - r[k] / m[k][k] * z[2]) END) FROM gj WHERE k <= 64),
+  pr AS (SELECT i, j, m[i + 1][65 + j] AS p FROM gj, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) WHERE k = 65)"""
+
+
+@query("mahalanobis_score", f"""WITH RECURSIVE {INVERSE}, h AS (SELECT vec_id, j, sum(c.v * p) AS h FROM c JOIN pr USING (i) GROUP BY ALL)
+  SELECT vec_id, round(sum(h * c.v), 6) AS mahalanobis FROM h JOIN c USING (vec_id) WHERE c.i = h.j GROUP BY vec_id""")
 def _(spark, d):
     v = vectors(spark, d)
     mean, cov, _ = en.ledoit_wolf_cov(v, DIM)
@@ -323,7 +331,17 @@ def _(spark, d):
     return rounded(df.select("ent", "t", po.platt_calibrate(df, "posterior", "y", ENT, T).apply(F.col("posterior")).alias("platt")), 4)
 
 
-@query("isotonic_calibrate")
+@query("isotonic_calibrate", f"""WITH RECURSIVE {POOLED}, v AS (SELECT posterior AS p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS w FROM po WHERE posterior IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+  pts AS (SELECT 0 AS k, 0.0::DOUBLE AS s, 0.0::DOUBLE AS w UNION ALL SELECT row_number() OVER o, sum(s) OVER o, sum(w) OVER o FROM v WINDOW o AS (ORDER BY p)),
+  hull AS (SELECT 0 AS a, 0 AS k, 0.0::DOUBLE AS s, 0.0::DOUBLE AS w, NULL::DOUBLE AS r UNION ALL
+    SELECT any_value(h.k), arg_min(q.k, ((q.s - h.s) / (q.w - h.w), -q.k)), arg_min(q.s, ((q.s - h.s) / (q.w - h.w), -q.k)), arg_min(q.w, ((q.s - h.s) / (q.w - h.w), -q.k)), min((q.s - h.s) / (q.w - h.w))
+    FROM hull h JOIN pts q ON q.k > h.k GROUP BY h.k),
+  pk AS (SELECT row_number() OVER (ORDER BY p) AS k, p FROM v),
+  kn AS (SELECT p AS x, r FROM hull JOIN pk ON pk.k = hull.a + 1 WHERE r IS NOT NULL UNION SELECT p, r FROM hull JOIN pk ON pk.k = hull.k WHERE r IS NOT NULL),
+  d AS (SELECT DISTINCT posterior AS p FROM po WHERE posterior IS NOT NULL),
+  lo AS (SELECT d.p, x AS x0, r AS r0 FROM d ASOF LEFT JOIN kn ON d.p >= kn.x), hi AS (SELECT d.p, x AS x1, r AS r1 FROM d ASOF LEFT JOIN kn ON d.p <= kn.x),
+  iso AS (SELECT p, CASE WHEN r0 IS NULL THEN r1 WHEN r1 IS NULL OR x0 = x1 THEN r0 ELSE r0 + (r1 - r0) * (p - x0) / (x1 - x0) END AS v FROM lo JOIN hi USING (p))
+  SELECT ent, t, round(v, 6) AS isotonic FROM po LEFT JOIN iso ON po.posterior = iso.p""")
 def _(spark, d):
     return rounded(po.isotonic_calibrate(_pooled(spark, d), "posterior", "y").select("ent", "t", "isotonic"))
 
@@ -419,10 +437,25 @@ def _(spark, d):
     return rounded(po.contributions(_pooled(spark, d), WEIGHTS, PRIOR).select("ent", "t", *[f"contribution_{e}" for e in NAMES]))
 
 
-@query("tune_gate")
+TUNED = po.GateConfig(confidence=0.3)
+#: The grid's cells in order, each with its rate of fires. Where the live base rate stands still, a cell has a quantile of the posterior in place of a lift.
+TUNE = CONF + """, ur AS (SELECT ent, t, row_number() OVER (PARTITION BY ent ORDER BY t) - 1 AS pos, CASE WHEN posterior IS NOT NULL AND y IS NOT NULL THEN y END AS u FROM po),
+  br AS (SELECT *, CASE WHEN pos % 21 = 0 AND count(u) OVER w >= 250 THEN avg(u) OVER w END AS r FROM ur WINDOW w AS (PARTITION BY ent ORDER BY t ROWS BETWEEN 1281 PRECEDING AND 22 PRECEDING)),
+  lr AS (SELECT ent, t, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY ent ORDER BY t ROWS UNBOUNDED PRECEDING), 0.3) AS live FROM br),
+  ga AS (SELECT cf.*, live, power(agreement * coverage * support, 1.0::DOUBLE / 3) AS confidence, tax AS l1, disc AS l2, dd / 4 AS l3 FROM cf JOIN lr USING (ent, t)),
+  qs AS (""" + " UNION ALL ".join(f"SELECT {i} AS qi, quantile_cont(l1, {q}::DOUBLE) AS c1, quantile_cont(l2, {q}::DOUBLE) AS c2, quantile_cont(posterior, {q}::DOUBLE) AS cp FROM ga" for i, q in enumerate(TUNED.quantiles)) + """),
+  mv AS (SELECT coalesce(stddev_samp(live), 0) > 1e-9 AS moving FROM ga),
+  cl AS (SELECT qi * 100 AS cell, c1, c2, cp, NULL::DOUBLE AS lift FROM qs, mv WHERE NOT moving UNION ALL SELECT qi * 100 + li, c1, c2, cp, lift FROM qs, mv, (VALUES """ + ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(TUNED.lifts)) + f""") AS l(li, lift) WHERE moving),
+  hit AS (SELECT cell, c1, c2, ent, coalesce(CASE WHEN lift IS NULL THEN posterior >= greatest(cp, {TUNED.min_posterior}::DOUBLE, 0.3::DOUBLE) ELSE posterior >= lift * live AND posterior >= {TUNED.min_posterior}::DOUBLE END AND confidence >= {TUNED.confidence}::DOUBLE AND l1 >= c1 AND l2 >= c2 AND l3 >= {TUNED.layer3}::DOUBLE, false) AS f FROM ga, cl),
+  rt AS (SELECT cell, any_value(c1) AS c1, any_value(c2) AS c2, avg(f::INT) AS rate FROM hit GROUP BY cell),
+  bs AS (SELECT * FROM rt WHERE rate BETWEEN {TUNED.min_rate}::DOUBLE AND {TUNED.max_rate}::DOUBLE
+    ORDER BY (rate >= {TUNED.target_rate}::DOUBLE) DESC, CASE WHEN rate >= {TUNED.target_rate}::DOUBLE THEN -rate ELSE rate END DESC, cell LIMIT 1)"""
+
+
+@query("tune_gate", f"WITH {TUNE} SELECT ent, count(*) FILTER (f) AS n_fires, round(bs.c1, 6) AS layer1, round(bs.c2, 6) AS layer2, 'tuned' AS source FROM hit JOIN bs USING (cell) GROUP BY ent, bs.c1, bs.c2")
 def _(spark, d):
     df = stage(_gated(spark, d), "gated")
-    best = po.tune_gate(df, po.GateConfig(confidence=0.3), 0.3)
+    best = po.tune_gate(df, TUNED, 0.3)
     return rounded(po.gate(df, best).groupBy("ent").agg(F.count_if("fires").alias("n_fires")).withColumns({"layer1": F.lit(float(best.layer1)), "layer2": F.lit(float(best.layer2)), "source": F.lit(best.source)}))
 
 
