@@ -42,13 +42,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     return {c: [between(n, p) for p in at[n]] if n in at else None for n, c in names.items()}
 
 
-def grouped_medians(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
-    """(by, out, n): each group's exact median and number of values; a group with any number of values is many tasks.
+def _ranked(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values `_v` of each group with `_n` rows, `_upto` rows of the group at or below, and the group's `_total`.
 
-    Counts of distinct (group, value) are sorted in ranges, the ranges' totals give a group's
-    first rank in each range, and the one or two values at the middle rank are taken.
+    Counts of distinct (group, value) are sorted in ranges; the ranges' totals give a group's first rank in each.
     """
-    cells = df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
     parts = stage(cells.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "grouped")
     sums = parts.groupBy("_part", *by).agg(F.sum("_n").alias("_s"))
     group = Window.partitionBy(*by)  # a row per range in which the group has values
@@ -60,7 +58,34 @@ def grouped_medians(df: DataFrame, by: Sequence[str], value: Column, out: str) -
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
     inside = Window.partitionBy("_part", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parts.withColumn("_upto", F.sum("_n").over(inside)).join(start, same).withColumn("_upto", F.col("_upto") + F.col("_start"))
-    at = lambda rank: F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v")))
+    return parts.withColumn("_upto", F.sum("_n").over(inside)).join(start, same).withColumn("_upto", F.col("_upto") + F.col("_start"))
+
+
+def _at(rank: Column) -> Column:
+    """Aggregate: the value at a rank (from 0) of the group."""
+    return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v")))
+
+
+def grouped_medians(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
+    """(by, out, n): each group's exact median and number of values; a group with any number of values is many tasks."""
+    ranked = _ranked(df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL"), by)
     low, high = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
-    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(out), F.max("_total").alias("n"))
+    return ranked.groupBy(*by).agg(((_at(low) + _at(high)) / 2).alias(out), F.max("_total").alias("n"))
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column, shares: Sequence[float], out: str = "q") -> DataFrame:
+    """(by, out): each group's exact quantiles at `shares`, linear between neighbours, as an array; nulls don't count.
+
+    Groups of at most VALUES_IN_TASK values are gathered in one aggregate; where one has more, all
+    are ranked in ranges. Both ways give the same numbers.
+    """
+    cells = df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
+    if (cells.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= VALUES_IN_TASK:
+        return cells.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias(out))
+    ranked, found = _ranked(cells, by), []
+    for s in shares:
+        at = (F.col("_total") - 1) * float(s)
+        low, high = F.floor(at), F.ceil(at)
+        over = F.max(at - low)
+        found.append(F.when(over > 0, _at(low) * (1 - over) + _at(high) * over).otherwise(_at(low)))
+    return ranked.groupBy(*by).agg(F.array(*found).alias(out))

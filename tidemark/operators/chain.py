@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import Ent, order
-from tidemark.operators import engines as en, pool as po, validation as va
+from tidemark.operators import engines as en, folds as fo, pool as po, validation as va
 from tidemark.operators.episodes import drawdown_episodes, normal_days
 from tidemark.operators.features import FEATURES
 from tidemark.operators.labels import crash_label, forward_maxdd
@@ -27,7 +27,7 @@ LAYERS = ["layer1", "archetype", "layer2", "layer3"]
 
 @dataclass(frozen=True)
 class Setup:
-    """Label (drawdown of x_pct % within h rows), analogs per query, and what counts as a normal day."""
+    """Label (drawdown of x_pct % within h rows), analogs per query, what counts as a normal day, and whether the posterior follows the times."""
 
     x_pct: float = 10.0
     h: int = 63
@@ -36,6 +36,8 @@ class Setup:
     min_normal: int = en.MIN_NORMAL
     hmm_rounds: int = 100
     gate: po.GateConfig = po.GateConfig()
+    remap: bool = False
+    reanchor: bool = False
 
 
 @dataclass(frozen=True)
@@ -158,52 +160,103 @@ def engine_outputs(model: Fitted, features: DataFrame, raw: DataFrame, ent: Ent,
     return _attempt({e: runs[e] for e in ENGINES if e in m}, errors), errors
 
 
-def score(model: Fitted, features: DataFrame, raw: DataFrame, ent: Ent, t: str, start: str | None = None, end: str | None = None) -> Scored:
-    """Rows of [start, end] with pooled posterior, confidence, layers, gate and its reason.
+def known_panel(features: DataFrame, x_pct: float, h: int, ent: Ent, t: str) -> DataFrame:
+    """Keys, price, layers, the label `_y` and the day `_known` on which it was known. No row reads later ones but for its label, so one table serves all folds."""
+    labelled = forward_maxdd(features, "_price", h, ent, t, "_dd").withColumns({"_y": crash_label("_dd", x_pct), "_known": F.lead(t, h).over(order(ent, t))})
+    return stage(po.layers(labelled, ent, t).select(*ent, t, "_price", "_y", "_known", *LAYERS), "known-panel")
 
-    Pressures are calibrated, weighted and pooled by the training rows whose label is known
-    on the last training day; the same rows set the final map and the gate's thresholds. Without
-    such rows the pressures are pooled as they are, with equal weights and a prior of 0.5. Rows
-    after `end` are never read; the live base rate reads labels that are `h` rows old.
-    """
-    s, keys = model.setup, [*ent, t]
+
+@dataclass(frozen=True)
+class Fold:
+    """A fitted model, what its engines say of the rows up to `end`, and the rows [start, end] asked for."""
+
+    model: Fitted
+    outputs: dict[str, DataFrame] = field(repr=False)
+    errors: dict[str, str]
+    start: str | None
+    end: str | None
+
+
+def run_engines(model: Fitted, features: DataFrame, raw: DataFrame, ent: Ent, t: str, start: str | None = None, end: str | None = None) -> Fold:
     if end is not None:
         features, raw = (df.filter(F.col(t) <= F.lit(end).cast("date")) for df in (features, raw))
-    outputs, errors = engine_outputs(model, features, raw, ent, t)
-    y = crash_label("_dd", s.x_pct)
-    labelled = forward_maxdd(features, "_price", s.h, ent, t, "_dd").withColumn("y", y)
-    last = F.lit(model.until).cast("date")
-    labelled = labelled.withColumn("y_fit", F.when(F.lead(t, s.h).over(order(ent, t)) <= last, F.col("y")))
-    base = po.layers(labelled, ent, t).select(*keys, "_price", "y", "y_fit", *LAYERS)
-    joined = po.join_engines(outputs, base, keys)
-    if "analog" in outputs:
-        joined = joined.join(outputs["analog"].select(*keys, po.clip(F.col("confidence"), 0.0, 1.0).alias("_support")), keys)
-    joined = stage(joined, "pressures")
-    prior, skill, weights, calibrated = _calibrate(joined, ent, t)
-    pooled = stage(po.log_odds_pool(joined.withColumns(calibrated), weights, prior), "pooled")
-    platt = po.platt_calibrate(pooled, "posterior", "y_fit", ent, t)
-    pooled = pooled.withColumn("posterior", platt.apply(F.col("posterior")))
-    pooled = po.live_base_rate(pooled, "posterior", "y", s.h, prior, ent, t)
-    pooled = stage(po.confidence(pooled, ENGINES, prior, "_support" if "analog" in outputs else None), "scored")
-    gate = po.tune_gate(pooled.filter(F.col(t) <= last), s.gate, prior)
-    out = po.contributions(po.gate_reason(po.gate(pooled, gate), gate), weights, prior)
-    for side in ((F.col(t) >= F.lit(start).cast("date")) if start else None, (F.col(t) <= F.lit(end).cast("date")) if end else None):
-        out = out if side is None else out.filter(side)
-    kept = [*keys, "_price", "y", "posterior", "base_rate_live", "confidence", *LAYERS, "fires", "reason", *[f"{k}_{e}" for k in ("pressure", "calibrated", "contribution") for e in ENGINES]]
-    out = out.select(*kept).withColumns({"x_pct": F.lit(float(s.x_pct)), "horizon": F.lit(s.h)})
-    return Scored(out, prior, skill, weights, gate, errors)
-
-
-def _calibrate(joined: DataFrame, ent: Ent, t: str) -> tuple[float, dict[str, float], dict[str, float], dict[str, Column]]:
-    """(prior, skill, weights, calibrated_<engine> expressions) from rows with y_fit."""
-    known = stage(joined.filter("y_fit IS NOT NULL").select(*ent, t, "y_fit", *[f"pressure_{e}" for e in ENGINES]), "known")
-    rate = known.agg(F.avg("y_fit")).first()[0]
-    if rate is None:
-        return 0.5, {e: 0.0 for e in ENGINES}, {e: 1 / len(ENGINES) for e in ENGINES}, {f"calibrated_{e}": F.col(f"pressure_{e}") for e in ENGINES}
-    prior = min(max(float(rate), po.P_MIN), po.P_MAX)
-    skill = dict(zip(ENGINES, side_by_side(lambda e: po.engine_skill(known, f"pressure_{e}", "y_fit", ent, t), ENGINES)))
-    bins = dict(zip(ENGINES, side_by_side(lambda e: po.fit_bins(known, f"pressure_{e}", "y_fit"), ENGINES)))
-    return prior, skill, po.bounded_weights(skill), {f"calibrated_{e}": po.apply_bins(F.col(f"pressure_{e}"), b) for e, b in bins.items()}
+    return Fold(model, *engine_outputs(model, features, raw, ent, t), start, end)
+
+
+def _pressures(f: int, fold: Fold, base: DataFrame, ent: Ent, t: str) -> DataFrame:
+    """The fold's rows with pressures, `y` known by its end, `y_fit` known by its last training day, and the analogs' support."""
+    keys, by = [*ent, t], lambda day: F.col("_known") <= F.lit(day).cast("date")
+    rows = base.withColumns({"y": F.col("_y") if fold.end is None else F.when(by(fold.end), F.col("_y")), "y_fit": F.when(by(fold.model.until), F.col("_y"))})
+    rows = rows if fold.end is None else rows.filter(F.col(t) <= F.lit(fold.end).cast("date"))
+    out = po.join_engines(fold.outputs, rows.drop("_y", "_known"), keys)
+    if "analog" in fold.outputs:
+        out = out.join(fold.outputs["analog"].select(*keys, po.clip(F.col("confidence"), 0.0, 1.0).alias("_support")), keys)
+    else:
+        out = out.withColumn("_support", F.lit(0.5))
+    train = F.col(t) <= F.lit(fold.model.until).cast("date")
+    return out.withColumns({"_fold": F.lit(f), "_train": train})
+
+
+def score_folds(folds: dict[int, Fold], base: DataFrame, ent: Ent, t: str) -> dict[int, Scored]:
+    """Every fold's rows of [start, end] with pooled posterior, confidence, layers, gate and its reason.
+
+    All folds go through calibration, pooling, the Platt map, live base rates, confidence and
+    the tuning of the gate together: the fold is a key of each aggregate, so the number of jobs
+    doesn't grow with the folds. A fold's pressures are calibrated, weighted and pooled by its
+    training rows whose label is known on its last training day; the same rows set its final map
+    and thresholds. Without such rows its pressures are pooled as they are, with equal weights
+    and a prior of 0.5. Folds share one Setup. With `remap` the posterior is refitted on what
+    was known at each block of rows, with `reanchor` it is moved to the live base rate.
+    """
+    s = next(iter(folds.values())).model.setup
+    joined = stage(reduce(DataFrame.unionByName, [_pressures(f, fold, base, ent, t) for f, fold in folds.items()]), "pressures")
+    prior, skill, weights, calibrated = _calibrate(joined, list(folds), t)
+    weight = {e: fo.of_key({f: weights[f][e] for f in folds}, "_fold") for e in ENGINES}
+    at = fo.of_key(prior, "_fold")
+    pooled = stage(po.log_odds_pool(joined.withColumns(calibrated), weight, at), "pooled")
+    pooled = pooled.withColumn("posterior", fo.apply_platt(F.col("posterior"), fo.platt_calibrate(pooled, "_fold", "posterior", "y_fit", t), "_fold"))
+    by = ["_fold", *ent]
+    pooled = po.live_base_rate(pooled, "posterior", "y", s.h, at, by, t)
+    if s.remap:
+        pooled = po.adaptive_remap(pooled, "posterior", "y", s.h, by, t).withColumn("posterior", F.col("remapped")).drop("remapped")
+    if s.reanchor:
+        pooled = pooled.withColumn("posterior", po.reanchor_prior(F.col("posterior"), F.col("base_rate_live"), at))
+    pooled = stage(po.confidence(pooled, ENGINES, at, "_support"), "scored")
+    gates = fo.tune_gate(pooled.filter("_train"), "_fold", s.gate, prior)
+    kept = [*ent, t, "_price", "y", "posterior", "base_rate_live", "confidence", *LAYERS, "fires", "reason", *[f"{k}_{e}" for k in ("pressure", "calibrated", "contribution") for e in ENGINES]]
+    done = {}
+    for f, fold in folds.items():
+        out = pooled.filter(F.col("_fold") == f)
+        if fold.start:
+            out = out.filter(F.col(t) >= F.lit(fold.start).cast("date"))
+        out = po.contributions(po.gate_reason(po.gate(out, gates[f]), gates[f]), weights[f], prior[f])
+        out = out.select(*kept).withColumns({"x_pct": F.lit(float(s.x_pct)), "horizon": F.lit(s.h)})
+        done[f] = Scored(out, prior[f], skill[f], weights[f], gates[f], fold.errors)
+    return done
+
+
+def score(model: Fitted, features: DataFrame, raw: DataFrame, ent: Ent, t: str, start: str | None = None, end: str | None = None) -> Scored:
+    """`score_folds` of one model. Rows after `end` change nothing; the live base rate reads labels that are `h` rows old."""
+    fold = run_engines(model, features, raw, ent, t, start, end)
+    return score_folds({1: fold}, known_panel(features, model.setup.x_pct, model.setup.h, ent, t), ent, t)[1]
+
+
+def _calibrate(joined: DataFrame, folds: list[int], t: str) -> tuple[dict[int, float], dict[int, dict[str, float]], dict[int, dict[str, float]], dict[str, Column]]:
+    """(prior, skill and weights by fold, calibrated_<engine> expressions) from rows with y_fit."""
+    fit = joined.filter("y_fit IS NOT NULL")
+    rates = {r["_fold"]: float(r["y"]) for r in fit.groupBy("_fold").agg(F.avg("y_fit").alias("y")).collect()}
+    prior = {f: min(max(rates[f], po.P_MIN), po.P_MAX) if f in rates else 0.5 for f in folds}
+    name = lambda e: F.concat_ws("|", F.col("_fold"), F.lit(e))
+    cells = F.array(*[F.struct(name(e).alias("key"), F.col(f"pressure_{e}").alias("p")) for e in ENGINES])
+    long = stage(fit.select(t, F.col("y_fit").alias("y"), F.explode(cells).alias("x")).select(t, "y", "x.*").filter("p IS NOT NULL"), "known")
+    skills, bins = side_by_side(lambda f: f(), [lambda: fo.engine_skill(long, "key", "p", "y", t), lambda: fo.fit_bins(long, "key", "p", "y")])
+    skill = {f: {e: skills.get(f"{f}|{e}", 0.0) for e in ENGINES} for f in folds}
+    weights = {f: po.bounded_weights(skill[f]) if f in rates else {e: 1 / len(ENGINES) for e in ENGINES} for f in folds}
+    calibrated = {}
+    for e in ENGINES:
+        own = {f: bins[f"{f}|{e}"] for f in folds if f"{f}|{e}" in bins}
+        calibrated[f"calibrated_{e}"] = fo.apply_bins(F.col(f"pressure_{e}"), own, "_fold")
+    return prior, skill, weights, calibrated
 
 
 def fit_and_score(features: DataFrame, raw: DataFrame, until: str, setup: Setup, ent: Ent, t: str, start: str | None = None, end: str | None = None) -> Scored:
@@ -214,22 +267,24 @@ def walk_forward(features: DataFrame, raw: DataFrame, cutoffs: Sequence[str], se
     """(rows with `fold`, models by fold, reasons of skipped folds).
 
     Per cutoff everything is fitted anew on the days before it, and the window up to the next
-    cutoff (both days in) is scored. Folds don't need one another, so AT_ONCE of them send
-    their jobs to the cluster at a time. `validation.pool_folds` makes the windows disjoint.
+    cutoff (both days in) is scored. Engines of AT_ONCE folds send their jobs to the cluster at a
+    time; labels and layers are built once, and all that follows the engines runs for all folds
+    together (`score_folds`). `validation.pool_folds` makes the windows disjoint.
     """
 
-    def fold(i: int) -> Scored | en.TooLittleData:
+    def fold(i: int) -> Fold | en.TooLittleData:
         eve = (dt.date.fromisoformat(cutoffs[i]) - dt.timedelta(days=1)).isoformat()
         try:
-            return fit_and_score(features, raw, eve, setup, ent, t, cutoffs[i], cutoffs[i + 1] if i + 1 < len(cutoffs) else None)
+            return run_engines(fit_until(features, raw, eve, setup, ent, t), features, raw, ent, t, cutoffs[i], cutoffs[i + 1] if i + 1 < len(cutoffs) else None)
         except en.TooLittleData as e:
             return e
 
     results = dict(enumerate(side_by_side(fold, range(len(cutoffs))), 1))
-    done = {f: r for f, r in results.items() if isinstance(r, Scored)}
-    skipped = {f: str(r) for f, r in results.items() if f not in done}
-    if not done:
+    folds = {f: r for f, r in results.items() if isinstance(r, Fold)}
+    skipped = {f: str(r) for f, r in results.items() if f not in folds}
+    if not folds:
         raise en.TooLittleData(f"no fold could be scored: {skipped}")
+    done = score_folds(folds, known_panel(features, setup.x_pct, setup.h, ent, t), ent, t)
     rows = reduce(DataFrame.unionByName, [m.rows.withColumn("fold", F.lit(f)) for f, m in done.items()])
     return rows, done, skipped
 

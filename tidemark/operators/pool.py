@@ -144,12 +144,16 @@ def bounded_weights(skill: dict[str, float], floor: float = 0.10, cap: float = 0
     return dict(zip(skill, w.tolist()))
 
 
-def log_odds_pool(df: DataFrame, weights: dict[str, float], prior: Column | float, out: str = "posterior") -> DataFrame:
+def number(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def log_odds_pool(df: DataFrame, weights: dict[str, Column | float], prior: Column | float, out: str = "posterior") -> DataFrame:
     """Prior log-odds plus weighted evidence of the engines present; null if none is. Reads calibrated_<engine>."""
-    pi = logit(F.lit(prior) if isinstance(prior, float) else prior)
+    pi = logit(number(prior))
     there = lambda e: F.col(f"calibrated_{e}").isNotNull()
-    total = sum((F.when(there(e), float(w)).otherwise(0.0) for e, w in weights.items()), F.lit(0.0))
-    evidence = sum((F.when(there(e), float(w) * (logit(F.col(f"calibrated_{e}")) - pi)).otherwise(0.0) for e, w in weights.items()), F.lit(0.0))
+    total = sum((F.when(there(e), number(w)).otherwise(0.0) for e, w in weights.items()), F.lit(0.0))
+    evidence = sum((F.when(there(e), number(w) * (logit(F.col(f"calibrated_{e}")) - pi)).otherwise(0.0) for e, w in weights.items()), F.lit(0.0))
     return df.withColumn(out, F.when(total > 0, sigmoid(pi + evidence / total)))
 
 
@@ -295,7 +299,7 @@ def isotonic_calibrate(df: DataFrame, p: str, y: str, out: str = "isotonic", row
 
 
 def live_base_rate(
-    df: DataFrame, posterior: str, y: str, h: int, fallback: float, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250, rows: int = BLOCK_ROWS,
+    df: DataFrame, posterior: str, y: str, h: int, fallback: Column | float, ent: Ent, t: str, window: int = 1260, every: int = 21, min_rows: int = 250, rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """base_rate_live: at every 21st row the mean outcome of rows [i-h-window, i-h), held until the next.
 
@@ -327,7 +331,7 @@ def live_base_rate(
         before = last.select(F.col("_block").alias("_b"), F.last("_last", True).over(ahead).alias("_entry"), *[F.col(c).alias(f"_e{i}") for i, c in enumerate(ent)])
         cur = cur.join(before, _same(ent, F.col("_block") == F.col("_b")), "left")
         held = F.coalesce(held, F.col("_entry"))
-    return cur.withColumn("base_rate_live", F.coalesce(held, F.lit(fallback))).select(*df.columns, "base_rate_live")
+    return cur.withColumn("base_rate_live", F.coalesce(held, number(fallback))).select(*df.columns, "base_rate_live")
 
 
 def _same(ent: Ent, on: Column) -> Column:
@@ -389,14 +393,14 @@ def adaptive_remap(
     return map_blocks(cur, ent, ["_p", "_y", "_pos"], remap, ["remapped"]).select(*df.columns, "remapped")
 
 
-def reanchor_prior(p: Column, live: Column, train: float) -> Column:
+def reanchor_prior(p: Column, live: Column, train: Column | float) -> Column:
     """Posterior moved from the training base rate to the live one on the log-odds scale."""
-    return sigmoid(logit(live) + logit(p) - logit(F.lit(train)))
+    return sigmoid(logit(live) + logit(p) - logit(number(train)))
 
 
-def confidence(df: DataFrame, engines: Sequence[str], prior: float, support: str | None) -> DataFrame:
+def confidence(df: DataFrame, engines: Sequence[str], prior: Column | float, support: str | None) -> DataFrame:
     """Geometric mean of agreement, coverage and analog support, each at least 1e-4."""
-    values = F.filter(F.array(*[logit(F.col(f"calibrated_{e}")) - logit(F.lit(prior)) for e in engines]), lambda x: x.isNotNull())
+    values = F.filter(F.array(*[logit(F.col(f"calibrated_{e}")) - logit(number(prior)) for e in engines]), lambda x: x.isNotNull())
     n = F.size(values)
     mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n)
     std = F.sqrt(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(x - mean, F.lit(2.0))), n))
