@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import quantiles
-from tidemark.operators import folds, pool
+from tidemark.operators import chain, folds, pool
+from tidemark.sources.staging import stage
 
 ENT, T = ["ent"], "t"
 SCHEMA = "fold int, ent string, t date, p double, y double, layer1 double, layer2 double, layer3 double, posterior double, confidence double, base_rate_live double"
@@ -91,3 +92,29 @@ def test_no_rows_give_no_entries(rows):
     assert folds.fit_bins(none, "fold", "p", "y") == folds.engine_skill(none, "fold", "p", "y", T) == folds.platt_calibrate(none, "fold", "p", "y", T) == {}
     cfg = pool.GateConfig()
     assert folds.tune_gate(none, "fold", cfg, {1: 0.5}) == {1: cfg}
+
+
+def test_posterior_can_follow_the_live_base_rate_and_the_lagged_map(spark):
+    g, n, h, day = np.random.default_rng(4), 700, 5, lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i)
+    x = g.normal(size=n)
+    y = (g.random(n) < 1 / (1 + np.exp(-x - np.where(np.arange(n) > 350, 1.5, -1.5)))).astype(float)
+    base = spark.createDataFrame(
+        [("a", day(i), 1.0, float(y[i]) if i + h < n else None, day(i + h) if i + h < n else None, float(x[i]), "credit_led", float(x[i]), 3.0) for i in range(n)],
+        "ent string, t date, _price double, _y double, _known date, layer1 double, archetype string, layer2 double, layer3 double",
+    )
+    outputs = {"causal": spark.createDataFrame([("a", day(i), float(1 / (1 + np.exp(-x[i])))) for i in range(n)], "ent string, t date, stress_composite double")}
+
+    def scored(start=None, **options):
+        setup = chain.Setup(h=h, **options)
+        return chain.score_folds({7: chain.Fold(chain.Fitted(day(400).isoformat(), setup, {}, {}), outputs, {}, start, day(650).isoformat())}, base, ENT, T)[7]
+
+    plain = scored()
+    was = stage(plain.rows.select("ent", "t", "y", "posterior", "base_rate_live"), "plain")
+    assert was.agg(F.count("posterior"), F.max("t"), F.max(F.when(F.col("y").isNotNull(), F.col("t")))).first()[0:] == (651, day(650), day(645))
+    assert plain.base_rate == pytest.approx(y[:396].mean()) and plain.skill["anomaly"] == 0.0
+    got = scored(day(300).isoformat(), reanchor=True).rows.select("ent", "t", F.col("posterior").alias("got"))
+    both = was.join(got, ["ent", "t"])
+    assert both.count() == 351 and both.filter(F.abs(pool.reanchor_prior(F.col("posterior"), F.col("base_rate_live"), plain.base_rate) - F.col("got")) > 1e-9).isEmpty()
+    want = pool.adaptive_remap(was, "posterior", "y", h, ENT, T).select("ent", "t", "posterior", F.col("remapped").alias("want"))
+    both = want.join(scored(remap=True).rows.select("ent", "t", F.col("posterior").alias("got")), ["ent", "t"])
+    assert both.count() == 651 and both.filter("abs(want - got) > 1e-9").isEmpty() and not both.filter("abs(got - posterior) > 1e-3").isEmpty()
