@@ -51,3 +51,29 @@ def test_upsert_writes_changes_and_merges_full_buckets_alone(spark, tmp_path):
     bases = [p.name for p in folder.glob("base/*/_bucket=*")]
     assert bases and len(bases) < 4 * len(list(folder.glob("base/*")))  # no base of all buckets each time
     assert len(list(folder.glob("log/*"))) == 7
+
+
+def test_state_is_kept_per_bucket_of_entities(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 4)
+    g = np.random.default_rng(6)
+    big, start = 2**60 + 1, dt.datetime(2024, 1, 1)
+    rows = [(None if e == 7 else big + e, None if e == 8 else f"s{e % 3}", start + dt.timedelta(hours=8 * i), float(g.integers(0, 2)) if i % 5 else None) for e in range(40) for i in range(30)]
+    source, folder = tmp_path / "source", str(tmp_path / "state")
+    df = spark.createDataFrame(rows, "a bigint, b string, t timestamp, y double")
+    written(df.filter("t < '2024-01-05'"), source, "f0")
+    run = lambda: jobs.stream_base_rate(jobs.read_stream(spark, str(source), 1), "y", 2, 0.5, ["a", "b"], "t", window=6, every=3, min_rows=2, folder=folder)
+    run()
+    written(df.filter("t >= '2024-01-05'"), source, "f1")
+    out = run()
+    assert dict(out.dtypes) == {"a": "bigint", "b": "string", "t": "timestamp", "base_rate_live": "double"}
+    got = {tuple(r)[:3]: r["base_rate_live"] for r in out.collect()}
+    want = {}
+    for e in range(40):
+        mine, rate = rows[30 * e : 30 * e + 30], 0.5
+        for i, r in enumerate(mine):
+            known = [q[3] for q in mine[max(0, i - 8) : max(0, i - 2)] if q[3] is not None]
+            rate = sum(known) / len(known) if i % 3 == 0 and len(known) >= 2 else rate
+            want[r[:3]] = rate
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    held = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "held").load()
+    assert held.select("key").distinct().count() <= 4 and held.count() == 40

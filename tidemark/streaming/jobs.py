@@ -130,23 +130,42 @@ def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
 
 
+def _by_entity(rows: list[tuple], keys: int, old: dict[tuple, tuple], prepare: Callable, step: Callable) -> tuple[list[list], dict[tuple, tuple]]:
+    """(columns of the output: keys, us and what `step` makes; new states) of rows (keys, us, values) of any entities.
+
+    The values of all rows are prepared at once; each entity's then go through `step` in time order.
+    """
+    found: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        found.setdefault(r[:keys], []).append(r)
+    put = [r for mine in found.values() for r in sorted(mine, key=lambda r: r[keys])]
+    x = prepare(np.array([r[keys + 1 :] for r in put], float))  # null is NaN
+    outs, new, at = [], {}, 0
+    for ent, mine in found.items():
+        made, new[ent] = step(x[at : at + len(mine)], old.get(ent))
+        outs.append(made)
+        at += len(mine)
+    return [*(list(c) for c in zip(*(r[: keys + 1] for r in put))), *([v for c in cs for v in c] for cs in zip(*outs))], new
+
+
 class _InOrder(StatefulProcessor):
-    """`step(rows in time order, old state or None) -> (output frame, new state)` per entity, whatever order rows come in.
+    """`work(rows, old states) -> (output columns, new states)` per bucket of entities, each entity's rows in time order whatever order they come in.
 
     Rows wait in list state until the watermark has passed them; an event-time timer at the
-    earliest one waiting then hands on all that are due, in order.
+    earliest one waiting then hands on all of the bucket that are due, in order. The calls to
+    the state store are per bucket, not per entity.
     """
 
-    def __init__(self, row: str, state: str, names: list[str], step: Callable) -> None:
-        self.row, self.state, self.names, self.step = row, state, names, step
+    def __init__(self, row: str, state: str, names: list[str], keys: int, made: list[str], work: Callable) -> None:
+        self.row, self.state, self.names, self.keys, self.made, self.work = row, state, names, keys, made, work
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.row)
-        self.held = handle.getValueState("held", self.state)
+        self.held = handle.getListState("held", self.state)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows))[["us", *self.names]]
+        new = pd.concat(list(rows))[self.names]
         waiting = min(self.handle.listTimers(), default=None)
         first = -(-int(new["us"].min()) // 1000)
         self.rows.appendList([tuple(r) for r in new.astype(object).where(new.notna(), None).to_numpy().tolist()])
@@ -157,17 +176,18 @@ class _InOrder(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.rows.get(), key=lambda r: r[0])
-        due, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
-        made, new = self.step(key, pd.DataFrame(due, columns=["us", *self.names]), self.held.get() if self.held.exists() else None)
-        self.held.update(new)
+        upto, k = timerValues.getCurrentWatermarkInMs() * 1000, self.keys
+        rows = [tuple(r) for r in self.rows.get()]
+        due, rest = [r for r in rows if r[k] <= upto], [r for r in rows if r[k] > upto]
+        old = {tuple(r[:k]): tuple(r[k:]) for r in self.held.get()}
+        made, new = self.work(due, old)
+        self.held.put([(*ent, *state) for ent, state in (old | new).items()])
         if rest:
             self.rows.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+            self.handle.registerTimer(-(-min(r[k] for r in rest) // 1000))
         else:
             self.rows.clear()
-        yield made
+        yield pd.DataFrame(dict(zip(self.made, made)))
 
     def close(self) -> None:
         pass
@@ -181,63 +201,74 @@ ROCKSDB = {
 }
 
 
-def _in_order(stream: DataFrame, ent: Sequence[str], t: str, out: str, state: str, columns: Sequence[str], step: Callable, name: str, folder: str | None, late: str) -> DataFrame:
-    """Rows (ent, t, out) of `step(rows, old state)` in time order per entity, for rows up to `late` behind the newest.
+#: Groups that the entities of a stream are dealt to; a checkpoint holds to its number.
+BUCKETS = 512
+
 
-    What the watermark hasn't passed is waiting in the state; it is read there and worked off
-    once more each time, so the result is whole, and a later run with the same `folder` still
-    puts rows in between. Rows later than the watermark are dropped by it.
+def _in_order(
+    stream: DataFrame, ent: Sequence[str], t: str, out: str, state: str, columns: Sequence[str], step: Callable, name: str, folder: str | None, late: str, prepare: Callable = np.asarray,
+) -> DataFrame:
+    """Rows (ent, t, out) of `step(prepared values in time order, old state or None) -> (output columns, new state)` per entity, for rows up to `late` behind the newest.
+
+    Entities are dealt to BUCKETS by hash, and a bucket is what the state store knows: calls to
+    Python and to the store are as many as buckets, whatever the number of entities. What the
+    watermark hasn't passed is waiting in the state; it is read there and worked off once more
+    each time, so the result is whole, and a later run with the same `folder` still puts rows
+    in between. Rows later than the watermark are dropped by it.
     """
     spark, kinds = stream.sparkSession, dict(stream.dtypes)
     folder = folder or new_path(spark, name)
-    keys = [f"k{i}" for i in range(len(ent))]
+    keys, values = [f"k{i}" for i in range(len(ent))], [f"v{i}" for i in range(len(columns))]
     us = F.unix_micros(F.col(t).cast("timestamp"))
-    cur = stream.select(*[F.col(c).alias(k) for c, k in zip(ent, keys)], F.col(t).cast("timestamp").alias("seen_at"), us.alias("us"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    names = [f"v{i}" for i in range(len(columns))]
-    row = "us long, " + ", ".join(f"{n} double" for n in names)
-    key_kinds = ", ".join(f"{k} {kinds[c]}" for c, k in zip(ent, keys))
-    schema = f"{key_kinds}, us long, {out}"
-
-    def run(key, pdf: pd.DataFrame, old):
-        made, new = step(pdf.rename(columns=dict(zip(names, columns))).astype({c: float for c in columns}), old)
-        return pd.concat([pd.DataFrame({k: [v] * len(pdf) for k, v in zip(keys, key)}), pdf[["us"]].reset_index(drop=True), made.reset_index(drop=True)], axis=1), new
-
-    done = cur.withWatermark("seen_at", late).groupBy(*keys).transformWithStateInPandas(_InOrder(row, state, names, run), schema, "append", "EventTime")
+    cur = stream.select(  # keys as text: nulls and large numbers pass through pandas unchanged
+        F.pmod(F.xxhash64(*ent), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col(t).cast("timestamp").alias("seen_at"),
+        *[F.col(c).cast("string").alias(k) for c, k in zip(ent, keys)], us.alias("us"), *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values)],
+    )
+    texts = "".join(f"{k} string, " for k in keys)
+    row = f"{texts}us long, " + ", ".join(f"{v} double" for v in values)
+    schema, states = f"{texts}us long, {out}", StructType.fromDDL(f"{texts}{state}").fieldNames()
+    made = StructType.fromDDL(schema).fieldNames()
+
+    def work(rows: list[tuple], old: dict[tuple, tuple]) -> tuple[list[list], dict[tuple, tuple]]:
+        return _by_entity(rows, len(keys), old, prepare, step)
+
+    done = cur.withWatermark("seen_at", late).groupBy("bucket").transformWithStateInPandas(
+        _InOrder(row, f"{texts}{state}", [*keys, "us", *values], len(keys), made, work), schema, "append", "EventTime")
     with _settings(spark, ROCKSDB):
         ready = _collected(done, "append", name, folder).drop("_batch")
         held = spark.read.format("statestore").option("path", f"{folder}/checkpoint")
-        waiting = stage(held.option("stateVarName", "rows").load().select(*[F.col(f"key.{k}").alias(k) for k in keys], "list_element.*"), "waiting")
-        kept = stage(held.option("stateVarName", "held").load().select(*[F.col(f"key.{k}").alias(k) for k in keys], F.col("value").alias("held")), "held")
+        listed = lambda what: stage(held.option("stateVarName", what).load().select("key.bucket", "list_element.*"), what)
+        waiting, kept = listed("rows"), listed("held")
 
-    def finish(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    def finish(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=made)
-        old = states["held"].iloc[0] if len(states) else None
-        return run(key, rows.sort_values("us")[["us", *names]].reset_index(drop=True), None if old is None else tuple(old[f] for f in fields))[0]
+        old = {r[: len(keys)]: r[len(keys) :] for r in held[states].itertuples(index=False, name=None)}
+        rows = [tuple(r) for r in rows[[*keys, "us", *values]].itertuples(index=False, name=None)]
+        return pd.DataFrame(dict(zip(made, work(rows, old)[0])))
 
-    fields, made = StructType.fromDDL(state).fieldNames(), list(ready.columns)
-    tail = waiting.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInPandas(finish, schema)
+    tail = waiting.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInPandas(finish, schema)
     back = F.timestamp_micros("us").cast(kinds[t])
-    rest = [c for c in ready.columns if c not in (*keys, "us")]
-    return ready.unionByName(tail).select(*[F.col(k).alias(c) for k, c in zip(keys, ent)], back.alias(t), *rest)
+    rest = [c for c in made if c not in (*keys, "us")]
+    return ready.unionByName(tail).select(*[F.col(k).cast(kinds[c]).alias(c) for k, c in zip(keys, ent)], back.alias(t), *rest)
 
 
 def stream_roc_alarm(stream: DataFrame, p: str, ent: Sequence[str], t: str, thresholds=ML_ALARM, folder: str | None = None, late: str = "1 day") -> DataFrame:
     """(ent, t, value, alarm) with the last 20 values of each entity as state."""
     deepest = max(k for k, _, _ in thresholds)
 
-    def step(pdf: pd.DataFrame, old):
+    def step(values: np.ndarray, old):
         past, n = (list(old[0]), old[1]) if old else ([], 0)
-        alarms = []
-        for x in pdf[p]:
+        alarms, mine = [], values[:, 0].tolist()
+        for x in mine:
             alarm = "none"
             for k, limit, name in thresholds if n >= 2 else ():
                 if len(past) >= k and (0.0 if past[-k] == 0 else (x - past[-k]) / past[-k] / k) > limit:
                     alarm = name
                     break
             alarms.append(alarm)
-            past, n = [*past, float(x)][-deepest:], n + 1
-        return pd.DataFrame({"value": pdf[p].to_numpy(), "alarm": alarms}), (past, n)
+            past, n = [*past, x][-deepest:], n + 1
+        return (mine, alarms), (past, n)
 
     return _in_order(stream, ent, t, "value double, alarm string", "past array<double>, n long", [p], step, "alarm", folder, late)
 
@@ -247,28 +278,29 @@ def stream_base_rate(
 ) -> DataFrame:
     """(ent, t, base_rate_live) with a ring of the last h + window outcomes as state (NaN: unknown)."""
 
-    def step(pdf: pd.DataFrame, old):
+    def step(values: np.ndarray, old):
         ring, n, rate = (list(old[0]), old[1], old[2]) if old else ([], 0, fallback)
+        seen = np.array([*ring, *values[:, 0]], float)
         rates = []
-        for v in pdf[y]:
-            if n % every == 0:
-                past = np.array(ring[max(0, len(ring) - h - window) : max(0, len(ring) - h)], float)
+        for i in range(len(values)):
+            if (n + i) % every == 0:
+                upto = max(0, len(ring) + i - h)
+                past = seen[max(0, upto - window) : upto]
                 known = past[~np.isnan(past)]
                 rate = float(known.mean()) if len(known) >= min_rows else rate
             rates.append(rate)
-            ring, n = [*ring, float(v)][-(h + window):], n + 1
-        return pd.DataFrame({"base_rate_live": rates}), (ring, n, rate)
+        return (rates,), (seen[-(h + window) :].tolist(), n + len(values), rate)
 
     return _in_order(stream, ent, t, "base_rate_live double", "ring array<double>, n long, rate double", [y], step, "rate", folder, late)
 
 
 def stream_hmm_filter(stream: DataFrame, model: Hmm, columns: Sequence[str], ent: Sequence[str], t: str, folder: str | None = None, late: str = "1 day") -> DataFrame:
     """(ent, t, p_0..) with the last posterior of each entity as state. `columns` are scaled already."""
-    k = len(model.start)
 
-    def step(pdf: pd.DataFrame, old):
-        dens = vec.log_gauss(pdf[list(columns)].to_numpy(float), model.means, model.covs)
+    def step(dens: np.ndarray, old):
         post = vec.hmm_forward(dens, model.start, model.trans, np.array(old[0], float) if old else None)
-        return pd.DataFrame(post, columns=[f"p_{i}" for i in range(k)]), (post[-1].tolist(),)
+        return post.T.tolist(), (post[-1].tolist(),)
 
-    return _in_order(stream, ent, t, ", ".join(f"p_{i} double" for i in range(k)), "alpha array<double>", list(columns), step, "hmm", folder, late)
+    return _in_order(
+        stream, ent, t, ", ".join(f"p_{i} double" for i in range(len(model.start))), "alpha array<double>", list(columns), step, "hmm", folder, late,
+        prepare=lambda x: vec.log_gauss(x, model.means, model.covs))
