@@ -180,3 +180,11 @@ def test_large_reference_ranks_as_a_small_one(spark, monkeypatch):
     small = ranks()
     monkeypatch.setattr(engines, "REFERENCE_ROWS", 10)
     assert ranks() == pytest.approx(small, nan_ok=True) and small[0] is None and len(small) == 60
+
+
+def test_raw_panel_reads_the_line_items_once(spark):
+    from tidemark.plans.panels import price_panel, raw_panel
+
+    raw = raw_panel(spark, "/root/testdata/sf0.001")
+    assert raw.inputFiles() and not [f for f in raw.inputFiles() if "lineitem" in f]
+    assert raw.count() == price_panel(spark, "/root/testdata/sf0.001").count()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import crash_label, forward_maxdd
+from tidemark.sources.staging import stage
 
 ENT, T = ["ent"], "t"
 
@@ -29,8 +30,8 @@ PX = """px AS (SELECT l_returnflag AS ent, CAST(l_shipdate AS DATE) AS t, sum(CA
 
 
 def raw_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Indicator columns under their usual names, from the price panel."""
-    return price_panel(spark, d).select("ent", "t", *[F.expr(f"CAST({e} AS double)").alias(c) for c, e in RAW_COLUMNS.items()])
+    """Indicator columns under their usual names, from the price panel. Written once: features read it several times, and each would aggregate the line items again."""
+    return stage(price_panel(spark, d).select("ent", "t", *[F.expr(f"CAST({e} AS double)").alias(c) for c, e in RAW_COLUMNS.items()]), "raw")
 
 
 RAW_COLUMNS = {
