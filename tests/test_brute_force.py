@@ -339,6 +339,26 @@ def test_neighbours_by_cells_equal_brute_force_and_skip_distances(spark, monkeyp
     assert engines.skipped_share(df, df, 5, 9, "id", "t", keep=["id"]) > 0.5
 
 
+def test_radii_on_even_directions_send_a_query_to_a_part_once(spark, monkeypatch):
+    sent, stage = [], engines.stage
+    monkeypatch.setattr(engines, "stage", lambda df, name: sent.append(stage(df, name)) or sent[-1])
+    monkeypatch.setattr(engines, "QUERY_ROWS", 700)
+    monkeypatch.setattr(engines, "POOL_ROWS", 900)
+    g = np.random.default_rng(14)
+    x = g.normal(size=(3_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]  # no cell can be ruled out
+    x[:40] = x[0]  # copies
+    x[40:80] = x[40] + 1e-7 * x[40:80]  # nearer than float32 can tell
+    x[80:90] *= 1e5  # rows far out
+    x += 50.0
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[d <= 1e-8] = np.inf
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(3_000 + i, [None] + r.tolist()[1:]) for i, r in enumerate(x[:30])], "id int, w array<double>")
+    got = engines.analog_reference_radii(df, 7, "id", None, ["id"]).toPandas()["radius"]
+    np.testing.assert_allclose(np.sort(got), np.sort(np.sort(d, axis=1)[:, 6]), rtol=1e-9)
+    assert max(t.count() for t in sent) < 3 * 3_030  # not a row per query and cell
+
+
 def test_a_cell_full_of_copies_takes_no_step_per_pair():
     import time
     import pyarrow as pa

@@ -11,6 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ ASSETS = {
 MIN_NORMAL, MIN_FEATURES, TREES, TREE_ROWS, ALERT = 500, 5, 200, 256, 0.99
 #: Rows of a reference that are sent to every task at most; a larger one is ranked by a sort.
 REFERENCE_ROWS = 1_000_000
-#: Queries and pool rows of a cell.
-QUERY_ROWS, POOL_ROWS = 5_000, 20_000
+#: Queries and pool rows that meet in a task, about.
+QUERY_ROWS, POOL_ROWS = 30_000, 40_000
+#: Pairs that meet in one product.
+MEET_PAIRS = 1 << 20
 #: Pivots at most; these and a radius and size each are what tasks know of the whole pool.
 PIVOTS = 256
 
@@ -397,44 +400,102 @@ def analog_whiten(df: DataFrame, columns: Sequence[str], mean: np.ndarray, cov:
     return df.withColumn(out, white(*[F.col(c).cast("double") for c in columns]))
 
 
-def _cell(k: int, embargo_days: int | None, kept: Sequence[str]):
-    """The k best rows of a part of the pool (_p, _d, _w, kept) for each query of a block (_q, _d, _w)."""
+def _matrix(t: pa.Table) -> np.ndarray:
+    """The rows' vectors `_w`; a null entry is NaN."""
+    return np.asarray(pc.list_flatten(t.column("_w")).to_numpy(), float).reshape(t.num_rows, -1) + 0.0 if t.num_rows else np.zeros((0, 1))
+
+
+def _halves(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(l, r, scale): l @ r.T is at most the squared distance over scale^2 of each row of q and x, and short of it by little more than float32 rounds."""
+    whole_q, whole_x = np.isfinite(q).all(axis=1), np.isfinite(x).all(axis=1)
+    mid = x[whole_x].mean(axis=0) if whole_x.any() else np.zeros(x.shape[1])  # products lose fewer digits around the middle
+    a, b = q - mid, x - mid
+    scale = max(np.abs(a[whole_q]).max(initial=0), np.abs(b[whole_x]).max(initial=0)) or 1.0
+    a, b = a / scale, b / scale
+    less = 1 - (2 * a.shape[1] + 16) * 2.0**-24  # rounding takes a share of |a|^2 + |b|^2
+    square = lambda v: (v**2).sum(axis=1) * less
+    return np.column_stack([-2 * a, square(a), np.ones(len(a))]).astype(np.float32), np.column_stack([b, np.ones(len(b)), square(b)]).astype(np.float32), float(scale)
+
+
+def _pieces(cell: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of pieces of rows sorted by cell: each in one cell, short ones first, as the limits are wide then."""
+    most = 256
+    for start, end in zip(edges := np.flatnonzero(np.diff(cell, prepend=-1)).tolist(), [*edges[1:], len(cell)]):
+        while start < end:
+            yield start, min(end, start + most)
+            start, most = start + most, min(2 * most, 4_096)
+
+
+def _cell(k: int, embargo_days: int | None, kept: Sequence[str], cells: Cells | None = None):
+    """The k best rows of a part of the pool (_p, _d, _w, kept) for each query of a block (_q, _d, _w).
+
+    With `cells`, pool rows have their `_cell` and queries `_tau`, which their k best don't exceed
+    (null: unknown). A query meets a cell only if a row there can be nearer than its limit, the
+    lesser of `_tau` and its k-th best so far. Of the pairs that meet, a product in float32 rules
+    out those that are over the limit for certain; the others' distances are taken in double.
+    """
 
     def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        vectors = lambda t: np.array(t.column("_w").to_pylist(), float).reshape(t.num_rows, -1) + 0.0 if t.num_rows else np.zeros((0, 1))
-        q, x = vectors(queries), vectors(pool)
-        qd, pd_ = (np.asarray(t.column("_d").to_numpy()) for t in (queries, pool))
-        rows, at, far = [], [], []
-        if len(q) and len(x):
-            both = np.ascontiguousarray(np.concatenate([q, x]))
-            same = np.unique(both.view([("", f"V{both.itemsize * both.shape[1]}")]).ravel(), return_inverse=True)[1]
-        for start in range(0, len(q) if len(x) else 0, 512):
-            a = q[start : start + 512]
-            dist = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * a @ x.T, 0))
-            dist[same[start : start + len(a)][:, None] == same[len(q) :][None]] = np.inf  # equal rows are no neighbours
-            # the product form loses digits near zero: settle small ones exactly, a bounded slice of pairs at a time
-            i, j = np.nonzero(dist < 1e-3)
-            for cut in range(0, len(i), step := max(1, 4_000_000 // x.shape[1])):
-                i_, j_ = i[cut : cut + step], j[cut : cut + step]
-                dist[i_, j_] = np.sqrt(((a[i_] - x[j_]) ** 2).sum(axis=1))
-            dist[dist <= 1e-8] = np.inf
-            if embargo_days is not None:
-                dist[np.abs(qd[start : start + 512][:, None] - pd_[None]) <= embargo_days] = np.inf
-            top = np.argpartition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, :k]
-            i, j = np.repeat(np.arange(len(a)), top.shape[1]), top.ravel()
-            good = np.isfinite(dist[i, j])
-            rows.append(start + i[good]), at.append(j[good]), far.append(dist[i, j][good])
-        i, j, d = (np.concatenate(c) if c else np.array([], t) for c, t in ((rows, np.int64), (at, np.int64), (far, float)))
-        return pa.table([queries.column("_q").take(pa.array(i)), pa.array(d), *[pool.column(c).take(pa.array(j)) for c in ("_p", *kept)]], names=["_q", "distance", "_p", *kept])
+        names = ["_q", "distance", "_p", *kept]
+        if cells is not None:
+            pool = pool.take(pc.sort_indices(pool, [("_cell", "ascending")]))
+        q, x = _matrix(queries), _matrix(pool)
+        if not (len(q) and len(x)):
+            return pa.table([t.column(c).slice(0, 0) if c != "distance" else pa.array([], pa.float64()) for c, t in zip(names, [queries, pool, *[pool] * len(names)])], names=names)
+        qd, pd_ = (t.column("_d").to_numpy() for t in (queries, pool))
+        both = np.ascontiguousarray(np.concatenate([q, x]))
+        same = np.unique(both.view([("", f"V{both.itemsize * both.shape[1]}")]).ravel(), return_inverse=True)[1]
+        same_q, same_x = same[: len(q)], same[len(q) :]
+        exact = lambda i, j: np.concatenate([np.sqrt(((q[i[c : c + 50_000]] - x[j[c : c + 50_000]]) ** 2).sum(axis=1)) for c in range(0, max(1, len(i)), 50_000)])
+        left, right, scale = _halves(q, x)
+        cell = pool.column("_cell").to_numpy() if cells is not None else np.zeros(len(x), int)
+        limit = np.full(len(q), np.inf)
+        if cells is not None:
+            held = np.unique(cell)
+            low = cells.bounds(q, held)[1]
+            tau = queries.column("_tau").to_numpy()
+            limit = np.where(np.isnan(tau), np.inf, tau) ** 2
+        best, at = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        squares, near = np.empty(MEET_PAIRS, np.float32), np.empty(MEET_PAIRS, bool)
+        for start, end in _pieces(cell):
+            who = np.arange(len(q)) if cells is None else np.flatnonzero(low[:, np.searchsorted(held, cell[start])] ** 2 <= limit)
+            step = MEET_PAIRS // (end - start)
+            for rows in (who[c : c + step] for c in range(0, len(who), step)):
+                shape, n = (len(rows), end - start), len(rows) * (end - start)
+                least = np.matmul(left[rows], right[start:end].T, out=squares[:n].reshape(shape))
+                upto = (limit[rows] / scale**2 * (1 + 1e-6) + 1e-30).astype(np.float32)[:, None]
+                i, j = np.divmod(np.flatnonzero(np.less_equal(least, upto, out=near[:n].reshape(shape))), end - start)
+                i_, j_ = rows[i], start + j
+                good = same_q[i_] != same_x[j_]  # equal rows are no neighbours
+                if embargo_days is not None:
+                    good &= np.abs(qd[i_] - pd_[j_]) > embargo_days
+                i, j = i[good], j[good]
+                far = exact(rows[i], start + j) ** 2
+                good = (far > 1e-16) & (far <= limit[rows[i]] * (1 + 1e-12))
+                i, j, far = i[good], j[good], far[good]
+                if not len(i):
+                    continue
+                hit, first, n = np.unique(i, return_index=True, return_counts=True)
+                wide = np.full((len(hit), k + n.max()), np.inf)
+                wide_at = np.full(wide.shape, -1)
+                spot = np.repeat(np.arange(len(hit)), n), k + np.arange(len(i)) - np.repeat(first, n)
+                mine = rows[hit]
+                wide[:, :k], wide_at[:, :k], wide[spot], wide_at[spot] = best[mine], at[mine], far, start + j
+                top = np.argpartition(wide, k - 1, axis=1)[:, :k]
+                best[mine], at[mine] = np.take_along_axis(wide, top, axis=1), np.take_along_axis(wide_at, top, axis=1)
+                limit[mine] = np.minimum(limit[mine], best[mine].max(axis=1))
+        i, at_k = np.nonzero(np.isfinite(best))
+        j = at[i, at_k]
+        return pa.table([queries.column("_q").take(pa.array(i)), pa.array(exact(i, j)), *[pool.column(c).take(pa.array(j)) for c in names[2:]]], names=names)
 
     return run
 
 
-def _best(qs: DataFrame, ps: DataFrame, by: Sequence[str], k: int, embargo_days: int | None, kept: Sequence[str]) -> DataFrame:
+def _best(qs: DataFrame, ps: DataFrame, by: Sequence[str], k: int, embargo_days: int | None, kept: Sequence[str], cells: Cells | None = None) -> DataFrame:
     """(_q, distance, _p, kept): queries and pool rows that share `by` meet in a task, which keeps k per query."""
     kinds = dict(ps.dtypes)
     schema = ", ".join([f"_q {dict(qs.dtypes)['_q']}", "distance double", "_p bigint", *(f"{c} {kinds[c]}" for c in kept)])
-    return qs.groupBy(*by).cogroup(ps.groupBy(*by)).applyInArrow(_cell(k, embargo_days, kept), schema)
+    return qs.groupBy(*by).cogroup(ps.groupBy(*by)).applyInArrow(_cell(k, embargo_days, kept, cells), schema)
 
 
 @dataclass(frozen=True)
@@ -445,10 +506,22 @@ class Cells:
     radius: np.ndarray
     size: np.ndarray
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distance to each pivot, least possible distance to a row of its cell) of each query."""
-        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None] - 2 * q @ self.pivots.T, 0))
-        return d, np.maximum(d - self.radius[None] - 1e-6 * (1 + d), 0)  # the product form's rounding stays below this
+    def bounds(self, q: np.ndarray, of: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(distance to each pivot, least possible distance to a row of its cell) of each query, for the cells `of`."""
+        mid = self.pivots.mean(axis=0)
+        q, pivots = q - mid, self.pivots[of] - mid
+        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * q @ pivots.T, 0))
+        return d, np.maximum(d - self.radius[of][None] - 1e-6 * (1 + d), 0)  # the product form's rounding stays below this
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first part, number of parts) of each cell: small cells share a part of about POOL_ROWS rows, large ones have several."""
+        first, n, last, room = [], np.maximum(-(-self.size // POOL_ROWS), 1), -1, 0
+        for size, several_ in zip(self.size.tolist(), n.tolist()):
+            if several_ > 1 or size > room:
+                last, room = last + 1, POOL_ROWS
+            first.append(last)
+            last, room = last + several_ - 1, room - size if several_ == 1 else 0
+        return np.array(first), n
 
 
 def pivot_cells(ps: DataFrame) -> tuple[Cells, DataFrame]:
@@ -456,6 +529,8 @@ def pivot_cells(ps: DataFrame) -> tuple[Cells, DataFrame]:
     n = ps.count()
     drawn = ps.select(F.xxhash64("_p").alias("h"), "_p", "_w").orderBy("h", "_p").limit(max(1, min(PIVOTS, math.isqrt(n)))).toPandas()["_w"]
     pivots = np.unique(np.array(drawn.to_list(), float), axis=0) if len(drawn) else np.zeros((1, 1))
+    whole_ = np.isfinite(pivots).all(axis=1)
+    pivots = pivots[whole_] if whole_.any() else np.zeros((1, pivots.shape[1]))
 
     @F.pandas_udf("struct<cell: int, far: double>")
     def nearest_pivot(w: pd.Series) -> pd.DataFrame:
@@ -466,41 +541,11 @@ def pivot_cells(ps: DataFrame) -> tuple[Cells, DataFrame]:
 
     rows = stage(ps.withColumn("_at", nearest_pivot("_w")).withColumns({"_cell": F.col("_at.cell"), "_far": F.col("_at.far")}).drop("_at"), "cells")
     radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    for r in rows.groupBy("_cell").agg(F.max("_far").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
+    for r in rows.groupBy("_cell").agg(F.max(F.nanvl("_far", F.lit(0.0))).alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
         radius[r["_cell"]], size[r["_cell"]] = r["r"], r["n"]
     return Cells(pivots, radius, size), rows.drop("_far")
 
 
-def _visits(qs: DataFrame, cells: Cells, k: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(queries with the cells they visit first, function from (query, distance of its k-th best) to the cells that are left).
-
-    First come the nearest pivots' cells until these hold four times k rows. Afterwards a cell is
-    left only if a row of it can be nearer than the k-th best so far.
-    """
-
-    def near(q: np.ndarray) -> list[np.ndarray]:
-        order_ = cells.bounds(q)[0].argsort(axis=1, kind="stable")
-        upto = (np.cumsum(cells.size[order_], axis=1) < 4 * k).sum(axis=1) + 1
-        return [o[:u] for o, u in zip(order_, upto)]
-
-    matrix = lambda w: np.array(w.to_list(), float).reshape(len(w), -1)
-
-    @F.pandas_udf("array<int>")
-    def first(w: pd.Series) -> pd.Series:
-        return pd.Series([c.astype(np.int32) for c in near(matrix(w))])
-
-    @F.pandas_udf("array<int>")
-    def rest(w: pd.Series, tau: pd.Series) -> pd.Series:
-        q, limit = matrix(w), tau.fillna(np.inf).to_numpy(float)
-        low = cells.bounds(q)[1]
-        return pd.Series([np.setdiff1d(np.flatnonzero((b <= t_) & (cells.size > 0)), seen).astype(np.int32) for b, t_, seen in zip(low, limit, near(q))])
-
-    def left(tau: DataFrame) -> DataFrame:
-        return qs.join(tau, "_q", "left").withColumn("_cell", F.explode(rest("_w", "_tau"))).drop("_tau")
-
-    return qs.withColumn("_cell", F.explode(first("_w"))), left
-
-
 def nearest(
     queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = (), within: Sequence[str] = (),
 ) -> DataFrame:
@@ -508,8 +553,8 @@ def nearest(
 
     The pool lies in cells around pivots; by the triangle inequality a cell whose rows can't be
     nearer than a query's k-th best from its first cells is not visited. Queries in blocks of
-    about QUERY_ROWS and cells in parts of about POOL_ROWS meet in tasks; each keeps k rows per
-    query, and these meet by query. A pool row within `embargo_days` calendar days (inclusive)
+    about QUERY_ROWS and parts of about POOL_ROWS pool rows, whole cells or pieces of one, meet
+    in tasks; each keeps k rows per query, and these meet by query. A pool row within `embargo_days` calendar days (inclusive)
     of the query, or at distance 0 (the query itself, and copies of it), is no neighbour. With
     `within` (columns without nulls), only rows equal in them meet, and each such group has as
     many cells as its own size asks for.
@@ -535,38 +580,59 @@ def nearest(
 
 
 def _indexed(qs: DataFrame, ps: DataFrame, k: int, embargo_days: int | None, kept: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(k best rows per query and visited cell, all (query, cell) visits)."""
+    """(k best rows per query and part of the pool that it visits, (_q, _rows) with the pool rows met in both passes).
+
+    First each query meets the nearest pivots' cells until these hold four times k rows: its
+    k-th best there bounds the k-th best of all. Then blocks of queries meet the parts that
+    hold a cell within that bound; a query is sent to a part once, however many cells of it
+    it needs.
+    """
     qs = stage(qs, "queries")
     cells, rows = pivot_cells(ps)
-    blocks_ = max(1, -(-qs.count() // QUERY_ROWS))
-    parts = np.maximum(-(-cells.size // POOL_ROWS), 1).tolist()
+    first_part, n_parts = cells.parts()
+    member = np.zeros((len(n_parts), first_part[-1] + n_parts[-1]), np.float32)
+    for c, (f, n) in enumerate(zip(first_part, n_parts)):
+        member[c, f : f + n] = 1
     own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("_cell") + 1)
-    rows = rows.withColumn("_c", own("_p", n_parts))
-    first, left = _visits(qs, cells, k)
-
-    def meet(visits: DataFrame) -> DataFrame:
-        at = visits.withColumn("_b", own("_q", F.lit(blocks_))).withColumn("_c", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        asked = at.select(*[F.col(c).alias(f"_a{c}") for c in ("_cell", "_c", "_b")]).distinct()  # a block of queries gets a part of the pool once
-        there = rows.join(asked, (F.col("_cell") == F.col("_a_cell")) & (F.col("_c") == F.col("_a_c"))).drop("_a_cell", "_a_c").withColumnRenamed("_a_b", "_b")
-        return _best(at, there, ["_cell", "_c", "_b"], k, embargo_days, kept)
+    of_cell = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_cell") + 1)
+    rows = rows.withColumn("_piece", own("_p", of_cell(n_parts))).withColumn("_part", of_cell(first_part) + F.col("_piece"))
+    matrix = lambda w: np.array(w.to_list(), float).reshape(len(w), -1)
 
-    found = stage(meet(first), "first-cells")
+    @F.pandas_udf("array<int>")
+    def near(w: pd.Series) -> pd.Series:
+        order_ = cells.bounds(matrix(w))[0].argsort(axis=1, kind="stable")
+        upto = (np.cumsum(cells.size[order_], axis=1) < 4 * k).sum(axis=1) + 1
+        return pd.Series([o[:u].astype(np.int32) for o, u in zip(order_, upto)])
+
+    @F.pandas_udf("struct<parts: array<int>, rows: bigint>")
+    def within_reach(w: pd.Series, tau: pd.Series) -> pd.DataFrame:
+        need = (cells.bounds(matrix(w))[1] <= tau.fillna(np.inf).to_numpy(float)[:, None]) & (cells.size > 0)
+        return pd.DataFrame({"parts": [np.flatnonzero(p).astype(np.int32) for p in need.astype(np.float32) @ member], "rows": need @ cells.size})
+
+    def meet(visits: DataFrame, there: DataFrame, by: list[str], kept: Sequence[str], cells: Cells | None = None) -> DataFrame:
+        blocks_ = visits.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("_blocks"))
+        blocks_ = F.broadcast(stage(blocks_, "blocks"))  # a row per part or piece of a cell
+        at = visits.join(blocks_, by).withColumn("_b", own("_q", F.col("_blocks"))).drop("_blocks")
+        there = there.join(blocks_, by).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+        return _best(at, there, [*by, "_b"], k, embargo_days, kept, cells)
+
+    first = stage(qs.withColumn("_cell", F.explode(near("_w"))).withColumn("_piece", F.explode(F.sequence(F.lit(0), of_cell(n_parts) - 1))), "first-visits")
+    found = meet(first, rows.drop("_part", *kept), ["_cell", "_piece"], [])
     w = Window.partitionBy("_q").orderBy("distance")
     tau = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select("_q", F.col("distance").alias("_tau"))
-    rest = stage(left(tau), "other-cells")
-    return found.unionByName(meet(rest)), first.select("_q", "_cell").unionByName(rest.select("_q", "_cell"))
+    asked = stage(qs.join(tau, "_q", "left").withColumn("_reach", within_reach("_w", "_tau")), "reach")
+    best = meet(asked.withColumn("_part", F.explode("_reach.parts")).drop("_reach"), rows.drop("_piece"), ["_part"], kept, cells)
+    seen = first.filter("_piece = 0").select("_q", of_cell(cells.size).cast("bigint").alias("_rows"))
+    return best, seen.unionByName(asked.select("_q", F.col("_reach.rows").alias("_rows")))
 
 
 def skipped_share(queries: DataFrame, pool: DataFrame, k: int, embargo_days: int | None, qid: str, t: str | None, vector: str = "w", keep: Sequence[str] = ()) -> float:
-    """Share of all query-pool distances that `nearest` doesn't compute."""
+    """Share of all query-pool distances that `nearest` doesn't compute. The first cells count twice: they are met again with the others."""
     days = F.unix_date(F.col(t).cast("date")) if t else F.lit(0)
     shared = [days.alias("_d"), F.col(vector).alias("_w")]
     ps = pool.select(F.xxhash64(*keep).alias("_p"), *shared)
-    visits = _indexed(queries.select(F.col(qid).alias("_q"), *shared), ps, k, embargo_days, [])[1]
-    sizes = pivot_cells(ps)[0].size
-    seen = sum(int(sizes[r["_cell"]]) * r["count"] for r in visits.groupBy("_cell").count().collect())
-    return 1 - seen / max(1, queries.count() * int(sizes.sum()))
+    seen = _indexed(queries.select(F.col(qid).alias("_q"), *shared), ps, k, embargo_days, [])[1]
+    return 1 - (seen.agg(F.sum("_rows").alias("n")).first()["n"] or 0) / max(1, queries.count() * pool.count())
 
 
 def analog_reference_radii(pool: DataFrame, k: int, qid: str, t: str | None, keep: Sequence[str], longest: int = max(HORIZONS)) -> DataFrame:
