@@ -77,3 +77,27 @@ def test_state_is_kept_per_bucket_of_entities(spark, tmp_path, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
     held = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "held").load()
     assert held.select("key").distinct().count() <= 4 and held.count() == 40
+
+
+def test_waiting_rows_are_arrays_in_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    monkeypatch.setattr(jobs, "CHUNK", 50, raising=False)
+    g = np.random.default_rng(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(None if e == 5 else e, start + dt.timedelta(hours=i, microseconds=int(g.integers(0, 999))), None if i % 7 == 3 else float(g.random())) for e in range(6) for i in range(90)]
+    source, folder = tmp_path / "source", str(tmp_path / "state")
+    files = sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=float(g.uniform(0, 23))))
+    for k in range(0, 540, 180):
+        written(spark.createDataFrame(files[k : k + 180], "ent bigint, t timestamp, y double"), source, f"f{k // 180}")
+    out = jobs.stream_base_rate(jobs.read_stream(spark, str(source), 1), "y", 2, 0.5, ENT, T, window=6, every=3, min_rows=2, folder=folder)
+    got, want = {tuple(r)[:2]: r["base_rate_live"] for r in out.collect()}, {}
+    for e in range(6):
+        mine, rate = rows[90 * e : 90 * e + 90], 0.5
+        for i, r in enumerate(mine):
+            known = [q[2] for q in mine[max(0, i - 8) : max(0, i - 2)] if q[2] is not None]
+            rate = sum(known) / len(known) if i % 3 == 0 and len(known) >= 2 else rate
+            want[r[:2]] = rate
+    assert out.count() == 540 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    waiting = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "rows").load().select("list_element.us")
+    sizes = [len(us) if isinstance(us := r["us"], list) else 1 for r in waiting.collect()]
+    assert 100 < sum(sizes) < 540 and max(sizes) <= 50 and len(sizes) < sum(sizes) / 10

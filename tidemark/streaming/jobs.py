@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -130,22 +131,28 @@ def stream_daily_mean(stream: DataFrame, ent: Sequence[str], ts: str, value: str
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
 
 
-def _by_entity(rows: list[tuple], keys: int, old: dict[tuple, tuple], prepare: Callable, step: Callable) -> tuple[list[list], dict[tuple, tuple]]:
+def _by_entity(rows: pd.DataFrame, keys: list[str], old: dict[tuple, tuple], prepare: Callable, step: Callable) -> tuple[list[list], dict[tuple, tuple]]:
     """(columns of the output: keys, us and what `step` makes; new states) of rows (keys, us, values) of any entities.
 
     The values of all rows are prepared at once; each entity's then go through `step` in time order.
     """
-    found: dict[tuple, list[tuple]] = {}
-    for r in rows:
-        found.setdefault(r[:keys], []).append(r)
-    put = [r for mine in found.values() for r in sorted(mine, key=lambda r: r[keys])]
-    x = prepare(np.array([r[keys + 1 :] for r in put], float))  # null is NaN
-    outs, new, at = [], {}, 0
-    for ent, mine in found.items():
-        made, new[ent] = step(x[at : at + len(mine)], old.get(ent))
+    entity = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((rows["us"].to_numpy(), entity))
+    put, entity = rows.iloc[order], entity[order]
+    names = [_plain(put[k]) for k in keys]
+    x = prepare(put.drop(columns=[*keys, "us"]).to_numpy(float))  # null is NaN
+    starts = np.flatnonzero(np.diff(entity, prepend=-1)).tolist()
+    outs, new = [], {}
+    for at, end in zip(starts, [*starts[1:], len(put)]):
+        ent = tuple(c[at] for c in names)
+        made, new[ent] = step(x[at:end], old.get(ent))
         outs.append(made)
-        at += len(mine)
-    return [*(list(c) for c in zip(*(r[: keys + 1] for r in put))), *([v for c in cs for v in c] for cs in zip(*outs))], new
+    return [*names, put["us"].tolist(), *(list(chain.from_iterable(cs)) for cs in zip(*outs))], new
+
+
+def _plain(column: pd.Series) -> list:
+    """Values with None for null."""
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 class _InOrder(StatefulProcessor):
@@ -153,22 +160,28 @@ class _InOrder(StatefulProcessor):
 
     Rows wait in list state until the watermark has passed them; an event-time timer at the
     earliest one waiting then hands on all of the bucket that are due, in order. The calls to
-    the state store are per bucket, not per entity.
+    the state store are per bucket, not per entity, and an element of `rows` holds up to
+    CHUNK rows as an array per column, so that no row is written or read by itself.
     """
 
     def __init__(self, row: str, state: str, names: list[str], keys: int, made: list[str], work: Callable) -> None:
-        self.row, self.state, self.names, self.keys, self.made, self.work = row, state, names, keys, made, work
+        self.row, self.state, self.names, self.keys, self.made, self.work, self.chunk = row, state, names, keys, made, work, CHUNK
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.row)
         self.held = handle.getListState("held", self.state)
 
+    def _packed(self, rows: pd.DataFrame) -> list[tuple]:
+        rows = rows.astype({"us": "int64"})  # fails on a row without time
+        parts = [rows.iloc[i : i + self.chunk] for i in range(0, len(rows), self.chunk)]
+        return [tuple(_plain(p[c]) if i < self.keys else p[c].tolist() for i, c in enumerate(self.names)) for p in parts]
+
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows))[self.names]
+        new = pd.concat(list(rows))
         waiting = min(self.handle.listTimers(), default=None)
         first = -(-int(new["us"].min()) // 1000)
-        self.rows.appendList([tuple(r) for r in new.astype(object).where(new.notna(), None).to_numpy().tolist()])
+        self.rows.appendList(self._packed(new))
         if waiting is None or first < waiting:
             if waiting is not None:
                 self.handle.deleteTimer(waiting)
@@ -177,14 +190,15 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         upto, k = timerValues.getCurrentWatermarkInMs() * 1000, self.keys
-        rows = [tuple(r) for r in self.rows.get()]
-        due, rest = [r for r in rows if r[k] <= upto], [r for r in rows if r[k] > upto]
+        rows = pd.DataFrame({c: list(chain.from_iterable(v)) for c, v in zip(self.names, zip(*self.rows.get()))})
+        ready = rows["us"] <= upto
+        due, rest = rows[ready], rows[~ready]
         old = {tuple(r[:k]): tuple(r[k:]) for r in self.held.get()}
         made, new = self.work(due, old)
         self.held.put([(*ent, *state) for ent, state in (old | new).items()])
-        if rest:
-            self.rows.put(rest)
-            self.handle.registerTimer(-(-min(r[k] for r in rest) // 1000))
+        if len(rest):
+            self.rows.put(self._packed(rest))
+            self.handle.registerTimer(-(-int(rest["us"].min()) // 1000))
         else:
             self.rows.clear()
         yield pd.DataFrame(dict(zip(self.made, made)))
@@ -204,6 +218,9 @@ ROCKSDB = {
 #: Groups that the entities of a stream are dealt to; a checkpoint holds to its number.
 BUCKETS = 512
 
+#: Rows in an element of the list state at most.
+CHUNK = 10_000
+
 
 def _in_order(
     stream: DataFrame, ent: Sequence[str], t: str, out: str, state: str, columns: Sequence[str], step: Callable, name: str, folder: str | None, late: str, prepare: Callable = np.asarray,
@@ -225,27 +242,26 @@ def _in_order(
         *[F.col(c).cast("string").alias(k) for c, k in zip(ent, keys)], us.alias("us"), *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values)],
     )
     texts = "".join(f"{k} string, " for k in keys)
-    row = f"{texts}us long, " + ", ".join(f"{v} double" for v in values)
+    row = ", ".join([*(f"{k} array<string>" for k in keys), "us array<long>", *(f"{v} array<double>" for v in values)])
     schema, states = f"{texts}us long, {out}", StructType.fromDDL(f"{texts}{state}").fieldNames()
     made = StructType.fromDDL(schema).fieldNames()
 
-    def work(rows: list[tuple], old: dict[tuple, tuple]) -> tuple[list[list], dict[tuple, tuple]]:
-        return _by_entity(rows, len(keys), old, prepare, step)
+    def work(rows: pd.DataFrame, old: dict[tuple, tuple]) -> tuple[list[list], dict[tuple, tuple]]:
+        return _by_entity(rows, keys, old, prepare, step)
 
     done = cur.withWatermark("seen_at", late).groupBy("bucket").transformWithStateInPandas(
         _InOrder(row, f"{texts}{state}", [*keys, "us", *values], len(keys), made, work), schema, "append", "EventTime")
     with _settings(spark, ROCKSDB):
         ready = _collected(done, "append", name, folder).drop("_batch")
         held = spark.read.format("statestore").option("path", f"{folder}/checkpoint")
-        listed = lambda what: stage(held.option("stateVarName", what).load().select("key.bucket", "list_element.*"), what)
-        waiting, kept = listed("rows"), listed("held")
+        listed = lambda what: held.option("stateVarName", what).load().select("key.bucket", "list_element.*")
+        waiting, kept = stage(listed("rows").select("bucket", F.inline(F.arrays_zip(*keys, "us", *values))), "rows"), stage(listed("held"), "held")
 
     def finish(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=made)
         old = {r[: len(keys)]: r[len(keys) :] for r in held[states].itertuples(index=False, name=None)}
-        rows = [tuple(r) for r in rows[[*keys, "us", *values]].itertuples(index=False, name=None)]
-        return pd.DataFrame(dict(zip(made, work(rows, old)[0])))
+        return pd.DataFrame(dict(zip(made, work(rows[[*keys, "us", *values]], old)[0])))
 
     tail = waiting.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInPandas(finish, schema)
     back = F.timestamp_micros("us").cast(kinds[t])
